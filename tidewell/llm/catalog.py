@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidewell.llm import op2_packing, op3_token_counts
+from tidewell.llm import op1_html, op2_packing, op3_token_counts, op6_quality, op8_secrets, op10_warc
 
-MODULES = {"op2_packing": op2_packing, "op3_token_counts": op3_token_counts}
+MODULES = {m.__name__.rpartition(".")[2]: m for m in (op1_html, op2_packing, op3_token_counts, op6_quality, op8_secrets, op10_warc)}
 
 
 def queries() -> dict:

@@ -25,3 +25,8 @@ def whole_text(column: str = "text") -> Column:
 def spread(n_rows: int, per_task: int) -> int:
     """How many tasks give each about per_task rows."""
     return max(1, -(-int(n_rows) // per_task))
+
+
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once: a lambda variable, so that the optimizer can't repeat its expression."""
+    return F.element_at(F.transform(F.array(value), body), 1)
