@@ -15,7 +15,6 @@ characters only if they aren't empty. Repeated rows give a row each. Empty table
 
 from __future__ import annotations
 
-import re
 from functools import reduce
 
 import numpy as np
@@ -27,12 +26,11 @@ from tidewell.llm.common import worker_cache
 from tidewell.session import table
 
 REGIONS = "doc_id long, item_id long, start long, stop long, edits long, segment_chars long"
-SPACES = re.compile(r"\s+")
 BITS = 22
 
 
 def normalise(text: str | None) -> str:
-    return SPACES.sub(" ", (text or "").lower()).strip()
+    return " ".join((text or "").lower().split())
 
 
 def code_points(text: str) -> np.ndarray:
@@ -86,6 +84,7 @@ class Index:
     def __init__(self, segs: list[tuple], q: int, rate: float):
         self.q, self.items = q, np.array([i for i, _ in segs], np.int64)
         self.texts = [code_points(t) for _, t in segs]
+        self.bytes = [t.tobytes() for t in self.texts]
         self.length = np.array([len(t) for t in self.texts], np.int64)
         # at least one shared q-gram must be left by the bound
         self.budget = np.maximum(0, np.minimum((rate * self.length).astype(np.int64), (self.length - q) // q))
@@ -137,9 +136,25 @@ def banded_alignment(patterns: np.ndarray, lengths: np.ndarray, text: np.ndarray
     return best, end
 
 
+def _exact(index: Index, text: bytes, s: int, band: int) -> int:
+    """Where segment s stands unchanged with its diagonal in the band, or -1; text: code points of 4 bytes."""
+    step = int(index.budget[s]) + 1
+    low, high = max(0, band * step), band * step + 2 * step - 1 + int(index.length[s])
+    at = text.find(index.bytes[s], 4 * low, 4 * max(0, high))
+    return -1 if at < 0 else at // 4 if at % 4 == 0 else -2
+
+
 def _verify(index: Index, text: np.ndarray, seg: np.ndarray, band: np.ndarray) -> list[tuple]:
-    """(item, start, stop, edits, length) of the bands that hold an occurrence; text: one document's code points."""
-    out = []
+    """(item, start, stop, edits, length) of the bands that hold an occurrence; text: one document's code points.
+
+    Most are unchanged copies, which a search of the band finds; the alignment decides about the others.
+    """
+    raw = text.tobytes()
+    same = np.array([_exact(index, raw, s, b) for s, b in zip(seg.tolist(), band.tolist())], np.int64)
+    out = [(int(index.items[s]), at, at + n, 0, n) for s, at in zip(seg[same >= 0].tolist(), same[same >= 0].tolist()) for n in (int(index.length[s]),)]
+    # a segment that was found unchanged needs no second look at the bands beside it
+    rest = ~np.isin(seg, seg[same >= 0])
+    seg, band = seg[rest], band[rest]
     k = index.budget[seg]
     for budget in np.unique(k):
         own = np.flatnonzero(k == budget)
