@@ -45,7 +45,7 @@ def _split(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     return coded.dictionary.to_pylist(), coded.indices.to_numpy(), at - at[0]
 
 
-def slices(texts: pa.Array, limit: int = 16_000_000):
+def slices(texts: pa.Array, limit: int = 32_000_000):
     """The same texts in pieces of about limit bytes."""
     ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
     start = 0
@@ -88,23 +88,76 @@ class PieceCounter:
 
 
 class IdEncoder:
-    """Ids by a tokenizers file."""
+    """Ids by a tokenizers file.
+
+    The pre-tokenizer ends a run of letters before any other character, so a word that ends in letters and marks like
+    "," is two words; and its normalizer lower-cases, which for ASCII words can be done before.
+    """
+
+    MARK = "★"
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words = _Words(lambda w: np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, dtype="<u4"))
+        self.ids: dict[str, bytes] = {"": b""}
+        mark = self._encode(self.MARK)
+        # a mark that is one id of its own parts words that are encoded at once
+        self.mark = int(mark[0]) if len(mark) == 1 and self._encode(f"a {self.MARK} b")[1] == mark[0] else None
+
+    def _encode(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
+
+    def _learn(self, words: list[str]) -> None:
+        if len(self.ids) + len(words) > 2 * MAX_WORDS:
+            self.ids = {"": b""}
+        alone = [w for w in words if self.mark is None or self.MARK in w]
+        words = [w for w in words if self.mark is not None and self.MARK not in w]
+        for at in range(0, len(words), 2000):
+            part = words[at : at + 2000]
+            got = self._encode(f" {self.MARK} ".join(part))
+            ends = np.append(np.flatnonzero(got == self.mark), len(got))
+            if len(ends) != len(part):
+                alone += part
+                continue
+            raw, begin = got.tobytes(), 0
+            for w, end in zip(part, ends.tolist()):
+                self.ids[w] = raw[4 * begin : 4 * end]
+                begin = end + 1
+        for w in alone:
+            self.ids[w] = self._encode(w).tobytes()
+
+    def _of(self, words: list[str]) -> list[bytes]:
+        parts, missing, ids = [], set(), self.ids
+        for w in words:
+            core, tail = w.rstrip(".,;:!?"), ""
+            if len(core) < len(w) and core[-1:].isalpha():
+                tail = w[len(core) :]
+                if tail not in ids:
+                    missing.add(tail)
+            else:
+                core = w
+            if core.isascii():
+                core = core.lower()
+            if core not in ids:
+                missing.add(core)
+            parts.append((core, tail))
+        if missing:
+            self._learn(sorted(missing))
+            ids = self.ids
+            if missing := {x for p in parts for x in p if x not in ids} if len(ids) <= len(missing) + 1 else None:
+                self._learn(sorted(missing))  # the table was emptied meanwhile
+        return [ids[a] + ids[b] if b else ids[a] for a, b in parts]
 
     def encode(self, texts: pa.Array):
         """Yields the ids of each text, in order."""
         for _, part in slices(texts):
             words, index, at = _split(pc.replace_substring(pc.replace_substring(part, "\n", " "), "\t", " "))
-            ids = [self.words[w] for w in words]
-            size = np.array([len(x) for x in ids], np.int64)
-            flat, begin = np.concatenate([*ids, np.zeros(0, "<u4")]), np.cumsum(size) - size
-            for a, b in zip(at[:-1], at[1:]):
+            ids = self._of(words)
+            size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+            flat, begin = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(size) - size
+            for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
                 own = index[a:b]
                 n = size[own]
                 ends = np.cumsum(n)
