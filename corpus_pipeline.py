@@ -1,8 +1,58 @@
-"""The corpus pipeline: stages over documents."""
+"""The corpus pipeline: language, near-duplicates, benchmark leaks, secrets, packing.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read as the docs of the
+next one. All stages but the last return the columns of documents. A stage works on all that its predecessor kept.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from tidewell.llm import op2_packing, op5_minhash, op7_language, op8_secrets, op9_decontamination
+from tidewell.llm.tokenizers_io import public_path
+from tidewell.session import stored, table
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents whose text no learned language accepts (null, without a letter, or far from all centroids)."""
+    return op7_language.accepted(docs, op7_language.train(op7_language.learning_rows(docs)))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest doc_id of each class of near-duplicates."""
+    return op5_minhash.one_of_each(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold a passage of the benchmark."""
+    return op9_decontamination.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces secrets in the texts; no document is dropped."""
+    return op8_secrets.without_secrets(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the documents, packed into sequences."""
+    pieces = stored(op2_packing.document_pieces(docs, public_path("word_bpe_49k.json")), "pieces")
+    return op2_packing.pack(pieces)
+
+
+STAGES = [
+    ("language_7", language),
+    ("near_duplicates_5", near_duplicates),
+    ("decontamination_9", decontamination),
+    ("secrets_8", secrets),
+    ("packing_2", packing),
+]
+
+#: Tokenizers and trained models can't be expressed in SQL; tests/llm/test_pipeline.py checks the rows.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError("no stages yet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return docs

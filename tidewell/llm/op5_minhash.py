@@ -23,9 +23,11 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from tidewell.llm.common import whole_text
 from tidewell.llm.components import connected_components
+from tidewell.llm.op9_decontamination import pieces_of
 from tidewell.llm.shingles import circulant_minhash, mix64, shingle_sets
 from tidewell.session import stored, table
 
@@ -34,19 +36,6 @@ BANDS, ROWS = 40, 4
 WIDTH = 6
 
 
-def pieces_of(texts: list, size: int = 4_000_000):
-    """Runs of texts of about size characters."""
-    own, held = [], 0
-    for t in texts:
-        if own and held + len(t) > size:
-            yield own
-            own, held = [], 0
-        own.append(t)
-        held += len(t)
-    if own:
-        yield own
-
-
 def pack_set(s: np.ndarray) -> bytes:
     """The upper bytes of each hash, ascending."""
     return np.ascontiguousarray((s >> np.uint64(64 - 8 * WIDTH)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :WIDTH]).tobytes()
@@ -199,6 +188,18 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, least_agr
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of docs, all columns as they are, without all but one of each class of near-duplicates.
+
+    Rows with a null doc_id stay. Of repeated rows one stays.
+    """
+    kept = near_duplicates(docs).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_kept")).distinct()
+    own = docs.where("doc_id IS NOT NULL").join(kept, F.col("doc_id").cast("long") == F.col("_kept"), "left_semi")
+    order = Window.partitionBy("doc_id").orderBy(F.xxhash64(whole_text()))
+    first = own.withColumn("_row", F.row_number().over(order)).where("_row = 1").drop("_row")
+    return first.unionByName(docs.where("doc_id IS NULL"))
+
+
 def _same_id(nodes: DataFrame, marked: DataFrame) -> DataFrame:
     """Links between the nodes of rows that share a doc_id but not a text."""
     own = marked.where("n > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.count_distinct("n", "k1", "k2").alias("texts")).where("texts > 1").select("doc_id")

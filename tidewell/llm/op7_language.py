@@ -126,7 +126,7 @@ def train(docs: DataFrame, k: int = 4, sample: int = 600, dims: int = DIMS, low:
     return model
 
 
-def _predict(model: dict, reject_share: float):
+def _predict(model: dict, reject_share: float, keep_text: bool):
     def run(batches):
         langs = np.array([*model["langs"], "und"], dtype=object)
         floors = np.array([model["floor"][x] * reject_share for x in model["langs"]] + [0.0])
@@ -140,8 +140,8 @@ def _predict(model: dict, reject_share: float):
                     rows = at + np.flatnonzero(there)
                     best[rows], score[rows] = cos.argmax(1), np.clip(cos.max(1), 0, 1)
             none = best == len(langs) - 1
-            columns = [c for n, c in zip(b.schema.names, b.columns) if n != "text"]
-            names = [n for n in b.schema.names if n != "text"]
+            names = [n for n in b.schema.names if n != "text" or keep_text]
+            columns = [b.column(n) for n in names]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(langs[best], pa.string()), pa.array(score), pa.array(none | (score < floors[best]))], [*names, "lang_pred", "score", "rejected"])
 
     return run
@@ -149,9 +149,16 @@ def _predict(model: dict, reject_share: float):
 
 def identify(docs: DataFrame, model: dict, keep: dict[str, Column], reject_share: float = 0.5) -> DataFrame:
     """The columns keep (name to expression), lang_pred, score, rejected for every row of docs."""
-    own = docs.select(*[c.alias(n) for n, c in keep.items()], F.col("text").cast("string").alias("text"))
-    fields = ", ".join(f"`{n}` {t}" for n, t in own.dtypes if n != "text")
-    return own.mapInArrow(_predict(model, reject_share), f"{fields}, lang_pred string, score double, rejected boolean")
+    own = docs.select(*[c.alias(n) for n, c in keep.items() if n != "text"], F.col("text").cast("string").alias("text"))
+    fields = ", ".join(f"`{n}` {t}" for n, t in own.dtypes if n != "text" or "text" in keep)
+    return own.mapInArrow(_predict(model, reject_share, "text" in keep), f"{fields}, lang_pred string, score double, rejected boolean")
+
+
+def accepted(docs: DataFrame, model: dict, reject_share: float = 0.5) -> DataFrame:
+    """The rows of docs, all columns as they are, whose text isn't rejected."""
+    names = {c: "text" if c == "text" else f"k{i}" for i, c in enumerate(docs.columns)}
+    out = identify(docs, model, {n: F.col(f"`{c}`") for c, n in names.items()}, reject_share).where("NOT rejected")
+    return out.select(*[F.col(n).alias(c) for c, n in names.items()])
 
 
 def held_out() -> Column:

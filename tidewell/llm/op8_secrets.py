@@ -118,6 +118,12 @@ def redact(docs: DataFrame, reach: int = 200, mark: str = "[secret]") -> DataFra
     return joined.withColumn("text", F.when(F.col("_s").isNull() | text.isNull(), text).otherwise(clean)).select(*docs.columns)
 
 
+def without_secrets(docs: DataFrame, reach: int = 200) -> DataFrame:
+    """redact() for a table of documents: n_chars, where there is one, follows the text."""
+    out = redact(docs, reach)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_secrets(table(spark, sf_dir, "documents"))
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == KINDS.index(kind))).cast("long").alias(f"n_{kind}")

@@ -15,10 +15,12 @@ characters only if they aren't empty. Repeated rows give a row each. Empty table
 
 from __future__ import annotations
 
+import hashlib
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -213,28 +215,33 @@ def regions_of(index: Index, texts: list[str]) -> list[list[tuple]]:
     return out
 
 
-def _search(token: str, segs: list[tuple], q: int, rate: float, piece: int = 4_000_000):
+def pieces_of(texts: list[str], size: int = 4_000_000):
+    """Runs of texts of about size characters."""
+    own, held = [], 0
+    for t in texts:
+        if own and held + len(t) > size:
+            yield own
+            own, held = [], 0
+        own.append(t)
+        held += len(t)
+    if own:
+        yield own
+
+
+def _search(token: str, segs: list[tuple], q: int, rate: float):
     def run(frames):
         index = worker_cache(("benchmark", token), lambda: Index(segs, q, rate))
         for frame in frames:
-            rows, ids, texts, size = [], [], [], 0
-            for doc_id, text in [*zip(frame["doc_id"], frame["text"]), (None, None)]:
-                if texts and (text is None or size > piece):
-                    rows += [(i, *r) for i, found in zip(ids, regions_of(index, texts)) for r in found]
-                    ids, texts, size = [], [], 0
-                if text is not None:
-                    ids.append(doc_id)
-                    texts.append(text)
-                    size += len(text)
+            found = [r for part in pieces_of(frame["text"].tolist()) for r in regions_of(index, part)]
+            rows = [(d, *r) for d, regions in zip(frame["doc_id"], found) for r in regions]
             if rows:
-                yield pd.DataFrame(rows, columns=["doc_id", "item_id", "start", "stop", "edits", "segment_chars"])
+                yield pd.DataFrame(rows, columns=["doc_id", "item_id", "start", "stop", "edits", "segment_chars"]).astype({"doc_id": "Int64"})
 
     return run
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, q: int = 10, rate: float = 0.08, size: int = 80, stride: int = 40, block_chars: int = 4_000_000) -> DataFrame:
-    """A row for each region of a document that holds a segment of a benchmark item within the edit budget."""
-    own = docs.where("text IS NOT NULL AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+def _blocks(benchmark: DataFrame, q: int, rate: float, size: int, stride: int, block_chars: int) -> list[tuple[str, list[tuple]]]:
+    """(name, segments) of blocks of at most block_chars characters of items; the names tell contents apart."""
     parts, block, held = [], [], 0
     for r in benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select("item_id", "text").toLocalIterator():
         if block and held + len(r["text"]) > block_chars:
@@ -243,11 +250,35 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, q: int = 10, rate: float
         block.append((int(r["item_id"]), r["text"]))
         held += len(r["text"])
     parts += [block] if block else []
-    if not parts:
-        return docs.sparkSession.createDataFrame([], REGIONS)
-    token = hex(hash((q, rate, size, stride, tuple(sorted(map(str, parts[0][:50]))), held, len(parts))))
-    found = [own.mapInPandas(_search(f"{token}-{i}", segments(p, size, stride), q, rate), REGIONS) for i, p in enumerate(parts)]
-    return reduce(DataFrame.unionByName, found)
+    cut = [segments(p, size, stride) for p in parts]
+    return [(hashlib.sha1(repr((q, rate, segs)).encode("utf-8", "surrogatepass")).hexdigest(), segs) for segs in cut]
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, q: int = 10, rate: float = 0.08, size: int = 80, stride: int = 40, block_chars: int = 4_000_000) -> DataFrame:
+    """A row for each region of a document that holds a segment of a benchmark item within the edit budget."""
+    own = docs.where("text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    found = [own.mapInPandas(_search(name, segs, q, rate), REGIONS) for name, segs in _blocks(benchmark, q, rate, size, stride, block_chars)]
+    return reduce(DataFrame.unionByName, found) if found else docs.sparkSession.createDataFrame([], REGIONS)
+
+
+def _without(token: str, segs: list[tuple], q: int, rate: float, text_at: int):
+    def run(batches):
+        index = worker_cache(("benchmark", token), lambda: Index(segs, q, rate))
+        for b in batches:
+            keep = []
+            for part in pieces_of([t or "" for t in b.column(text_at).to_pylist()]):
+                keep += [not found for found in regions_of(index, part)]
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, q: int = 10, rate: float = 0.08, size: int = 80, stride: int = 40, block_chars: int = 4_000_000) -> DataFrame:
+    """The rows of docs, all columns as they are, that hold no region; null texts hold none. Nothing is shuffled."""
+    at = docs.columns.index("text")
+    for name, segs in _blocks(benchmark, q, rate, size, stride, block_chars):
+        docs = docs.mapInArrow(_without(name, segs, q, rate, at), docs.schema)
+    return docs
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
