@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewell.plans import base, materialize, registry, relational, rollups  # noqa: F401
+from tidewell.plans import base, materialize, modelling, registry, relational, rollups  # noqa: F401
 
 
 def queries() -> dict:
