@@ -71,6 +71,7 @@ def _writer(folder: str, roll_bytes: int, level: int, date: str):
     def run(frames):
         fs, root = _filesystem(folder)
         part, seq, out = TaskContext.get().partitionId(), 0, None
+        told: dict = {}  # (page_id, digest) -> refers_to of the page at hand
 
         def close():
             nonlocal out, seq
@@ -84,6 +85,10 @@ def _writer(folder: str, roll_bytes: int, level: int, date: str):
             rows = []
             for page_id, url, html, digest, n_bytes, refers_to in zip(*(frame[c] for c in ("page_id", "url", "html", "digest", "n_bytes", "refers_to"))):
                 page_id, refers_to = (None if pd.isna(x) else int(x) for x in (page_id, refers_to))
+                if html is None:
+                    told = {k: v for k, v in told.items() if k[0] == page_id} | {(page_id, digest): refers_to}
+                    continue
+                refers_to = told.get((page_id, digest))
                 if out is None:
                     name = f"shard-{part:06d}-{seq:05d}.warc.gz"
                     temporary = f"{root}/.{name}.{uuid.uuid4().hex}.tmp"
@@ -111,21 +116,25 @@ def _writer(folder: str, roll_bytes: int, level: int, date: str):
 
 
 def warc_records(pages: DataFrame, min_dedup: int = 1000) -> DataFrame:
-    """page_id, url, html (null where a revisit needs none), digest, n_bytes, refers_to."""
+    """page_id, url, html, digest, n_bytes of each page; beside them a row with refers_to and no html for each revisit.
+
+    The rows of the second kind come from page_id and digest alone, so the pages themselves are shuffled once, by the
+    writer, which reads a page's row after those that tell what it refers to.
+    """
     html = whole_text("html")
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"))
     own = own.withColumns({"digest": F.sha1(F.encode("html", "utf-8")), "n_bytes": F.octet_length("html").cast("long")})
-    # groups of one need no partner: what is joined is as large as the repeated payloads' digests
-    keepers = own.where(F.col("n_bytes") >= min_dedup).groupBy("digest").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n")).where("n > 1").drop("n")
-    refers = F.when(~F.col("page_id").eqNullSafe(F.col("keeper")), F.col("keeper"))
-    return own.join(keepers, "digest", "left").select("page_id", "url", F.when(refers.isNull(), F.col("html")).alias("html"), "digest", "n_bytes", refers.alias("refers_to"))
+    small = own.where(F.col("n_bytes") >= min_dedup).select("page_id", "digest")
+    keepers = small.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n")
+    revisits = small.join(keepers, "digest").where(F.col("refers_to").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("refers_to"))).distinct()
+    return own.withColumn("refers_to", F.lit(None).cast("long")).unionByName(revisits, allowMissingColumns=True)
 
 
 def write_warc(records: DataFrame, folder: str, roll_bytes: int = 32_000_000, level: int = 5, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
     """Writes records (as warc_records gives them) below folder; returns the manifest, stored in folder/manifest."""
     fs, root = _filesystem(folder)
     fs.create_dir(root, recursive=True)
-    dealt = records.repartitionByRange("page_id").sortWithinPartitions("page_id", "url", "digest")
+    dealt = records.repartitionByRange("page_id").sortWithinPartitions("page_id", F.col("html").isNotNull(), "url", "digest")
     dealt.mapInPandas(_writer(folder, roll_bytes, level, date), MANIFEST).write.parquet(f"{folder}/manifest")
     return records.sparkSession.read.schema(MANIFEST).parquet(f"{folder}/manifest")
 
