@@ -70,7 +70,7 @@ def test_binomial(spark):
 def test_cutoffs_hold_the_risk(spark):
     """Good documents above the chosen cutoff stay below the risk; without evidence there is no cutoff."""
     rows = [("en", i % 10 != 0, 0.3 if i % 10 == 0 else 0.001 * (i % 9)) for i in range(20_000)] + [("fr", True, 0.0)] * 20 + [("fr", False, 0.9)] * 5
-    df = spark.createDataFrame(rows, "stratum string, good boolean, symbol_share double").withColumns({m: F.lit(0.0) for m in ("dup_line_share", "repeat_share", "mean_word")})
+    df = spark.createDataFrame(rows, "stratum string, good boolean, symbol_share double").withColumns({m: F.lit(0.0) for m in op6_quality.GRID if m != "symbol_share"})
     got = {(r["stratum"], r["rule"]): r for r in op6_quality.select_cutoffs(df).collect()}
     assert set(got) == {("en", "symbol_share")}
     assert got["en", "symbol_share"]["k_good"] == 0 and got["en", "symbol_share"]["k_bad"] == 2000

@@ -28,6 +28,7 @@ GRID = {
     "symbol_share": [0.5, 0.4, 0.3, 0.25, 0.2, 0.15, 0.12, 0.1, 0.08, 0.06, 0.05, 0.04, 0.03, 0.02, 0.01],
     "dup_line_share": [0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.33, 0.3, 0.25, 0.2, 0.15, 0.1, 0.05],
     "repeat_share": [0.2, 0.18, 0.16, 0.14, 0.12, 0.1, 0.08, 0.06, 0.04, 0.02],
+    "upper_share": [0.95, 0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.35, 0.3, 0.25, 0.2, 0.15],
     "mean_word": [30.0, 25.0, 20.0, 16.0, 14.0, 12.0, 11.0, 10.0, 9.5, 9.0, 8.5, 8.0, 7.5, 7.0],
 }
 SPACE = r"[\x20\x09-\x0D]"
@@ -54,7 +55,7 @@ def _repeat_words(words: Column, size: int) -> Column:
 
 
 def text_features(docs: DataFrame, *keep: str) -> DataFrame:
-    """The columns keep and n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words (all long)."""
+    """The columns keep and n_words, word_chars, n_symbols, n_upper, n_lines, n_dup_lines, n_repeat_words (all long)."""
     text = whole_text()
     words = F.filter(F.split(text, SPACE + "+"), lambda w: w != "")
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
@@ -66,13 +67,14 @@ def text_features(docs: DataFrame, *keep: str) -> DataFrame:
         line_counts.alias("l"),
         F.length(F.regexp_replace(text, SPACE + "+", "")).cast("long").alias("word_chars"),
         F.length(F.regexp_replace(text, r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
+        F.length(F.regexp_replace(text, r"\P{Lu}+", "")).cast("long").alias("n_upper"),
     )
-    return left.select(*keep, "c.n_words", "word_chars", "n_symbols", "l.n_lines", "l.n_dup_lines", "c.n_repeat_words")
+    return left.select(*keep, "c.n_words", "word_chars", "n_symbols", "n_upper", "l.n_lines", "l.n_dup_lines", "c.n_repeat_words")
 
 
 def metrics() -> dict[str, Column]:
     share = lambda a, b: F.coalesce(F.try_divide(F.col(a).cast("double"), F.col(b)), F.lit(0.0))
-    return {"symbol_share": share("n_symbols", "word_chars"), "dup_line_share": share("n_dup_lines", "n_lines"), "repeat_share": share("n_repeat_words", "n_words"), "mean_word": share("word_chars", "n_words")}
+    return {"symbol_share": share("n_symbols", "word_chars"), "upper_share": share("n_upper", "word_chars"), "dup_line_share": share("n_dup_lines", "n_lines"), "repeat_share": share("n_repeat_words", "n_words"), "mean_word": share("word_chars", "n_words")}
 
 
 def base_failed() -> Column:
@@ -94,7 +96,7 @@ def binomial_cdf(k: Column, n: Column, p: float) -> Column:
     return F.when(k >= n * p, F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.exp(last) * ratios))
 
 
-def select_cutoffs(labelled: DataFrame, risk: float = 0.01, delta: float = 0.05) -> DataFrame:
+def select_cutoffs(labelled: DataFrame, risk: float = 0.02, delta: float = 0.05) -> DataFrame:
     """stratum, rule, cutoff, n_good, k_good, k_bad, p_value for the rules that get a cutoff.
 
     labelled: stratum, good (boolean), and the metrics. Counts are sums over (stratum, rule, cutoff), whose number is
@@ -117,7 +119,7 @@ def select_cutoffs(labelled: DataFrame, risk: float = 0.01, delta: float = 0.05)
     return best.where("rank = 1").select("stratum", "rule", "cutoff", "n_good", "k_good", "k_bad", "p_value")
 
 
-def judge(docs: DataFrame, labels: DataFrame, risk: float = 0.01, delta: float = 0.05) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, risk: float = 0.02, delta: float = 0.05) -> DataFrame:
     """doc_id, stratum, the features, base_failed, kept and failed_rules for every document."""
     features = stored(text_features(docs, "doc_id", "lang"), "features").withColumn("stratum", F.coalesce("lang", F.lit(""))).drop("lang")
     features = features.withColumns(metrics()).withColumn("base_failed", base_failed())
