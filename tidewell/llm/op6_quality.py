@@ -136,3 +136,31 @@ def judge(docs: DataFrame, labels: DataFrame, risk: float = 0.02, delta: float =
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def _oracle(risk: float = 0.02, delta: float = 0.05) -> str:
+    n_rules, p = len(GRID), risk / len(GRID)
+    grid = ", ".join(f"('{r}', {i}, {c}::DOUBLE)" for r, cs in GRID.items() for i, c in enumerate(cs))
+    value = "CASE rule " + " ".join(f"WHEN '{r}' THEN {r}" for r in GRID) + " END"
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+g AS (SELECT rid, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] || ' ' || words[i + 3] || ' ' || words[i + 4] AS k FROM (SELECT rid, words, unnest(range(1, len(words) - 3)) AS i FROM w)),
+m AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, k) AS n FROM g),
+r AS (SELECT rid, count(DISTINCT i + j) AS n_repeat_words FROM m, (SELECT unnest(range(5)) AS j) WHERE n > 1 GROUP BY rid),
+f AS (SELECT rid, doc_id, stratum, CAST(len(words) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
+  CAST(length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols, CAST(length(regexp_replace(t, '\P{{Lu}}+', '', 'g')) AS BIGINT) AS n_upper,
+  len(lines) AS n_lines, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words FROM w LEFT JOIN r USING (rid)),
+q AS (SELECT *, coalesce(n_symbols / nullif(word_chars, 0), 0)::DOUBLE AS symbol_share, coalesce(n_upper / nullif(word_chars, 0), 0)::DOUBLE AS upper_share, coalesce(n_dup_lines / nullif(n_lines, 0), 0)::DOUBLE AS dup_line_share,
+  coalesce(n_repeat_words / nullif(n_words, 0), 0)::DOUBLE AS repeat_share, coalesce(word_chars / nullif(n_words, 0), 0)::DOUBLE AS mean_word, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM f),
+lab AS (SELECT doc_id, min(quality) > 0 AS good FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id),
+grid(rule, step, cutoff) AS (VALUES {grid}),
+c AS (SELECT stratum, rule, step, cutoff, count(*) FILTER (good) AS n, count(*) FILTER (NOT good) AS nb, count(*) FILTER (good AND {value} > cutoff) AS k, count(*) FILTER (NOT good AND {value} > cutoff) AS kb FROM q JOIN lab USING (doc_id), grid WHERE NOT base_failed GROUP BY ALL),
+s AS (SELECT *, CASE WHEN k >= n * {p}::DOUBLE THEN 1.0 ELSE list_sum(list_transform(range(k + 1), lambda j: exp(lgamma(n + 1) - CASE WHEN j > 0 THEN lgamma(j + 1) ELSE 0 END - lgamma(n - j + 1) + j * ln({p}::DOUBLE) + (n - j) * ln(1 - {p}::DOUBLE)))) END AS pv, (SELECT count(DISTINCT stratum) FROM c) AS ns FROM c),
+o AS (SELECT *, bool_and(pv <= {delta} / (ns * {n_rules})) OVER (PARTITION BY stratum, rule ORDER BY step) AS ok, kb / nb - k / n AS gain FROM s),
+b AS (SELECT stratum, rule, cutoff FROM (SELECT *, row_number() OVER (PARTITION BY stratum, rule ORDER BY gain DESC, step) AS place FROM o WHERE ok AND kb > 0 AND gain > 0) WHERE place = 1)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT EXISTS (SELECT 1 FROM b WHERE b.stratum = q.stratum AND {value} > cutoff) AS kept FROM q
+"""
+
+
+ORACLE_SQL = _oracle()
