@@ -4,8 +4,8 @@ Rules compare a metric of a text (higher is worse) with a cutoff. Cutoffs are se
 stratum (language) and rule, every cutoff of a fixed grid is tested, from the most lenient on, against the hypothesis
 that it rejects more than `risk / rules` of the good documents. The test is exact: the p-value is the binomial
 probability of at most the observed number of false rejections. A cutoff is valid if its p-value, and that of every
-more lenient one, is at most `delta / (strata * rules)`: testing in a fixed order needs no correction within a rule,
-Bonferroni's corrects across rules and strata. So with probability 1 - delta no stratum rejects more than `risk` of
+more lenient one, is at most `delta / (groups * rules)`: testing in a fixed order needs no correction within a rule,
+Bonferroni's corrects across rules and groups. So with probability 1 - delta no stratum rejects more than `risk` of
 its good documents. Among the valid cutoffs, the one with the largest difference of rejection rates (bad minus good)
 is taken; where none is valid or none rejects bad documents, the rule rejects nothing.
 
@@ -100,7 +100,7 @@ def select_cutoffs(labelled: DataFrame, risk: float = 0.02, delta: float = 0.05)
     """stratum, rule, cutoff, n_good, k_good, k_bad, p_value for the rules that get a cutoff.
 
     labelled: stratum, good (boolean), and the metrics. Counts are sums over (stratum, rule, cutoff), whose number is
-    fixed but for the strata; the documents are reduced before the shuffle.
+    fixed but for the groups; the documents are reduced before the shuffle.
     """
     n_rules = len(GRID)
     grid = F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(i).alias("step"), F.lit(c).alias("cutoff"), F.lit(r).alias("m")) for r, cs in GRID.items() for i, c in enumerate(cs)])
@@ -109,9 +109,9 @@ def select_cutoffs(labelled: DataFrame, risk: float = 0.02, delta: float = 0.05)
     counts = tests.groupBy("stratum", "rule", "step", "cutoff").agg(
         F.count_if("good").alias("n_good"), F.count_if(~F.col("good")).alias("n_bad"), F.count_if(F.col("good") & F.col("hit")).alias("k_good"), F.count_if(~F.col("good") & F.col("hit")).alias("k_bad")
     )
-    strata = counts.agg(F.count_distinct("stratum").alias("n_strata"))
-    tested = counts.crossJoin(F.broadcast(strata)).withColumn("p_value", binomial_cdf(F.col("k_good"), F.col("n_good"), risk / n_rules))
-    valid = F.col("p_value") <= delta / (F.col("n_strata") * n_rules)
+    groups = counts.agg(F.count_distinct("stratum").alias("n_groups"))
+    tested = counts.crossJoin(F.broadcast(groups)).withColumn("p_value", binomial_cdf(F.col("k_good"), F.col("n_good"), risk / n_rules))
+    valid = F.col("p_value") <= delta / (F.col("n_groups") * n_rules)
     in_order = Window.partitionBy("stratum", "rule").orderBy("step")
     gain = F.try_divide(F.col("k_bad"), F.col("n_bad")) - F.try_divide(F.col("k_good"), F.col("n_good"))
     kept = tested.withColumn("ok", F.min(valid.cast("int")).over(in_order)).withColumn("gain", gain).where((F.col("ok") == 1) & (F.col("k_bad") > 0) & (F.col("gain") > 0))
@@ -126,7 +126,7 @@ def judge(docs: DataFrame, labels: DataFrame, risk: float = 0.02, delta: float =
     marks = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg((F.min("quality") > 0).alias("good"))
     labelled = features.where(~F.col("base_failed")).dropDuplicates(["doc_id"]).join(marks, "doc_id").select("stratum", "good", *GRID)
     cutoffs = select_cutoffs(labelled, risk, delta)
-    # one row per stratum; strata are few (languages), yet the join is left to the planner
+    # one row per stratum; they are few (languages), yet the join is left to the planner
     wide = cutoffs.groupBy("stratum").agg(*[F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"max_{r}") for r in GRID])
     joined = features.join(wide, "stratum", "left")
     failed = F.filter(F.array(*[F.when(F.col(r) > F.col(f"max_{r}"), F.lit(r)) for r in GRID]), lambda x: x.isNotNull())
