@@ -164,8 +164,8 @@ def _marked(orders: DataFrame) -> DataFrame:
 
 
 def marked(orders: DataFrame) -> DataFrame:
-    """Open quantity at the price of the ticker's last trade."""
-    return _marked(orders).select("ticker", "qty", F.round(F.col("qty") * F.col("mark"), 8).alias("value"))
+    """Open quantity at the price of the ticker's last trade, in whole cents below."""
+    return _marked(orders).select("ticker", "qty", (F.floor(F.col("qty") * F.col("mark") * 100) / 100).alias("value"))
 
 
 def adjusted_total(orders: DataFrame) -> DataFrame:

@@ -64,7 +64,7 @@ def s6(spark, d):
     return S.prune(zones(spark, d), [("l_orderkey", ">=", 2500), ("l_orderkey", "<", 7000)]).select("zone", "num_rows")
 
 
-@query("s7_plan_summary", f"WITH {_ZONES}, k AS (SELECT *, max_l_orderkey >= 2500 AND min_l_orderkey < 7000 AS keep FROM z) SELECT count(*) AS total, count(*) FILTER (keep) AS surviving, count(*) FILTER (NOT keep) AS pruned, CAST(sum(num_rows) FILTER (keep) * 100 AS BIGINT) AS bytes, count(*) FILTER (keep) <= 3 AS zones_ok, sum(num_rows) FILTER (keep) * 100 <= 1000000 AS bytes_ok, CASE WHEN sum(num_rows) FILTER (keep) * 100 > 500000 THEN 'bulk' ELSE 'interactive' END AS kind FROM k")
+@query("s7_plan_summary", f"WITH {_ZONES}, k AS (SELECT *, max_l_orderkey >= 2500 AND min_l_orderkey < 7000 AS keep FROM z) SELECT count(*) AS total, count(*) FILTER (keep) AS surviving, count(*) FILTER (NOT keep) AS pruned, CAST(coalesce(sum(num_rows) FILTER (keep), 0) * 100 AS BIGINT) AS bytes, count(*) FILTER (keep) <= 3 AS zones_ok, coalesce(sum(num_rows) FILTER (keep), 0) * 100 <= 1000000 AS bytes_ok, CASE WHEN sum(num_rows) FILTER (keep) * 100 > 500000 THEN 'bulk' ELSE 'interactive' END AS kind FROM k")
 def s7(spark, d):
     return S.plan_summary(zones(spark, d), [("l_orderkey", ">=", 2500), ("l_orderkey", "<", 7000)], 100, 3, 1_000_000, 500_000)
 
