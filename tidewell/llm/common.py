@@ -2,21 +2,60 @@
 
 from __future__ import annotations
 
+import gc
 import sys
+import time
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 
 def worker_cache(key: tuple, make: Callable):
-    """One value per Python worker and key, kept between tasks when Spark reuses the worker."""
+    """One value per Python worker and key, kept between tasks when Spark reuses the worker.
+
+    Values of another kind (the first part of the key) are dropped when a new one is made: a worker that goes on to
+    another operator's tasks doesn't hold on to the tables of the last one.
+    """
     store = sys.__dict__.setdefault("_tidewell_cache", {})
     if key not in store:
+        for other in [k for k in store if k[0] != key[0]]:
+            del store[other]
         store[key] = make()
     return store[key]
 
 
+def tidied(f: Callable) -> Callable:
+    """f, an iterator function of a task, giving freed memory back to the system when it ends: workers live on."""
+
+    def run(batches):
+        try:
+            yield from f(batches)
+        finally:
+            import ctypes
+
+            import pyarrow as pa
+
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):
+                pass  # another C library: nothing to trim
+
+    return run
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner delete the shuffle files of steps whose results are stored and that nothing refers to.
+
+    They go when the driver's JVM finds them unreachable; the second collection sees what the first one has detached.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
+
+
 def whole_text(column: str = "text") -> Column:
     """The text, with null read as empty."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import whole_text
+from tidewell.llm.common import tidied, whole_text
 from tidewell.session import table
 
 LINES = "page_id long, url string, host string, path string, has_main boolean, lines array<struct<text:string,chrome:boolean,main:boolean>>"
@@ -189,8 +189,8 @@ def main_text(pages: DataFrame) -> DataFrame:
     a range is paired with its neighbour inside.
     """
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), whole_text("html").alias("html"))
-    lines = own.mapInPandas(_parse, LINES)
-    return lines.repartitionByRange("host", "path", "page_id").sortWithinPartitions("host", "path", "page_id").mapInPandas(_difference, RESULT)
+    lines = own.mapInPandas(tidied(_parse), LINES)
+    return lines.repartitionByRange("host", "path", "page_id").sortWithinPartitions("host", "path", "page_id").mapInPandas(tidied(_difference), RESULT)
 
 
 def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import spread, whole_text
+from tidewell.llm.common import spread, tidied, whole_text
 from tidewell.llm.tokenizers_io import load, public_path
 from tidewell.session import stored, table
 
@@ -52,7 +52,7 @@ def _pieces(path: str, capacity: int, end_id: int):
 def document_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
     """doc_id, piece, start, length and the CRC-32 of the ids, a row for each piece of at most capacity tokens."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
-    return texts.mapInArrow(_pieces(tokenizer_path, capacity, end_id), PIECES)
+    return texts.mapInArrow(tidied(_pieces(tokenizer_path, capacity, end_id)), PIECES)
 
 
 def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
@@ -111,7 +111,7 @@ def pack(pieces: DataFrame, capacity: int = 2048, slack: int = 8, per_task: int
     items = pieces.select(F.col("length").alias("used"), F.array(member).alias("members"), F.xxhash64("doc_id", "piece", "ids_crc32").alias("h"))
     tasks, turn, done = spread(pieces.count(), per_task), 0, []
     while True:
-        out = stored(items.repartition(tasks, "h").select("used", "members").mapInPandas(_pack(capacity, slack, turn), BINS), "packing")
+        out = stored(items.repartition(tasks, "h").select("used", "members").mapInPandas(tidied(_pack(capacity, slack, turn)), BINS), "packing")
         open_bins = out.where(~F.col("final"))
         left = open_bins.count()
         fewer = max(-(-tasks // fan_in), spread(left, per_task))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import whole_text
+from tidewell.llm.common import tidied, whole_text
 from tidewell.llm.tokenizers_io import load, public_path
 from tidewell.session import new_path, table
 
@@ -53,7 +53,7 @@ def token_counts(docs: DataFrame, model_path: str, cache_path: str | None = None
     else:
         known = _read(spark, cache_path).where(F.col("tokenizer") == version).select("digest")
         distinct = distinct.join(known, "digest", "left_anti")
-    fresh = distinct.mapInArrow(_encode(model_path), "digest string, n_tokens long")
+    fresh = distinct.mapInArrow(tidied(_encode(model_path)), "digest string, n_tokens long")
     fresh.select(F.lit(version).alias("tokenizer"), "digest", "n_tokens").write.mode("append").parquet(cache_path)
     cached = _read(spark, cache_path).where(F.col("tokenizer") == version).groupBy("digest").agg(F.first("n_tokens").alias("n_tokens"))
     return keyed.join(cached, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > over).alias("over_limit"), "digest")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import worker_cache
+from tidewell.llm.common import tidied, worker_cache
 from tidewell.session import table
 
 DIMS = 4096
@@ -106,7 +106,7 @@ def train(docs: DataFrame, k: int = 4, sample: int = 600, dims: int = DIMS, low:
     """
     known = docs.where("lang IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), "lang")
     sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    rows = known.select("text").mapInArrow(_frequencies(dims), "dim long, n long").groupBy("dim").agg(F.sum("n").alias("n")).toPandas()
+    rows = known.select("text").mapInArrow(tidied(_frequencies(dims)), "dim long, n long").groupBy("dim").agg(F.sum("n").alias("n")).toPandas()
     df = np.zeros(dims)
     df[rows.dim[rows.dim >= 0]] = rows.n[rows.dim >= 0]
     n_docs = int(rows.n[rows.dim == -1].sum())
@@ -116,7 +116,7 @@ def train(docs: DataFrame, k: int = 4, sample: int = 600, dims: int = DIMS, low:
         return model
     share = F.create_map(*[x for lang, n in sizes.items() for x in (F.lit(lang), F.lit(min(1.0, sample / n)))])
     chosen = known.where((F.xxhash64("doc_id") % 1_000_000 + 1_000_000) % 1_000_000 < share[F.col("lang")] * 1_000_000)
-    got = chosen.mapInArrow(_vector_rows(idf), "doc_id long, lang string, v binary").toPandas().sort_values(["lang", "doc_id"], kind="stable")
+    got = chosen.mapInArrow(tidied(_vector_rows(idf)), "doc_id long, lang string, v binary").toPandas().sort_values(["lang", "doc_id"], kind="stable")
     for lang, group in got.groupby("lang"):
         v = np.frombuffer(b"".join(group["v"]), np.float32).reshape(len(group), dims)
         centres = k_means(v, k)
@@ -151,7 +151,7 @@ def identify(docs: DataFrame, model: dict, keep: dict[str, Column], reject_share
     """The columns keep (name to expression), lang_pred, score, rejected for every row of docs."""
     own = docs.select(*[c.alias(n) for n, c in keep.items() if n != "text"], F.col("text").cast("string").alias("text"))
     fields = ", ".join(f"`{n}` {t}" for n, t in own.dtypes if n != "text" or "text" in keep)
-    return own.mapInArrow(_predict(model, reject_share, "text" in keep), f"{fields}, lang_pred string, score double, rejected boolean")
+    return own.mapInArrow(tidied(_predict(model, reject_share, "text" in keep)), f"{fields}, lang_pred string, score double, rejected boolean")
 
 
 def accepted(docs: DataFrame, model: dict, reject_share: float = 0.5) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import worker_cache
+from tidewell.llm.common import tidied, worker_cache
 from tidewell.session import table
 
 REGIONS = "doc_id long, item_id long, start long, stop long, edits long, segment_chars long"
@@ -257,7 +257,7 @@ def _blocks(benchmark: DataFrame, q: int, rate: float, size: int, stride: int, b
 def contaminated(docs: DataFrame, benchmark: DataFrame, q: int = 10, rate: float = 0.08, size: int = 80, stride: int = 40, block_chars: int = 4_000_000) -> DataFrame:
     """A row for each region of a document that holds a segment of a benchmark item within the edit budget."""
     own = docs.where("text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = [own.mapInPandas(_search(name, segs, q, rate), REGIONS) for name, segs in _blocks(benchmark, q, rate, size, stride, block_chars)]
+    found = [own.mapInPandas(tidied(_search(name, segs, q, rate)), REGIONS) for name, segs in _blocks(benchmark, q, rate, size, stride, block_chars)]
     return reduce(DataFrame.unionByName, found) if found else docs.sparkSession.createDataFrame([], REGIONS)
 
 
@@ -277,7 +277,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, q: int = 10, rate: float = 0.08
     """The rows of docs, all columns as they are, that hold no region; null texts hold none. Nothing is shuffled."""
     at = docs.columns.index("text")
     for name, segs in _blocks(benchmark, q, rate, size, stride, block_chars):
-        docs = docs.mapInArrow(_without(name, segs, q, rate, at), docs.schema)
+        docs = docs.mapInArrow(tidied(_without(name, segs, q, rate, at)), docs.schema)
     return docs
 
 
