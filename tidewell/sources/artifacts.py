@@ -196,13 +196,11 @@ def run_script(spark: SparkSession, statements: Sequence[str]) -> DataFrame:
     for i, sql in enumerate(statements):
         kind = re.match(r"\s*(\w+)", sql)[1].upper()
         rows = None
-        if kind == "INSERT":
-            m = re.match(r"\s*INSERT\s+INTO\s+(\S+)\s+(.*)$", sql, re.S | re.I)
-            from pyspark.sql import Observation
-
-            seen = Observation()
-            spark.sql(m[2]).observe(seen, F.count(F.lit(1)).alias("n")).write.insertInto(m[1])
-            rows = seen.get["n"]
+        target = re.match(r"\s*INSERT\s+INTO\s+(?:TABLE\s+)?(\S+)", sql, re.I)
+        if target:  # one writer: what the table has more than before; Parquet counts come from the footers
+            before = spark.table(target[1]).count()
+            spark.sql(sql)
+            rows = spark.table(target[1]).count() - before
         else:
             spark.sql(sql)
         out.append((i, kind, rows))
