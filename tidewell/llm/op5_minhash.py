@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from tidewell.llm.common import whole_text
+from tidewell.llm.common import release, tidied, whole_text
 from tidewell.llm.components import connected_components
 from tidewell.llm.op9_decontamination import pieces_of
 from tidewell.llm.shingles import circulant_minhash, mix64, shingle_sets
@@ -143,28 +143,32 @@ def _search(percent: int, least_agree: int):
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, least_agree: int = 92, chunk: int = 512) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs."""
+    spark = docs.sparkSession
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
-    marked = stored(own.mapInArrow(_signatures(size), "doc_id long, n long, k1 long, k2 long, mark binary"), "signatures")
+    marked = stored(own.mapInArrow(tidied(_signatures(size)), "doc_id long, n long, k1 long, k2 long, mark binary"), "signatures")
     # nodes: the smallest doc_id of each set
     nodes = marked.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("node"))
     nodes = stored(nodes, "nodes")
     marks = marked.join(nodes.withColumnRenamed("node", "doc_id"), ["doc_id", "n", "k1", "k2"], "left_semi").select("doc_id", "mark").dropDuplicates(["doc_id"])
     marks = stored(marks, "marks")
-    bands = marks.mapInArrow(_bands, "band int, bucket long, doc long")
+    bands = marks.mapInArrow(tidied(_bands), "band int, bucket long, doc long")
     shared = bands.groupBy("band", "bucket").agg(F.min("doc").alias("leader"), F.count("*").alias("members")).where("members > 1")
     members = stored(bands.join(shared, ["band", "bucket"]), "members")
 
     texts = own.withColumnRenamed("doc_id", "doc").join(members.select("doc").distinct(), "doc", "left_semi")
-    sets = stored(texts.mapInArrow(_sets(size), "doc long, items binary").distinct(), "sets")
+    sets = stored(texts.mapInArrow(tidied(_sets(size)), "doc long, items binary").distinct(), "sets")
+
+    release(spark)
 
     # links to the leaders; the same pair of a document and a leader comes from several bands
     pairs = members.where("doc <> leader").select(F.col("leader").alias("a"), F.col("doc").alias("b")).distinct()
     stars = (
         pairs.join(sets.select(F.col("doc").alias("b"), F.col("items").alias("y")), "b")
         .join(sets.select(F.col("doc").alias("a"), F.col("items").alias("x")), "a")
-        .mapInArrow(_verify(percent), "a long, b long")
+        .mapInArrow(tidied(_verify(percent)), "a long, b long")
     )
     stars = stored(stars, "stars")
+    release(spark)
     labels = connected_components(stars)
 
     # buckets across components
@@ -177,6 +181,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, least_agr
     dealt = dealt.join(sets, "doc").join(marks.withColumnRenamed("doc_id", "doc"), "doc")
     across = dealt.select("band", "bucket", "ci", "cj", "doc", "component", "chunk", "items", "mark").groupBy("band", "bucket", "ci", "cj").applyInPandas(_search(percent, least_agree), "a long, b long")
     across = stored(across, "across")
+    release(spark)
     if not across.isEmpty():
         more = across.unionByName(stars).unionByName(_same_id(nodes, marked))
         labels = connected_components(more)
