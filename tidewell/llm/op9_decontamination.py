@@ -9,8 +9,8 @@ the bound are kept, and a banded alignment decides.
 Both sides are lower-cased and runs of white space become one space; positions refer to that form of the text.
 The segments are sent to the tasks in blocks of at most `block_chars` characters, one pass over the documents a block.
 
-Cases: null or empty texts have no regions; items shorter than q characters are matched exactly as whole words of
-characters only if they aren't empty. Repeated rows give a row each. Empty tables give no rows.
+Cases: null or empty texts have no regions; items shorter than q characters have no q-gram and aren't searched for.
+Repeated rows give a row each. Empty tables give no rows.
 """
 
 from __future__ import annotations
