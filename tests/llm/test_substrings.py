@@ -61,3 +61,18 @@ def test_table(spark, sf):
 
 def test_empty(spark):
     assert op4_substrings.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_more_surroundings_than_a_batch_sends(spark):
+    """Many surroundings of a string, in many batches, that agree in single windows only."""
+    rng = random.Random(9)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    core = text(30)
+    left, right = [text(20) for _ in range(12)], [text(20) for _ in range(12)]
+    rows = [(i, text(rng.randint(5, 40)) + rng.choice(left)[-rng.randint(5, 20) :] + core + rng.choice(right)[: rng.randint(5, 20)] + text(rng.randint(5, 40))) for i in range(300)]
+    rng.shuffle(rows)
+    want = brute(rows)
+    assert sum(r[2] > 0 for r in want) > 100
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    for per_batch in (1, 4):
+        assert got(op4_substrings.remove_repeats(df, batch_bytes=3000, per_batch=per_batch)) == want

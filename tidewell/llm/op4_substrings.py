@@ -12,8 +12,9 @@ another method with the same result: content-defined anchors, resolved by shuffl
   the same surroundings and in no smaller document, stays. The others, whose surroundings agree in part, are open.
 * Round 2 compares the single windows of the open anchors.
 
-Within a batch of documents an occurrence that a smaller document of the batch settles isn't sent, so a string of any
-frequency gives a bounded number of entries a batch. Entries travel as arrays, a row for each batch and bucket; the
+Within a batch of documents an occurrence that a smaller document of the batch settles isn't sent, nor are more than
+`PER_BATCH` surroundings of a string: a mark takes their place, and all that is left of a marked string is open. So a
+string of any frequency gives a bounded number of entries a batch in round 1. Entries travel as arrays, a row for each batch and bucket; the
 number of buckets follows the bytes of the input. Hashes of 88 (round 1) and 96 bits (round 2) stand for the strings.
 
 Cases: null texts are empty; texts under `LENGTH` bytes lose nothing. Rows with the same doc_id don't count as smaller
@@ -46,7 +47,8 @@ assert all(LENGTH - (b - a) <= 2 * GRAM for a, b in GROUPS)
 _GROUP_OF = np.repeat(np.arange(len(GROUPS), dtype=np.uint8), [b - a + 1 for a, b in GROUPS])
 #: Bytes of text that are settled at once in a task.
 BATCH_BYTES = 8_000_000
-#: Surroundings of one string that a batch sends; the others are open at once.
+#: Surroundings of one string that a batch sends; the others are open at once, and a mark tells the bucket of the string
+#: that there are more, so that what other batches sent of it is open too.
 PER_BATCH = 64
 STAY, REMOVE, ASK = 0, 1, 3
 #: OPEN plus a bit for each group of windows that is open.
@@ -181,30 +183,30 @@ def _first_of_runs(*keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def _batch_rows(frames, settle):
-    """Cuts frames into batches of about BATCH_BYTES characters, sorts each by doc_id, and yields what settle gives.
+def _batch_rows(frames, settle, size: int):
+    """Cuts frames into batches of about size characters, sorts each by doc_id, and yields what settle gives.
 
     A batch is named by task and number. Its rows are sent through shuffles that are read once, into stored tables, so
     a task that runs again may name its batches as it likes.
     """
     counter = 0
     for frame in frames:
-        size = frame["text"].str.len().to_numpy(np.int64)
-        which = (np.cumsum(size) - size) // BATCH_BYTES
+        chars = frame["text"].str.len().to_numpy(np.int64)
+        which = (np.cumsum(chars) - chars) // size
         for _, part in frame.groupby(which, sort=True):
             part = part.sort_values(["doc_id", "copy"], ignore_index=True)
             yield from settle(TaskContext.get().partitionId() << 24 | counter, part)
             counter += 1
 
 
-def _dealt(batch: int, entries: np.ndarray, key: np.ndarray, buckets: int):
+def _dealt(batch: int, entries: np.ndarray, key: np.ndarray, buckets: int, kind: str = "ask", packed=pack):
     """A row (bucket, batch, kind, data) for each bucket that gets entries."""
     where = (key >> np.uint64(32)) % np.uint64(buckets)
     order = np.argsort(where, kind="stable")
     cut = np.searchsorted(where[order], np.arange(buckets + 1))
     for k in range(buckets):
         if cut[k] < cut[k + 1]:
-            yield k, batch, "ask", pack(entries[order[cut[k] : cut[k + 1]]])
+            yield k, batch, kind, packed(entries[order[cut[k] : cut[k + 1]]])
 
 
 ROWS = "bucket long, batch long, kind string, data binary"
@@ -229,7 +231,7 @@ def _unpack_own(data: bytes):
     return ints[:n], ints[n : 2 * n], ints[2 * n :], same, np.frombuffer(data, np.uint8, m, at + 8 * int(s)).copy()
 
 
-def _round_1(buckets: int):
+def _round_1(buckets: int, batch_bytes: int, per_batch: int):
     def settle(batch, frame):
         texts = [t.encode("utf-8", "surrogatepass") for t in frame["text"]]
         docs = frame["doc_id"].to_numpy(np.int64)
@@ -256,12 +258,14 @@ def _round_1(buckets: int):
         by_string = sent[np.argsort(entries["a"][sent], kind="stable")]
         begins = _first_of_runs(entries["a"][by_string])
         rank = np.arange(len(by_string)) - np.maximum.accumulate(np.where(begins, np.arange(len(by_string)), 0))
-        states[by_string[rank >= PER_BATCH]] = OPEN + ALL_GROUPS
+        states[by_string[rank >= per_batch]] = OPEN + ALL_GROUPS
+        cut = np.unique(entries["a"][by_string[rank >= per_batch]])
         states[same[:, 0]] = STAY  # until it is copied from the first of the document
-        keep = np.sort(by_string[rank < PER_BATCH])
-        yield _frame([*_dealt(batch, entries[keep], entries["a"][keep], buckets), _own(batch, docs, frame["copy"].to_numpy(np.int64), counts, states, same, buckets)])
+        keep = np.sort(by_string[rank < per_batch])
+        marks = _dealt(batch, cut, cut, buckets, "cut", lambda a: a.astype("<u8").tobytes())
+        yield _frame([*_dealt(batch, entries[keep], entries["a"][keep], buckets), *marks, _own(batch, docs, frame["copy"].to_numpy(np.int64), counts, states, same, buckets)])
 
-    return lambda frames: _batch_rows(frames, settle)
+    return lambda frames: _batch_rows(frames, settle, batch_bytes)
 
 
 def _answer(kind: str):
@@ -273,9 +277,10 @@ def _answer(kind: str):
         if len(asked):
             dtype = ENTRY if kind == "surroundings" else WINDOW
             parts = [unpack(d, dtype) for d in asked["data"]]
-            entries, cut = np.concatenate(parts), np.cumsum([0] + [len(x) for x in parts])
-            state = (_settle_surroundings if kind == "surroundings" else _settle_windows)(entries)
-            for b, lo, hi in zip(asked["batch"], cut[:-1], cut[1:]):
+            entries, at = np.concatenate(parts), np.cumsum([0] + [len(x) for x in parts])
+            cuts = np.frombuffer(b"".join(frame.loc[frame["kind"] == "cut", "data"]), "<u8")
+            state = _settle_surroundings(entries, cuts) if kind == "surroundings" else _settle_windows(entries)
+            for b, lo, hi in zip(asked["batch"], at[:-1], at[1:]):
                 told = np.flatnonzero(state[lo:hi] != STAY)
                 rows.append((b, b, "told", entries["e"][lo:hi][told].astype("<u4").tobytes() + state[lo:hi][told].tobytes()))
         return _frame(rows)
@@ -283,7 +288,8 @@ def _answer(kind: str):
     return run
 
 
-def _settle_surroundings(e: np.ndarray) -> np.ndarray:
+def _settle_surroundings(e: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """cuts: strings of which some batch has more surroundings than it sent."""
     order = np.lexsort((e["doc"], e["c"], e["a"]))
     s = e[order]
     first = _first_of_runs(s["a"], s["c"])
@@ -302,6 +308,9 @@ def _settle_surroundings(e: np.ndarray) -> np.ndarray:
         shared = s["a"][there] ^ mix64(s["tests"][there, g].astype(np.uint64))
         _, back, many = np.unique(shared, return_inverse=True, return_counts=True)
         state[there[many[back] > 1]] |= OPEN | 1 << g
+    # the surroundings that weren't sent may agree with any of these in part
+    unused = np.uint64(64 - 8 * SENT["a"])
+    state[first & np.isin(s["a"] >> unused, cuts >> unused)] = OPEN + ALL_GROUPS
     state[mine] = state[owner[mine]]
     out = np.empty(len(s), np.uint8)
     out[order] = state
@@ -332,7 +341,7 @@ def _gather(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["doc_id", "copy", "states", "open"])
 
 
-def _round_2(buckets: int):
+def _round_2(buckets: int, batch_bytes: int):
     def settle(batch, frame):
         texts = [t.encode("utf-8", "surrogatepass") for t in frame["text"]]
         docs = frame["doc_id"].to_numpy(np.int64)
@@ -360,7 +369,7 @@ def _round_2(buckets: int):
         keep = np.sort(order[first])
         yield _frame([*_dealt(batch, entries[keep], entries["h"][keep], buckets), _own(batch, docs, frame["copy"].to_numpy(np.int64), counts, status, same, buckets)])
 
-    return lambda frames: _batch_rows(frames, settle)
+    return lambda frames: _batch_rows(frames, settle, batch_bytes)
 
 
 def covered(text: bytes, block: Block, states: np.ndarray, windows: np.ndarray | None) -> np.ndarray:
@@ -396,7 +405,7 @@ def _result(batches):
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def remove_repeats(docs: DataFrame, bucket_bytes: int = 12_000_000) -> DataFrame:
+def remove_repeats(docs: DataFrame, bucket_bytes: int = 12_000_000, batch_bytes: int = BATCH_BYTES, per_batch: int = PER_BATCH) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row of docs."""
     spark = docs.sparkSession
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
@@ -406,13 +415,13 @@ def remove_repeats(docs: DataFrame, bucket_bytes: int = 12_000_000) -> DataFrame
     buckets = max(4, -(-int(total * 2) // bucket_bytes))
 
     def resolved(source: DataFrame, round_, kind: str) -> DataFrame:
-        asked = source.mapInPandas(tidied(round_(buckets)), ROWS)
+        asked = source.mapInPandas(tidied(round_), ROWS)
         told = asked.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(_answer(kind), ROWS)
         return stored(told.groupBy("batch").applyInPandas(_gather, "doc_id long, copy long, states binary, open boolean"), "states").dropDuplicates(["doc_id", "copy"])
 
-    states = resolved(own.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= LENGTH)), _round_1, "surroundings")
+    states = resolved(own.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= LENGTH)), _round_1(buckets, batch_bytes, per_batch), "surroundings")
     release(spark)
-    windows = resolved(own.join(states.where("open").drop("open"), ["doc_id", "copy"]), _round_2, "windows").select("doc_id", "copy", F.col("states").alias("windows"))
+    windows = resolved(own.join(states.where("open").drop("open"), ["doc_id", "copy"]), _round_2(buckets, batch_bytes), "windows").select("doc_id", "copy", F.col("states").alias("windows"))
     release(spark)
     # a document without a row in windows has none that goes
     joined = own.join(states.drop("open"), ["doc_id", "copy"], "left").join(windows, ["doc_id", "copy"], "left")
