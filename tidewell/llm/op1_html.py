@@ -6,9 +6,9 @@ in an article or main element. Pages of a host are put in the order of their URL
 neighbour whose path shares the longer prefix, and the longest common subsequence of the two lists of lines tells the
 shared ones.
 
-Shared lines are deleted outside article and main elements only: the tables hold copies of articles under neighbouring
-URLs and lines that many articles of a host have, and differencing alone would delete that text. On pages with such an
-element its lines are the result; on all others it is the lines that aren't shared.
+On pages with an article or main element differencing decides nothing: the lines of that element are the result. The
+tables hold copies of articles under neighbouring URLs and lines that many articles of a host have, and differencing
+would delete that text (the README has the counts). On all other pages the result is the lines that aren't shared.
 
 Cases: null html gives an empty text; a null url pairs among the pages without a host. Unclosed tags and cut pages are
 read to their end. Repeated rows give a row each. Lines of any length and number are compared whole.
