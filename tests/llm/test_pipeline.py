@@ -135,6 +135,20 @@ def test_regions(spark):
     assert op9_decontamination.contaminated(df, bench.limit(0)).count() == 0 and op9_decontamination.contaminated(df.limit(0), bench).count() == 0
 
 
+def test_unchanged_and_edited_copy_in_a_document(spark):
+    rng = random.Random(4)
+    text = lambda n: " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9))) for _ in range(n))
+    for n in (12, 60):
+        item = text(n)
+        edited = item[:30] + "zz" + item[32:]
+        docs = [(1, f"{text(50)} {item} {text(500)} {edited} {text(50)}"), (2, f"{text(50)} {edited} {text(500)} {item} {text(50)}")]
+        want = sorted((d, t.index(x)) for d, t in docs for x in (item, edited))
+        got = op9_decontamination.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(7, item)], "item_id long, text string")).collect()
+        assert len(got) == 4
+        for r, (d, start) in zip(sorted(got, key=lambda r: (r["doc_id"], r["start"])), want):
+            assert r["doc_id"] == d and abs(r["start"] - start) <= 6 and abs(r["stop"] - start - len(item)) <= 6
+
+
 def test_banded_alignment_is_edit_distance():
     rng = random.Random(4)
     for _ in range(200):

@@ -154,8 +154,8 @@ def _verify(index: Index, text: np.ndarray, seg: np.ndarray, band: np.ndarray) -
     raw = text.tobytes()
     same = np.array([_exact(index, raw, s, b) for s, b in zip(seg.tolist(), band.tolist())], np.int64)
     out = [(int(index.items[s]), at, at + n, 0, n) for s, at in zip(seg[same >= 0].tolist(), same[same >= 0].tolist()) for n in (int(index.length[s]),)]
-    # a segment that was found unchanged needs no second look at the bands beside it
-    rest = ~np.isin(seg, seg[same >= 0])
+    # a band that holds an unchanged copy needs no second look; other bands of its segment may hold copies of their own
+    rest = same < 0
     seg, band = seg[rest], band[rest]
     k = index.budget[seg]
     for budget in np.unique(k):
