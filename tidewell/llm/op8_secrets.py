@@ -27,7 +27,7 @@ BASE = (("assign", ASSIGN), ("access", r"AKIA[A-Z0-9]{16,}"), ("hex", r"[0-9a-f]
 WEAK = (
     ("weak_access", r"(?<![A-Za-z0-9])(?:ASIA|AIDA|AROA|AGPA|ANPA)[A-Z0-9]{12,}"),
     ("weak_account", r"(?i:user(?:name)?|login|account|client_?id)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9@._-]{3,}"),
-    ("weak_secret", r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/]{0,31}[0-9])[A-Za-z0-9+/]{32,}={0,2}(?![A-Za-z0-9+/_-])"),
+    ("weak_secret", r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/]{32,}={0,2}(?![A-Za-z0-9+/_-])"),
     ("weak_endpoint", r"(?i:https?|ftp|ssh|postgres(?:ql)?|mysql|mongodb|redis|amqp|s3)://[A-Za-z0-9][^\x20\x09-\x0D\"'<>]*"),
 )
 ROLES = {"assign": "secret", "hex": "secret", "weak_secret": "secret", "access": "identifier", "weak_access": "identifier", "weak_account": "identifier", "weak_endpoint": "endpoint"}
