@@ -1,6 +1,7 @@
 """Operators on small frames: boundaries, nulls, and rules that SQL doesn't check."""
 
 import datetime as dt
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -194,6 +195,24 @@ def test_stream_drops_late_rows_and_closes_windows(spark, tmp_path):
     assert {(r["start"].hour, r["hits"]) for r in out.collect()} == {(0, 2), (1, 1)}
 
 
+def test_replay_of_many_files_keeps_older_rows(spark, tmp_path):
+    """Late rows in the files after the first two thousand: Spark drops by the watermark of the batch before the last."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from tidewell.plans import rollups
+
+    folder = tmp_path / "events.parquet"
+    folder.mkdir()
+    for i in range(2002):
+        ts = dt.datetime(2024, 1, 1 if i >= 2000 else 2, 6 if i else 20)
+        file = folder / f"part-{i:05}.parquet"
+        pq.write_table(pa.table({"ts": pa.array([ts], pa.timestamp("us")), "event_type": ["view"], "value": [1.0]}), file)
+        os.utime(file, (1.7e9 + i, 1.7e9 + i))
+    got = {(r["start"], r["hits"]) for r in rollups.w2(spark, f"file://{tmp_path}").collect()}
+    assert got == {(dt.datetime(2024, 1, 1, 6), 2), (dt.datetime(2024, 1, 2, 6), 1999)}
+
+
 def test_jdbc_options():
     with pytest.raises(ValueError):
         S.jdbc_options("jdbc:x", "SELECT 1", "k")

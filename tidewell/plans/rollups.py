@@ -24,7 +24,7 @@ def w1(spark, d):
 
 @query("w2_stream_windows", A + " SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS stop, count(*) FILTER (is_hit) AS hits, count(*) FILTER (NOT is_hit) AS misses, CAST(sum(bytes) AS BIGINT) AS bytes FROM accesses GROUP BY 1, 2 HAVING time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM accesses)")
 def w2(spark, d):
-    events = jobs.file_stream(spark, f"{d}/events.parquet")
+    events = jobs.file_stream(spark, f"{d}/events.parquet", None)
     stream = events.select("ts", (F.col("event_type") != "error").alias("is_hit"), F.floor(F.col("value") * 1000).alias("bytes"))
     return jobs.run_available(jobs.windowed_access(stream, "1 hour", None, "10 minutes"), "windows")
 

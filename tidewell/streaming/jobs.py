@@ -8,10 +8,14 @@ from pyspark.sql import functions as F
 from tidewell.session import new_path
 
 
-def file_stream(spark: SparkSession, path: str, files_per_trigger: int = 1000) -> DataFrame:
-    """A stream over the Parquet files at path (a folder or a file); the schema is that of a batch read."""
+def file_stream(spark: SparkSession, path: str, files_per_trigger: int | None = 1000) -> DataFrame:
+    """A stream over the Parquet files at path (a folder or a file); the schema is that of a batch read.
+
+    files_per_trigger None: all files that are there are one micro-batch, so a watermark drops none of their rows.
+    """
     schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path + "*")
+    reader = spark.readStream.schema(schema)
+    return (reader.option("maxFilesPerTrigger", files_per_trigger) if files_per_trigger else reader).parquet(path + "*")
 
 
 def windowed_access(stream: DataFrame, window: str, slide: str | None, delay: str) -> DataFrame:
