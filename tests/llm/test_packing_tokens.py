@@ -1,5 +1,6 @@
 """Exact round trips of op2 and op3."""
 
+import random
 import zlib
 
 import numpy as np
@@ -9,6 +10,7 @@ from tidewell.llm import op2_packing, op3_token_counts
 from tidewell.llm.tokenizers_io import IdEncoder, PieceCounter, public_path
 
 ODD = ["", " ", "  ", "a", "a ", " a", "  a  b   ", "\n", "x\n  y\t z ", "▁", "▁▁a ▁b", "<s> </s> <unk>", "a\x00 b\x1cc", "<|startoftext|> hi <|endoftext|>x", "İ ΑΣ ς x y", "é ́", "日本語 テスト", "🙂🙂 a", "don't 12 b2b"]
+ODD += ["<|ENDOFTEXT|>", "x<|StartOfText|>y <|endoftext|", "A<|endoftext|>B.<|ENDOFTEXT|>,c", "Été ÀÉÎ, fin.Bon;x", "J\u030c T\u0308. e\u0301, É\u0301", "I\u0307 K ß SS ﬁ", "a.b c,.d 'S 'TH x's."]
 
 
 def test_by_word_equals_whole(spark, sf):
@@ -20,6 +22,19 @@ def test_by_word_equals_whole(spark, sf):
     assert len(counter.counts(pa.array([], pa.string()))) == 0
 
 
+def test_random_strings_with_special_parts():
+    rng = random.Random(3)
+    parts = ["<|", "|>", "endoftext", "ENDOFTEXT", "<|endoftext|>", "<|EndOfText|>", "<|STARTOFTEXT|>", " ", "\n", "\t", ".", ",", "a", "É", "e\u0301", "'s", "12", "★", "<s>", "\u00a0", "word", "Word!"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 9))) for _ in range(20_000)]
+    encoder = IdEncoder(public_path("word_bpe_49k.json"))
+    want = [e.ids for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert [ids.tolist() for ids in encoder.encode(pa.array(texts))] == want
+    ended = [(flat.tolist(), size.tolist()) for flat, size in encoder.columns(pa.array(texts), 0)]
+    assert [x for flat, _ in ended for x in flat] == [x for ids in want for x in [*ids, 0]]
+    encoder._clear()  # a table that is emptied gives the same ids again
+    assert [ids.tolist() for ids in encoder.encode(pa.array(texts[:500]))] == want[:500]
+
+
 def test_token_counts_and_cache(spark, tmp_path):
     rows = list(enumerate(ODD)) + [(90, None), (91, "a"), (91, "a"), (92, "long " * 5000)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
@@ -53,6 +68,18 @@ def test_packing(spark, sf):
     assert op2_packing.pack(pieces.limit(0)).count() == 0
 
 
+def test_packing_repeated_rows_and_clashing_columns(spark):
+    path = public_path("word_bpe_49k.json")
+    rows = [(1, "a b c", 7, "x")] * 3 + [(2, None, 8, "y"), (None, "no id", 9, "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, length long, members string")
+    got = sorted((str(r["doc_id"]), r["length"]) for r in op2_packing.pack(op2_packing.document_pieces(df, path)).collect())
+    assert got == [("1", 4), ("1", 4), ("1", 4), ("2", 1), ("None", 3)]
+    # many small pieces in a bin: the members of a task stay bounded, and no piece is lost
+    pieces = spark.range(3000).selectExpr("id AS doc_id", "CAST(0 AS INT) AS piece", "0L AS start", "1L AS length", "id AS ids_crc32")
+    packed = op2_packing.pack(pieces, capacity=100, per_task=200, fan_in=2, members_per_task=500).toPandas()
+    assert sorted(packed.doc_id) == list(range(3000)) and packed.groupby("sequence_id").length.sum().max() <= 100
+
+
 def test_best_fit():
     bins = op2_packing.best_fit([5, 5, 3, 7, 10], 10)
     assert sorted(map(sorted, bins)) == [[0, 1], [2, 3], [4]]

@@ -6,21 +6,24 @@
 3. The other bins are the items of the next round: fewer partitions, best-fit again, emit, and so on up a tree, until
    one partition is left or a round joins nothing any more.
 
-The number of partitions follows the number of items, so a task holds a bounded number of them at every size, the
-last one too: the tree ends above it when more bins stay underfull than one task should hold.
+The number of partitions follows the number of items and of the pieces they hold, so a task holds a bounded number of
+both at every size, the last one too: the tree ends above it when more stays underfull than one task should hold.
 
-Cases: a null text is empty and gives one piece with the end id alone. Rows with the same doc_id are packed each.
-Empty tables give no rows. Texts of any length are encoded whole. Other columns are ignored.
+Cases: a null text is empty and gives one piece with the end id alone. Rows with the same doc_id, and repeated rows, are
+packed each. Among items of equal length the one with the smaller first piece (doc_id, piece, checksum) comes first, and
+of bins with equal room the one opened last is filled. Empty tables give no rows. Texts of any length are encoded whole.
+Other columns of the documents are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import bisect
 import zlib
+from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,21 +33,33 @@ from tidewell.llm.tokenizers_io import load, public_path
 from tidewell.session import stored, table
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-BINS = "bin long, used long, final boolean, members array<struct<doc_id:long,piece:int,start:long,length:long,ids_crc32:long>>"
+MEMBER = pa.struct([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
+BINS = f"bin long, used long, final boolean, members array<struct<{PIECES.replace(' ', ':').replace(',:', ',')}>>"
+PACKED = f"{PIECES}, sequence_id long, offset long"
+
+
+def cut(flat: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, ...]:
+    """text, piece, start, length, CRC-32 of the pieces of texts whose ids stand one after the other in flat."""
+    pieces = -(-sizes // capacity)
+    text = np.repeat(np.arange(len(sizes)), pieces)
+    piece = np.arange(len(text)) - (np.cumsum(pieces) - pieces)[text]
+    start = piece * capacity
+    length = np.minimum(sizes[text] - start, capacity)
+    raw, begin = memoryview(flat.tobytes()), 4 * ((np.cumsum(sizes) - sizes)[text] + start)
+    crc = np.fromiter((zlib.crc32(raw[a:b]) for a, b in zip(begin.tolist(), (begin + 4 * length).tolist())), np.int64, len(text))
+    return text, piece, start, length, crc
 
 
 def _pieces(path: str, capacity: int, end_id: int):
     def run(batches):
         encoder = load("ids", path)
         for b in batches:
-            rows = []
-            for doc, ids in zip(b.column("doc_id").to_pylist(), encoder.encode(b.column("text"))):
-                ids = np.append(ids, np.uint32(end_id)).astype("<u4")
-                for k, at in enumerate(range(0, len(ids), capacity)):
-                    part = ids[at : at + capacity]
-                    rows.append((doc, k, at, len(part), zlib.crc32(part.tobytes())))
-            cols = list(zip(*rows)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), *[pa.int64()] * 3))], ["doc_id", "piece", "start", "length", "ids_crc32"])
+            ids, done = b.column("doc_id"), 0
+            for flat, sizes in encoder.columns(b.column("text"), end_id):
+                text, piece, *rest = cut(flat, sizes, capacity)
+                own = ids.slice(done, len(sizes)).take(pa.array(text))
+                yield pa.RecordBatch.from_arrays([own, pa.array(piece, pa.int32()), *map(pa.array, rest)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+                done += len(sizes)
 
     return run
 
@@ -80,59 +95,67 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
 
 
 def _pack(capacity: int, slack: int, turn: int):
-    def run(frames):
-        got = [f for f in frames if len(f)]
-        if not got:
+    def run(batches):
+        got = pa.Table.from_batches([b for b in batches if len(b)] or [pa.RecordBatch.from_pylist([], pa.schema([("used", pa.int64()), ("members", pa.list_(MEMBER))]))]).combine_chunks()
+        if not len(got):
             return
-        items = pd.concat(got, ignore_index=True)
+        used, members = got["used"].to_numpy(), got["members"].combine_chunks()
+        begin, flat = members.offsets.to_numpy()[:-1], members.values
         # the order of rows after a shuffle isn't fixed; the order of items here is, so a task that runs again packs alike
-        first = items["members"].map(lambda m: (m[0]["doc_id"] if m[0]["doc_id"] is not None else -1, m[0]["piece"], m[0]["ids_crc32"]))
-        items = items.assign(first=first).sort_values("first", kind="stable", ignore_index=True)
-        part = TaskContext.get().partitionId()
-        for at, bin_ in enumerate(bins := best_fit(items["used"].tolist(), capacity)):
-            if at % 5000 == 0:
-                rows = []
-            used = int(items["used"].iloc[bin_].sum())
-            rows.append((turn << 56 | part << 28 | at, used, used >= capacity - slack, [m for i in bin_ for m in items["members"][i]]))
-            if at % 5000 == 4999 or at == len(bins) - 1:
-                yield pd.DataFrame(rows, columns=["bin", "used", "final", "members"])
+        head = pa.Table.from_struct_array(flat.take(pa.array(begin)))
+        order = pc.sort_indices(head, [(c, "ascending") for c in ("doc_id", "piece", "ids_crc32", "length")]).to_numpy()
+        used, part = used[order], TaskContext.get().partitionId()
+        bins = best_fit(used.tolist(), capacity)
+        for at in range(0, len(bins), 2000):
+            own = bins[at : at + 2000]
+            items = np.array([i for b in own for i in b], np.int64)
+            n_items = np.array([len(b) for b in own])
+            held = members.take(pa.array(order[items]))
+            ends = held.offsets.to_numpy()[np.cumsum(n_items)]
+            total = np.add.reduceat(used[items], np.cumsum(n_items) - n_items)
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[held.offsets[0].as_py()], ends]), pa.int32()), held.values)
+            name = (turn << 56) + (part << 28) + np.arange(at, at + len(own))
+            yield pa.RecordBatch.from_arrays([pa.array(name), pa.array(total), pa.array(total >= capacity - slack), lists], ["bin", "used", "final", "members"])
 
     return run
 
 
-def pack(pieces: DataFrame, capacity: int = 2048, slack: int = 8, per_task: int = 20_000, fan_in: int = 8) -> DataFrame:
+def _placed(batches):
+    """The members of bins, each with its bin and the running length before it."""
+    for b in batches:
+        lists = b.column("members")
+        flat, size = lists.flatten(), pc.list_value_length(lists).to_numpy()
+        length = flat.field("length").to_numpy()
+        before = np.cumsum(length) - length
+        offset = before - np.repeat(before[np.cumsum(size) - size], size)
+        names = [f.name for f in MEMBER]
+        columns = [*[flat.field(n) for n in names], b.column("bin").take(pa.array(np.repeat(np.arange(len(b)), size))), pa.array(offset)]
+        yield pa.RecordBatch.from_arrays(columns, [*names, "sequence_id", "offset"])
+
+
+def pack(pieces: DataFrame, capacity: int = 2048, slack: int = 8, per_task: int = 20_000, fan_in: int = 8, members_per_task: int = 1_000_000) -> DataFrame:
     """The pieces with sequence_id and offset, gapless from 0 within each sequence.
 
     pieces: as document_pieces gives them. slack: room left in a bin that counts as nearly full. per_task: items that
-    one task packs. fan_in: how many partitions meet in one of the next round.
+    one task packs, which hold at most about members_per_task pieces. fan_in: how many partitions meet in one of the
+    next round.
     """
     member = F.struct("doc_id", "piece", "start", "length", "ids_crc32")
     # the first round; its rows are kept by stored(), so a lost executor never packs a piece twice
     items = pieces.select(F.col("length").alias("used"), F.array(member).alias("members"), F.xxhash64("doc_id", "piece", "ids_crc32").alias("h"))
     tasks, turn, done = spread(pieces.count(), per_task), 0, []
     while True:
-        out = stored(items.repartition(tasks, "h").select("used", "members").mapInPandas(tidied(_pack(capacity, slack, turn)), BINS), "packing")
+        out = stored(items.repartition(tasks, "h").select("used", "members").mapInArrow(tidied(_pack(capacity, slack, turn)), BINS), "packing")
         open_bins = out.where(~F.col("final"))
-        left = open_bins.count()
-        fewer = max(-(-tasks // fan_in), spread(left, per_task))
+        left, held = open_bins.agg(F.count("*"), F.coalesce(F.sum(F.size("members")), F.lit(0))).first()
+        fewer = max(-(-tasks // fan_in), spread(left, per_task), spread(held, members_per_task))
         if tasks == 1 or fewer >= tasks or left < 2:
             done.append(out)
             break
         done.append(out.where("final"))
         items = open_bins.select("used", "members", F.xxhash64("bin").alias("h"))
         tasks, turn = fewer, turn + 1
-    bins = done[0]
-    for more in done[1:]:
-        bins = bins.unionByName(more)
-    # offsets: running lengths within the bin's own array
-    runs = F.aggregate(
-        "members",
-        F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("all")),
-        lambda acc, m: F.struct((acc["at"] + m["length"]).alias("at"), F.concat(acc["all"], F.array(acc["at"])).alias("all")),
-        lambda acc: acc["all"],
-    )
-    rows = bins.select(F.col("bin").alias("sequence_id"), F.explode(F.arrays_zip(F.col("members").alias("m"), runs.alias("offset"))).alias("x"))
-    return rows.select("x.m.*", "sequence_id", "x.offset")
+    return reduce(DataFrame.unionByName, done).select("bin", "members").mapInArrow(tidied(_placed), PACKED)
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,15 +6,17 @@ Both vocabularies split a text at white space before merging:
   a run of marks. The pieces of a text are the pieces of its runs "marks + word". `PieceCounter` checks that property
   of the vocabulary when it loads and encodes whole texts if it doesn't hold.
 * `word_bpe_49k.json`: its pre-tokenizer drops white space and never joins across it, and its normalizers (canonical
-  composition, lower case per code point) don't act across an ASCII space, tab or line feed.
+  composition, lower case per code point) don't act across an ASCII space, tab or line feed. Special strings hold no
+  white space and are found before anything is lower-cased, so only words that can't hold one are changed first.
 
 So the pieces of a word are computed once per worker and looked up after that; results equal those of encoding the
-whole text (tests/llm/test_tokens.py). The memory is bounded: a full table is emptied.
+whole text (tests/llm/test_packing_tokens.py). The memory is bounded: a full table is emptied.
 """
 
 from __future__ import annotations
 
 import os
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +44,7 @@ def _split(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     lists = pc.split_pattern(texts, " ")
     coded = lists.flatten().dictionary_encode()
     at = np.asarray(lists.offsets)
-    return coded.dictionary.to_pylist(), coded.indices.to_numpy(), at - at[0]
+    return coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy(), at - at[0]
 
 
 def slices(texts: pa.Array, limit: int = 32_000_000):
@@ -87,21 +89,30 @@ class PieceCounter:
         return out
 
 
+#: Words of these letters only are their own canonical composition, and each has a lower case of one code point.
+PLAIN = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]"
+
+
 class IdEncoder:
     """Ids by a tokenizers file.
 
-    The pre-tokenizer ends a run of letters before any other character, so a word that ends in letters and marks like
-    "," is two words; and its normalizer lower-cases, which for ASCII words can be done before.
+    All but the look-up works on columns. The distinct words of a slice of texts are cut into parts where the
+    pre-tokenizer cuts them anyway (white space, and marks like "," after a letter), and each distinct part is looked
+    up in a table of ids. Parts of plain letters are lower-cased before and given to the merges alone; all others,
+    special strings in any case among them, go through the whole tokenizer as they are.
     """
 
     MARK = "★"
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.ids: dict[str, bytes] = {"": b""}
+        self.merges = Tokenizer.from_file(path)
+        self.merges.normalizer = normalizers.Sequence([])
+        self.merges.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self._clear()
         mark = self._encode(self.MARK)
         # a mark that is one id of its own parts words that are encoded at once
         self.mark = int(mark[0]) if len(mark) == 1 and self._encode(f"a {self.MARK} b")[1] == mark[0] else None
@@ -109,59 +120,92 @@ class IdEncoder:
     def _encode(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
-    def _learn(self, words: list[str]) -> None:
-        if len(self.ids) + len(words) > 2 * MAX_WORDS:
-            self.ids = {"": b""}
-        alone = [w for w in words if self.mark is None or self.MARK in w]
-        words = [w for w in words if self.mark is not None and self.MARK not in w]
-        for at in range(0, len(words), 2000):
-            part = words[at : at + 2000]
-            got = self._encode(f" {self.MARK} ".join(part))
+    def _clear(self) -> None:
+        self.row: dict[str, int] = {"": 0}  # part -> its row of the two columns below
+        self.size, self.begin = np.zeros(1, np.int64), np.zeros(1, np.int64)
+        self.flat = np.zeros(0, "<u4")
+
+    def _learn(self, parts: list[str]) -> None:
+        plain, other = [], []
+        whole = re.compile(f"{PLAIN}+").fullmatch
+        for p in parts:
+            (plain if whole(p) else other).append(p)
+        known, sizes, ids = [], [], []
+        for at in range(0, len(plain), 5000):
+            own = plain[at : at + 5000]
+            got = self.merges.encode(" ".join(own), add_special_tokens=False)
+            known += own
+            sizes.append(np.bincount(np.array(got.word_ids, np.int64), minlength=len(own)))
+            ids.append(np.array(got.ids, "<u4"))
+        alone = [p for p in other if self.mark is None or self.MARK in p]
+        other = [p for p in other if self.mark is not None and self.MARK not in p]
+        for at in range(0, len(other), 2000):
+            own = other[at : at + 2000]
+            got = self._encode(f" {self.MARK} ".join(own))
             ends = np.append(np.flatnonzero(got == self.mark), len(got))
-            if len(ends) != len(part):
-                alone += part
+            if len(ends) != len(own):
+                alone += own
                 continue
-            raw, begin = got.tobytes(), 0
-            for w, end in zip(part, ends.tolist()):
-                self.ids[w] = raw[4 * begin : 4 * end]
-                begin = end + 1
-        for w in alone:
-            self.ids[w] = self._encode(w).tobytes()
-
-    def _of(self, words: list[str]) -> list[bytes]:
-        parts, missing, ids = [], set(), self.ids
-        for w in words:
-            core, tail = w.rstrip(".,;:!?"), ""
-            if len(core) < len(w) and core[-1:].isalpha():
-                tail = w[len(core) :]
-                if tail not in ids:
-                    missing.add(tail)
-            else:
-                core = w
-            if core.isascii():
-                core = core.lower()
-            if core not in ids:
-                missing.add(core)
-            parts.append((core, tail))
-        if missing:
-            self._learn(sorted(missing))
-            ids = self.ids
-            if missing := {x for p in parts for x in p if x not in ids} if len(ids) <= len(missing) + 1 else None:
-                self._learn(sorted(missing))  # the table was emptied meanwhile
-        return [ids[a] + ids[b] if b else ids[a] for a, b in parts]
+            known += own
+            sizes.append(np.diff(ends, prepend=-1) - 1)
+            ids.append(got[got != self.mark])
+        for p in alone:
+            known.append(p)
+            ids.append(self._encode(p))
+            sizes.append(np.array([len(ids[-1])]))
+        size = np.concatenate([self.size, *sizes])
+        self.row.update(zip(known, range(len(self.size), len(size))))
+        self.size, self.begin, self.flat = size, np.cumsum(size) - size, np.concatenate([self.flat, *ids])
+
+    def _rows(self, parts: list[str]) -> np.ndarray:
+        """The row of each of these distinct parts; a full table is emptied first."""
+        if len(self.row) > 2 * MAX_WORDS:
+            self._clear()
+        rows = [self.row.get(p, -1) for p in parts]
+        if missing := [p for p, r in zip(parts, rows) if r < 0]:
+            self._learn(missing)
+            rows = [self.row[p] for p in parts]
+        return np.array(rows, np.int64)
+
+    def _of(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of these distinct words, one word after the other, and how many each has."""
+        for sep in ("\n", "\t"):
+            words = pc.replace_substring(words, sep, " ")
+        lists = pc.split_pattern(pc.replace_substring_regex(words, "([A-Za-z])([.,;:!?]+)", r"\1 \2"), " ")
+        coded = lists.flatten().dictionary_encode()
+        parts = coded.dictionary
+        parts = pc.if_else(pc.match_substring_regex(parts, f"^{PLAIN}+$"), pc.utf8_lower(parts), parts).dictionary_encode()
+        rows = self._rows(parts.dictionary.to_numpy(zero_copy_only=False).tolist())[parts.indices.to_numpy()][coded.indices.to_numpy()]
+        ends = np.concatenate([[0], np.cumsum(self.size[rows])])
+        at = np.asarray(lists.offsets)
+        at = at - at[0]
+        return gather(self.flat, self.begin[rows], self.size[rows]), ends[at[1:]] - ends[at[:-1]]
+
+    def columns(self, texts: pa.Array, end_id: int | None = None):
+        """For slices of the texts: their ids, one text after the other, and how many each has; end_id ends each text."""
+        for _, part in slices(texts, 12_000_000):
+            lists = pc.split_pattern(part, " ")
+            coded = lists.flatten().dictionary_encode()
+            index, at = coded.indices.to_numpy(), np.asarray(lists.offsets)
+            at = at - at[0]
+            flat, size = self._of(coded.dictionary)
+            if end_id is not None:  # the last row of the table is the end, and stands after each text
+                index, at = np.insert(index, at[1:], len(size)), at + np.arange(len(at))
+                flat, size = np.append(flat, np.uint32(end_id)), np.append(size, 1)
+            begin, n = np.cumsum(size) - size, size[index]
+            ends = np.concatenate([[0], np.cumsum(n)])
+            yield gather(flat, begin[index], n), ends[at[1:]] - ends[at[:-1]]
 
     def encode(self, texts: pa.Array):
         """Yields the ids of each text, in order."""
-        for _, part in slices(texts):
-            words, index, at = _split(pc.replace_substring(pc.replace_substring(part, "\n", " "), "\t", " "))
-            ids = self._of(words)
-            size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-            flat, begin = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(size) - size
-            for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
-                own = index[a:b]
-                n = size[own]
-                ends = np.cumsum(n)
-                yield flat[np.arange(ends[-1] if len(n) else 0) + np.repeat(begin[own] - ends + n, n)]
+        for flat, size in self.columns(texts):
+            yield from np.split(flat, np.cumsum(size)[:-1]) if len(size) else []
+
+
+def gather(flat: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """flat[b : b + n] for each b, n, joined."""
+    ends = np.cumsum(size)
+    return flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin - ends + size, size)]
 
 
 def load(kind: str, path: str):
