@@ -24,7 +24,7 @@ def test_by_word_equals_whole(spark, sf):
 
 def test_random_strings_with_special_parts():
     rng = random.Random(3)
-    parts = ["<|", "|>", "endoftext", "ENDOFTEXT", "<|endoftext|>", "<|EndOfText|>", "<|STARTOFTEXT|>", " ", "\n", "\t", ".", ",", "a", "É", "e\u0301", "'s", "12", "★", "<s>", "\u00a0", "word", "Word!"]
+    parts = ["<|", "|>", "endoftext", "ENDOFTEXT", "<|endoftext|>", "<|EndOfText|>", "<|STARTOFTEXT|>", " ", "\n", "\t", ".", ",", "a", "É", "e\u0301", "'s", "12", "★", "<s>", "\u00a0", "word", "Word!", "é***", "$&", "_-", "\u0338", "=", "@x"]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 9))) for _ in range(20_000)]
     encoder = IdEncoder(public_path("word_bpe_49k.json"))
     want = [e.ids for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]

@@ -92,6 +92,9 @@ class PieceCounter:
 #: Words of these letters only are their own canonical composition, and each has a lower case of one code point.
 PLAIN = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]"
 
+#: Marks that end a run of letters, compose with nothing and stand in no special string.
+MARKS = "[#$%&*()+,./:;!?@_-]"
+
 
 class IdEncoder:
     """Ids by a tokenizers file.
@@ -171,7 +174,7 @@ class IdEncoder:
         """The ids of these distinct words, one word after the other, and how many each has."""
         for sep in ("\n", "\t"):
             words = pc.replace_substring(words, sep, " ")
-        lists = pc.split_pattern(pc.replace_substring_regex(words, "([A-Za-z])([.,;:!?]+)", r"\1 \2"), " ")
+        lists = pc.split_pattern(pc.replace_substring_regex(words, f"({PLAIN})({MARKS}+)", r"\1 \2"), " ")
         coded = lists.flatten().dictionary_encode()
         parts = coded.dictionary
         parts = pc.if_else(pc.match_substring_regex(parts, f"^{PLAIN}+$"), pc.utf8_lower(parts), parts).dictionary_encode()
