@@ -38,11 +38,120 @@ def test_longest_common_subsequence():
         assert len(kept) == best[-1][-1] and all(x in rest for x in kept)
 
 
+def test_halves_share_as_much_as_whole_rows():
+    rng = random.Random(1)
+    for _ in range(200):
+        a, b = ([rng.choice("abcdef") for _ in range(rng.randint(0, 60))] for _ in range(2))
+        whole, halved = op1_html.shared_lines(a, b), op1_html.shared_lines(a, b, cells=40)
+        rest = iter(b)
+        assert sum(whole) == sum(halved) and all(x in rest for x, y in zip(a, halved) if y)
+    a, b = ([f"{rng.randint(0, 9)}" for _ in range(20_000)] for _ in range(2))
+    assert sum(op1_html.shared_lines(a, b)) == op1_html._shared_counts(a, b)[-1] == op1_html._shared_counts(b, a)[-1]
+
+
+@pytest.mark.parametrize(
+    ("page", "kept"),
+    [
+        ('<div class="with-sidebar"><p>hello world</p></div>', "hello world"),
+        ('<article class="post comments-open">a<article class="comment">no</article></article>', "a"),
+        ('<article><p class="share-price">up</p><p>x<span class="ad">BUY</span>y <em>z</em></p><div class="share">s</div></article>', "up xy z"),
+        ('<article><p>x<span class="ad">BUY<p>y</article>', "x y"),
+        ('<article>a<textarea>t</textarea><math><mi>x</mi></math></article>', "a x"),
+    ],
+)
+def test_names_count_as_a_whole(page, kept):
+    has_main, lines = op1_html.page_lines(page)
+    assert " ".join(t for t, furniture, main in lines if not furniture and (main or not has_main)) == kept
+
+
+SCHEMA = "page_id long, url string, html string"
+
+
+def texts_of(df, **options):
+    return sorted((str(r["page_id"]), str(r["url"]), r["text"], r["n_chars"], r["n_lines"], r["n_shared"], r["partner"]) for r in op1_html.main_text(df, **options).collect())
+
+
 def test_differencing_deletes_shared_lines(spark):
     frame = "<p>Home</p><p>{}</p><p>Imprint</p>"
     rows = [(1, "http://h/a/1", frame.format("first")), (2, "http://h/a/2", frame.format("second")), (3, "http://other/a", "<p>alone</p>"), (4, None, None), (4, None, None)]
-    got = sorted(map(tuple, op1_html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).select("page_id", "text", "n_chars").collect()))
+    got = [(int(i), t, n) for i, _, t, n, *_ in texts_of(spark.createDataFrame(rows, SCHEMA))]
     assert got == [(1, "first", 5), (2, "second", 6), (3, "alone", 5), (4, "", 0), (4, "", 0)]
+    assert texts_of(spark.createDataFrame([], SCHEMA)) == []
+
+
+def brute(rows):
+    """The whole operator over all pages in one list, with a table of all pairs of lines."""
+
+    def common(a, b):
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i in range(len(a) - 1, -1, -1):
+            for j in range(len(b) - 1, -1, -1):
+                best[i][j] = best[i + 1][j + 1] + 1 if a[i] == b[j] else max(best[i + 1][j], best[i][j + 1])
+        return best[0][0]
+
+    pages = {}
+    for i, url, page in rows:
+        m = re.match(r"https?://([^/?#]*)([^?#]*)", url)
+        pages[(m[1].lower(), m[2], i)] = (url, re.findall(r"<p>(.*?)</p>", page), "<article>" in page)
+    order, out = sorted(pages), []
+    for at, key in enumerate(order):
+        url, lines, article = pages[key]
+        near = [(order[j], abs(j - at), j > at) for j in range(max(0, at - 4), min(len(order), at + 5)) if j != at and order[j][0] == key[0] and pages[order[j]][1] != lines]
+        steps = lambda k: next((n for n, (x, y) in enumerate(zip(key[1].split("/"), k[1].split("/"))) if x != y), min(key[1].count("/"), k[1].count("/")) + 1)
+        partner = min(near, key=lambda x: (-steps(x[0]), x[2], x[1]))[0] if near else None
+        shared = common(lines, pages[partner][1]) if partner else 0
+        if article:
+            witnesses = [pages[k][1] for k, _, _ in near if pages[k][2]] + [[] for k, _, _ in near if not pages[k][2]]
+            kept = [x for x in lines if len(witnesses) < 6 or not all(x in w for w in witnesses)]
+        else:  # lines are different within a page here and templates keep their order, so shared lines are those of both
+            kept = [x for x in lines if not partner or x not in pages[partner][1]]
+            assert len(lines) - len(kept) == shared
+        text = " ".join(kept)
+        out.append((str(key[2]), url, text, len(text), len(lines), shared, partner[2] if partner else None))
+    return sorted(out)
+
+
+def test_whole_operator_against_brute_force(spark):
+    rng = random.Random(4)
+    rows = []
+    for i in range(160):
+        host, kind = rng.choice(["h", "h", "h", "k"]), rng.choice("pppa")
+        top, end = [f"menu {host} {j}" for j in range(3)][: rng.randint(0, 3)], [f"foot {host}"] * rng.randint(0, 1)
+        quoted = [f"quoted {rng.randint(0, 3)}"] * (rng.random() < 0.3)
+        body = ["everywhere", *[f"text {rng.randint(0, 10**6)}" for _ in range(rng.randint(0, 3))], *quoted]
+        path = "/" + "/".join(rng.choice("ab") for _ in range(rng.randint(1, 3))) + rng.choice(["", "?q=1"])
+        page = "".join(f"<p>{x}</p>" for x in ([*top, *body, *end] if kind == "p" else body))
+        rows.append((i, f"https://{host}{path}", f"<article>{page}</article>" if kind == "a" else page))
+    want = brute(rows)
+    assert any("text" in r[2] and "everywhere" not in r[2] for r in want)
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert texts_of(df) == want
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for partitions, block_rows in ((1, 1000), (40, 5), (7, 1)):
+            spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+            assert texts_of(df.repartition(partitions), block_rows=block_rows) == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_lines_that_all_neighbours_share_go_from_articles(spark):
+    page = "<nav>n{0}</nav><article><p>body {0}</p><p>We use cookies</p></article>"
+    rows = [(i, f"http://h/p/{i:02d}", page.format(i)) for i in range(10)] + [(100 + i, f"http://few/p/{i}", page.format(i)) for i in range(3)]
+    got = {int(r[0]): r[2] for r in texts_of(spark.createDataFrame(rows, SCHEMA), block_rows=3)}
+    # pages at the ends of a host have too few neighbours to tell
+    assert got[5] == "body 5" and got[0] == "body 0 We use cookies" and got[101] == "body 1 We use cookies"
+
+
+def test_odd_pages(spark):
+    big = 1 << 60
+    rows = [(big + 1, None, "<p>a</p>", "x", 1), (None, None, "<p>b</p>", "y", 2), (big + 1, None, "<p>a</p>", "x", 3), (7, "no host", None, None, None), (8, "http://h/l", "<p>" + "word " * 400_000 + "</p>", None, None), (9, "http://h/m", "".join(f"<p>{i}</p>" for i in range(30_000)), None, None)]
+    df = spark.createDataFrame(rows, SCHEMA + ", host string, block int")
+    got = {(r["page_id"], r["n_chars"]) for r in op1_html.main_text(df).collect()}
+    assert got == {(big + 1, 1), (None, 1), (7, 0), (8, 5 * 400_000 - 1), (9, sum(len(str(i)) for i in range(30_000)) + 29_999)}
+    assert op1_html.main_text(df).count() == 6
 
 
 def test_articles_of_the_tables(spark, sf):

@@ -2,53 +2,65 @@
 
 Each page becomes a list of text lines (one per block element) with two marks: whether the line stands in an element
 that holds no article text (menus, headers, footers, asides, adverts, forms, comments, notices), and whether it stands
-in an article or main element. Pages of a host are put in the order of their URL paths; each is paired with the
-neighbour whose path shares the longer prefix, and the longest common subsequence of the two lists of lines tells the
-shared ones.
-
-On pages with an article or main element differencing decides nothing: the lines of that element are the result. The
-tables hold copies of articles under neighbouring URLs and lines that many articles of a host have, and differencing
-would delete that text (the README has the counts). On all other pages the result is the lines that aren't shared.
-
-Cases: null html gives an empty text; a null url pairs among the pages without a host. Unclosed tags and cut pages are
-read to their end. Repeated rows give a row each. Lines of any length and number are compared whole.
+in an article or main element. Pages of a host are put in the order of their URL paths. A page sees the `REACH` pages
+before and after it in that order; longest common subsequences of the lists of lines tell what it shares with them.
+
+* On a page without an article or main element, the lines that it shares with its nearest neighbour are deleted: the one
+  whose path shares the longest prefix, and of equals the next one before, then the next one after. A neighbour with the
+  same lines throughout is a copy, tells nothing, and is passed over.
+* On a page with such an element the lines inside it are the text, but for those that all neighbours share, where at
+  least `WITNESSES` neighbours have another text. One neighbour's word isn't enough there: pages under neighbouring URLs
+  often quote the same passages, and deleting what a single pair shares would lose text (the README has the counts).
+* Lines in an element that is marked as page furniture are no text on either kind of page.
+
+The pages are dealt to blocks of consecutive keys, and the pages at the edges of a block are sent to the blocks beside
+it too. So a host of any size is dealt to many tasks, each page sees its true neighbours, and the result doesn't depend
+on the number of partitions. Pages travel through one shuffle and are parsed after it.
+
+Cases: null html gives an empty text; pages without a host (null or relative urls) are neighbours of each other. Pages
+with equal paths stand in the order of page_id, then of a hash of url and html. Unclosed tags and cut pages are read to
+their end. Repeated rows are one page to their neighbours and give a row each. Lines of any length and number are
+compared whole. Scripts, styles, frames, graphics, media fallbacks and form controls (also textarea, select and button)
+are no text anywhere. Empty tables give no rows. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import bisect
 import html as entities
 import re
+from collections import deque
 
+import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import tidied, whole_text
+from tidewell.llm.common import spread, tidied, whole_text
 from tidewell.session import table
 
-LINES = "page_id long, url string, host string, path string, has_main boolean, lines array<struct<text:string,chrome:boolean,main:boolean>>"
 RESULT = "page_id long, url string, text string, n_chars long, n_lines long, n_shared long, partner long"
+KEY = ["host", "path", "id", "tie"]
+EDGES = "part int, host string, path string, id long, tie long"
+#: How many pages on each side a page is compared with, and how many differing ones must agree about an article's line.
+REACH, WITNESSES = 4, 6
 
-# HTML element names by role, and class or id words of page furniture.
-RAW = {"script", "style", "noscript", "template", "svg", "iframe", "object", "canvas", "textarea", "title", "head", "select", "button", "math", "audio", "video"}
+# HTML element names by role, and whole class names, ids or roles of page furniture.
+RAW = {"script", "style", "noscript", "template", "svg", "iframe", "object", "canvas", "textarea", "title", "head", "select", "button", "audio", "video"}
 FURNITURE = {"nav", "header", "footer", "aside", "form", "menu", "dialog"}
 MAIN = {"article", "main"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
-WORDS = {"ad", "ads", "advert", "adverts", "advertisement", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "cookie", "cookies", "disclaimer", "footer", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "popup", "promo", "related", "share", "sharing", "sidebar", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget"}
+NAMED = {"ad", "ads", "advert", "adverts", "advertisement", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "comment-list", "comments-area", "complementary", "consent", "contentinfo", "cookie", "cookies", "cookie-banner", "cookie-notice", "disclaimer", "footer", "header", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "popup", "promo", "related", "related-posts", "respond", "share", "share-buttons", "sharing", "sidebar", "site-footer", "site-header", "site-nav", "social", "social-share", "sponsor", "sponsored", "subscribe", "toolbar", "widget"}
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z|(?=<))|<[!?][^>]*(?:>|\Z)|[^<]+|<", re.S)
-NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+NAMES = re.compile(r"(?<![\w-])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
 
-def _is_furniture(tag: str, attributes: str) -> bool:
-    if tag in FURNITURE:
-        return True
-    if attributes and tag not in ("body", "html", "main"):
-        for m in NAMES.finditer(attributes):
-            if WORDS.intersection(re.split(r"[^a-z]+", (m[1] or m[2] or m[3] or "").lower())):
-                return True
-    return False
+def _named(attributes: str) -> bool:
+    """Whether a class, id or role is, as a whole, a name of furniture."""
+    return bool(attributes) and any(not NAMED.isdisjoint((m[1] or m[2] or m[3] or "").lower().split()) for m in NAMES.finditer(attributes))
 
 
 def page_lines(page: str) -> tuple[bool, list[tuple[str, bool, bool]]]:
@@ -56,6 +68,7 @@ def page_lines(page: str) -> tuple[bool, list[tuple[str, bool, bool]]]:
     out: list[tuple[str, bool, bool]] = []
     parts: list[str] = []
     within: list[tuple[str, str]] = []  # open furniture and main elements, and elements of the same names below them
+    muted: list[str] = []  # open inline elements that are furniture, and those of the same names below them
     seen_main = False
     skip_to = 0
 
@@ -71,12 +84,13 @@ def page_lines(page: str) -> tuple[bool, list[tuple[str, bool, bool]]]:
             continue
         tag = m[2]
         if tag is None:
-            if page[m.start()] != "<" or m[0] == "<":
+            if not muted and (page[m.start()] != "<" or m[0] == "<"):
                 parts.append(m[0])
             continue
         tag, closing = tag.lower(), bool(m[1])
         if tag not in INLINE:
             flush()
+            muted.clear()  # an inline element ends with its block
         if tag in RAW:
             if not closing and not m[3].rstrip().endswith("/"):
                 # raw text ends at its own end tag only; a head without one ends at the body
@@ -85,6 +99,12 @@ def page_lines(page: str) -> tuple[bool, list[tuple[str, bool, bool]]]:
             continue
         if tag in VOID or (not closing and m[3].rstrip().endswith("/") and tag not in MAIN | FURNITURE):
             continue
+        if tag in INLINE:
+            if closing and tag in muted:
+                del muted[len(muted) - 1 - muted[::-1].index(tag) :]
+            elif not closing and (tag in muted or _named(m[3])):
+                muted.append(tag)
+            continue
         if closing:
             for i in range(len(within) - 1, -1, -1):
                 if within[i][0] == tag:
@@ -92,14 +112,17 @@ def page_lines(page: str) -> tuple[bool, list[tuple[str, bool, bool]]]:
                     break
             continue
         inside = within[-1][1] if within else ""
-        if tag == "header" and any(k == "main" for _, k in within):
+        in_main = any(k == "main" for _, k in within)
+        if tag in MAIN:
+            furniture = in_main and _named(m[3])  # within a text only: a reader's comment
+        elif tag == "header" and in_main:
             furniture = False  # the head of an article belongs to it
         else:
-            furniture = _is_furniture(tag, m[3])
+            furniture = tag in FURNITURE or (tag not in ("body", "html") and _named(m[3]))
         if furniture:
             within.append((tag, "furniture"))
         elif tag in MAIN or 'role="main"' in m[3]:
-            if tag in MAIN and inside == "furniture" and not any(k == "main" for _, k in within):
+            if tag in MAIN and inside == "furniture" and not in_main:
                 within.clear()  # furniture that was never closed
             seen_main = True
             within.append((tag, "main"))
@@ -109,88 +132,185 @@ def page_lines(page: str) -> tuple[bool, list[tuple[str, bool, bool]]]:
     return seen_main, out
 
 
-def shared_lines(a: list, b: list) -> list[bool]:
-    """For each item of a, whether a longest common subsequence with b has it (bit-parallel rows, then a walk back)."""
+def _rows(a: list, b: list):
+    """Bit-parallel rows of the longest common subsequences of a's beginnings with b: zeros among the low j bits count
+    what a's beginning shares with b[:j]."""
     masks: dict = {}
     for j, x in enumerate(b):
         masks[x] = masks.get(x, 0) | 1 << j
-    full = (1 << len(b)) - 1
-    rows = [full]
+    v = full = (1 << len(b)) - 1
+    yield v
     for x in a:
-        v = rows[-1]
         u = v & masks.get(x, 0)
-        rows.append(((v + u) | (v - u)) & full)
-    out, i, j = [False] * len(a), len(a), len(b)
+        v = ((v + u) | (v - u)) & full
+        yield v
+
+
+def _shared_counts(a: list, b: list) -> np.ndarray:
+    """The length of a longest common subsequence of a and b[:j] for each j; holds one row."""
+    for v in _rows(a, b):
+        pass
+    bits = np.unpackbits(np.frombuffer(v.to_bytes(len(b) // 8 + 1, "little"), np.uint8), bitorder="little")[: len(b)]
+    return np.concatenate([[0], np.cumsum(bits == 0)])
+
+
+def shared_lines(a: list, b: list, cells: int = 1 << 26) -> list[bool]:
+    """For each item of a, whether a longest common subsequence with b has it.
+
+    Up to `cells` bits all rows are held and walked back; beyond that a is halved and b is cut where the two halves
+    share most (Hirschberg), so the memory stays bounded at any number of lines.
+    """
+    first, most = 0, min(len(a), len(b))
+    while first < most and a[first] == b[first]:
+        first += 1
+    last = 0
+    while last < most - first and a[-1 - last] == b[-1 - last]:
+        last += 1
+    out = [True] * first + [False] * (len(a) - first - last) + [True] * last
+    a, b = a[first : len(a) - last], b[first : len(b) - last]
+    if not a or not b:
+        return out
+    if len(a) > 1 and len(a) * len(b) > cells:
+        half = len(a) // 2
+        cut = int((_shared_counts(a[:half], b) + _shared_counts(a[half:][::-1], b[::-1])[::-1]).argmax())
+        out[first : len(out) - last] = shared_lines(a[:half], b[:cut], cells) + shared_lines(a[half:], b[cut:], cells)
+        return out
+    rows, i, j = list(_rows(a, b)), len(a), len(b)
     while i and j:
         if rows[i] >> (j - 1) & 1:
             j -= 1
         elif not rows[i - 1] >> (j - 1) & 1:
             i -= 1
         else:
-            out[i - 1] = True
+            out[first + i - 1] = True
             i, j = i - 1, j - 1
     return out
 
 
-def _parse(frames):
-    for frame in frames:
-        rows = []
-        for page_id, url, page in zip(frame["page_id"], frame["url"], frame["html"]):
-            m = re.match(r"[A-Za-z][\w+.-]*://([^/?#]*)([^?#]*)", url or "")
-            has_main, lines = page_lines(page)
-            rows.append((page_id, url, m[1].lower() if m else "", m[2] if m else "", has_main, lines))
-        yield pd.DataFrame(rows, columns=["page_id", "url", "host", "path", "has_main", "lines"])
-
-
-def _common(a, b) -> int:
-    """Shared leading steps of two paths; -1 for another host."""
-    if a is None or b is None or a["host"] != b["host"]:
-        return -1
-    n = 0
-    for x, y in zip(a["path"].split("/"), b["path"].split("/")):
-        if x != y:
-            break
-        n += 1
-    return n
-
-
-def _text(row: dict, partner: dict | None) -> tuple:
-    lines = row["lines"]
-    shared = shared_lines([x["text"] for x in lines], [x["text"] for x in partner["lines"]]) if partner else [False] * len(lines)
-    keep = [x["text"] for x, s in zip(lines, shared) if not x["chrome"] and (x["main"] if row["has_main"] else not s)]
-    text = " ".join(keep)
-    return row["page_id"], row["url"], text, len(text), len(lines), sum(shared), partner["page_id"] if partner else None
+class Page:
+    def __init__(self, row):
+        self.own, self.key = row.own, (row.host, row.path, row.id, row.tie)
+        self.page_id, self.rows = None if row.no_id else row.id, [row.url]
+        self.has_main, lines = page_lines(row.html)
+        self.texts = [t for t, _, _ in lines]
+        self.furniture, self.main = [f for _, f, _ in lines], [m for _, _, m in lines]
+
+    def within(self) -> list[str]:
+        return [t for t, f, m in zip(self.texts, self.furniture, self.main) if m and not f]
+
+    def steps(self, other: Page) -> int:
+        """Shared leading steps of the paths."""
+        a, b = self.key[1].split("/"), other.key[1].split("/")
+        return next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+
+
+def page_text(page: Page, before: list[Page], after: list[Page]) -> tuple[str, int, Page | None]:
+    """The text, the number of lines shared with the partner, and the partner. before: nearest last; after: nearest first."""
+    others = [(-page.steps(p), d, s, p) for s, side in enumerate((before[::-1], after)) for d, p in enumerate(side) if p.texts != page.texts]
+    partner = min(others, key=lambda x: x[:3])[3] if others else None
+    shared = shared_lines(page.texts, partner.texts) if partner else [False] * len(page.texts)
+    if page.has_main:
+        own = page.within()
+        texts = [x for x in (p.within() for _, _, _, p in others) if x != own]
+        gone = [False] * len(own)
+        if len(texts) >= WITNESSES and set(own).intersection(*texts):
+            gone = [all(x) for x in zip(*(shared_lines(own, t) for t in texts))]
+        keep = [t for t, g in zip(own, gone) if not g]
+    else:
+        keep = [t for t, f, s in zip(page.texts, page.furniture, shared) if not f and not s]
+    return " ".join(keep), sum(shared), partner
 
 
 def _difference(frames):
-    """Rows come in the order of host and path; a page is paired with the nearer of the rows before and after it."""
+    """Rows come in the order of block and key; a block holds its own pages and those around it."""
     columns = ["page_id", "url", "text", "n_chars", "n_lines", "n_shared", "partner"]
-    before = now = None
-    for frame in frames:
-        rows = []
-        for after in frame.to_dict("records"):
-            if now is not None:
-                rows.append(_text(now, _nearer(before, now, after)))
-            before, now = now, after
-        yield pd.DataFrame(rows, columns=columns).astype({"partner": "Int64"})
-    if now is not None:
-        yield pd.DataFrame([_text(now, _nearer(before, now, None))], columns=columns).astype({"partner": "Int64"})
-
-
-def _nearer(before, now, after):
-    p, q = _common(now, before), _common(now, after)
-    return None if max(p, q) < 0 else before if p >= q else after
-
-
-def main_text(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars; then the number of lines, of shared lines, and the page it was paired with.
-
-    Pages are sorted over ranges of (host, path), so a host of any size is dealt to many tasks; a page at the edge of
-    a range is paired with its neighbour inside.
+    seen: deque[Page] = deque()  # pages of one block and host; those before `at` are settled
+    at, run, rows = 0, None, []
+
+    def settle(waiting: int):
+        nonlocal at
+        while at < len(seen) - waiting:
+            page, around = seen[at], list(seen)
+            if page.own:
+                text, n_shared, partner = page_text(page, around[max(0, at - REACH) : at], around[at + 1 : at + 1 + REACH])
+                told = (text, len(text), len(page.texts), n_shared, partner.page_id if partner else None)
+                rows.extend((page.page_id, url, *told) for url in page.rows)
+            at += 1
+            if at > REACH:
+                seen.popleft()
+                at -= 1
+
+    def frame():
+        out = pd.DataFrame({c: pd.array(x, "Int64") if c in ("page_id", "partner") else list(x) for c, x in zip(columns, zip(*rows))})
+        rows.clear()
+        return out
+
+    for f in frames:
+        for row in f.itertuples(index=False):
+            key = (row.host, row.path, row.id, row.tie)
+            if run == (row.block, row.host) and seen[-1].key == key:
+                seen[-1].rows.append(row.url)
+                continue
+            if run != (row.block, row.host):
+                settle(0)
+                seen.clear()
+                at, run = 0, (row.block, row.host)
+            seen.append(Page(row))
+            settle(REACH)
+        if rows:
+            yield frame()
+    settle(0)
+    if rows:
+        yield frame()
+
+
+def _edge_rows(frames):
+    """The first and last REACH different keys of a sorted partition."""
+    head, tail = [], deque(maxlen=REACH)
+    for f in frames:
+        for key in f.itertuples(index=False, name=None):
+            if not tail or tail[-1] != key:
+                if len(head) < REACH:
+                    head.append(key)
+                tail.append(key)
+    part = TaskContext.get().partitionId()
+    yield pd.DataFrame([(part, *k) for k in dict.fromkeys([*head, *tail])], columns=["part", *KEY])
+
+
+def block_edges(keys: DataFrame, blocks: int) -> tuple[list[tuple], dict[tuple, list[int]]]:
+    """The first key of each of about `blocks` blocks, and for the keys around their borders the other blocks that see them.
+
+    At most 2 * REACH * blocks keys come to the driver.
     """
-    own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), whole_text("html").alias("html"))
-    lines = own.mapInPandas(tidied(_parse), LINES)
-    return lines.repartitionByRange("host", "path", "page_id").sortWithinPartitions("host", "path", "page_id").mapInPandas(tidied(_difference), RESULT)
+    rows = keys.repartitionByRange(blocks, *KEY).sortWithinPartitions(*KEY).mapInPandas(_edge_rows, EDGES).collect()
+    edges = sorted({tuple(r)[1:]: r["part"] for r in rows}.items())
+    starts = [i for i, (_, part) in enumerate(edges) if i == 0 or edges[i - 1][1] != part]
+    extra: dict[tuple, list[int]] = {}
+    for b, i in enumerate(starts):
+        end = starts[b + 1] if b + 1 < len(starts) else len(edges)
+        for key, _ in [*edges[max(0, i - REACH) : i], *edges[end : end + REACH]]:
+            extra.setdefault(key, []).append(b)
+    return [edges[i][0] for i in starts], extra
+
+
+def main_text(pages: DataFrame, block_rows: int = 1000, max_blocks: int = 10_000) -> DataFrame:
+    """page_id, url, text, n_chars; then the number of lines, of lines shared with the partner, and the partner's page_id."""
+    url = F.coalesce(F.col("url").cast("string"), F.lit(""))
+    own = pages.select(
+        F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), whole_text("html").alias("html"),
+        F.lower(F.regexp_extract(url, r"^[A-Za-z][\w+.-]*://([^/?#]*)", 1)).alias("host"), F.regexp_extract(url, r"^[A-Za-z][\w+.-]*://[^/?#]*([^?#]*)", 1).alias("path"),
+    )
+    own = own.withColumns({"id": F.coalesce("page_id", F.lit(-(1 << 63))), "no_id": F.col("page_id").isNull(), "tie": F.xxhash64("url", "html")})
+    blocks = min(max_blocks, spread(pages.count(), block_rows))
+    first, extra = block_edges(own.select(*KEY), blocks) if blocks > 1 else ([], {})
+
+    @F.pandas_udf("array<struct<block:int,own:boolean>>")
+    def seen_by(host: pd.Series, path: pd.Series, id_: pd.Series, tie: pd.Series) -> pd.Series:
+        keys = list(zip(host, path, id_, tie))
+        return pd.Series([[{"block": max(0, bisect.bisect_right(first, k) - 1), "own": True}, *({"block": b, "own": False} for b in extra.get(k, ()))] for k in keys])
+
+    dealt = own.withColumn("to", F.explode(seen_by(*KEY))).select("no_id", "url", "html", *KEY, "to.block", "to.own")
+    return dealt.repartition(spread(blocks, 4), "block").sortWithinPartitions("block", *KEY).mapInPandas(tidied(_difference), RESULT)
 
 
 def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
