@@ -42,7 +42,7 @@ from tidewell.session import table
 
 RESULT = "page_id long, url string, text string, n_chars long, n_lines long, n_shared long, partner long"
 KEY = ["host", "path", "id", "tie"]
-EDGES = "part int, host string, path string, id long, tie long"
+EDGES = "part int, block int, host string, path string, id long, tie long"
 #: How many pages on each side a page is compared with, and how many differing ones must agree about an article's line.
 REACH, WITNESSES = 4, 6
 
@@ -264,27 +264,38 @@ def _difference(frames):
         yield frame()
 
 
-def _edge_rows(frames):
-    """The first and last REACH different keys of a sorted partition."""
-    head, tail = [], deque(maxlen=REACH)
-    for f in frames:
-        for key in f.itertuples(index=False, name=None):
-            if not tail or tail[-1] != key:
+def _edge_rows(block_keys: int):
+    """Cuts sorted partitions into blocks of block_keys different keys and gives the first and last REACH of each."""
+
+    def run(frames):
+        part, block, n, head, tail = TaskContext.get().partitionId(), 0, 0, [], deque(maxlen=REACH)
+
+        def frame():
+            return pd.DataFrame([(part, block, *k) for k in dict.fromkeys([*head, *tail])], columns=["part", "block", *KEY])
+
+        for f in frames:
+            for key in f.itertuples(index=False, name=None):
+                if tail and tail[-1] == key:
+                    continue
+                if n == block_keys:
+                    yield frame()
+                    block, n, head = block + 1, 0, []
+                    tail.clear()
                 if len(head) < REACH:
                     head.append(key)
                 tail.append(key)
-    part = TaskContext.get().partitionId()
-    yield pd.DataFrame([(part, *k) for k in dict.fromkeys([*head, *tail])], columns=["part", *KEY])
+                n += 1
+        yield frame()
 
+    return run
 
-def block_edges(keys: DataFrame, blocks: int) -> tuple[list[tuple], dict[tuple, list[int]]]:
-    """The first key of each of about `blocks` blocks, and for the keys around their borders the other blocks that see them.
 
-    At most 2 * REACH * blocks keys come to the driver.
-    """
-    rows = keys.repartitionByRange(blocks, *KEY).sortWithinPartitions(*KEY).mapInPandas(_edge_rows, EDGES).collect()
-    edges = sorted({tuple(r)[1:]: r["part"] for r in rows}.items())
-    starts = [i for i, (_, part) in enumerate(edges) if i == 0 or edges[i - 1][1] != part]
+def block_edges(keys: DataFrame, block_keys: int) -> tuple[list[tuple], dict[tuple, list[int]]]:
+    """The first key of each block of about block_keys keys, and for the keys around their borders the other blocks that
+    see them. At most 2 * REACH keys of a block come to the driver."""
+    rows = keys.repartitionByRange(*KEY).sortWithinPartitions(*KEY).mapInPandas(_edge_rows(block_keys), EDGES).collect()
+    edges = sorted((tuple(r)[2:], (r["part"], r["block"])) for r in rows)
+    starts = [i for i, (_, block) in enumerate(edges) if i == 0 or edges[i - 1][1] != block]
     extra: dict[tuple, list[int]] = {}
     for b, i in enumerate(starts):
         end = starts[b + 1] if b + 1 < len(starts) else len(edges)
@@ -293,16 +304,20 @@ def block_edges(keys: DataFrame, blocks: int) -> tuple[list[tuple], dict[tuple,
     return [edges[i][0] for i in starts], extra
 
 
-def main_text(pages: DataFrame, block_rows: int = 1000, max_blocks: int = 10_000) -> DataFrame:
-    """page_id, url, text, n_chars; then the number of lines, of lines shared with the partner, and the partner's page_id."""
+def main_text(pages: DataFrame, block_rows: int = 250, max_blocks: int = 10_000, blocks_per_task: int = 16) -> DataFrame:
+    """page_id, url, text, n_chars; then the number of lines, of lines shared with the partner, and the partner's page_id.
+
+    block_rows: pages of a block; more where there would be over max_blocks, as the driver holds 2 * REACH keys of each.
+    """
     url = F.coalesce(F.col("url").cast("string"), F.lit(""))
     own = pages.select(
         F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), whole_text("html").alias("html"),
         F.lower(F.regexp_extract(url, r"^[A-Za-z][\w+.-]*://([^/?#]*)", 1)).alias("host"), F.regexp_extract(url, r"^[A-Za-z][\w+.-]*://[^/?#]*([^?#]*)", 1).alias("path"),
     )
     own = own.withColumns({"id": F.coalesce("page_id", F.lit(-(1 << 63))), "no_id": F.col("page_id").isNull(), "tie": F.xxhash64("url", "html")})
-    blocks = min(max_blocks, spread(pages.count(), block_rows))
-    first, extra = block_edges(own.select(*KEY), blocks) if blocks > 1 else ([], {})
+    n = pages.count()
+    block_rows = max(block_rows, spread(n, max_blocks))
+    first, extra = block_edges(own.select(*KEY), block_rows) if n > block_rows else ([], {})
 
     @F.pandas_udf("array<struct<block:int,own:boolean>>")
     def seen_by(host: pd.Series, path: pd.Series, id_: pd.Series, tie: pd.Series) -> pd.Series:
@@ -310,7 +325,7 @@ def main_text(pages: DataFrame, block_rows: int = 1000, max_blocks: int = 10_000
         return pd.Series([[{"block": max(0, bisect.bisect_right(first, k) - 1), "own": True}, *({"block": b, "own": False} for b in extra.get(k, ()))] for k in keys])
 
     dealt = own.withColumn("to", F.explode(seen_by(*KEY))).select("no_id", "url", "html", *KEY, "to.block", "to.own")
-    return dealt.repartition(spread(blocks, 4), "block").sortWithinPartitions("block", *KEY).mapInPandas(tidied(_difference), RESULT)
+    return dealt.repartition(spread(n, block_rows * blocks_per_task), "block").sortWithinPartitions("block", *KEY).mapInPandas(tidied(_difference), RESULT)
 
 
 def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
