@@ -149,6 +149,64 @@ def test_unchanged_and_edited_copy_in_a_document(spark):
             assert r["doc_id"] == d and abs(r["start"] - start) <= 6 and abs(r["stop"] - start - len(item)) <= 6
 
 
+def distances(p, t):
+    """Fewest edits between p and any part of t that ends at each place."""
+    row = np.zeros(len(t) + 1, np.int64)
+    codes = np.frombuffer(t.encode("utf-32-le"), np.uint32)
+    for i, x in enumerate(p):
+        new = np.append(i + 1, np.minimum(row[:-1] + (codes != ord(x)), row[1:] + 1))
+        row = np.minimum.accumulate(new - np.arange(len(new))) + np.arange(len(new))
+    return row
+
+
+@pytest.mark.parametrize(("frequent", "tile"), [(64, 4_000_000), (2, 50), (0, 1)])
+def test_regions_against_edit_distances(monkeypatch, frequent, tile):
+    """All segments against all texts, with runs of one letter, shared phrases, short items and equal items."""
+    monkeypatch.setattr(op9_decontamination, "FREQUENT", frequent)
+    monkeypatch.setattr(op9_decontamination, "TILE_HITS", tile)
+    rng = random.Random(6)
+    text = lambda n, a="abcdefg": "".join(rng.choice(a) for _ in range(n))
+    phrase = "question: which of these is "
+    items = [(0, "short"), (1, "ab"), (2, "x"), (3, text(10)), (4, text(15)), (5, phrase + text(30)), (6, phrase + text(90)), (7, phrase + text(60)), (8, "a" * 90), (9, "a" * 50 + text(40)), (10, text(300)), (11, phrase), (12, phrase), (13, "日本")]
+    items += [(20 + i, phrase + text(40)) for i in range(12)]
+    docs = ["", "this is short ok", "shorter", "a short", "ab cd ab", "x", "日本語", "a" * 400, "b" + "a" * 85 + "c" + "a" * 30, phrase * 3]
+    for _ in range(40):
+        parts = []
+        for _ in range(rng.randint(1, 4)):
+            chars = list(rng.choice(items)[1])
+            at = rng.randint(0, len(chars) // 3)
+            chars = chars[at:] if rng.random() < 0.3 else chars
+            for _ in range(rng.choice([0, 1, len(chars) // 20, len(chars) // 12, len(chars) // 8])):
+                if chars:
+                    k = rng.randrange(len(chars))
+                    chars[k : k + 1] = rng.choice([[], ["z"], [chars[k], "y"]])
+            parts += ["".join(chars), text(rng.choice([0, 5, 200]))]
+        docs.append(op9_decontamination.normalise(" ".join(parts)))
+    segs = op9_decontamination.segments(items, 80, 40)
+    index = op9_decontamination.Index(segs, 10, 0.08)
+    found = op9_decontamination.regions_of(index, docs)
+    pairs = set()
+    for item, seg in segs:
+        budget = max(0, min(int(0.08 * len(seg)), (len(seg) - 10) // 10))
+        for d, t in enumerate(docs):
+            ends = np.flatnonzero(distances(seg, t) <= budget)
+            if len(seg) < 10:  # whole words only
+                cased = lambda a, b: a.lower() != a.upper() and b.lower() != b.upper()
+                ends = [e for e in ends if not (e > len(seg) and cased(t[e - len(seg) - 1], t[e - len(seg)])) and not (e < len(t) and cased(t[e - 1], t[e]))]
+            own = [r for r in found[d] if r[0] == item]
+            for e in ends:
+                pairs.add((d, item))
+                assert any(start < e + budget and e <= stop + budget for _, start, stop, _, _ in own), (item, seg, t, e)
+    assert {(d, r[0]) for d, regions in enumerate(found) for r in regions} == pairs
+    assert {(1, 0), (3, 0), (4, 1), (5, 2), (6, 13), (7, 8), (9, 11), (9, 12)} <= pairs and (2, 0) not in pairs
+
+
+def test_long_runs_and_texts_stay_bounded(monkeypatch):
+    monkeypatch.setattr(op9_decontamination, "TILE_HITS", 200_000)
+    index = op9_decontamination.Index([(1, "a" * 80), (2, "ab" * 40)], 10, 0.08)
+    assert [[r[:4] for r in x] for x in op9_decontamination.regions_of(index, ["a" * 200_000, "z" * 300_000 + "ab" * 60])] == [[(1, 0, 200_000, 0)], [(2, 300_000, 300_120, 0)]]
+
+
 def test_banded_alignment_is_edit_distance():
     rng = random.Random(4)
     for _ in range(200):

@@ -11,15 +11,15 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 
-def worker_cache(key: tuple, make: Callable):
+def worker_cache(key: tuple, make: Callable, alone: bool = False):
     """One value per Python worker and key, kept between tasks when Spark reuses the worker.
 
     Values of another kind (the first part of the key) are dropped when a new one is made: a worker that goes on to
-    another operator's tasks doesn't hold on to the tables of the last one.
+    another operator's tasks doesn't hold on to the tables of the last one. alone: those of the same kind go too.
     """
     store = sys.__dict__.setdefault("_tidewell_cache", {})
     if key not in store:
-        for other in [k for k in store if k[0] != key[0]]:
+        for other in [k for k in store if alone or k[0] != key[0]]:
             del store[other]
         store[key] = make()
     return store[key]
@@ -45,6 +45,15 @@ def tidied(f: Callable) -> Callable:
     return run
 
 
+def filesystem(uri: str):
+    """A file system of pyarrow and the path within it, for tasks that read or write files of the shared folder."""
+    from pyarrow import fs
+
+    if uri.startswith("s3a://"):
+        uri = "s3://" + uri[6:]
+    return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark's cleaner delete the shuffle files of steps whose results are stored and that nothing refers to.
 

@@ -7,28 +7,34 @@ are looked up among those of the segments, hits are counted in diagonal bands th
 the bound are kept, and a banded alignment decides.
 
 Both sides are lower-cased and runs of white space become one space; positions refer to that form of the text.
-The segments are sent to the tasks in blocks of at most `block_chars` characters, one pass over the documents a block.
 
-Cases: null or empty texts have no regions; items shorter than q characters have no q-gram and aren't searched for.
-Repeated rows give a row each. Empty tables give no rows.
+* q-grams that very many segments hold are left out for segments whose bound stays above 0 without them (the bound goes
+  down by as many), and hits are counted tile by tile along the text, so frequent q-grams cost neither links nor memory.
+* An item of fewer than q characters is looked up whole, without edits; it counts where it doesn't begin or end within
+  a word (of letters with case, or digits).
+* The segments are stored in blocks of about `block_chars` characters in the shared folder. A task reads its documents
+  once, about `text_chars` characters at a time, and takes the blocks in turn; the driver knows their number alone.
+
+Cases: null or empty texts have no regions; items without text have no segments, items with a null id are left out.
+Repeated rows give a row each; items with equal texts are all reported. Regions of an item that touch are one, with the
+least edits of its parts. Empty tables give no rows. Other columns of the documents are ignored by contaminated() and
+kept as they are by clean(), whatever their names.
 """
 
 from __future__ import annotations
 
-import hashlib
-from functools import reduce
-
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import tidied, worker_cache
-from tidewell.session import table
+from tidewell.llm.common import filesystem, spread, tidied, worker_cache
+from tidewell.session import new_path, table
 
 REGIONS = "doc_id long, item_id long, start long, stop long, edits long, segment_chars long"
 BITS = 22
+#: Segments beyond which a q-gram counts as frequent; hits that are counted at once.
+FREQUENT, TILE_HITS = 64, 4_000_000
 
 
 def normalise(text: str | None) -> str:
@@ -81,35 +87,64 @@ def segments(items: list[tuple], size: int, stride: int) -> list[tuple]:
 
 
 class Index:
-    """The q-grams of a block of segments."""
+    """The q-grams of a block of segments, given as (item_id, text)."""
 
     def __init__(self, segs: list[tuple], q: int, rate: float):
-        self.q, self.items = q, np.array([i for i, _ in segs], np.int64)
-        self.texts = [code_points(t) for _, t in segs]
+        self.q = q
+        owners: dict[str, set[int]] = {}
+        for item, text in segs:
+            owners.setdefault(text, set()).add(item)
+        strings = sorted(owners)
+        self.owners = [sorted(owners[t]) for t in strings]
+        self.texts = [code_points(t) for t in strings]
         self.bytes = [t.tobytes() for t in self.texts]
         self.length = np.array([len(t) for t in self.texts], np.int64)
         # at least one shared q-gram must be left by the bound
         self.budget = np.maximum(0, np.minimum((rate * self.length).astype(np.int64), (self.length - q) // q))
-        self.bound = np.maximum(1, self.length - q + 1 - self.budget * q)
+        bound = np.maximum(1, self.length - q + 1 - self.budget * q)
         grams = [gram_hashes(t, q) for t in self.texts]
         h = np.concatenate([*grams, np.zeros(0, np.uint64)])
-        seg = np.repeat(np.arange(len(segs)), [len(g) for g in grams])
+        seg = np.repeat(np.arange(len(strings)), [len(g) for g in grams])
         pos = np.concatenate([*[np.arange(len(g)) for g in grams], np.zeros(0, np.int64)]).astype(np.int64)
+        _, back, many = np.unique(h, return_inverse=True, return_counts=True)
+        frequent = many[back] > FREQUENT if len(h) else np.zeros(0, bool)
+        n_frequent = np.bincount(seg[frequent], minlength=len(strings))
+        spare = bound > n_frequent
+        self.bound = np.where(spare, bound - n_frequent, bound)
+        keep = ~(frequent & spare[seg])
+        h, seg, pos = h[keep], seg[keep], pos[keep]
         order = np.argsort(h, kind="stable")
         self.seg, self.pos = seg[order], pos[order]
         self.hashes, self.first, self.many = np.unique(h[order], return_index=True, return_counts=True)
         self.table = np.zeros(1 << BITS, bool)
         self.table[self.hashes >> np.uint64(64 - BITS)] = True
+        self.reach = int((self.length + 2 * self.budget).max(initial=0)) + 2  # no band's hits lie farther apart
+        # items of fewer than q characters, by length
+        self.short = {int(n): {self.bytes[s]: int(s) for s in np.flatnonzero(self.length == n)} for n in np.unique(self.length[self.length < q])}
+
+    def tiles(self, h: np.ndarray):
+        """(first position, end, positions, segments, positions in the segments) of shared q-grams, a tile at a time.
 
-    def hits(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(position, segment, position in the segment) of all shared q-grams."""
+        A tile counts the bands that begin in it, so it holds the hits of the next `reach` positions too.
+        """
+        if not len(self.hashes):
+            return
         at = np.flatnonzero(self.table[h >> np.uint64(64 - BITS)])
-        found = np.searchsorted(self.hashes, h[at])
-        same = self.hashes[np.minimum(found, len(self.hashes) - 1)] == h[at]
+        found = np.minimum(np.searchsorted(self.hashes, h[at]), len(self.hashes) - 1)
+        same = self.hashes[found] == h[at]
         at, found = at[same], found[same]
-        n = self.many[found]
-        place = np.repeat(self.first[found] - np.cumsum(n) + n, n) + np.arange(n.sum())
-        return np.repeat(at, n), self.seg[place], self.pos[place]
+        ends = np.cumsum(self.many[found])
+        lo = 0
+        while lo < len(at):
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + TILE_HITS, "right")))
+            begin = -1 << 40 if lo == 0 else int(at[lo])
+            end = int(at[hi]) if hi < len(at) else 1 << 40
+            to = int(np.searchsorted(at, end + self.reach)) if hi < len(at) else len(at)
+            f = found[lo:to]
+            n = self.many[f]
+            place = np.repeat(self.first[f] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            yield begin, end, np.repeat(at[lo:to], n), self.seg[place], self.pos[place]
+            lo = hi
 
 
 def banded_alignment(patterns: np.ndarray, lengths: np.ndarray, text: np.ndarray, low: np.ndarray, width: int, fixed: np.ndarray | None = None):
@@ -147,72 +182,105 @@ def _exact(index: Index, text: bytes, s: int, band: int) -> int:
 
 
 def _verify(index: Index, text: np.ndarray, seg: np.ndarray, band: np.ndarray) -> list[tuple]:
-    """(item, start, stop, edits, length) of the bands that hold an occurrence; text: one document's code points.
+    """(segment, start, stop, edits) of the bands that hold an occurrence; text: one document's code points.
 
     Most are unchanged copies, which a search of the band finds; the alignment decides about the others.
     """
     raw = text.tobytes()
     same = np.array([_exact(index, raw, s, b) for s, b in zip(seg.tolist(), band.tolist())], np.int64)
-    out = [(int(index.items[s]), at, at + n, 0, n) for s, at in zip(seg[same >= 0].tolist(), same[same >= 0].tolist()) for n in (int(index.length[s]),)]
+    out = [(s, at, at + int(index.length[s]), 0) for s, at in zip(seg[same >= 0].tolist(), same[same >= 0].tolist())]
     # a band that holds an unchanged copy needs no second look; other bands of its segment may hold copies of their own
     rest = same < 0
     seg, band = seg[rest], band[rest]
     k = index.budget[seg]
     for budget in np.unique(k):
-        own = np.flatnonzero(k == budget)
-        s, step = seg[own], budget + 1
-        lengths = index.length[s]
-        pad = np.zeros((len(own), int(lengths.max())), np.uint32)
-        for row, x in enumerate(s):
-            pad[row, : lengths[row]] = index.texts[x]
-        width = int(2 * step + 2 * budget)
-        edits, stop = banded_alignment(pad, lengths, text, band[own] * step - budget, width)
-        good = edits <= budget
-        if not good.any():
-            continue
-        s, lengths, edits, stop, pad = s[good], lengths[good], edits[good], stop[good], pad[good]
-        # the start: the reversed pattern along the reversed text, from the end that was found
-        back = np.zeros_like(pad)
-        for row in range(len(pad)):
-            back[row, : lengths[row]] = pad[row, : lengths[row]][::-1]
-        low = len(text) - stop - budget
-        _, reach = banded_alignment(back, lengths, text[::-1], low, int(2 * budget + 1), np.full(len(s), budget))
-        out += list(zip(index.items[s].tolist(), (len(text) - reach).tolist(), stop.tolist(), edits.tolist(), lengths.tolist()))
+        every = np.flatnonzero(k == budget)
+        for at in range(0, len(every), 2048):
+            own = every[at : at + 2048]
+            out += _aligned(index, text, seg[own], band[own], int(budget))
+    return out
+
+
+def _aligned(index: Index, text: np.ndarray, seg: np.ndarray, band: np.ndarray, budget: int) -> list[tuple]:
+    step, lengths = budget + 1, index.length[seg]
+    pad = np.zeros((len(seg), int(lengths.max())), np.uint32)
+    for row, x in enumerate(seg):
+        pad[row, : lengths[row]] = index.texts[x]
+    edits, stop = banded_alignment(pad, lengths, text, band * step - budget, 2 * step + 2 * budget)
+    good = edits <= budget
+    if not good.any():
+        return []
+    seg, lengths, edits, stop, pad = seg[good], lengths[good], edits[good], stop[good], pad[good]
+    # the start: the reversed pattern along the reversed text, from the end that was found
+    back = np.zeros_like(pad)
+    for row in range(len(pad)):
+        back[row, : lengths[row]] = pad[row, : lengths[row]][::-1]
+    _, reach = banded_alignment(back, lengths, text[::-1], len(text) - stop - budget, 2 * budget + 1, np.full(len(seg), budget))
+    # places outside the text match nothing, so leaving them out changes no count of edits
+    return list(zip(seg.tolist(), np.maximum(len(text) - reach, 0).tolist(), np.minimum(stop, len(text)).tolist(), edits.tolist()))
+
+
+def _in_word(a: str, b: str) -> bool:
+    """Whether two characters beside each other belong to one word."""
+    return all(x.isdigit() or x.lower() != x.upper() for x in (a, b))
+
+
+def _short_items(index: Index, joined: np.ndarray, begin: np.ndarray, texts: list[str]):
+    """(document, segment, start) of the items of fewer than q characters."""
+    for n, known in index.short.items():
+        own = np.array(sorted(gram_hashes(np.frombuffer(t, np.uint32), n)[0] for t in known), np.uint64)
+        h = gram_hashes(joined, n)
+        for at in np.flatnonzero(own[np.minimum(np.searchsorted(own, h), len(own) - 1)] == h).tolist():
+            if (s := known.get(joined[at : at + n].tobytes())) is not None:
+                d = int(np.searchsorted(begin, at, "right")) - 1
+                start, text = at - int(begin[d]), texts[d]
+                if not (start and _in_word(text[start - 1], text[start])) and not (start + n < len(text) and _in_word(text[start + n - 1], text[start + n])):
+                    yield d, s, start
+
+
+def joined_regions(regions: list[tuple]) -> list[tuple]:
+    """(item, start, stop, edits, segment_chars): those of an item that overlap are one."""
+    out: list[tuple] = []
+    for item, start, stop, edits, length in sorted(regions):
+        if out and out[-1][0] == item and start <= out[-1][2]:
+            old = out[-1]
+            out[-1] = (item, old[1], max(old[2], stop), min(old[3], edits), max(old[4], length))
+        else:
+            out.append((item, start, stop, edits, length))
     return out
 
 
 def regions_of(index: Index, texts: list[str]) -> list[list[tuple]]:
-    """The regions of each text; regions of an item that overlap are one, with the least edits of its segments."""
-    own = [code_points(normalise(t)) for t in texts]
+    """The regions of each text: (item, start, stop, edits, segment_chars)."""
+    strings = [normalise(t) for t in texts]
+    own = [code_points(t) for t in strings]
     gap = np.full(index.q, 0x110000, np.uint32)  # no q-gram of a text reaches into the next
     joined = np.concatenate([x for t in own for x in (t, gap)]) if own else np.zeros(0, np.uint32)
     begin = np.cumsum([0] + [len(t) + index.q for t in own])[:-1]
-    out: list[list[tuple]] = [[] for _ in texts]
-    at, seg, pos = index.hits(gram_hashes(joined, index.q)) if len(index.hashes) else (np.zeros(0, np.int64),) * 3
-    if not len(at):
-        return out
-    doc = np.searchsorted(begin, at, "right") - 1
-    band = (at - begin[doc] - pos) // (index.budget[seg] + 1)
-    # a diagonal lies in the band that starts with its own stripe and in the one before
-    doc, seg, band = np.concatenate([doc, doc]), np.concatenate([seg, seg]), np.concatenate([band, band - 1])
-    low = int(band.min())
-    span = int(band.max()) - low + 1
-    key = (doc * len(index.items) + seg) * span + (band - low)
-    key, n = np.unique(key, return_counts=True)
-    doc, seg, band = key // span // len(index.items), key // span % len(index.items), key % span + low
-    keep = n >= index.bound[seg]
-    doc, seg, band = doc[keep], seg[keep], band[keep]
-    for d in np.unique(doc):
-        mine = doc == d
-        found: list[tuple] = []
-        for item, start, stop, edits, length in sorted(_verify(index, own[d], seg[mine], band[mine])):
-            if found and found[-1][0] == item and start <= found[-1][2]:
-                old = found[-1]
-                found[-1] = (item, old[1], max(old[2], stop), min(old[3], edits), max(old[4], length))
-            else:
-                found.append((item, start, stop, edits, length))
-        out[d] = found
-    return out
+    found: dict[int, list[tuple]] = {}
+    for d, s, start in _short_items(index, joined, begin, strings):
+        found.setdefault(d, []).append((s, start, start + int(index.length[s]), 0))
+    for first, end, at, seg, pos in index.tiles(gram_hashes(joined, index.q)):
+        doc = np.searchsorted(begin, at, "right") - 1
+        step = index.budget[seg] + 1
+        band = (at - begin[doc] - pos) // step
+        # a diagonal lies in the band that starts with its own stripe and in the one before
+        doc, seg, band, step = np.concatenate([doc, doc]), np.concatenate([seg, seg]), np.concatenate([band, band - 1]), np.concatenate([step, step])
+        place = begin[doc] + band * step
+        mine = (place >= first) & (place < end)
+        doc, seg, band = doc[mine], seg[mine], band[mine]
+        if not len(doc):
+            continue
+        low = int(band.min())
+        span = int(band.max()) - low + 1
+        key, n = np.unique((doc * len(index.texts) + seg) * span + (band - low), return_counts=True)
+        doc, seg, band = key // span // len(index.texts), key // span % len(index.texts), key % span + low
+        keep = n >= index.bound[seg]
+        doc, seg, band = doc[keep], seg[keep], band[keep]
+        for d in np.unique(doc).tolist():
+            found.setdefault(d, []).extend(_verify(index, own[d], seg[doc == d], band[doc == d]))
+    regions = lambda d: [(i, start, stop, edits, int(index.length[s])) for s, start, stop, edits in found.get(d, ()) for i in index.owners[s]]
+    return [joined_regions(regions(d)) for d in range(len(texts))]
 
 
 def pieces_of(texts: list[str], size: int = 4_000_000):
@@ -228,57 +296,101 @@ def pieces_of(texts: list[str], size: int = 4_000_000):
         yield own
 
 
-def _search(token: str, segs: list[tuple], q: int, rate: float):
-    def run(frames):
-        index = worker_cache(("benchmark", token), lambda: Index(segs, q, rate))
-        for frame in frames:
-            found = [r for part in pieces_of(frame["text"].tolist()) for r in regions_of(index, part)]
-            rows = [(d, *r) for d, regions in zip(frame["doc_id"], found) for r in regions]
-            if rows:
-                yield pd.DataFrame(rows, columns=["doc_id", "item_id", "start", "stop", "edits", "segment_chars"]).astype({"doc_id": "Int64"})
+def _cut(size: int, stride: int):
+    def run(batches):
+        for b in batches:
+            segs = segments(list(zip(b.column("item_id").to_pylist(), b.column("text").to_pylist())), size, stride)
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in segs], pa.int64()), pa.array([t for _, t in segs], pa.string())], ["item_id", "text"])
 
     return run
 
 
-def _blocks(benchmark: DataFrame, q: int, rate: float, size: int, stride: int, block_chars: int) -> list[tuple[str, list[tuple]]]:
-    """(name, segments) of blocks of at most block_chars characters of items; the names tell contents apart."""
-    parts, block, held = [], [], 0
-    for r in benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select("item_id", "text").toLocalIterator():
-        if block and held + len(r["text"]) > block_chars:
-            parts.append(block)
-            block, held = [], 0
-        block.append((int(r["item_id"]), r["text"]))
-        held += len(r["text"])
-    parts += [block] if block else []
-    cut = [segments(p, size, stride) for p in parts]
-    return [(hashlib.sha1(repr((q, rate, segs)).encode("utf-8", "surrogatepass")).hexdigest(), segs) for segs in cut]
-
+class Blocks:
+    """The segments of a benchmark in the shared folder, in blocks of about block_chars characters."""
+
+    def __init__(self, benchmark: DataFrame, q: int, rate: float, size: int, stride: int, block_chars: int):
+        known = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+        chars = known.agg(F.sum(F.length("text"))).first()[0] or 0
+        # neighbouring segments overlap, so there are about size / stride times as many characters
+        self.n, self.q, self.rate = spread(chars * max(1, size // stride), block_chars), q, rate
+        self.path = new_path(benchmark.sparkSession, "benchmark")
+        segs = known.mapInArrow(_cut(size, stride), "item_id long, text string").distinct()
+        block = F.pmod(F.xxhash64("text"), F.lit(self.n)).cast("int")
+        segs.withColumn("block", block).repartition(self.n, "block").write.partitionBy("block").parquet(self.path)
+
+    def index(self, block: int) -> Index:
+        """In a task: the q-grams of a block; the last one is kept by the worker."""
+
+        def make():
+            import pyarrow.dataset as ds
+            from pyarrow import fs
+
+            files, root = filesystem(f"{self.path}/block={block}")
+            if files.get_file_info(root).type == fs.FileType.NotFound:
+                return Index([], self.q, self.rate)
+            got = ds.dataset(root, filesystem=files, format="parquet").to_table(columns=["item_id", "text"])
+            return Index(list(zip(got["item_id"].to_pylist(), got["text"].to_pylist())), self.q, self.rate)
+
+        return worker_cache(("benchmark", self.path, block), make, alone=True)
+
+    def regions(self, texts: list[str]) -> list[list[tuple]]:
+        out: list[list[tuple]] = [[] for _ in texts]
+        for block in range(self.n):
+            index, done = self.index(block), 0
+            for part in pieces_of(texts):
+                for found in regions_of(index, part):
+                    out[done] += found
+                    done += 1
+        return [joined_regions(x) for x in out] if self.n > 1 else out
+
+
+def held_back(batches, text_at: int, text_chars: int):
+    """(batches, texts) of about text_chars characters together, so that each block is taken once for many texts."""
+    held, texts, chars = [], [], 0
+    for b in batches:
+        own = [t or "" for t in b.column(text_at).to_pylist()]
+        held.append(b)
+        texts += own
+        chars += sum(map(len, own))
+        if chars >= text_chars:
+            yield held, texts
+            held, texts, chars = [], [], 0
+    if held:
+        yield held, texts
+
+
+def _search(blocks: Blocks, text_chars: int):
+    def run(batches):
+        for held, texts in held_back(batches, 1, text_chars):
+            ids = [d for b in held for d in b.column(0).to_pylist()]
+            rows = [(d, *r) for d, regions in zip(ids, blocks.regions(texts)) for r in regions]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["doc_id", "item_id", "start", "stop", "edits", "segment_chars"])
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, q: int = 10, rate: float = 0.08, size: int = 80, stride: int = 40, block_chars: int = 4_000_000) -> DataFrame:
-    """A row for each region of a document that holds a segment of a benchmark item within the edit budget."""
-    own = docs.where("text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = [own.mapInPandas(tidied(_search(name, segs, q, rate)), REGIONS) for name, segs in _blocks(benchmark, q, rate, size, stride, block_chars)]
-    return reduce(DataFrame.unionByName, found) if found else docs.sparkSession.createDataFrame([], REGIONS)
+    return run
 
 
-def _without(token: str, segs: list[tuple], q: int, rate: float, text_at: int):
+def _without(blocks: Blocks, text_at: int, text_chars: int):
     def run(batches):
-        index = worker_cache(("benchmark", token), lambda: Index(segs, q, rate))
-        for b in batches:
-            keep = []
-            for part in pieces_of([t or "" for t in b.column(text_at).to_pylist()]):
-                keep += [not found for found in regions_of(index, part)]
-            yield b.filter(pa.array(keep, pa.bool_()))
+        for held, texts in held_back(batches, text_at, text_chars):
+            keep, done = [not found for found in blocks.regions(texts)], 0
+            for b in held:
+                yield b.filter(pa.array(keep[done : done + len(b)], pa.bool_()))
+                done += len(b)
 
     return run
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, q: int = 10, rate: float = 0.08, size: int = 80, stride: int = 40, block_chars: int = 4_000_000) -> DataFrame:
-    """The rows of docs, all columns as they are, that hold no region; null texts hold none. Nothing is shuffled."""
-    at = docs.columns.index("text")
-    for name, segs in _blocks(benchmark, q, rate, size, stride, block_chars):
-        docs = docs.mapInArrow(tidied(_without(name, segs, q, rate, at)), docs.schema)
-    return docs
+def contaminated(docs: DataFrame, benchmark: DataFrame, q: int = 10, rate: float = 0.08, size: int = 80, stride: int = 40, block_chars: int = 8_000_000, text_chars: int = 16_000_000) -> DataFrame:
+    """A row for each region of a document that holds a segment of a benchmark item within the edit budget."""
+    own = docs.where("text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return own.mapInArrow(tidied(_search(Blocks(benchmark, q, rate, size, stride, block_chars), text_chars)), REGIONS)
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, q: int = 10, rate: float = 0.08, size: int = 80, stride: int = 40, block_chars: int = 8_000_000, text_chars: int = 16_000_000) -> DataFrame:
+    """The rows of docs, all columns as they are, that hold no region; null texts hold none. No document is shuffled."""
+    blocks = Blocks(benchmark, q, rate, size, stride, block_chars)
+    return docs.mapInArrow(tidied(_without(blocks, docs.columns.index("text"), text_chars)), docs.schema)
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
