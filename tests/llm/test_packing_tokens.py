@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from tidewell.llm import op2_packing, op3_token_counts
 from tidewell.llm.tokenizers_io import IdEncoder, PieceCounter, public_path
@@ -48,6 +49,22 @@ def test_token_counts_and_cache(spark, tmp_path):
     counter = PieceCounter(model)
     assert first == sorted((d, len((t or "").encode()), n := len(counter.model.encode(t or "")), n > 4096) for d, t in rows)
     assert op3_token_counts.token_counts(df.limit(0), model).count() == 0
+    # a later version of the table: only what is new is encoded, and copies of one text may be most of the rows
+    more = df.unionByName(spark.createDataFrame([(i, "hot text") for i in range(500)] + [(None, "a"), (None, "a")], "doc_id long, text string")).withColumns({"digest": F.lit(1), "id": F.lit(2), "n": F.lit(3), "n_tokens": F.lit("x")})
+    got = op3_token_counts.token_counts(more, model, cache, hot_rows=50).collect()
+    assert spark.read.parquet(cache).count() == stored + 1
+    n = len(counter.model.encode("hot text"))
+    assert sorted(str((r["doc_id"], r["n_bytes"], r["n_tokens"], r["over_limit"])) for r in got) == sorted(map(str, first + [(i, 8, n, False) for i in range(500)] + [(None, 1, 1, False)] * 2))
+    # another tokenizer's counts aren't taken
+    spark.createDataFrame([(bytes(32), 7, "other")], "digest binary, n_tokens long, tokenizer string").write.mode("append").partitionBy("tokenizer").parquet(cache)
+    assert sorted(map(tuple, op3_token_counts.token_counts(df, model, cache).drop("digest").collect())) == first
+
+
+def test_token_counts_of_the_table(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
+    model = PieceCounter(public_path("piece_bpe_32k.model")).model
+    want = sorted((r["doc_id"], len((r["text"] or "").encode()), n := len(model.encode(r["text"] or "")), n > 4096) for r in docs)
+    assert sorted(map(tuple, op3_token_counts.op3_token_counts(spark, sf).collect())) == want
 
 
 def test_packing(spark, sf):
