@@ -72,11 +72,22 @@ def test_small(spark, chunk):
             rows.append((len(rows) + 10, " ".join(copy)))
     rows += [rows[-1], (None, rows[-1][1]), (10**9, "long " + " ".join(words) * 20)]
     rng.shuffle(rows)
-    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n", F.lit(1))
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({x: F.lit(1) for x in ("n", "node", "component", "a", "b", "order", "row")})
     got = sorted((str(r["doc_id"]), r["n_shingles"], r["component_id"], r["kept"]) for r in op5_minhash.near_duplicates(df, chunk=chunk).collect())
     assert got == brute(rows)
 
 
+def test_doc_id_with_several_texts(spark):
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
+    rows = [(1, text(1)), (1, text(2)), (5, text(2) + " end"), (6, text(1) + " end"), (7, text(3)), (8, text(3) + " end"), (8, text(4)), (9, text(4)), (None, text(4))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r["doc_id"], r["component_id"]) for r in op5_minhash.near_duplicates(df).collect()}
+    assert got == {(1, 1), (5, 1), (6, 1), (7, 7), (8, 7), (9, 7), (None, None)}
+    clash = df.withColumns({"row": F.lit("r"), "order": F.lit(1), "_row": F.lit(2), "_kept": F.lit(3)})
+    left = op5_minhash.one_of_each(clash)
+    assert left.columns == clash.columns and sorted(str(r["doc_id"]) for r in left.collect()) == ["1", "7", "None"]
+
+
 def test_table(spark, sf):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
     got = sorted((str(r["doc_id"]), r["n_shingles"], r["component_id"], r["kept"]) for r in op5_minhash.op5_minhash(spark, sf).collect())

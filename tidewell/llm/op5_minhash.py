@@ -2,18 +2,21 @@
 
 1. Each text becomes its set of word shingles and a circulant MinHash signature (one permutation scatters the set once,
    a second one is shifted circularly for each coordinate).
-2. Documents with equal sets are one node (the smallest doc_id). Nodes that agree in all rows of a band share a bucket.
-3. Every member of a bucket is verified against the bucket's smallest member; components follow from these links.
-4. Buckets whose members are still in several components are searched whole: all pairs across components whose
-   signatures agree often enough are verified. Members beyond `chunk` are dealt to pairs of chunks, so no task holds
-   more than two chunks of a bucket, and only links leave a task, never pairs.
+2. Documents with equal sets are one node (the smallest doc_id). Nodes that agree in all rows of a band share a bucket,
+   whose smallest member is its leader.
+3. Every node is verified against the smallest of its leaders, and components follow; then against those of its other
+   leaders that are still in another component. Both are linear in the members of the buckets.
+4. In a bucket whose members are still in several components, the nodes outside the component with most of them are
+   verified against all nodes of that component, and against each other. Both sides are dealt to chunks, so a task holds
+   two chunks of sets at a time, counts intersections there, and gives links, never pairs.
 5. Components of all links.
 
-With 40 bands of 4 rows a pair at the threshold shares a bucket with probability 1 - 2.5e-7, and one in about ten
-million such pairs agrees in fewer than `least_agree` of the 160 coordinates; links themselves are exact.
+With 40 bands of 4 rows a pair at the threshold shares a bucket with probability 1 - 2.5e-7; links themselves are exact.
 
 Cases: a null text, or one without words, has an empty set and is linked with nothing. Rows with the same doc_id are
-one node: their components are joined. A null doc_id is linked with nothing and kept. Empty tables give no rows.
+one node: their components are joined. A null doc_id is linked with nothing and kept. Ties don't matter: components are
+named by the smallest doc_id. Empty tables give no rows. Texts of any length give their whole set. Other columns are
+ignored by near_duplicates() and kept by one_of_each(), whatever their names.
 """
 
 from __future__ import annotations
@@ -23,9 +26,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
-from tidewell.llm.common import release, tidied, whole_text
+from tidewell.llm.common import tidied, whole_text
 from tidewell.llm.components import connected_components
 from tidewell.llm.op9_decontamination import pieces_of
 from tidewell.llm.shingles import circulant_minhash, mix64, shingle_sets
@@ -102,91 +104,105 @@ def _verify(percent: int):
     return run
 
 
-def _search(percent: int, least_agree: int):
-    def run(key, frame: pd.DataFrame) -> pd.DataFrame:
-        band, _, ci, cj = key
-        frame = frame.sort_values(["doc"], ignore_index=True)
-        marks = np.frombuffer(b"".join(frame["mark"]), np.uint32).reshape(len(frame), -1)
+def _across(percent: int):
+    """Links between the rows of the two sides of a group (left, right) that are in different components."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("doc", ignore_index=True)
+        left, right = np.flatnonzero(frame["left"]), np.flatnonzero(frame["right"])
+        if not len(left) or not len(right):
+            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
         sets = [unpack_set(x) for x in frame["items"]]
-        labels = {}
-        comp = np.array([labels.setdefault(c, len(labels)) for c in frame["component"]])
-        parent = list(range(len(labels)))
-
-        def root(x):
-            while parent[x] != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
-
-        chunk = frame["chunk"].to_numpy()
-        left, right = np.flatnonzero(chunk == ci), np.flatnonzero(chunk == cj)
-        docs, links = frame["doc"].tolist(), []
-        for at in range(0, len(left), 32):
-            rows = left[at : at + 32]
-            agree = (marks[rows][:, None, :] == marks[right][None]).sum(-1)
-            x, y = np.nonzero((agree >= least_agree) & (comp[rows][:, None] != comp[right][None]) & ((rows[:, None] < right[None]) | (ci != cj)))
-            for i, j in zip(rows[x].tolist(), right[y].tolist()):
-                a, b = root(comp[i]), root(comp[j])
-                if a == b:
-                    continue
-                # a pair that meets in several bands is verified in the first of them
-                same = (marks[i] == marks[j]).reshape(BANDS, ROWS).all(1)
-                if same[:band].any():
-                    continue
-                if linked(sets[i], sets[j], percent):
-                    parent[a] = b
-                    links.append((docs[i], docs[j]))
-        return pd.DataFrame(links, columns=["a", "b"]).astype("int64")
+        size = np.array([len(x) for x in sets])
+        _, places = np.unique(np.concatenate(sets), return_inverse=True)
+        begin = np.cumsum(size) - size
+        flat = np.concatenate([places[begin[r] : begin[r] + size[r]] for r in right])
+        starts = np.cumsum(size[right]) - size[right]
+        docs, component = frame["doc"].to_numpy(), frame["component"].to_numpy()
+        held = np.zeros(int(places.max()) + 1, np.int32)
+        a, b = [], []
+        for i in left:
+            own = places[begin[i] : begin[i] + size[i]]
+            held[own] = 1
+            both = np.add.reduceat(held[flat], starts)
+            held[own] = 0
+            hit = right[(100 * both >= percent * (size[i] + size[right] - both)) & (component[right] != component[i])]
+            a.append(np.full(len(hit), docs[i]))
+            b.append(docs[hit])
+        return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
 
     return run
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, least_agree: int = 92, chunk: int = 512) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of docs."""
-    spark = docs.sparkSession
+def _stars(pairs: DataFrame, sets: DataFrame, percent: int, most: int = 1000) -> DataFrame:
+    """The pairs (leader a, node b) that are linked. A leader of many nodes stands in several groups of about `most`."""
+    groups = pairs.groupBy("a").agg(F.ceil(F.count("*") / most).cast("int").alias("groups"))
+    dealt = pairs.join(groups, "a").withColumn("group", F.pmod(F.xxhash64("b"), F.col("groups")).cast("int")).select("a", "b", "group")
+    leaders = groups.join(sets.select(F.col("doc").alias("a"), F.col("items").alias("x")), "a").select("a", "x", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("group"))
+    both = dealt.join(sets.select(F.col("doc").alias("b"), F.col("items").alias("y")), "b").join(leaders, ["a", "group"])
+    return stored(both.mapInArrow(tidied(_verify(percent)), "a long, b long"), "stars")
+
+
+def _dealt(side: DataFrame, group: str, own: int, other: DataFrame, chunk: int) -> DataFrame:
+    """Rows of one side of each group, dealt to chunks and copied to each chunk of the other side.
+
+    other: group and n, the number of rows of the other side.
+    """
+    counts = side.groupBy(group).agg(F.ceil(F.count("*") / chunk).cast("int").alias("chunks"))
+    there = other.select(group, F.ceil(F.col("n") / chunk).cast("int").alias("others"))
+    rows = side.join(counts, group).join(there, group).withColumn("mine", F.pmod(F.xxhash64("doc"), F.col("chunks")).cast("int"))
+    rows = rows.withColumn("its", F.explode(F.sequence(F.lit(0), F.col("others") - 1)))
+    first, second = ("mine", "its") if own == 0 else ("its", "mine")
+    return rows.select(group, F.col(first).alias("ci"), F.col(second).alias("cj"), "doc", "component", F.lit(own == 0).alias("left"), F.lit(own == 1).alias("right"))
+
+
+def _left_over(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int, chunk: int) -> DataFrame:
+    """Step 4: the links between components that share a bucket."""
+    nodes = stored(sets.select("doc").distinct().join(labels.withColumnRenamed("node", "doc"), "doc", "left").select("doc", F.coalesce("component", "doc").alias("component")), "nodes")
+    known = members.select("band", "bucket", "doc").join(nodes, "doc")
+    share = known.groupBy("band", "bucket", "component").agg(F.count("*").alias("n"))
+    tops = share.groupBy("band", "bucket").agg(F.max(F.struct("n", F.col("component").alias("c"))).alias("top"), F.count("*").alias("parts")).where("parts > 1")
+    outside = stored(known.join(tops, ["band", "bucket"]).where(F.col("component") != F.col("top.c")).select(F.struct("band", "bucket").alias("place"), "doc", "component", F.col("top.c").alias("top"), "parts"), "outside")
+
+    def linked_across(left: DataFrame, right: DataFrame, group: str) -> DataFrame:
+        count = lambda side: side.groupBy(group).agg(F.count("*").alias("n"))
+        rows = _dealt(left, group, 0, count(right), chunk).unionByName(_dealt(right, group, 1, count(left), chunk))
+        return rows.join(sets, "doc").groupBy(group, "ci", "cj").applyInPandas(_across(percent), "a long, b long")
+
+    # against the component with most members: a node stands once for all buckets that it shares with it
+    asks = outside.select("top", "doc", "component").distinct()
+    tops = nodes.join(asks.select(F.col("top").alias("component")).distinct(), "component", "left_semi").select(F.col("component").alias("top"), "doc", "component")
+    # against each other, where the others are of several components
+    others = outside.where("parts > 2").select("place", "doc", "component")
+    return stored(linked_across(asks, tops, "top").unionByName(linked_across(others, others, "place")), "across")
+
+
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, chunk: int = 512) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row of docs. chunk: sets of one side that a task compares at once."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
     marked = stored(own.mapInArrow(tidied(_signatures(size)), "doc_id long, n long, k1 long, k2 long, mark binary"), "signatures")
     # nodes: the smallest doc_id of each set
     nodes = marked.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("node"))
     nodes = stored(nodes, "nodes")
-    marks = marked.join(nodes.withColumnRenamed("node", "doc_id"), ["doc_id", "n", "k1", "k2"], "left_semi").select("doc_id", "mark").dropDuplicates(["doc_id"])
-    marks = stored(marks, "marks")
-    bands = marks.mapInArrow(tidied(_bands), "band int, bucket long, doc long")
+    marks = marked.join(nodes.withColumnRenamed("node", "doc_id"), ["doc_id", "n", "k1", "k2"], "left_semi")
+    # a doc_id may stand for several texts
+    bands = marks.dropDuplicates(["doc_id", "k1", "k2"]).select("doc_id", "mark").mapInArrow(tidied(_bands), "band int, bucket long, doc long").distinct()
+    bands = stored(bands, "bands")
     shared = bands.groupBy("band", "bucket").agg(F.min("doc").alias("leader"), F.count("*").alias("members")).where("members > 1")
-    members = stored(bands.join(shared, ["band", "bucket"]), "members")
+    members = stored(bands.join(shared, ["band", "bucket"]).select("band", "bucket", "doc", "leader"), "members")
 
     texts = own.withColumnRenamed("doc_id", "doc").join(members.select("doc").distinct(), "doc", "left_semi")
-    sets = stored(texts.mapInArrow(tidied(_sets(size)), "doc long, items binary").distinct(), "sets")
-
-    release(spark)
-
-    # links to the leaders; the same pair of a document and a leader comes from several bands
-    pairs = members.where("doc <> leader").select(F.col("leader").alias("a"), F.col("doc").alias("b")).distinct()
-    stars = (
-        pairs.join(sets.select(F.col("doc").alias("b"), F.col("items").alias("y")), "b")
-        .join(sets.select(F.col("doc").alias("a"), F.col("items").alias("x")), "a")
-        .mapInArrow(tidied(_verify(percent)), "a long, b long")
-    )
-    stars = stored(stars, "stars")
-    release(spark)
-    labels = connected_components(stars)
+    sets = stored(texts.mapInArrow(tidied(_sets(size)), "doc long, items binary").groupBy("doc", F.xxhash64("items").alias("h")).agg(F.first("items").alias("items")).drop("h"), "sets")
 
-    # buckets across components
-    known = members.join(labels.withColumnRenamed("node", "doc"), "doc", "left").select("band", "bucket", "doc", "members", F.coalesce("component", "doc").alias("component"))
-    several = known.groupBy("band", "bucket").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 <> c2").select("band", "bucket")
-    left = known.join(several, ["band", "bucket"])
-    chunks = F.ceil(F.col("members") / chunk).cast("int")
-    dealt = left.withColumn("chunk", F.pmod(F.xxhash64("doc"), chunks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
-    dealt = dealt.withColumns({"ci": F.least("chunk", "other"), "cj": F.greatest("chunk", "other")})
-    dealt = dealt.join(sets, "doc").join(marks.withColumnRenamed("doc_id", "doc"), "doc")
-    across = dealt.select("band", "bucket", "ci", "cj", "doc", "component", "chunk", "items", "mark").groupBy("band", "bucket", "ci", "cj").applyInPandas(_search(percent, least_agree), "a long, b long")
-    across = stored(across, "across")
-    release(spark)
-    if not across.isEmpty():
-        more = across.unionByName(stars).unionByName(_same_id(nodes, marked))
-        labels = connected_components(more)
-    else:
-        labels = connected_components(stars.unionByName(_same_id(nodes, marked)))
+    # links to the leaders: the smallest leader of each node first, then those of other components
+    pairs = members.where("doc <> leader").select(F.col("leader").alias("a"), F.col("doc").alias("b"))
+    stars = _stars(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), sets, percent)
+    labels = connected_components(stars)
+    of = lambda x: labels.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))
+    apart = pairs.distinct().join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+    stars = stars.unionByName(_stars(apart, sets, percent))
+    across = _left_over(members, connected_components(stars), sets, percent, chunk)
+    labels = connected_components(across.unionByName(stars).unionByName(_same_id(nodes, marked)))
 
     out = marked.select("doc_id", "n", "k1", "k2").join(nodes, ["n", "k1", "k2"], "left").join(labels, "node", "left")
     component = F.when((F.col("n") == 0) | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.coalesce("component", "node"))
@@ -196,13 +212,14 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, least_agr
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of docs, all columns as they are, without all but one of each class of near-duplicates.
 
-    Rows with a null doc_id stay. Of repeated rows one stays.
+    Rows with a null doc_id stay. Of rows with one doc_id the one with the smallest hash of the text stays, of repeated
+    rows any.
     """
-    kept = near_duplicates(docs).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_kept")).distinct()
-    own = docs.where("doc_id IS NOT NULL").join(kept, F.col("doc_id").cast("long") == F.col("_kept"), "left_semi")
-    order = Window.partitionBy("doc_id").orderBy(F.xxhash64(whole_text()))
-    first = own.withColumn("_row", F.row_number().over(order)).where("_row = 1").drop("_row")
-    return first.unionByName(docs.where("doc_id IS NULL"))
+    kept = near_duplicates(docs).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    # the row travels as one column, so its names can't clash with those of the work
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(whole_text()).alias("order"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    first = rows.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by("row", "order").alias("row"))
+    return first.unionByName(rows.where("doc_id IS NULL").select("doc_id", "row")).select("row.*")
 
 
 def _same_id(nodes: DataFrame, marked: DataFrame) -> DataFrame:
