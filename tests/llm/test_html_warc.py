@@ -5,7 +5,9 @@ import html
 import random
 import re
 
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from tidewell.llm import op1_html, op10_warc
 
@@ -181,8 +183,46 @@ def test_warc_round_trip(spark, tmp_path):
         revisit = keeper is not None and i != keeper
         want.append((str(i), len(data), hashlib.sha1(data).hexdigest(), "revisit" if revisit else "response", keeper if revisit else None))
     assert got == sorted(want)
-    again = op10_warc.write_warc(op10_warc.warc_records(pages), f"file://{tmp_path}/v", roll_bytes=700).toPandas()
-    assert sorted(again.sha256) == sorted(manifest.sha256)
+    assert not list((tmp_path / "w").glob(".shard*"))
+    names = []
+    for f in manifest.file:
+        with open(tmp_path / "w" / f, "rb") as stream:
+            names += [op10_warc.parse_record(raw)[0]["WARC-Record-ID"] for _, raw in op10_warc.iterate_members(stream)]
+    assert len(set(names)) == len(names) == len(rows) + len(manifest)
     empty = f"file://{tmp_path}/e"
     op10_warc.write_warc(op10_warc.warc_records(pages.limit(0)), empty)
     assert op10_warc.read_warc(spark, empty).count() == 0
+
+
+def test_warc_files_follow_from_the_table_alone(spark, tmp_path):
+    rng = random.Random(8)
+    rows = [(i if i % 7 else None, f"http://h/{i}", rng.choice("abc") * rng.randint(900, 4000), "x") for i in range(300)] + [(10**6, "u", "long " * 500_000, "y")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, digest string").withColumn("key", F.lit(1))
+    told = []
+    for partitions in (1, 7, 40):
+        spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+        folder = tmp_path / f"p{partitions}"
+        manifest = op10_warc.write_warc(op10_warc.warc_records(pages.repartition(partitions)), f"file://{folder}", roll_bytes=3000, range_bytes=50_000)
+        told.append(sorted((r["file"], r["sha256"], hashlib.sha256((folder / r["file"]).read_bytes()).hexdigest()) for r in manifest.collect()))
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert told[0] == told[1] == told[2] and len(told[0]) > 10 and all(a == b for _, a, b in told[0])
+    assert op10_warc.read_warc(spark, f"file://{folder}").count() == len(rows)
+
+
+def test_warc_task_that_dies_after_its_first_shard(tmp_path):
+    """The rows of a range are written, the attempt dies in the second shard, and the next attempt repeats all."""
+    frame = pd.DataFrame({"range": 3, "key": range(20), "url": None, "html": ["<p>%d</p>" % i * 50 for i in range(20)], "digest": "00" * 20, "n_bytes": 10, "refers_to": None})
+
+    def dying():
+        yield frame[:12]
+        raise RuntimeError("lost")
+
+    write = op10_warc._writer(f"file://{tmp_path}", 900, 5, "1970-01-01T00:00:00Z")
+    with pytest.raises(RuntimeError):
+        list(write(dying()))
+    before = {p.name: p.read_bytes() for p in tmp_path.iterdir()}
+    assert before and not any(n.endswith(".tmp") for n in before)
+    manifest = pd.concat(write(iter([frame])))
+    after = {p.name: p.read_bytes() for p in tmp_path.iterdir()}
+    assert set(after) == set(manifest.file) and before.items() <= after.items() and len(after) > len(before)
+    assert all(hashlib.sha256(after[f]).hexdigest() == sha for f, sha in zip(manifest.file, manifest.sha256))

@@ -2,41 +2,43 @@
 
 write_warc sorts the records by key over ranges, rolls files by compressed size, builds all headers and digests anew,
 writes each file under a temporary name and renames it when it is whole, and ends with a manifest. Only files of the
-manifest count, so an attempt that dies leaves nothing that a reader sees, and an attempt that runs again gives the
-same bytes under the same name.
+manifest count, so an attempt that dies leaves nothing that a reader sees. The borders of the ranges follow from the
+table alone (every `range_bytes` of payload in the order of the keys), so any cluster and any number of partitions gives
+the same files, and an attempt that runs again gives the same bytes under the same name: it leaves a file that is there
+already as it is. Temporary files of dead attempts are deleted at the end.
 
 Of records with equal payloads (equal SHA-1 of at least min_dedup bytes), the one with the largest page_id keeps the
-payload; the others become revisit records that refer to it.
+payload; the others become revisit records that refer to it. A record is named by page_id, digest and its number among
+the equal ones.
 
 Cases: null html is an empty payload; a null url gives a record without target; a null page_id is never referred to
-and sorts first. Repeated rows with the largest page_id are responses all. Empty tables give an empty archive.
+and sorts first. Repeated rows with the largest page_id are responses all. Pages with one page_id stand in the order of
+digest and url. Empty tables give an empty archive. Payloads of any length are written whole. Other columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
 
 import base64
+import bisect
 import hashlib
 import re
 import uuid
 import zlib
 
 import pandas as pd
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import whole_text
+from tidewell.llm.common import filesystem, spread, whole_text
+from tidewell.operators.registry import running_total
 from tidewell.session import new_path, table
 
 MANIFEST = "file string, records long, bytes long, sha256 string, first_page long, last_page long"
 RECORDS = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, file string, at long"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-
-
-def _filesystem(uri: str):
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
+#: Stands for a null page_id in the order of the keys.
+NO_PAGE = -(1 << 63)
 
 
 def _b32(data: bytes) -> str:
@@ -49,17 +51,20 @@ def _record(kind: str, name: str, date: str, body: bytes, more: list[str], conte
     return "\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
 
 
-def _page_record(page_id, url, html, digest: str, n_bytes: int, refers_to, date: str) -> bytes:
+def _urn(page_id: int | None, digest: str, copy: int) -> str:
+    return f"urn:page:{'' if page_id is None else page_id}:{digest}:{copy}"
+
+
+def _page_record(page_id, url, html, digest: str, copy: int, n_bytes: int, refers_to, date: str) -> bytes:
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {n_bytes}\r\n\r\n".encode()
     more = [] if url is None else ["WARC-Target-URI: " + re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url)]
     more.append("WARC-Payload-Digest: sha1:" + base64.b32encode(bytes.fromhex(digest)).decode())
     if refers_to is not None:
-        more += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <urn:page:{refers_to}>"]
+        more += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <{_urn(refers_to, digest, 0)}>"]
         body = http
     else:
         body = http + html.encode()
-    name = f"urn:page:{'' if page_id is None else page_id}"
-    return _record("response" if refers_to is None else "revisit", name, date, body, more, "application/http; msgtype=response")
+    return _record("response" if refers_to is None else "revisit", _urn(page_id, digest, copy), date, body, more, "application/http; msgtype=response")
 
 
 def _member(data: bytes, level: int) -> bytes:
@@ -67,76 +72,139 @@ def _member(data: bytes, level: int) -> bytes:
     return z.compress(data) + z.flush()
 
 
+class _Shard:
+    """A file that is written under a temporary name."""
+
+    def __init__(self, folder: str, name: str, first: int | None):
+        self.fs, self.root = filesystem(folder)
+        self.name, self.first, self.last, self.records, self.bytes, self.sha = name, first, first, 0, 0, hashlib.sha256()
+        self.temporary = f"{self.root}/.{name}.{uuid.uuid4().hex}.tmp"
+        self.stream = self.fs.open_output_stream(self.temporary, compression=None)
+
+    def add(self, member: bytes) -> None:
+        self.stream.write(member)
+        self.sha.update(member)
+        self.bytes += len(member)
+
+    def _there(self) -> bool:
+        from pyarrow import fs
+
+        return self.fs.get_file_info(f"{self.root}/{self.name}").type == fs.FileType.File
+
+    def commit(self) -> tuple:
+        """Renames the file. One that is there comes from an attempt with the same rows, so it holds the same bytes."""
+        self.stream.close()
+        try:
+            if self._there():
+                self.fs.delete_file(self.temporary)
+            else:
+                self.fs.move(self.temporary, f"{self.root}/{self.name}")
+        except OSError:
+            if not self._there():
+                raise
+            self.drop()
+        return self.name, self.records, self.bytes, self.sha.hexdigest(), self.first, self.last
+
+    def drop(self) -> None:
+        try:
+            self.stream.close()
+            self.fs.delete_file(self.temporary)
+        except OSError:
+            pass  # gone already; the writer's end deletes what is left
+
+
 def _writer(folder: str, roll_bytes: int, level: int, date: str):
+    def manifest(rows) -> pd.DataFrame:
+        out = pd.DataFrame(rows, columns=["file", "records", "bytes", "sha256", "first_page", "last_page"])
+        return out.astype({"first_page": "Int64", "last_page": "Int64"})
+
     def run(frames):
-        fs, root = _filesystem(folder)
-        part, seq, out = TaskContext.get().partitionId(), 0, None
+        shard, now, seq = None, None, 0
         told: dict = {}  # (page_id, digest) -> refers_to of the page at hand
-
-        def close():
-            nonlocal out, seq
-            out["stream"].close()
-            fs.move(out["temporary"], f"{root}/{out['name']}")
-            row = (out["name"], out["records"], out["bytes"], out["sha"].hexdigest(), out["first"], out["last"])
-            out, seq = None, seq + 1
-            return row
-
-        for frame in frames:
-            rows = []
-            for page_id, url, html, digest, n_bytes, refers_to in zip(*(frame[c] for c in ("page_id", "url", "html", "digest", "n_bytes", "refers_to"))):
-                page_id, refers_to = (None if pd.isna(x) else int(x) for x in (page_id, refers_to))
-                if html is None:
-                    told = {k: v for k, v in told.items() if k[0] == page_id} | {(page_id, digest): refers_to}
-                    continue
-                refers_to = told.get((page_id, digest))
-                if out is None:
-                    name = f"shard-{part:06d}-{seq:05d}.warc.gz"
-                    temporary = f"{root}/.{name}.{uuid.uuid4().hex}.tmp"
-                    out = {"name": name, "temporary": temporary, "stream": fs.open_output_stream(temporary, compression=None), "records": 0, "bytes": 0, "sha": hashlib.sha256(), "first": page_id, "last": page_id}
-                    info = _record("warcinfo", f"urn:shard:{name}", date, b"format: WARC File Format 1.1\r\n", [f"WARC-Filename: {name}"], "application/warc-fields")
-                    todo = [info]
-                else:
-                    todo = []
-                todo.append(_page_record(page_id, url, html, digest, int(n_bytes), refers_to, date))
-                for data in todo:
-                    member = _member(data, level)
-                    out["stream"].write(member)
-                    out["sha"].update(member)
-                    out["bytes"] += len(member)
-                out["records"] += 1
-                out["last"] = page_id
-                if out["bytes"] >= roll_bytes:
-                    rows.append(close())
-            if rows:
-                yield pd.DataFrame(rows, columns=["file", "records", "bytes", "sha256", "first_page", "last_page"])
-        if out is not None:
-            yield pd.DataFrame([close()], columns=["file", "records", "bytes", "sha256", "first_page", "last_page"])
+        copies: dict = {}  # (page_id, digest) -> records so far, of the page at hand
+        try:
+            for frame in frames:
+                rows = []
+                for range_, key, url, html, digest, n_bytes, refers_to in frame[["range", "key", "url", "html", "digest", "n_bytes", "refers_to"]].itertuples(index=False):
+                    page_id = None if key == NO_PAGE else key
+                    if html is None:
+                        told = {k: v for k, v in told.items() if k[0] == page_id} | {(page_id, digest): int(refers_to)}
+                        continue
+                    if shard and range_ != now:
+                        rows.append(shard.commit())
+                        shard = None
+                    if range_ != now:
+                        now, seq = range_, 0
+                    if shard is None:
+                        name = f"shard-{range_:06d}-{seq:05d}.warc.gz"
+                        shard = _Shard(folder, name, page_id)
+                        shard.add(_member(_record("warcinfo", f"urn:shard:{name}", date, b"format: WARC File Format 1.1\r\n", [f"WARC-Filename: {name}"], "application/warc-fields"), level))
+                    copies = {k: v for k, v in copies.items() if k[0] == page_id}
+                    copy = copies[page_id, digest] = copies.get((page_id, digest), -1) + 1
+                    shard.add(_member(_page_record(page_id, url, html, digest, copy, int(n_bytes), told.get((page_id, digest)), date), level))
+                    shard.records += 1
+                    shard.last = page_id
+                    if shard.bytes >= roll_bytes:
+                        rows.append(shard.commit())
+                        shard, seq = None, seq + 1
+                if rows:
+                    yield manifest(rows)
+            if shard:
+                last, shard = shard, None
+                yield manifest([last.commit()])
+        finally:
+            if shard:
+                shard.drop()
 
     return run
 
 
 def warc_records(pages: DataFrame, min_dedup: int = 1000) -> DataFrame:
-    """page_id, url, html, digest, n_bytes of each page; beside them a row with refers_to and no html for each revisit.
+    """key (page_id, or NO_PAGE), url, html, digest, n_bytes of each page; beside them a row with refers_to and no html for
+    each revisit.
 
     The rows of the second kind come from page_id and digest alone, so the pages themselves are shuffled once, by the
     writer, which reads a page's row after those that tell what it refers to.
     """
-    html = whole_text("html")
-    own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"))
+    key = F.coalesce(F.col("page_id").cast("long"), F.lit(NO_PAGE)).alias("key")
+    own = pages.select(key, F.col("url").cast("string").alias("url"), whole_text("html").alias("html"))
     own = own.withColumns({"digest": F.sha1(F.encode("html", "utf-8")), "n_bytes": F.octet_length("html").cast("long")})
-    small = own.where(F.col("n_bytes") >= min_dedup).select("page_id", "digest")
-    keepers = small.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n")
-    revisits = small.join(keepers, "digest").where(F.col("refers_to").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("refers_to"))).distinct()
+    small = own.where(F.col("n_bytes") >= min_dedup).select("key", "digest")
+    keepers = small.groupBy("digest").agg(F.max("key").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n")
+    revisits = small.join(keepers, "digest").where((F.col("refers_to") != NO_PAGE) & (F.col("key") != F.col("refers_to"))).distinct()
     return own.withColumn("refers_to", F.lit(None).cast("long")).unionByName(revisits, allowMissingColumns=True)
 
 
-def write_warc(records: DataFrame, folder: str, roll_bytes: int = 32_000_000, level: int = 5, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
+def range_borders(records: DataFrame, range_bytes: int, max_ranges: int) -> list[tuple]:
+    """The first (key, digest) of each range of about range_bytes of payload, in order; more bytes where there would be
+    over max_ranges, which bounds what the driver holds. They follow from the rows alone."""
+    keys = records.where("html IS NOT NULL").groupBy("key", "digest").agg(F.sum("n_bytes").alias("total"))
+    run = running_total(keys, ["key", "digest"], "total")
+    total = run.agg(F.max(F.col("before") + F.col("total"))).first()[0] or 0
+    each = max(range_bytes, spread(total, max_ranges))
+    return sorted(tuple(r) for r in run.groupBy(F.floor(F.col("before") / each)).agg(F.min(F.struct("key", "digest")).alias("k")).select("k.*").collect())
+
+
+def write_warc(records: DataFrame, folder: str, roll_bytes: int = 32_000_000, level: int = 5, date: str = "1970-01-01T00:00:00Z", range_bytes: int = 32_000_000, max_ranges: int = 20_000) -> DataFrame:
     """Writes records (as warc_records gives them) below folder; returns the manifest, stored in folder/manifest."""
-    fs, root = _filesystem(folder)
+    spark = records.sparkSession
+    fs, root = filesystem(folder)
     fs.create_dir(root, recursive=True)
-    dealt = records.repartitionByRange("page_id").sortWithinPartitions("page_id", F.col("html").isNotNull(), "url", "digest")
+    borders = range_borders(records, range_bytes, max_ranges)
+
+    @F.pandas_udf("int")
+    def range_of(key: pd.Series, digest: pd.Series) -> pd.Series:
+        return pd.Series([max(0, bisect.bisect_right(borders, k) - 1) for k in zip(key, digest)])
+
+    dealt = records.withColumn("range", range_of("key", "digest")).repartition(max(1, len(borders)), "range")
+    dealt = dealt.sortWithinPartitions("range", "key", "digest", F.col("html").isNotNull(), "url")
     dealt.mapInPandas(_writer(folder, roll_bytes, level, date), MANIFEST).write.parquet(f"{folder}/manifest")
-    return records.sparkSession.read.schema(MANIFEST).parquet(f"{folder}/manifest")
+    # what attempts that died have left
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    for status in files.globStatus(spark._jvm.org.apache.hadoop.fs.Path(path, ".shard-*.tmp")) or []:
+        files.delete(status.getPath(), False)
+    return spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
 
 
 def iterate_members(stream, chunk: int = 1 << 20):
@@ -167,10 +235,10 @@ def parse_record(raw: bytes) -> tuple[dict, bytes]:
 
 def _reader(folder: str):
     def page(x: str):
-        return int(x) if (x := x.strip("<>").removeprefix("urn:page:")) else None
+        return int(x) if (x := x.strip("<>").removeprefix("urn:page:").split(":")[0]) else None
 
     def run(frames):
-        fs, root = _filesystem(folder)
+        fs, root = filesystem(folder)
         for frame in frames:
             for name in frame["file"]:
                 rows = []
