@@ -10,8 +10,10 @@ its good documents. Among the valid cutoffs, the one with the largest difference
 is taken; where none is valid or none rejects bad documents, the rule rejects nothing.
 
 Cases: null texts have no words and fail the base. Documents whose stratum has no labels are judged by the base alone.
-A null language is a stratum of its own. Repeated rows of documents give a row each; several labels of a document
-count once (a document with any label 0 counts as bad). Empty tables give no rows; empty labels give no cutoffs.
+A null language is a stratum of its own. Repeated rows of documents give a row each; of rows with one doc_id the one
+with the smallest (stratum, metrics) is evidence, and several labels of a document count once (a document with any label
+0 counts as bad). Of cutoffs with equal gain the most lenient one is taken. Empty tables give no rows; empty labels give
+no cutoffs. Texts of any length are counted whole. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -124,7 +126,9 @@ def judge(docs: DataFrame, labels: DataFrame, risk: float = 0.02, delta: float =
     features = stored(text_features(docs, "doc_id", "lang"), "features").withColumn("stratum", F.coalesce("lang", F.lit(""))).drop("lang")
     features = features.withColumns(metrics()).withColumn("base_failed", base_failed())
     marks = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg((F.min("quality") > 0).alias("good"))
-    labelled = features.where(~F.col("base_failed")).dropDuplicates(["doc_id"]).join(marks, "doc_id").select("stratum", "good", *GRID)
+    # a document counts once as evidence, however often its row is repeated
+    known = features.where(~F.col("base_failed")).join(marks, "doc_id").groupBy("doc_id").agg(F.min(F.struct("stratum", *GRID)).alias("m"), F.first("good").alias("good"))
+    labelled = known.select("good", "m.*")
     cutoffs = select_cutoffs(labelled, risk, delta)
     # one row per stratum; they are few (languages), yet the join is left to the planner
     wide = cutoffs.groupBy("stratum").agg(*[F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"max_{r}") for r in GRID])
@@ -153,9 +157,10 @@ f AS (SELECT rid, doc_id, stratum, CAST(len(words) AS BIGINT) AS n_words, CAST(l
   len(lines) AS n_lines, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words FROM w LEFT JOIN r USING (rid)),
 q AS (SELECT *, coalesce(n_symbols / nullif(word_chars, 0), 0)::DOUBLE AS symbol_share, coalesce(n_upper / nullif(word_chars, 0), 0)::DOUBLE AS upper_share, coalesce(n_dup_lines / nullif(n_lines, 0), 0)::DOUBLE AS dup_line_share,
   coalesce(n_repeat_words / nullif(n_words, 0), 0)::DOUBLE AS repeat_share, coalesce(word_chars / nullif(n_words, 0), 0)::DOUBLE AS mean_word, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM f),
+ev AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY stratum, {", ".join(GRID)}) AS place FROM q WHERE NOT base_failed) WHERE place = 1),
 lab AS (SELECT doc_id, min(quality) > 0 AS good FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id),
 grid(rule, step, cutoff) AS (VALUES {grid}),
-c AS (SELECT stratum, rule, step, cutoff, count(*) FILTER (good) AS n, count(*) FILTER (NOT good) AS nb, count(*) FILTER (good AND {value} > cutoff) AS k, count(*) FILTER (NOT good AND {value} > cutoff) AS kb FROM q JOIN lab USING (doc_id), grid WHERE NOT base_failed GROUP BY ALL),
+c AS (SELECT stratum, rule, step, cutoff, count(*) FILTER (good) AS n, count(*) FILTER (NOT good) AS nb, count(*) FILTER (good AND {value} > cutoff) AS k, count(*) FILTER (NOT good AND {value} > cutoff) AS kb FROM ev JOIN lab USING (doc_id), grid GROUP BY ALL),
 s AS (SELECT *, CASE WHEN k >= n * {p}::DOUBLE THEN 1.0 ELSE list_sum(list_transform(range(k + 1), lambda j: exp(lgamma(n + 1) - CASE WHEN j > 0 THEN lgamma(j + 1) ELSE 0 END - lgamma(n - j + 1) + j * ln({p}::DOUBLE) + (n - j) * ln(1 - {p}::DOUBLE)))) END AS pv, (SELECT count(DISTINCT stratum) FROM c) AS ns FROM c),
 o AS (SELECT *, bool_and(pv <= {delta} / (ns * {n_rules})) OVER (PARTITION BY stratum, rule ORDER BY step) AS ok, kb / nb - k / n AS gain FROM s),
 b AS (SELECT stratum, rule, cutoff FROM (SELECT *, row_number() OVER (PARTITION BY stratum, rule ORDER BY gain DESC, step) AS place FROM o WHERE ok AND kb > 0 AND gain > 0) WHERE place = 1)

@@ -10,7 +10,10 @@ The join is an equi-join on document and scope (spans are dealt to scopes of `re
 neighbouring scopes on one side), so no pairs beyond the neighbourhood of a span are made.
 
 Cases: null texts are empty: no findings, the digest of the empty string. Rows with the same doc_id and text share
-their findings and give a row each; rows with the same doc_id and other texts are apart. Empty tables give no rows.
+their findings and give a row each; rows with the same doc_id and other texts are apart, and null doc_ids are alike.
+Findings with equal starts are listed in the order of the kinds. Empty tables give no rows. Texts of any length are
+scanned whole, in time that grows with the length and the number of findings. Other columns are ignored by
+find_secrets() and kept by redact(), whatever their names.
 """
 
 from __future__ import annotations
@@ -33,6 +36,8 @@ WEAK = (
 ROLES = {"assign": "secret", "hex": "secret", "weak_secret": "secret", "access": "identifier", "weak_access": "identifier", "weak_account": "identifier", "weak_endpoint": "endpoint"}
 KINDS = [k for k, _ in BASE + WEAK]
 SPAN = "array<struct<start:int,kind:int,stop:int>>"
+#: Steps of a fold that append to one list; a fold that appends to a single list copies it at each step.
+CHUNK = 256
 
 
 def _spans(text: Column, kind: int, pattern: str) -> Column:
@@ -43,8 +48,6 @@ def _spans(text: Column, kind: int, pattern: str) -> Column:
     none = F.array().cast(SPAN)
 
     def placed(found: Column, between: Column) -> Column:
-        start = F.struct(F.lit(0).alias("at"), none.alias("spans"))
-
         def step(acc, i):
             match = F.element_at(found, i)
             begin = acc["at"] + F.length(F.element_at(between, i))
@@ -54,7 +57,13 @@ def _spans(text: Column, kind: int, pattern: str) -> Column:
                 span = F.when(F.length(F.regexp_extract(match, pattern, 2)) >= 6, span).otherwise(none)
             return F.struct(stop.alias("at"), F.concat(acc["spans"], span).alias("spans"))
 
-        return F.aggregate(F.sequence(F.lit(1), F.size(found)), start, step, lambda acc: acc["spans"])
+        def some(acc, first):
+            own = F.sequence(first, F.least(first + CHUNK - 1, F.size(found)))
+            done = F.aggregate(own, F.struct(acc["at"].alias("at"), none.alias("spans")), step)
+            return bind(done, lambda d: F.struct(d["at"].alias("at"), F.concat(acc["lists"], F.array(d["spans"])).alias("lists")))
+
+        start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("lists"))
+        return F.aggregate(F.sequence(F.lit(1), F.size(found), F.lit(CHUNK)), start, some, lambda acc: F.flatten(acc["lists"]))
 
     return bind(
         F.regexp_extract_all(text, F.lit(pattern), 0),
@@ -98,24 +107,44 @@ def find_secrets(docs: DataFrame, reach: int = 200) -> DataFrame:
     return out.select("doc_id", "base", F.coalesce("linked", F.array().cast(SPAN)).alias("linked"), F.col("key")["h1"].alias("text_key"))
 
 
+def _replaced(text: Column, spans: Column, mark: str) -> Column:
+    """text with mark in place of the spans, which are sorted by start; overlapping spans become one mark.
+
+    A chunk of spans cuts its own part of the text, so the text isn't walked from its start for each span.
+    """
+    none = F.array().cast("array<string>")
+
+    def some(acc, first):
+        own = F.slice(spans, first, CHUNK)
+        base, end = acc["at"], F.greatest(acc["at"], F.array_max(F.transform(own, lambda s: s["stop"])))
+
+        def cut(region: Column) -> Column:
+            def step(inner, s):
+                piece = F.substring(region, inner["at"] - base + 1, s["start"] - inner["at"])
+                fresh = F.struct(s["stop"].alias("at"), F.concat(inner["out"], F.array(piece, F.lit(mark))).alias("out"))
+                return F.when(s["start"] >= inner["at"], fresh).otherwise(F.struct(F.greatest(inner["at"], s["stop"]).alias("at"), inner["out"].alias("out")))
+
+            return F.aggregate(own, F.struct(base.alias("at"), none.alias("out")), step)
+
+        done = bind(F.substring(text, base + 1, end - base), cut)
+        return bind(done, lambda d: F.struct(d["at"].alias("at"), F.concat(acc["lists"], F.array(d["out"])).alias("lists")))
+
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<array<string>>").alias("lists"))
+    return F.aggregate(F.sequence(F.lit(1), F.size(spans), F.lit(CHUNK)), start, some, lambda acc: F.concat(F.array_join(F.flatten(acc["lists"]), ""), F.substring(text, acc["at"] + 1, F.length(text))))
+
+
 def redact(docs: DataFrame, reach: int = 200, mark: str = "[secret]") -> DataFrame:
     """docs with every reported span of the text replaced by mark; overlapping spans become one mark.
 
     Null texts stay null. Rows without findings stay as they are.
     """
-    found = find_secrets(docs, reach).select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_h"), F.sort_array(F.concat("base", "linked")).alias("_s")).where(F.size("_s") > 0).dropDuplicates(["_d", "_h"])
-    joined = docs.withColumn("_t", F.xxhash64(whole_text())).join(found, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_t") == F.col("_h")), "left")
-    text = F.col("text")
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-
-    def step(acc, s):
-        piece = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
-        fresh = F.struct(s["stop"].alias("at"), F.concat(acc["out"], F.array(piece, F.lit(mark))).alias("out"))
-        overlap = F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), acc["out"].alias("out"))
-        return F.when((s["start"] >= acc["at"]), fresh).otherwise(overlap)
-
-    clean = F.aggregate("_s", start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
-    return joined.withColumn("text", F.when(F.col("_s").isNull() | text.isNull(), text).otherwise(clean)).select(*docs.columns)
+    found = find_secrets(docs, reach).select("doc_id", F.col("text_key").alias("key"), F.sort_array(F.concat("base", "linked")).alias("spans")).where(F.size("spans") > 0).dropDuplicates(["doc_id", "key"])
+    # the row travels as one column, so its names can't clash with those of the work
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64(whole_text()).alias("its_key"))
+    joined = rows.join(found, F.col("row.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("its_key") == F.col("key")), "left")
+    text = F.col("row.text")
+    clean = F.when(F.col("spans").isNull() | text.isNull(), text).otherwise(_replaced(text, F.col("spans"), mark))
+    return joined.select(F.col("row").withField("text", clean).alias("row")).select("row.*")
 
 
 def without_secrets(docs: DataFrame, reach: int = 200) -> DataFrame:
