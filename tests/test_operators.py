@@ -153,12 +153,18 @@ def test_split_is_exact(spark):
     assert M.stratified_split(df, "y", "id", 0.0).where("split = 'test'").count() == 0
 
 
-def test_scoring_uses_the_cache(spark):
+def test_scoring_uses_the_cache(spark, tmp_path):
     df = spark.createDataFrame([("a",), ("b",), ("b",)], "prompt string")
-    cache = spark.createDataFrame([("a", '{"s": "x"}')], "prompt string, answer string").select(F.sha2("prompt", 256).alias("prompt_hash"), "answer")
+    cache = f"file://{tmp_path}/answers"
+    spark.createDataFrame([("a", '{"s": "x"}')], "prompt string, answer string").select(F.sha2("prompt", 256).alias("prompt_hash"), "answer").write.parquet(cache)
     got = {r["answer"]: r["errors"] for r in M.score_texts(df, cache, lambda p: '{"s": "y"}' if p == "b" else "asked again", {"s": {"type": "string", "required": True, "enum": ["x", "z"]}}).collect()}
     assert got == {'{"s": "x"}': [], '{"s": "y"}': ["s: not allowed"]}
 
+    def never(prompt):
+        raise RuntimeError("asked again")
+
+    assert M.score_texts(df, cache, never, {"s": {"type": "string"}}).count() == 2
+
 
 def test_materialize(spark, tmp_path):
     s = A.ArtifactStore(spark, f"file://{tmp_path}/store")
@@ -182,6 +188,22 @@ def test_materialize(spark, tmp_path):
     for bad in [("nope@v1", {}), ("sql@v1", {}), ("sql@v1", {"sql": 3}), ("sql@v1", {"sql": " "})]:
         with pytest.raises((KeyError, ValueError, TypeError)):
             A.run_transform(bad[0], [df], bad[1])
+    t2 = s.put(df, "2" * 64, tenant="t2", name="mine")
+    assert s.fetch(t2.uri, "t2").count() == s.fetch("mine", "t2").count() == 2
+    with pytest.raises(PermissionError):
+        s.fetch(t2.uri, "t1")
+    with pytest.raises(KeyError):
+        s.fetch("mine", "t1")
+    building = s.begin("3" * 64)
+    with pytest.raises(KeyError):
+        s.fetch(f"artifact://{building[0]}@v={building[1]}")
+    assert not s.delete(t2.id, t2.version, "t1") and s.delete(t2.id, t2.version, "t2") and not s.delete(t2.id, t2.version)
+    with pytest.raises(KeyError):
+        s.fetch("mine", "t2")
+    before = sorted(map(str, s.versions().collect()))
+    s.compact()
+    s.put(df, "4" * 64, name="later")
+    assert set(before) < set(map(str, s.versions().collect())) and s.fetch("later").count() == 2
     assert A.provenance_hash([("a", "1"), ("b", "1")], "t", {}) != A.provenance_hash([("b", "1"), ("a", "1")], "t", {})
 
 
@@ -213,6 +235,91 @@ def test_replay_of_many_files_keeps_older_rows(spark, tmp_path):
     assert got == {(dt.datetime(2024, 1, 1, 6), 2), (dt.datetime(2024, 1, 2, 6), 1999)}
 
 
+def test_shared_folder_is_needed_on_a_cluster():
+    from tidewell.session import shared_dir
+
+    class Context:
+        def __init__(self, master, folder=None):
+            self.master, self.folder = master, folder
+
+        def getConf(self):
+            return {"spark.checkpoint.dir": self.folder}
+
+        def getCheckpointDir(self):
+            return None
+
+        def setCheckpointDir(self, folder):
+            self.set = folder
+
+    spark = type("Session", (), {})()
+    spark.sparkContext = Context("spark://host:7077")
+    with pytest.raises(ValueError):
+        shared_dir(spark)
+    spark.sparkContext = Context("yarn", "hdfs://shared/")
+    assert shared_dir(spark) == "hdfs://shared"
+    spark.sparkContext = Context("local[4]")
+    assert shared_dir(spark).startswith("file:///tmp/spark-")
+
+
+def test_files_fingerprint_and_footers(spark, sf, tmp_path):
+    """The listing's digest against hashes of what the file system tells, and footers that are read without the files."""
+    import hashlib
+
+    from pyspark.sql.functions import col
+
+    folder = tmp_path / "t"
+    spark.range(100).repartition(5).write.parquet(f"file://{folder}")
+    names = [p for p in folder.iterdir() if not p.name.startswith((".", "_"))]
+    entries = [f"{p.name}:{p.stat().st_size}:{p.stat().st_mtime_ns // 10**6 * 1000}" for p in names]
+    parts = {}
+    for e in entries:
+        parts.setdefault(int(hashlib.sha256(e.encode()).hexdigest()[:8], 16) % 4096, []).append(e)
+    digest = lambda x: hashlib.sha256("\n".join(x).encode()).hexdigest()
+    got = S.prefix_fingerprint(spark, f"file://{folder}").first()
+    assert (got["fingerprint"], got["files"]) == (digest([digest(sorted(v)) for _, v in sorted(parts.items())]), len(names))
+    footers = S.footer_statistics(spark, f"file://{folder}").agg({"num_rows": "sum"}).first()[0]
+    assert footers == 100
+    fresh = S.schema_rows(spark, {"t": spark.range(1)}), S.schema_rows(spark, {"t": spark.range(1).select(F.when(col("id") > 5, col("id")).alias("id"))})
+    assert len({S.schema_fingerprints(x).first()["fingerprint"] for x in fresh}) == 2  # nullability counts
+
+
+def test_sequential_rank_iteration(spark, sf):
+    """m23 against the same iteration in Python."""
+    from tidewell.plans import fixtures as X
+    from tidewell.plans import registry
+
+    nodes = [r["node"] for r in X.nodes(spark, sf).collect()]
+    links = [(r["src"], r["dst"]) for r in X.links(spark, sf).collect()]
+    out = {}
+    for a, _ in links:
+        out[a] = out.get(a, 0) + 1
+    rank, k = {n: 1 / len(nodes) for n in nodes}, 0
+    for k in range(1, 31):
+        new = {n: 0.15 / len(nodes) for n in nodes}
+        for a, b in links:
+            new[b] += 0.85 * rank[a] / out[a]
+        moved, rank = sum(abs(new[n] - rank[n]) for n in nodes), new
+        if moved < 1e-4:
+            break
+    got = {r["node"]: (r["rank"], r["iterations"]) for r in registry.m23(spark, sf).collect()}
+    assert set(got) == set(nodes) and all(abs(got[n][0] - rank[n]) < 1e-7 and got[n][1] == k for n in nodes)
+
+
+def test_vectors_and_models(spark, sf):
+    """x4 against the encoder on the driver; x7 and x10 against what their models predict and weigh."""
+    from tidewell.plans import modelling
+
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = {r["doc_id"]: r["vector"] for r in modelling.x4(spark, sf).collect()}
+    assert got == dict(zip(docs, M.hashing_vectors(list(docs.values()), 32)))
+    rows = [(i, float(i % 7), float((i * 13) % 11), int(i % 7 > 3), "test" if i % 4 == 0 else "train") for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, tells double, noise double, y int, split string")
+    table, models = M.fit_and_compare(df, ["tells", "noise"], "y")
+    assert {r["model"]: (r["train_accuracy"], r["test_accuracy"]) for r in table.collect()}["random_forest"] == (1.0, 1.0)
+    weights = models["random_forest"].featureImportances
+    assert weights[0] > 0.9 and abs(sum(weights) - 1) < 1e-9
+
+
 def test_jdbc_options():
     with pytest.raises(ValueError):
         S.jdbc_options("jdbc:x", "SELECT 1", "k")

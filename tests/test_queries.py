@@ -33,5 +33,5 @@ def test_query(name, spark, sf, con):
 
 def test_inventory():
     """Most queries have a counterpart in SQL; the others are listed, with why."""
-    without = {"p3_filter_fingerprint", "p14_table_fingerprint", "s14_schema_rows", "s15_schema_fingerprint", "s16_freshness", "s17_prefix_fingerprint", "s24_stale_statistics", "m6_refresh", "m8_finalize_and_name", "m23_iterate", "g8_cycles", "v9_daily_quota", "f12_order_sizing", "x4_embed", "x5_score", "x7_compare_models", "x10_feature_importance"}
+    without = {"s17_prefix_fingerprint", "m23_iterate", "x4_embed", "x7_compare_models", "x10_feature_importance"}
     assert set(QUERIES) - set(SQL) == without

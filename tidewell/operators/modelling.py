@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -61,15 +61,19 @@ def embed(df: DataFrame, key: str, text: str, model: Callable[[Sequence[str | No
     return df.select(key, text).mapInArrow(run, f"{key} {dict(df.dtypes)[key]}, vector array<double>")
 
 
-def score_texts(prompts: DataFrame, cache: DataFrame, client: Callable[[str], str], rules: dict[str, dict], retries: int = 3) -> DataFrame:
-    """prompt_hash, answer, errors for the distinct prompts (column prompt): those in cache (prompt_hash, answer) as they are.
+ANSWERS = "prompt_hash string, answer string"
 
-    Only new prompts reach the client; an answer that breaks the rules is asked for again, up to retries times, and the
-    last one is kept with its errors.
+
+def score_texts(prompts: DataFrame, cache_path: str, client: Callable[[str], str], rules: dict[str, dict], retries: int = 3) -> DataFrame:
+    """prompt_hash, answer, errors for the distinct prompts (column prompt), by a cache of answers at cache_path.
+
+    Only prompts without an answer in the cache reach the client, and their answers are stored there before anything is
+    returned, so they are asked for once, however often the result is read. An answer that breaks the rules is asked for
+    again, up to retries times, and the last one is kept with its errors.
     """
+    spark = prompts.sparkSession
     own = prompts.select(F.sha2("prompt", 256).alias("prompt_hash"), "prompt").dropDuplicates(["prompt_hash"])
-    known = own.join(cache, "prompt_hash").select("prompt_hash", "answer")
-    fresh = own.join(cache.select("prompt_hash"), "prompt_hash", "left_anti")
+    fresh = own.join(answers(spark, cache_path).select("prompt_hash"), "prompt_hash", "left_anti")
 
     def ask(frames):
         import json
@@ -84,22 +88,30 @@ def score_texts(prompts: DataFrame, cache: DataFrame, client: Callable[[str], st
             return all(not (r.get("required") and doc.get(k) is None) and not ("enum" in r and doc.get(k) not in r["enum"]) for k, r in rules.items())
 
         for f in frames:
-            answers = []
+            out = []
             for p in f["prompt"]:
                 for _ in range(retries):
                     answer = client(p)
                     if good(answer):
                         break
-                answers.append(answer)
-            yield pd.DataFrame({"prompt_hash": f["prompt_hash"], "answer": answers})
+                out.append(answer)
+            yield pd.DataFrame({"prompt_hash": f["prompt_hash"], "answer": out})
+
+    fresh.mapInPandas(ask, ANSWERS).write.mode("append").parquet(cache_path)
+    return own.select("prompt_hash").join(answers(spark, cache_path), "prompt_hash").withColumn("errors", json_errors(F.col("answer"), rules))
+
 
-    asked = fresh.mapInPandas(ask, "prompt_hash string, answer string")
-    return known.unionByName(asked).withColumn("errors", json_errors(F.col("answer"), rules))
+def answers(spark: SparkSession, path: str) -> DataFrame:
+    """The answers of a cache, one of each prompt; no rows where nothing is stored yet."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return spark.createDataFrame([], ANSWERS)
+    return spark.read.schema(ANSWERS).parquet(path).groupBy("prompt_hash").agg(F.min("answer").alias("answer"))
 
 
 def stub_client(prompt: str) -> str:
     """Answers like a model would, from the prompt's digest alone."""
-    h = int(hashlib.sha256(prompt.encode()).hexdigest(), 16)
+    h = int(hashlib.sha256(prompt.encode()).hexdigest()[:8], 16)
     return '{"sentiment": "%s", "priority": %d}' % (("good", "bad", "mixed")[h % 3], h % 5)
 
 

@@ -121,6 +121,8 @@ def size_orders(signals: DataFrame, cap: float, exposure: float, budget: int, le
     Each order takes |strength| * cap, clamped by what is left of the exposure. Read as a stream of sorted rows, like
     the quota above.
     """
+    import math
+
     import pandas as pd
 
     def run(frames):
@@ -132,7 +134,7 @@ def size_orders(signals: DataFrame, cap: float, exposure: float, budget: int, le
                     at, left, n = r.portfolio, exposure, 0
                 if n >= budget or left <= 0 or r.held or not r.price or r.price <= 0 or abs(r.strength) < least:
                     continue
-                qty = int(min(abs(r.strength) * cap, left) // r.price)
+                qty = math.floor(min(abs(r.strength) * cap, left) / r.price)
                 if qty <= 0:
                     continue
                 out.append((r.portfolio, r.seq, "buy" if r.strength > 0 else "sell", qty))
@@ -140,7 +142,8 @@ def size_orders(signals: DataFrame, cap: float, exposure: float, budget: int, le
             if out:
                 yield pd.DataFrame(out, columns=["portfolio", "seq", "side", "qty"])
 
-    dealt = signals.repartition("portfolio").sortWithinPartitions("portfolio", "seq")
+    # signals of one seq stand in the order of their other columns
+    dealt = signals.repartition("portfolio").sortWithinPartitions("portfolio", "seq", "ticker", "strength", "price", "held")
     return dealt.mapInPandas(run, "portfolio long, seq long, side string, qty long")
 
 

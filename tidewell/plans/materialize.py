@@ -108,26 +108,34 @@ def all_tables(spark, d):
     return {n: t(spark, d, n) for n in ("customer", "events", "lineitem", "nation", "orders", "part", "region", "supplier")}
 
 
-@query("s14_schema_rows")
+_TYPES = "CASE data_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'VARCHAR' THEN 'string' WHEN 'DOUBLE' THEN 'double' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' ELSE lower(data_type) END"
+_COLUMNS = f"SELECT table_name, CAST(ordinal_position - 1 AS INTEGER) AS ordinal, column_name, {_TYPES} AS type, is_nullable = 'YES' AS nullable FROM information_schema.columns WHERE table_name IN ('customer', 'events', 'lineitem', 'nation', 'orders', 'part', 'region', 'supplier')"
+
+
+@query("s14_schema_rows", _COLUMNS)
 def s14(spark, d):
     return S.schema_rows(spark, all_tables(spark, d))
 
 
-@query("s15_schema_fingerprint")
+@query("s15_schema_fingerprint", f"SELECT table_name, sha256(string_agg(e, ',' ORDER BY e)) AS fingerprint FROM (SELECT table_name, column_name || ':' || type || ':' || nullable AS e FROM ({_COLUMNS})) GROUP BY table_name")
 def s15(spark, d):
     return S.schema_fingerprints(S.schema_rows(spark, all_tables(spark, d)))
 
 
-@query("s16_freshness")
+@query("s16_freshness", "SELECT * FROM (VALUES ('after', true, true), ('before', false, true), ('missing', true, true)) v(state, changed, known)")
 def s16(spark, d):
-    """The token of a table's files before and after an append; a missing table has a token of its own."""
+    """Whether the token of a table's files changed by an append (against the one before); a missing table has the token of
+    the word missing."""
     path = new_path(spark, "fresh")
     o = t(spark, d, "orders").select("o_orderkey", "o_orderdate")
     o.where("o_orderkey % 2 = 0").write.parquet(path)
     before = stored(S.prefix_fingerprint(spark, path).withColumn("state", F.lit("before")), "token")
     o.where("o_orderkey % 2 <> 0").write.mode("append").parquet(path)
     after = S.prefix_fingerprint(spark, path).withColumn("state", F.lit("after"))
-    return before.unionByName(after).unionByName(S.prefix_fingerprint(spark, path + "-missing").withColumn("state", F.lit("missing")))
+    tokens = before.unionByName(after).unionByName(S.prefix_fingerprint(spark, path + "-missing").withColumn("state", F.lit("missing")))
+    first = before.select(F.col("fingerprint").alias("first"))
+    known = F.when(F.col("state") == "missing", F.col("fingerprint") == F.sha2(F.lit("missing"), 256)).otherwise(F.col("files") > 0)
+    return tokens.crossJoin(first).select("state", (F.col("fingerprint") != F.col("first")).alias("changed"), known.alias("known"))
 
 
 @query("s17_prefix_fingerprint")
@@ -180,15 +188,18 @@ def s23(spark, d):
     return S.after_high_water(e, e.where((F.col("event_id") % 4 == 0) & (F.col("ts") < F.lit(datetime(2024, 1, 20)).cast("timestamp_ntz"))), "ts", 7)
 
 
-@query("s24_stale_statistics")
+@query("s24_stale_statistics", "SELECT 'changed' AS reason, CAST(2 AS BIGINT) AS n UNION ALL SELECT 'gone', 1")
 def s24(spark, d):
+    """Of four recorded files two have another length by now; another one was recorded and is gone; remote ones never are."""
     path = new_path(spark, "stats")
-    o = t(spark, d, "orders").select("o_orderkey", F.pmod("o_orderkey", F.lit(3)).alias("k"))
-    o.repartition(3, "k").write.parquet(path)
-    recorded = stored(S.listing(spark, path).where(F.col("path").contains("part-")), "listing")
-    changed = recorded.withColumn("length", F.when(F.xxhash64("path") % 2 == 0, F.col("length") + 1).otherwise(F.col("length")))
-    gone = recorded.limit(1).withColumn("path", F.concat("path", F.lit("-gone")))
-    return S.stale_statistics(changed.unionByName(gone), S.listing(spark, path)).groupBy("reason").agg(F.count("*").alias("n"))
+    t(spark, d, "orders").select("o_orderkey", F.pmod("o_orderkey", F.lit(4)).alias("k")).write.partitionBy("k").option("maxRecordsPerFile", 0).parquet(path)
+    now = S.listing(spark, path).where(F.col("path").contains("/part-"))
+    # one row for each k: the number of files of a partition follows the number of tasks
+    recorded = stored(now.groupBy(F.regexp_extract("path", r"/k=(\d+)/", 1).alias("k")).agg(F.min_by(F.struct("path", "length", "modificationTime"), "path").alias("f")).select("k", "f.*"), "listing")
+    changed = recorded.withColumn("length", F.when(F.col("k").isin("1", "3"), F.col("length") + 1).otherwise(F.col("length"))).drop("k")
+    gone = recorded.where("k = '0'").drop("k").withColumn("path", F.concat("path", F.lit("-gone")))
+    remote = recorded.where("k = '0'").drop("k").withColumn("path", F.lit("s3://bucket/part-0.parquet"))
+    return S.stale_statistics(changed.unionByName(gone).unionByName(remote), now).groupBy("reason").agg(F.count("*").alias("n"))
 
 
 # ---------------------------------------------------------------- 2.10, with writes
@@ -210,19 +221,98 @@ def m5(spark, d):
     return b.df.withColumns({"first_hit": F.lit(a.hit), "second_hit": F.lit(b.hit)}).crossJoin(n)
 
 
-@query("m6_refresh")
+_GROUPS = "(SELECT count(DISTINCT c_mktsegment) FROM orders JOIN customer ON o_custkey = c_custkey)"
+
+
+@query("m6_refresh", f"SELECT 'ready' AS state, {_GROUPS} AS row_count, CAST(2 AS BIGINT) AS versions, CAST(2 AS BIGINT) AS hashes")
 def m6(spark, d):
     s, _, _, inputs = twice(spark, d)
     s.materialize(inputs, "sql@v1", {"sql": _JOIN}, refresh=True)
     return s.versions().groupBy("state", "row_count").agg(F.count("*").alias("versions"), F.count_distinct("provenance_hash").alias("hashes"))
 
 
-@query("m8_finalize_and_name")
+@query("m8_finalize_and_name", f"SELECT 'segments' AS name, 'ready' AS state, {_GROUPS} AS row_count, true AS same")
 def m8(spark, d):
     s, a, _, _ = twice(spark, d)
     return s.names().join(s.versions().select("id", "version", "state", "row_count"), ["id", "version"]).select("name", "state", "row_count", (F.col("id") == a.id).alias("same"))
 
 
+@query("m7_finalize", "SELECT * FROM (VALUES ('late', 1, 'failed'), ('late', 2, 'failed'), ('early', 1, 'ready')) v(id, version, state)")
+def m7b(spark, d):
+    """Two builds of one result: the second one to get ready is marked as failed, and finalizing again changes nothing."""
+    s, df = store(spark), t(spark, d, "nation")
+    first, second = s.begin("h", id_="late"), s.begin("h", id_="early")
+    for at in (first, second):
+        df.write.parquet(s.payload(*at))
+    s.finalize(*second, 25)
+    s.finalize(*second, 25)
+    s.finalize(*first, 25)
+    third = s.begin("h", id_="late")
+    s.fail(*third)
+    return s.versions().select("id", F.col("version").cast("int").alias("version"), "state")
+
+
+@query("m16_delete_version", f"SELECT 'kept' AS name, 'balances' AS id, CAST(1 AS BIGINT) AS version, count(*) AS row_count FROM customer WHERE c_acctbal > 0")
+def m16b(spark, d):
+    """A version goes with its names in one commit; other versions and names stay."""
+    s, c = store(spark), t(spark, d, "customer").select("c_custkey", "c_acctbal")
+    s.put(c.where("c_acctbal > 0"), "a" * 64, name="kept", id_="balances")
+    gone = s.put(c.where("c_acctbal < 0"), "b" * 64, name="gone", id_="balances")
+    s.set_name("also gone", gone.id, gone.version)
+    s.delete(gone.id, gone.version)
+    s.compact()
+    return s.names().join(s.versions().select("id", "version", "row_count"), ["id", "version"]).select("name", "id", "version", "row_count")
+
+
+@query("m17_preview", "SELECT 'regions' AS id, CAST(1 AS BIGINT) AS version, count(*) AS row_count, 'struct<r_regionkey:bigint,r_name:string>' AS schema, string_agg('{\"r_regionkey\":' || r_regionkey || ',\"r_name\":\"' || r_name || '\"}', ';' ORDER BY r_regionkey) AS preview FROM region")
+def m17b(spark, d):
+    s = store(spark)
+    s.put(t(spark, d, "region").select(F.col("r_regionkey").cast("long").alias("r_regionkey"), "r_name"), "r" * 64, name="regions", id_="regions")
+    return s.preview("regions", n=10).select("id", "version", "row_count", "schema", F.array_join("preview", ";").alias("preview"))
+
+
+@query("m17_cell_artifacts", "SELECT * FROM (VALUES ('total', NULL::BIGINT, 1::BIGINT), ('total', NULL, 2), ('carry', 0, 1), ('carry', 1, 1)) v(variable, iteration, version)")
+def m17c(spark, d):
+    """The ready versions of the variables of one cell, loop iterations among them; a cell whose name goes on is another."""
+    s, df = store(spark), t(spark, d, "region")
+    for id_, n in (("cell1:total", 2), ("cell1:carry@iter=0", 1), ("cell1:carry@iter=1", 1), ("cell10:total", 1)):
+        for k in range(n):
+            s.put(df, f"{id_}{k}", id_=id_)
+    s.begin("unfinished", id_="cell1:total")
+    return s.of_cell("cell1").select("variable", "iteration", "version")
+
+
+@query("k4_tenant_fetch", "SELECT * FROM (VALUES ('own', 'read'), ('shared', 'read'), ('other', 'denied'), ('unfinished', 'missing'), ('all', 'read')) v(what, outcome)")
+def k4b(spark, d):
+    """What a tenant may fetch by URI: its own versions and those without a tenant, if they are ready."""
+    s, df = store(spark), t(spark, d, "region")
+    own, other, shared = (s.put(df, k, tenant=tenant, id_=k) for k, tenant in (("own", "t1"), ("other", "t2"), ("shared", None)))
+    half = s.begin("half", tenant="t1")
+    out = []
+    for what, uri, tenant in (("own", own.uri, "t1"), ("shared", shared.uri, "t1"), ("other", other.uri, "t1"), ("unfinished", f"artifact://{half[0]}@v={half[1]}", "t1"), ("all", other.uri, None)):
+        try:
+            s.fetch(uri, tenant)
+            out.append((what, "read"))
+        except PermissionError:
+            out.append((what, "denied"))
+        except KeyError:
+            out.append((what, "missing"))
+    return spark.createDataFrame(out, "what string, outcome string")
+
+
+@query("m23_resume", "WITH RECURSIVE g AS (SELECT r_regionkey AS k, CAST(r_regionkey AS BIGINT) AS x, 0 AS i FROM region UNION ALL SELECT k, (x * 3 + 1) % 1000003, i + 1 FROM g WHERE i < 7) SELECT k, x, CAST(7 AS BIGINT) AS iterations, CAST(8 AS BIGINT) AS stored FROM g WHERE i = 7")
+def m23b(spark, d):
+    """A loop that is stopped after 4 iterations and goes on from the third one to the seventh."""
+    s = store(spark)
+    start = t(spark, d, "region").select(F.col("r_regionkey").alias("k"), F.col("r_regionkey").cast("long").alias("x"))
+    step = lambda c: c.select("k", ((F.col("x") * 3 + 1) % 1_000_003).alias("x"))
+    never = lambda a, b: False
+    s.iterate("loop", "carry", start, step, never, 4)
+    out, k = s.iterate("loop", "carry", start, step, never, 7, start_from=3)
+    n = s.iterations("loop", "carry").agg(F.count("*").alias("stored"))
+    return out.withColumn("iterations", F.lit(k).cast("long")).crossJoin(n)
+
+
 @query("m18_sql_transform", "SELECT n_name, count(*) AS n, '{input0}' AS text FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY n_name")
 def m18(spark, d):
     return A.sql_transform(spark, "SELECT n_name, count(*) AS n, '{input0}' AS text FROM input0 JOIN input1 ON s_nationkey = n_nationkey GROUP BY n_name", [t(spark, d, "supplier"), t(spark, d, "nation")])

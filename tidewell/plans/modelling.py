@@ -8,7 +8,7 @@ from tidewell.functions import columns as C
 from tidewell.operators import modelling as M
 from tidewell.plans.base import query
 from tidewell.plans.relational import _CASES, TOPICS
-from tidewell.session import table
+from tidewell.session import new_path, table
 
 
 @query("x3_row_function", f"SELECT doc_id, CASE {_CASES} ELSE 'other' END AS topic FROM documents")
@@ -32,14 +32,32 @@ def x4(spark, d):
     return M.embed(table(spark, d, "documents"), "doc_id", "text")
 
 
-@query("x5_score")
-def x5(spark, d):
-    """Scores of all turns, when the answers to a third of the prompts are cached already."""
+def scored(spark, d):
+    """A cache that holds the answers to a third of the prompts, and the scores of all after two calls on it."""
     turns = table(spark, d, "conversations")
     prompts = turns.select(C.render("Rate this {{ role }} turn: {{ text }}", {"role": F.col("role"), "text": F.col("text")}).alias("prompt"), "conv_id")
-    cache = prompts.where("conv_id % 3 = 0").select(F.sha2("prompt", 256).alias("prompt_hash"), F.lit('{"sentiment": "good", "priority": 1}').alias("answer")).dropDuplicates(["prompt_hash"])
+    cache = new_path(spark, "answers")
+    prompts.where("conv_id % 3 = 0").select(F.sha2("prompt", 256).alias("prompt_hash"), F.lit(_KNOWN).alias("answer")).dropDuplicates(["prompt_hash"]).write.parquet(cache)
     rules = {"sentiment": {"type": "string", "required": True, "enum": ["good", "bad", "mixed"]}, "priority": {"type": "int", "required": True, "maximum": 3}}
-    return M.score_texts(prompts, cache, M.stub_client, rules)
+    M.score_texts(prompts, cache, M.stub_client, rules)
+    return cache, M.score_texts(prompts, cache, M.stub_client, rules)
+
+
+_KNOWN = '{"sentiment": "good", "priority": 1}'
+_PROMPTS = """WITH p AS (SELECT 'Rate this ' || role || ' turn: ' || text AS prompt, conv_id % 3 = 0 AS known FROM conversations),
+ q AS (SELECT sha256(prompt) AS prompt_hash, bool_or(known) AS known, CAST('0x' || substr(sha256(prompt), 1, 8) AS BIGINT) AS h FROM p GROUP BY prompt) """
+
+
+@query("x5_score", _PROMPTS + f"""SELECT prompt_hash, CASE WHEN known THEN '{_KNOWN}' ELSE '{{"sentiment": "' || ['good', 'bad', 'mixed'][h % 3 + 1] || '", "priority": ' || h % 5 || '}}' END AS answer,
+ CASE WHEN NOT known AND h % 5 = 4 THEN ['priority: above 3'] ELSE CAST([] AS VARCHAR[]) END AS errors FROM q""")
+def x5(spark, d):
+    return scored(spark, d)[1]
+
+
+@query("x5_answers_stored", _PROMPTS + "SELECT prompt_hash, CAST(1 AS BIGINT) AS times FROM q")
+def x5b(spark, d):
+    """How often each answer is stored: the second call finds all and asks for nothing."""
+    return spark.read.schema(M.ANSWERS).parquet(scored(spark, d)[0]).groupBy("prompt_hash").agg(F.count("*").alias("times"))
 
 
 @query("x6_stratified_split", "SELECT quality, CAST(floor(count(*) * 0.2::DOUBLE) AS BIGINT) AS test, count(*) - CAST(floor(count(*) * 0.2::DOUBLE) AS BIGINT) AS train FROM labels GROUP BY quality")

@@ -67,7 +67,12 @@ def v8(spark, d):
     return savings(X.runs(spark, d)).groupBy("cell").agg(F.count("*").alias("runs"), F.count_if(hit).alias("hits"), F.count_if(~hit).alias("misses"), F.sum(F.when(~hit, F.col("ms"))).alias("run_ms"), F.sum("earned").alias("saved_ms"), F.max_by("ms", "seq").alias("last_ms"))
 
 
-@query("v9_daily_quota")
+_QUOTA = """q AS (SELECT build_id, bytes_out, coalesce(tenant, '') AS t, CAST(created_at AS DATE) AS day, row_number() OVER (PARTITION BY coalesce(tenant, ''), CAST(created_at AS DATE) ORDER BY created_at, build_id) AS n FROM reg_builds),
+ run(t, day, n, build_id, accepted, used) AS (SELECT t, day, n, build_id, bytes_out <= 3000000, CASE WHEN bytes_out <= 3000000 THEN bytes_out ELSE 0 END FROM q WHERE n = 1
+ UNION ALL SELECT q.t, q.day, q.n, q.build_id, used + bytes_out <= 3000000, CASE WHEN used + bytes_out <= 3000000 THEN used + bytes_out ELSE used END FROM run JOIN q ON q.t = run.t AND q.day = run.day AND q.n = run.n + 1)"""
+
+
+@query("v9_daily_quota", w(B, _QUOTA) + "SELECT build_id, accepted FROM run")
 def v9(spark, d):
     from tidewell.operators.rollups import accept_within_quota
 
@@ -311,7 +316,9 @@ def g7(spark, d):
     return G.levels(X.nodes(spark, d), X.links(spark, d))[0]
 
 
-@query("g8_cycles")
+# the links go from smaller or equal nodes, so the graph as it is has no other cycles than links from a node to itself
+@query("g8_cycles", w(GRAPH, "r(node) AS (SELECT min(node) FROM nodes UNION SELECT dst FROM r JOIN links ON src = node)", "s(node) AS (SELECT src FROM links WHERE src = dst UNION SELECT dst FROM s JOIN links ON src = node)") + """SELECT 'as it is' AS graph, (SELECT count(*) FROM s) AS stuck
+ UNION ALL SELECT 'with a cycle', (SELECT count(*) FROM (SELECT node FROM s UNION SELECT node FROM r WHERE (SELECT max(node) FROM nodes) IN (SELECT node FROM r)))""")
 def g8(spark, d):
     """Nodes on or behind a cycle, for the graph as it is and with one edge turned back to the first node."""
     nodes, links = X.nodes(spark, d), X.links(spark, d)

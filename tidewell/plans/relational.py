@@ -32,7 +32,10 @@ for _name, _op in {"eq": "=", "ne": "!=", "lt": "<", "le": "<=", "gt": ">", "ge"
     )
 
 
-@query("p3_filter_fingerprint")
+_F1 = "substr(md5('l_discount <= float:0.05|l_quantity > float:10.0'), 1, 16)"
+
+
+@query("p3_filter_fingerprint", f"SELECT count(*) AS n, {_F1} AS f1, {_F1} AS f2, 'nofilter' AS f0 FROM lineitem WHERE l_quantity > 10 AND l_discount <= 0.05")
 def p3(spark, d):
     """The rows that each filter set selects, under the set's fingerprint; the order of filters doesn't matter."""
     a = [("l_quantity", ">", 10.0), ("l_discount", "<=", 0.05)]
@@ -100,11 +103,15 @@ def p13(spark, d):
     return R.preview(df, ["s_suppkey"], 5).select(F.col("s_suppkey").cast("long").alias("s_suppkey"), "s_name", "rows", "columns")
 
 
-@query("p14_table_fingerprint")
+@query("p14_table_fingerprint", "SELECT count(*) AS rows, count(*) FILTER (o_orderkey % 1000 = 1) > 0 AS changed, false AS changed_by_order FROM orders")
 def p14(spark, d):
+    """Whether the digest of a table tells that some rows were edited, and that they only came in another order."""
     before = t(spark, d, "orders")
     after = before.withColumn("o_totalprice", F.when(F.col("o_orderkey") % 1000 == 1, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")))
-    return R.fingerprint(before, "before").unionByName(R.fingerprint(after, "after"))
+    moved = before.repartition(7, F.xxhash64("o_orderdate"))
+    digest = lambda df, label: R.fingerprint(df, label).select("rows", F.struct("rows", "xor", "sum").alias(label))
+    all_ = digest(before, "a").crossJoin(digest(after, "b").drop("rows")).crossJoin(digest(moved, "c").drop("rows"))
+    return all_.select("rows", (F.col("a") != F.col("b")).alias("changed"), (F.col("a") != F.col("c")).alias("changed_by_order"))
 
 
 @query("p15_budgeted_rows", """

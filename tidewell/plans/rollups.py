@@ -156,7 +156,16 @@ def w19(spark, d):
     return totals.join(R.nearest_rank(e, ["phase"], "value"), "phase")
 
 
-@query("f12_order_sizing")
+_SIZED = """WITH RECURSIVE s AS (SELECT l_suppkey AS portfolio, CAST(l_orderkey * 10 + l_linenumber AS BIGINT) AS seq, l_partkey AS ticker, l_discount * 10 - 0.5::DOUBLE AS strength, l_extendedprice / l_quantity / 100 AS price, l_returnflag = 'R' AS held FROM lineitem),
+ c AS (SELECT *, row_number() OVER (PARTITION BY portfolio ORDER BY seq, ticker, strength, price) AS i FROM s WHERE NOT held AND price > 0 AND abs(strength) >= 0.05),
+ run(portfolio, i, seq, strength, qty, room, n) AS (
+ SELECT portfolio, i, seq, strength, floor(least(abs(strength) * 2000.0::DOUBLE, 10000.0::DOUBLE) / price), CASE WHEN floor(least(abs(strength) * 2000.0::DOUBLE, 10000.0::DOUBLE) / price) > 0 THEN 10000.0::DOUBLE - floor(least(abs(strength) * 2000.0::DOUBLE, 10000.0::DOUBLE) / price) * price ELSE 10000.0::DOUBLE END, CASE WHEN floor(least(abs(strength) * 2000.0::DOUBLE, 10000.0::DOUBLE) / price) > 0 THEN 1 ELSE 0 END FROM c WHERE i = 1
+ UNION ALL SELECT portfolio, i, seq, strength, q, CASE WHEN q > 0 THEN room - q * price ELSE room END, CASE WHEN q > 0 THEN n + 1 ELSE n END FROM (
+ SELECT c.*, room, n, CASE WHEN n >= 20 OR room <= 0 THEN 0 ELSE floor(least(abs(c.strength) * 2000.0::DOUBLE, room) / c.price) END AS q FROM run JOIN c ON c.portfolio = run.portfolio AND c.i = run.i + 1))
+ SELECT portfolio, seq, CASE WHEN strength > 0 THEN 'buy' ELSE 'sell' END AS side, CAST(qty AS BIGINT) AS qty FROM run WHERE qty > 0"""
+
+
+@query("f12_order_sizing", _SIZED)
 def f12(spark, d):
     k = F.col("l_orderkey") * 10 + F.col("l_linenumber")
     s = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("portfolio"), k.alias("seq"), F.col("l_partkey").alias("ticker"), (F.col("l_discount") * 10 - 0.5).alias("strength"), (F.col("l_extendedprice") / F.col("l_quantity") / 100).alias("price"), (F.col("l_returnflag") == "R").alias("held"))

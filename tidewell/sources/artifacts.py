@@ -1,8 +1,10 @@
 """Materialization: results identified by what made them, stored once, as immutable versions.
 
-An artifact store is a folder. Versions are rows of an append-only table of state events, the state of a version is its
-newest event. A payload is a Parquet folder that is written before its version is declared ready, and never changed.
-There is one writer per store; readers see a version when its event is there.
+An artifact store is a folder. Versions and names are rows of one append-only table of events: the state of a version is
+its newest event, and a name points where its newest event says. One append is one commit, so what belongs together
+(a version that is ready, and its name) is in one event. A payload is a Parquet folder that is written before its version
+is declared ready, and never changed. There is one writer per store; readers see a version when its event is there.
+Small files of events are merged by compact(), which writes a new generation beside the old one.
 """
 
 from __future__ import annotations
@@ -15,11 +17,11 @@ import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-EVENTS = "id string, version long, state string, provenance_hash string, row_count long, at double, transform string, inputs map<string,string>, tenant string"
-NAMES = "name string, tenant string, id string, version long, at double"
+#: state is null for an event that only names; name is null for one that only tells a state; a name without an id is gone.
+EVENTS = "id string, version long, state string, provenance_hash string, row_count long, at double, transform string, inputs map<string,string>, tenant string, name string"
 
 TRANSFORMS: dict[str, tuple[Callable, dict[str, type]]] = {}
 
@@ -105,30 +107,54 @@ class ArtifactStore:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    # ---- tables
-    def _read(self, name: str, schema: str) -> DataFrame:
+    # ---- the table of events
+    def _path(self, name: str):
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.root}/{name}")
-
-    def _append(self, name: str, schema: str, rows: list[tuple]) -> None:
-        self.spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{self.root}/{name}")
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _generation(self) -> int:
+        """The newest complete generation of the events."""
+        path, fs = self._path("events")
+        done = [s.getPath().getParent().getName() for s in fs.globStatus(self.spark._jvm.org.apache.hadoop.fs.Path(path, "g=*/_SUCCESS")) or []]
+        return max((int(n[2:]) for n in done), default=0)
+
+    def events(self) -> DataFrame:
+        path, fs = self._path(f"events/g={self._generation()}")
+        return self.spark.read.schema(EVENTS).parquet(path.toString()) if fs.exists(path) else self.spark.createDataFrame([], EVENTS)
+
+    def _append(self, *rows: dict) -> None:
+        """One commit of some events."""
+        names = [c.split()[0] for c in EVENTS.split(", ")]
+        at = time.time()
+        full = [tuple((r | {"at": at}).get(n) for n in names) for r in rows]
+        self.spark.createDataFrame(full, EVENTS).coalesce(1).write.mode("append").parquet(f"{self.root}/events/g={self._generation()}")
+
+    def compact(self, files: int = 1) -> None:
+        """Writes all events anew in few files; readers go over to them when they are complete."""
+        now = self._generation()
+        self.events().repartition(files).write.parquet(f"{self.root}/events/g={now + 1}")
+        old, fs = self._path(f"events/g={now}")
+        fs.delete(old, True)
 
     def versions(self) -> DataFrame:
-        """The newest event of each version."""
-        e = self._read("events", EVENTS)
-        fields = [f.name for f in e.schema.fields if f.name not in ("id", "version")]
-        return e.groupBy("id", "version").agg(F.max_by(F.struct(*fields), "at").alias("e")).select("id", "version", "e.*")
+        """The newest state of each version; deleted ones are left out."""
+        e = self.events().where("state IS NOT NULL")
+        fields = [f.name for f in e.schema.fields if f.name not in ("id", "version", "name")]
+        return e.groupBy("id", "version").agg(F.max_by(F.struct(*fields), "at").alias("e")).select("id", "version", "e.*").where("state <> 'deleted'")
 
     def names(self) -> DataFrame:
-        n = self._read("names", NAMES)
-        return n.groupBy("tenant", "name").agg(F.max_by(F.struct("id", "version", "at"), "at").alias("n")).select("name", "tenant", "n.*").where("id IS NOT NULL")
+        """Names of versions that are ready."""
+        n = self.events().where("name IS NOT NULL").withColumn("tenant", F.coalesce("tenant", F.lit("")))
+        newest = n.groupBy("tenant", "name").agg(F.max_by(F.struct("id", "version", "at"), "at").alias("n")).select("name", "tenant", "n.*").where("id IS NOT NULL")
+        return newest.join(self.versions().where("state = 'ready'").select("id", "version"), ["id", "version"], "left_semi")
+
+    def version(self, id_: str, version: int) -> Row | None:
+        return self.versions().where((F.col("id") == id_) & (F.col("version") == version)).first()
 
     # ---- writing
     def find(self, digest: str, tenant: str | None = None) -> tuple[str, int] | None:
         """The newest ready version with this hash; the hash is filtered in the files."""
-        hit = self._read("events", EVENTS).where((F.col("provenance_hash") == digest) & (F.coalesce("tenant", F.lit("")) == (tenant or "")))
+        hit = self.events().where("state IS NOT NULL").where((F.col("provenance_hash") == digest) & (F.coalesce("tenant", F.lit("")) == (tenant or "")))
         newest = hit.groupBy("id", "version").agg(F.max_by("state", "at").alias("state"), F.max("at").alias("at")).where("state = 'ready'")
         row = newest.orderBy(F.desc("at")).select("id", "version").first()
         return (row["id"], row["version"]) if row else None
@@ -136,26 +162,66 @@ class ArtifactStore:
     def payload(self, id_: str, version: int) -> str:
         return f"{self.root}/payload/{id_}/v={version}"
 
-    def put(self, df: DataFrame, digest: str, transform: str = "put@v1", inputs: Sequence[tuple[str, str]] = (), name: str | None = None, tenant: str | None = None, id_: str | None = None) -> Artifact:
-        """Stores df as the next version of id_ (a new id without one): payload, then ready, then the name."""
+    def begin(self, digest: str, transform: str = "put@v1", inputs: Sequence[tuple[str, str]] = (), tenant: str | None = None, id_: str | None = None) -> tuple[str, int]:
+        """Declares the next version of id_ (a new id without one) as building."""
         id_ = id_ or digest[:16]
-        top = self._read("events", EVENTS).where(F.col("id") == id_).agg(F.max("version").alias("v")).first()["v"]
+        top = self.events().where(F.col("id") == id_).agg(F.max("version").alias("v")).first()["v"]
         version = (top or 0) + 1
-        common = (digest, None, time.time(), transform, dict(inputs), tenant)
-        self._append("events", EVENTS, [(id_, version, "building", *common)])
+        self._append({"id": id_, "version": version, "state": "building", "provenance_hash": digest, "transform": transform, "inputs": dict(inputs), "tenant": tenant})
+        return id_, version
+
+    def finalize(self, id_: str, version: int, row_count: int | None = None, name: str | None = None) -> tuple[str, int]:
+        """Declares a version ready, and names it, in one commit; returns the version that holds the result.
+
+        A version that is ready already stays as it is. If another version of the same hash and tenant got ready meanwhile,
+        this one is marked as failed and the other one is returned (and named).
+        """
+        v = self.version(id_, version)
+        if v is None or v["state"] == "failed":
+            raise ValueError(f"{id_}@v={version} isn't being built")
+        own = {k: v[k] for k in ("id", "version", "provenance_hash", "transform", "inputs", "tenant")}
+        other = None if v["state"] == "ready" else self.find(v["provenance_hash"], v["tenant"])
+        if v["state"] == "ready" or other:
+            kept = other or (id_, version)
+            events = [own | {"state": "failed"}] if other else []
+            if name:
+                events.append({"id": kept[0], "version": kept[1], "tenant": v["tenant"], "name": name})
+            if events:
+                self._append(*events)
+            return kept
+        self._append(own | {"state": "ready", "row_count": row_count, "name": name})
+        return id_, version
+
+    def fail(self, id_: str, version: int) -> None:
+        """Marks a version as failed; one that is ready stays ready."""
+        v = self.version(id_, version)
+        if v is not None and v["state"] == "building":
+            self._append({k: v[k] for k in ("id", "version", "provenance_hash", "transform", "inputs", "tenant")} | {"state": "failed"})
+
+    def delete(self, id_: str, version: int, tenant: str | None = None) -> bool:
+        """Deletes a version and with it its names, in one commit, and then the payload; False if there is none."""
+        v = self.version(id_, version)
+        if v is None or not _may_read(v["tenant"], tenant):
+            return False
+        self._append({k: v[k] for k in ("id", "version", "provenance_hash", "tenant")} | {"state": "deleted"})
+        path, fs = self._path(f"payload/{id_}/v={version}")
+        fs.delete(path, True)
+        return True
+
+    def put(self, df: DataFrame, digest: str, transform: str = "put@v1", inputs: Sequence[tuple[str, str]] = (), name: str | None = None, tenant: str | None = None, id_: str | None = None) -> Artifact:
+        """Stores df as the next version of id_ (a new id without one): the payload, then ready and the name in one commit.
+
+        If another version of the same hash is ready by then, that one is returned."""
+        id_, version = self.begin(digest, transform, inputs, tenant, id_)
         path = self.payload(id_, version)
         try:
             df.write.parquet(path)
-            stored = self.spark.read.schema(df.schema).parquet(path)
-            rows = stored.count()
+            rows = self.spark.read.schema(df.schema).parquet(path).count()
         except Exception:
-            self._append("events", EVENTS, [(id_, version, "failed", digest, None, time.time(), transform, dict(inputs), tenant)])
+            self.fail(id_, version)
             raise
-        self._append("events", EVENTS, [(id_, version, "ready", digest, rows, time.time(), transform, dict(inputs), tenant)])
-        out = Artifact(stored, id_, version, False)
-        if name:
-            self.set_name(name, out.id, out.version, tenant)
-        return out
+        kept = self.finalize(id_, version, rows, name)
+        return Artifact(self.spark.read.schema(df.schema).parquet(self.payload(*kept)), *kept, kept != (id_, version))
 
     def materialize(self, inputs: Sequence[tuple[str, str, DataFrame]], transform: str, params: dict, name: str | None = None, tenant: str | None = None, refresh: bool = False) -> Artifact:
         """The stored result of the same inputs, transform and parameters, or a new one. inputs: (uri, version, frame)."""
@@ -170,24 +236,82 @@ class ArtifactStore:
         return self.put(run_transform(transform, [df for *_, df in inputs], params), digest, transform, pairs, name, tenant)
 
     def set_name(self, name: str, id_: str, version: int, tenant: str | None = None) -> None:
-        ready = self.versions().where((F.col("id") == id_) & (F.col("version") == version) & (F.col("state") == "ready") & (F.coalesce("tenant", F.lit("")) == (tenant or "")))
-        if ready.isEmpty():
+        v = self.version(id_, version)
+        if v is None or v["state"] != "ready" or (v["tenant"] or "") != (tenant or ""):
             raise ValueError(f"{id_}@v={version} is not a ready version of this tenant")
-        self._append("names", NAMES, [(name, tenant or "", id_, version, time.time())])
+        self._append({"id": id_, "version": version, "tenant": tenant, "name": name})
 
     def delete_name(self, name: str, tenant: str | None = None) -> None:
-        self._append("names", NAMES, [(name, tenant or "", None, None, time.time())])
+        self._append({"tenant": tenant, "name": name})
 
     # ---- reading
-    def fetch(self, ref: str, tenant: str | None = None) -> DataFrame:
-        """By artifact://id@v=N or by name."""
+    def resolve(self, ref: str, tenant: str | None = None) -> Row:
+        """The version that artifact://id@v=N or a name stands for. It must be ready, and of this tenant or of none;
+        without a tenant every version may be read."""
         m = re.fullmatch(r"artifact://(.+)@v=(\d+)", ref)
         if m:
-            return self.spark.read.parquet(self.payload(m[1], int(m[2])))
-        row = self.names().where((F.col("name") == ref) & (F.col("tenant") == (tenant or ""))).first()
-        if row is None:
-            raise KeyError(f"no artifact is named {ref}")
-        return self.spark.read.parquet(self.payload(row["id"], row["version"]))
+            v = self.version(m[1], int(m[2]))
+        else:
+            row = self.names().where((F.col("name") == ref) & (F.col("tenant") == (tenant or ""))).first()
+            v = row and self.version(row["id"], row["version"])
+        if v is None or v["state"] != "ready":
+            raise KeyError(f"no artifact that is ready: {ref}")
+        if not _may_read(v["tenant"], tenant):
+            raise PermissionError(f"{ref} belongs to another tenant")
+        return v
+
+    def fetch(self, ref: str, tenant: str | None = None) -> DataFrame:
+        """By artifact://id@v=N or by name."""
+        v = self.resolve(ref, tenant)
+        return self.spark.read.parquet(self.payload(v["id"], v["version"]))
+
+    def preview(self, ref: str, tenant: str | None = None, n: int = 5) -> DataFrame:
+        """One row: id, version, row_count, n_bytes of the payload, its schema, and its first n rows as JSON."""
+        v = self.resolve(ref, tenant)
+        df = self.spark.read.parquet(self.payload(v["id"], v["version"]))
+        path, fs = self._path(f"payload/{v['id']}/v={v['version']}")
+        size = fs.getContentSummary(path).getLength()
+        head = df.limit(n).agg(F.array_sort(F.collect_list(F.to_json(F.struct("*")))).alias("preview"))
+        fixed = [F.lit(x).alias(k) for k, x in (("id", v["id"]), ("version", v["version"]), ("row_count", v["row_count"]), ("n_bytes", size), ("schema", df.schema.simpleString()))]
+        return head.select(*fixed, "preview")
+
+    def of_cell(self, cell: str) -> DataFrame:
+        """The ready versions of the variables of a cell: ids are cell:variable, and cell:variable@iter=K in loops."""
+        own = self.versions().where((F.col("state") == "ready") & F.startswith("id", F.lit(f"{cell}:")))
+        rest = F.substring("id", len(cell) + 2, 1 << 30)
+        parts = [F.regexp_extract(rest, r"^(.*?)(?:@iter=(\d+))?$", i) for i in (1, 2)]
+        return own.select(parts[0].alias("variable"), F.when(parts[1] != "", parts[1].cast("long")).alias("iteration"), "id", "version", "row_count")
+
+    # ---- loops
+    def iterations(self, cell: str, variable: str) -> DataFrame:
+        """iteration, version: the newest ready version of each stored iteration."""
+        own = self.of_cell(cell).where((F.col("variable") == variable) & F.col("iteration").isNotNull())
+        return own.groupBy("iteration").agg(F.max("version").alias("version"))
+
+    def iterate(self, cell: str, variable: str, carry: DataFrame, step: Callable, until: Callable, max_iter: int, tenant: str | None = None, start_from: int | None = None) -> tuple[DataFrame, int]:
+        """carry, step(carry), ... until until(before, after) or max_iter. Each carry is a version of cell:variable@iter=K,
+        which also cuts the plan. start_from: goes on from a stored iteration (-1: the last one) instead of carry."""
+        name = lambda k: f"{cell}:{variable}@iter={k}"
+        digest = lambda k: provenance_hash([(name(k), uuid.uuid4().hex)], "loop@v1", {})
+        first = 0
+        if start_from is None:
+            carry = self.put(carry, digest(0), "loop@v1", tenant=tenant, id_=name(0)).df
+        else:
+            known = {r["iteration"]: r["version"] for r in self.iterations(cell, variable).collect()}
+            first = max(known, default=None) if start_from == -1 else start_from
+            if first not in known:
+                raise KeyError(f"iteration {start_from} of {cell}:{variable} isn't stored")
+            carry = self.spark.read.parquet(self.payload(name(first), known[first]))
+        for k in range(first + 1, max_iter + 1):
+            after = self.put(step(carry), digest(k), "loop@v1", tenant=tenant, id_=name(k)).df
+            if until(carry, after):
+                return after, k
+            carry = after
+        return carry, max(first, max_iter)
+
+
+def _may_read(owner: str | None, tenant: str | None) -> bool:
+    return tenant is None or owner is None or owner == tenant
 
 
 def run_script(spark: SparkSession, statements: Sequence[str]) -> DataFrame:

@@ -84,18 +84,29 @@ FOOTER = "path string, row_group int, num_rows long, bytes long, column_name str
 
 
 def footer_statistics(spark: SparkSession, path: str) -> DataFrame:
-    """Row-group statistics from Parquet footers alone, a row for each row group and column."""
+    """Row-group statistics from Parquet footers alone, a row for each row group and column.
+
+    The files are listed without their contents; a task opens its files and reads their ends. Only in a file system that
+    pyarrow doesn't know, the files are read whole by Spark.
+    """
+    seekable = re.match(r"/|(file|hdfs|s3a?|gs):", path) is not None
 
     def read(frames):
         import io
 
         import pandas as pd
         import pyarrow.parquet as pq
+        from pyarrow import fs
 
         for frame in frames:
             rows = []
             for p, content in zip(frame["path"], frame["content"]):
-                meta = pq.read_metadata(io.BytesIO(content))
+                if content is None:
+                    files, inner = fs.FileSystem.from_uri(re.sub("^s3a:", "s3:", p))
+                    with files.open_input_file(inner) as f:
+                        meta = pq.read_metadata(f)
+                else:
+                    meta = pq.read_metadata(io.BytesIO(content))
                 for g in range(meta.num_row_groups):
                     group = meta.row_group(g)
                     for c in range(group.num_columns):
@@ -105,7 +116,8 @@ def footer_statistics(spark: SparkSession, path: str) -> DataFrame:
                         rows.append((p, g, group.num_rows, group.total_byte_size, col.path_in_schema, str(s.min) if has else None, str(s.max) if has else None, s.null_count if s is not None and s.has_null_count else None))
             yield pd.DataFrame(rows, columns=["path", "row_group", "num_rows", "bytes", "column_name", "min", "max", "nulls"]).astype({"nulls": "Int64"})
 
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path).select("path", "content").mapInPandas(read, FOOTER)
+    files = binary_files(spark, path, "*.parquet")
+    return files.select("path", F.lit(None).cast("binary").alias("content") if seekable else "content").mapInPandas(read, FOOTER)
 
 
 def may_match(op: str, value: object, low: Column, high: Column) -> Column:
@@ -171,18 +183,34 @@ def difference(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- listings
-def listing(spark: SparkSession, path: str) -> DataFrame:
+def listing(spark: SparkSession, path: str, names: str = "*") -> DataFrame:
     """path, length and modification time of the files below path; contents aren't read."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length", "modificationTime")
+    return binary_files(spark, path, names).select("path", "length", "modificationTime")
+
+
+def binary_files(spark: SparkSession, path: str, names: str = "*") -> DataFrame:
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", names).load(path)
 
 
-def prefix_fingerprint(spark: SparkSession, path: str) -> DataFrame:
-    """SHA-256 over the sorted name:size:time of the files below path; for a missing path over the word missing."""
+def prefix_fingerprint(spark: SparkSession, path: str, parts: int = 4096) -> DataFrame:
+    """A digest of the name:size:time of the files below path, in any order; for a missing path of the word missing.
+
+    The files are dealt to `parts` by a hash of their names; the digest of each part's sorted entries comes first, then
+    the digest of the parts' digests, so no task holds all entries.
+    """
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
         return spark.range(1).select(F.sha2(F.lit("missing"), 256).alias("fingerprint"), F.lit(0).cast("long").alias("files"))
     entry = F.concat_ws(":", F.element_at(F.split("path", "/"), -1), "length", F.unix_micros("modificationTime"))
-    return listing(spark, path).agg(F.sha2(F.concat_ws("\n", F.array_sort(F.collect_list(entry))), 256).alias("fingerprint"), F.count("*").alias("files"))
+    return entries_fingerprint(listing(spark, path).select(entry.alias("entry")), parts)
+
+
+def entries_fingerprint(entries: DataFrame, parts: int = 4096) -> DataFrame:
+    """fingerprint, files: over the strings entry."""
+    part = F.conv(F.substring(F.sha2("entry", 256), 1, 8), 16, 10).cast("long") % parts
+    own = entries.groupBy(part.alias("part")).agg(F.sha2(F.concat_ws("\n", F.array_sort(F.collect_list("entry"))), 256).alias("d"), F.count("*").alias("n"))
+    joined = F.transform(F.array_sort(F.collect_list(F.struct("part", "d"))), lambda x: x["d"])
+    return own.agg(F.sha2(F.concat_ws("\n", joined), 256).alias("fingerprint"), F.coalesce(F.sum("n"), F.lit(0)).alias("files"))
 
 
 def stale_statistics(recorded: DataFrame, current: DataFrame) -> DataFrame:
@@ -201,8 +229,9 @@ def schema_rows(spark: SparkSession, frames: dict[str, DataFrame]) -> DataFrame:
 
 
 def schema_fingerprints(columns: DataFrame) -> DataFrame:
-    """SHA-256 per table over its sorted column:type."""
-    return columns.groupBy("table_name").agg(F.sha2(F.concat_ws(",", F.array_sort(F.collect_list(F.concat_ws(":", "column_name", "type")))), 256).alias("fingerprint"))
+    """SHA-256 per table over its sorted column:type:nullable."""
+    entry = F.concat_ws(":", "column_name", "type", F.col("nullable").cast("string"))
+    return columns.groupBy("table_name").agg(F.sha2(F.concat_ws(",", F.array_sort(F.collect_list(entry))), 256).alias("fingerprint"))
 
 
 def jdbc_options(url: str, query: str, partition_column: str | None = None, bounds: tuple[int, int] | None = None, partitions: int = 8) -> dict[str, str]:
