@@ -75,6 +75,20 @@ def spread(n_rows: int, per_task: int) -> int:
     return max(1, -(-int(n_rows) // per_task))
 
 
+def partition_keys(spark: SparkSession, n: int) -> list[int]:
+    """For each of n partitions a number that repartition(n, column) sends there, so that numbered work is dealt evenly.
+
+    The numbers come from Spark's own hash function; if a partition were left without one, it would share another's.
+    """
+    found: dict[int, int] = {}
+    tried = 4 * n + 64
+    while len(found) < n and tried < 10_000 * n:
+        numbers = spark.range(tried).select(F.col("id").cast("int").alias("k"))
+        rows = numbers.groupBy(F.pmod(F.hash("k"), F.lit(n)).alias("p")).agg(F.min("k").alias("k")).collect()
+        found, tried = {r["p"]: r["k"] for r in rows}, 4 * tried
+    return [found.get(p, p) for p in range(n)]
+
+
 def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value computed once: a lambda variable, so that the optimizer can't repeat its expression."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import filesystem, spread, whole_text
+from tidewell.llm.common import filesystem, partition_keys, spread, whole_text
 from tidewell.operators.registry import running_total
 from tidewell.session import new_path, table
 
@@ -185,18 +185,20 @@ def range_borders(records: DataFrame, range_bytes: int, max_ranges: int) -> list
     return sorted(tuple(r) for r in run.groupBy(F.floor(F.col("before") / each)).agg(F.min(F.struct("key", "digest")).alias("k")).select("k.*").collect())
 
 
-def write_warc(records: DataFrame, folder: str, roll_bytes: int = 32_000_000, level: int = 5, date: str = "1970-01-01T00:00:00Z", range_bytes: int = 32_000_000, max_ranges: int = 20_000) -> DataFrame:
+def write_warc(records: DataFrame, folder: str, roll_bytes: int = 32_000_000, level: int = 5, date: str = "1970-01-01T00:00:00Z", range_bytes: int = 24_000_000, max_ranges: int = 20_000) -> DataFrame:
     """Writes records (as warc_records gives them) below folder; returns the manifest, stored in folder/manifest."""
     spark = records.sparkSession
     fs, root = filesystem(folder)
     fs.create_dir(root, recursive=True)
     borders = range_borders(records, range_bytes, max_ranges)
+    tasks = partition_keys(spark, max(1, len(borders)))
 
-    @F.pandas_udf("int")
-    def range_of(key: pd.Series, digest: pd.Series) -> pd.Series:
-        return pd.Series([max(0, bisect.bisect_right(borders, k) - 1) for k in zip(key, digest)])
+    @F.pandas_udf("range int, task int")
+    def dealt_to(key: pd.Series, digest: pd.Series) -> pd.DataFrame:
+        ranges = [max(0, bisect.bisect_right(borders, k) - 1) for k in zip(key, digest)]
+        return pd.DataFrame({"range": ranges, "task": [tasks[r] for r in ranges]})
 
-    dealt = records.withColumn("range", range_of("key", "digest")).repartition(max(1, len(borders)), "range")
+    dealt = records.withColumn("to", dealt_to("key", "digest")).select("*", "to.range", "to.task").drop("to").repartition(len(tasks), "task")
     dealt = dealt.sortWithinPartitions("range", "key", "digest", F.col("html").isNotNull(), "url")
     dealt.mapInPandas(_writer(folder, roll_bytes, level, date), MANIFEST).write.parquet(f"{folder}/manifest")
     # what attempts that died have left

@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import spread, tidied, whole_text
+from tidewell.llm.common import partition_keys, spread, tidied, whole_text
 from tidewell.session import table
 
 RESULT = "page_id long, url string, text string, n_chars long, n_lines long, n_shared long, partner long"
@@ -319,13 +319,18 @@ def main_text(pages: DataFrame, block_rows: int = 250, max_blocks: int = 10_000,
     block_rows = max(block_rows, spread(n, max_blocks))
     first, extra = block_edges(own.select(*KEY), block_rows) if n > block_rows else ([], {})
 
-    @F.pandas_udf("array<struct<block:int,own:boolean>>")
+    tasks = partition_keys(pages.sparkSession, spread(max(1, len(first)), blocks_per_task))
+
+    @F.pandas_udf("array<struct<block:int,own:boolean,task:int>>")
     def seen_by(host: pd.Series, path: pd.Series, id_: pd.Series, tie: pd.Series) -> pd.Series:
-        keys = list(zip(host, path, id_, tie))
-        return pd.Series([[{"block": max(0, bisect.bisect_right(first, k) - 1), "own": True}, *({"block": b, "own": False} for b in extra.get(k, ()))] for k in keys])
+        def seen(key):
+            own = max(0, bisect.bisect_right(first, key) - 1)
+            return [{"block": b, "own": b == own, "task": tasks[b // blocks_per_task]} for b in (own, *extra.get(key, ()))]
+
+        return pd.Series([seen(k) for k in zip(host, path, id_, tie)])
 
-    dealt = own.withColumn("to", F.explode(seen_by(*KEY))).select("no_id", "url", "html", *KEY, "to.block", "to.own")
-    return dealt.repartition(spread(n, block_rows * blocks_per_task), "block").sortWithinPartitions("block", *KEY).mapInPandas(tidied(_difference), RESULT)
+    dealt = own.withColumn("to", F.explode(seen_by(*KEY))).select("no_id", "url", "html", *KEY, "to.block", "to.own", "to.task")
+    return dealt.repartition(len(tasks), "task").sortWithinPartitions("block", *KEY).mapInPandas(tidied(_difference), RESULT)
 
 
 def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
