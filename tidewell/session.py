@@ -48,8 +48,23 @@ def new_path(spark: SparkSession, label: str) -> str:
     return os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
 
 
+#: Spark's setting that deletes the shuffle files of a query when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, label: str = "stage") -> DataFrame:
-    """Writes df as Parquet into the shared folder and reads it back: cuts the lineage, survives lost executors."""
-    path = new_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Writes df as Parquet into the shared folder and reads it back: cuts the lineage, survives lost executors.
+
+    The shuffle files of the write are deleted when it ends (where this version of Spark has a setting for that): nothing
+    else reads them, and a job of many steps would pile them up.
+    """
+    spark, path = df.sparkSession, new_path(df.sparkSession, label)
+    before = spark.conf.get(CLEANUP) if spark.conf.isModifiable(CLEANUP) else None
+    try:
+        if before is not None:
+            spark.conf.set(CLEANUP, "true")
+        df.write.parquet(path)
+    finally:
+        if before is not None:
+            spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
