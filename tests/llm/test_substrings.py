@@ -59,6 +59,15 @@ def test_table(spark, sf):
     assert got(op4_substrings.op4_substrings(spark, sf)) == brute(rows)
 
 
+def test_clashing_columns_and_long_texts(spark):
+    rng = random.Random(2)
+    long = "".join(rng.choice("abcdefgh ") for _ in range(300_000))
+    rows = [(5, long), (3, "x" + long[1000:2000] + "y"), (4, long[250_000:]), (4, long[250_000:]), (9, "z" * 100_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    clash = df.selectExpr("*", "1 AS copy", "'a' AS states", "2 AS windows", "3 AS batch", "4 AS bucket", "true AS open")
+    assert got(op4_substrings.remove_repeats(clash)) == brute(rows)
+
+
 def test_empty(spark):
     assert op4_substrings.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import gc
 import sys
-import time
 from collections.abc import Callable
 
 from pyspark.sql import Column, SparkSession
@@ -54,17 +52,6 @@ def filesystem(uri: str):
     return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner delete the shuffle files of steps whose results are stored and that nothing refers to.
-
-    They go when the driver's JVM finds them unreachable; the second collection sees what the first one has detached.
-    """
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
-
-
 def whole_text(column: str = "text") -> Column:
     """The text, with null read as empty."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

@@ -1,7 +1,7 @@
 """Exact removal of byte strings that repeat across documents.
 
 The method dealt (a Burrows-Wheeler transform of the collection that grows by one symbol of every document a round)
-needs as many passes over the collection as the longest document has bytes; the README gives the reckoning. This is
+doesn't fit the limits, even over short overlapping pieces of the documents; the README gives the reckoning. This is
 another method with the same result: content-defined anchors, resolved by shuffles of packed arrays.
 
 * The hash of every `GRAM`-byte string is taken; in each window of `LENGTH` bytes the smallest hash marks an anchor.
@@ -14,12 +14,17 @@ another method with the same result: content-defined anchors, resolved by shuffl
 
 Within a batch of documents an occurrence that a smaller document of the batch settles isn't sent, nor are more than
 `PER_BATCH` surroundings of a string: a mark takes their place, and all that is left of a marked string is open. So a
-string of any frequency gives a bounded number of entries a batch in round 1. Entries travel as arrays, a row for each batch and bucket; the
-number of buckets follows the bytes of the input. Hashes of 88 (round 1) and 96 bits (round 2) stand for the strings.
+string of any frequency gives a bounded number of entries a batch in round 1. Entries travel as arrays, a row for each
+batch and bucket that has any; the number of buckets follows the bytes of the input.
+
+Hashes stand for the strings: of 88 bits in round 1 and 96 bits in round 2, within the entries of one bucket. Among
+n entries of a round a false match has a probability of at most n^2 / 2^89 (2^97); for 100 TB, with 7e12 anchors and
+bits that the bucket already fixes not counted, that is about 0.1 expected false matches of surroundings in the run.
 
 Cases: null texts are empty; texts under `LENGTH` bytes lose nothing. Rows with the same doc_id don't count as smaller
-than each other, and each gets its own result (a row index within the doc_id keeps them apart). A null doc_id neither
-loses bytes nor takes them. Empty tables give no rows. A text of n bytes takes about 80 n bytes in its task.
+than each other, and each gets its own result (a hash of the text keeps them apart); repeated rows have equal results. A
+null doc_id neither loses bytes nor takes them. Empty tables give no rows. A text of n bytes takes about 80 n bytes in
+its task. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import release, tidied, whole_text
+from tidewell.llm.common import tidied, whole_text
 from tidewell.llm.op9_decontamination import gram_hashes
 from tidewell.llm.shingles import mix64
 from tidewell.session import stored, table
@@ -200,13 +205,12 @@ def _batch_rows(frames, settle, size: int):
 
 
 def _dealt(batch: int, entries: np.ndarray, key: np.ndarray, buckets: int, kind: str = "ask", packed=pack):
-    """A row (bucket, batch, kind, data) for each bucket that gets entries."""
+    """A row (bucket, batch, kind, data) for each bucket that gets entries; the others take no step."""
     where = (key >> np.uint64(32)) % np.uint64(buckets)
     order = np.argsort(where, kind="stable")
-    cut = np.searchsorted(where[order], np.arange(buckets + 1))
-    for k in range(buckets):
-        if cut[k] < cut[k + 1]:
-            yield k, batch, kind, packed(entries[order[cut[k] : cut[k + 1]]])
+    cut = np.append(np.flatnonzero(_first_of_runs(where[order])), len(order))
+    for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist()):
+        yield int(where[order[lo]]), batch, kind, packed(entries[order[lo:hi]])
 
 
 ROWS = "bucket long, batch long, kind string, data binary"
@@ -407,7 +411,6 @@ RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 s
 
 def remove_repeats(docs: DataFrame, bucket_bytes: int = 12_000_000, batch_bytes: int = BATCH_BYTES, per_batch: int = PER_BATCH) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row of docs."""
-    spark = docs.sparkSession
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
     # rows that share a doc_id: told apart by their texts; equal rows have equal results
     own = own.withColumn("copy", F.xxhash64("text"))
@@ -420,9 +423,7 @@ def remove_repeats(docs: DataFrame, bucket_bytes: int = 12_000_000, batch_bytes:
         return stored(told.groupBy("batch").applyInPandas(_gather, "doc_id long, copy long, states binary, open boolean"), "states").dropDuplicates(["doc_id", "copy"])
 
     states = resolved(own.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= LENGTH)), _round_1(buckets, batch_bytes, per_batch), "surroundings")
-    release(spark)
     windows = resolved(own.join(states.where("open").drop("open"), ["doc_id", "copy"]), _round_2(buckets, batch_bytes), "windows").select("doc_id", "copy", F.col("states").alias("windows"))
-    release(spark)
     # a document without a row in windows has none that goes
     joined = own.join(states.drop("open"), ["doc_id", "copy"], "left").join(windows, ["doc_id", "copy"], "left")
     return joined.select("doc_id", "text", "states", "windows").mapInArrow(tidied(_result), RESULT)
