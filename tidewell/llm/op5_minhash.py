@@ -143,17 +143,13 @@ def _stars(pairs: DataFrame, sets: DataFrame, percent: int, most: int = 1000) ->
     return stored(both.mapInArrow(tidied(_verify(percent)), "a long, b long"), "stars")
 
 
-def _dealt(side: DataFrame, group: str, own: int, other: DataFrame, chunk: int) -> DataFrame:
-    """Rows of one side of each group, dealt to chunks and copied to each chunk of the other side.
-
-    other: group and n, the number of rows of the other side.
-    """
-    counts = side.groupBy(group).agg(F.ceil(F.count("*") / chunk).cast("int").alias("chunks"))
-    there = other.select(group, F.ceil(F.col("n") / chunk).cast("int").alias("others"))
-    rows = side.join(counts, group).join(there, group).withColumn("mine", F.pmod(F.xxhash64("doc"), F.col("chunks")).cast("int"))
-    rows = rows.withColumn("its", F.explode(F.sequence(F.lit(0), F.col("others") - 1)))
-    first, second = ("mine", "its") if own == 0 else ("its", "mine")
-    return rows.select(group, F.col(first).alias("ci"), F.col(second).alias("cj"), "doc", "component", F.lit(own == 0).alias("left"), F.lit(own == 1).alias("right"))
+def _dealt(side: DataFrame, group: str, left: bool, chunk: int) -> DataFrame:
+    """Rows of one side of each group (n: rows of this side, m: of the other one), dealt to chunks of about `chunk` and
+    copied to each chunk of the other side."""
+    chunks = lambda c: F.ceil(F.col(c) / chunk).cast("int")
+    rows = side.withColumn("mine", F.pmod(F.xxhash64("doc"), chunks("n")).cast("int")).withColumn("its", F.explode(F.sequence(F.lit(0), chunks("m") - 1)))
+    first, second = ("mine", "its") if left else ("its", "mine")
+    return rows.select(group, F.col(first).alias("ci"), F.col(second).alias("cj"), "doc", "component", F.lit(left).alias("left"), F.lit(not left).alias("right"))
 
 
 def _left_over(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int, chunk: int) -> DataFrame:
@@ -161,20 +157,22 @@ def _left_over(members: DataFrame, labels: DataFrame, sets: DataFrame, percent:
     nodes = stored(sets.select("doc").distinct().join(labels.withColumnRenamed("node", "doc"), "doc", "left").select("doc", F.coalesce("component", "doc").alias("component")), "nodes")
     known = members.select("band", "bucket", "doc").join(nodes, "doc")
     share = known.groupBy("band", "bucket", "component").agg(F.count("*").alias("n"))
-    tops = share.groupBy("band", "bucket").agg(F.max(F.struct("n", F.col("component").alias("c"))).alias("top"), F.count("*").alias("parts")).where("parts > 1")
-    outside = stored(known.join(tops, ["band", "bucket"]).where(F.col("component") != F.col("top.c")).select(F.struct("band", "bucket").alias("place"), "doc", "component", F.col("top.c").alias("top"), "parts"), "outside")
-
-    def linked_across(left: DataFrame, right: DataFrame, group: str) -> DataFrame:
-        count = lambda side: side.groupBy(group).agg(F.count("*").alias("n"))
-        rows = _dealt(left, group, 0, count(right), chunk).unionByName(_dealt(right, group, 1, count(left), chunk))
-        return rows.join(sets, "doc").groupBy(group, "ci", "cj").applyInPandas(_across(percent), "a long, b long")
+    tops = share.groupBy("band", "bucket").agg(F.max(F.struct("n", F.col("component").alias("c"))).alias("top"), F.count("*").alias("parts"), F.sum("n").alias("all")).where("parts > 1")
+    tops = tops.select("band", "bucket", F.col("top.c").alias("top"), "parts", (F.col("all") - F.col("top.n")).alias("n"))
+    outside = stored(known.join(tops, ["band", "bucket"]).where("component <> top").select(F.struct("band", "bucket").alias("place"), "doc", "component", "top", "parts", "n"), "outside")
 
     # against the component with most members: a node stands once for all buckets that it shares with it
     asks = outside.select("top", "doc", "component").distinct()
-    tops = nodes.join(asks.select(F.col("top").alias("component")).distinct(), "component", "left_semi").select(F.col("component").alias("top"), "doc", "component")
+    n_asks = asks.groupBy("top").agg(F.count("*").alias("asks"))
+    answers = nodes.join(n_asks.select(F.col("top").alias("component")), "component", "left_semi").select(F.col("component").alias("top"), "doc", "component")
+    sizes = n_asks.join(answers.groupBy("top").agg(F.count("*").alias("answers")), "top")
+    counted = lambda side, n, m: side.join(sizes, "top").withColumns({"n": F.col(n), "m": F.col(m)})
+    by_top = _dealt(counted(asks, "asks", "answers"), "top", True, chunk).unionByName(_dealt(counted(answers, "answers", "asks"), "top", False, chunk))
     # against each other, where the others are of several components
-    others = outside.where("parts > 2").select("place", "doc", "component")
-    return stored(linked_across(asks, tops, "top").unionByName(linked_across(others, others, "place")), "across")
+    others = outside.where("parts > 2").withColumn("m", F.col("n"))
+    by_place = _dealt(others, "place", True, chunk).unionByName(_dealt(others, "place", False, chunk))
+    compared = lambda rows, group: rows.join(sets, "doc").groupBy(group, "ci", "cj").applyInPandas(_across(percent), "a long, b long")
+    return stored(compared(by_top, "top").unionByName(compared(by_place, "place")), "across")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, chunk: int = 512) -> DataFrame:
