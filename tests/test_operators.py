@@ -320,6 +320,33 @@ def test_vectors_and_models(spark, sf):
     assert weights[0] > 0.9 and abs(sum(weights) - 1) < 1e-9
 
 
+def test_both_ways_of_ranks_and_running_values(spark):
+    """Ranges of the order against one task, on skewed groups with ties, nulls and a null group."""
+    import random
+
+    from tidewell.operators import ordered
+    from tidewell.operators import relational as R
+    from tidewell.plans import registry
+
+    rng = random.Random(1)
+    rows = [(rng.choice(["a", "a", "a", "b", None]), i, rng.choice([None, 1.5, 2.5, rng.random() * 10]), rng.randint(0, 9)) for i in range(3000)] + [("one", 9000, 4.0, 1)]
+    df = spark.createDataFrame(rows, "g string, k int, v double, c int").repartition(7)
+    same = lambda f: sorted(map(str, f(None).collect())) == sorted(map(str, f(0).collect()))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        full = df.where("v IS NOT NULL")
+        assert same(lambda most: R.nearest_rank(full, ["g"], "v", 6, most)) and same(lambda most: R.floor_rank(full, ["g"], "v", 6, most))
+        assert same(lambda most: R.medians(df, ["g"], "v", 6, most)) and same(lambda most: R.describe(df, "v", most))
+        assert same(lambda most: R.within_budget(df, "g", "k", F.col("c"), 800, most))
+        assert same(lambda most: ordered.last_before(df, "g", ["k"], F.col("v"), most))
+        cells = df.select(F.col("g").alias("variable"), F.col("k").alias("pos")).where("g IS NOT NULL")
+        assert same(lambda most: R.as_of_position(cells.where("pos % 3 = 0"), cells.where("pos % 2 = 0"), most=most))
+        runs = df.select(F.col("g").alias("cell"), F.col("k").alias("seq"), F.col("c").alias("ms"), (F.col("c") > 4).alias("hit"))
+        assert same(lambda most: registry.savings(runs, most))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
 def test_jdbc_options():
     with pytest.raises(ValueError):
         S.jdbc_options("jdbc:x", "SELECT 1", "k")

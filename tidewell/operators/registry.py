@@ -125,39 +125,40 @@ def visible(df: DataFrame, tenant: str) -> DataFrame:
 def acl_verdicts(requests: DataFrame, rules: DataFrame, default: str = "deny") -> DataFrame:
     """allow or deny for each request (request_id, principal, tenant, table_name): a deny rule wins, then an allow rule.
 
-    rules: effect, principal, tenant (null for any), glob. They are few; the planner sends them to the requests.
+    rules: effect, principal (or * for any), tenant (null for any), glob. Requests that ask the same are judged once; they
+    meet the rules on the principal, and the globs decide within it.
     """
     from tidewell.functions.columns import glob_regex
 
+    asked = requests.select("principal", "tenant", "table_name").distinct()
+    both = asked.withColumn("p", F.explode(F.array_distinct(F.array(F.coalesce("principal", F.lit("*")), F.lit("*")))))
     r = rules.select("effect", F.col("principal").alias("p"), F.col("tenant").alias("t"), glob_regex(F.col("glob")).alias("re"))
-    match = ((F.col("p") == "*") | (F.col("p") == F.col("principal"))) & (F.col("t").isNull() | (F.col("t") == F.col("tenant"))) & F.regexp_like("table_name", F.col("re"))
-    out = requests.join(r, match, "left").groupBy("request_id")
-    has = lambda e: F.coalesce(F.bool_or(F.col("effect") == e), F.lit(False))
-    return out.agg(F.when(has("deny"), "deny").when(has("allow"), "allow").otherwise(default).alias("verdict"))
+    hits = both.join(r, "p").where((F.col("t").isNull() | (F.col("t") == F.col("tenant"))) & F.regexp_like("table_name", F.col("re")))
+    found = hits.groupBy("principal", "tenant", "table_name").agg(F.min(F.when(F.col("effect") == "deny", 0).when(F.col("effect") == "allow", 1)).alias("first"))
+    named = found.select(F.col("principal").alias("p"), F.col("tenant").alias("t"), F.col("table_name").alias("n"), "first")
+    same = F.col("principal").eqNullSafe(F.col("p")) & F.col("tenant").eqNullSafe(F.col("t")) & F.col("table_name").eqNullSafe(F.col("n"))
+    verdict = F.when(F.col("first") == 0, "deny").when(F.col("first") == 1, "allow").otherwise(default)
+    return requests.join(named, same, "left").select("request_id", verdict.alias("verdict"))
 
 
 def allow_listed(requests: DataFrame, rules: DataFrame) -> DataFrame:
-    """For each request (request_id, transform) the limit of the first rule (position, glob, max_rows) that matches."""
+    """For each request (request_id, transform) the limit of the first rule (position, glob, max_rows) that matches.
+
+    The globs are tried on the distinct transforms; requests join them by name."""
     from tidewell.functions.columns import glob_regex
 
     r = rules.select("position", "max_rows", glob_regex(F.col("glob")).alias("re"))
-    out = requests.join(r, F.regexp_like("transform", F.col("re")), "left").groupBy("request_id")
-    return out.agg(F.min_by("max_rows", "position").alias("max_rows"), F.count("position").cast("boolean").alias("allowed"))
+    names = requests.select(F.col("transform").alias("name")).distinct()
+    first = names.join(r, F.regexp_like("name", F.col("re"))).groupBy("name").agg(F.min_by("max_rows", "position").alias("max_rows"), F.lit(True).alias("known"))
+    out = requests.join(first, F.col("transform") == F.col("name"), "left")
+    return out.select("request_id", "max_rows", F.coalesce("known", F.lit(False)).alias("allowed"))
 
 
 def running_total(df: DataFrame, order: list[str], value: str) -> DataFrame:
-    """df with before: the sum of value over all rows earlier in a global order, without a single-task window.
-
-    Ranges of the order are stored with their number; sums within a range run in its own window, and the totals of
-    the ranges before it (a row each) are added.
-    """
-    from tidewell.session import stored
+    """df with before: the sum of value over all rows earlier in a global order, without a single-task window."""
+    from tidewell.operators import ordered
 
-    dealt = stored(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
-    totals = dealt.groupBy("_range").agg(F.sum(value).alias("_sum"))
-    offsets = totals.select("_range", F.coalesce(F.sum("_sum").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_offset"))
-    own = F.coalesce(F.sum(value).over(W.partitionBy("_range").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return dealt.join(offsets, "_range").withColumn("before", own + F.col("_offset")).drop("_range", "_offset")
+    return ordered.running_total(df, [], order, value)
 
 
 def evictions(entries: DataFrame, budget: int, share: float = 0.8) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tidewell.functions import columns as C
+from tidewell.operators import ordered
 
 
 def drop_null_counts(df: DataFrame, subset: Sequence[str]) -> DataFrame:
@@ -40,12 +41,15 @@ def fingerprint(df: DataFrame, label: str) -> DataFrame:
     return df.agg(F.lit(label).alias("label"), F.count("*").alias("rows"), F.bit_xor(h).alias("xor"), F.sum(h.cast("decimal(38,0)")).cast("string").alias("sum"))
 
 
-def within_budget(df: DataFrame, group: str, order: str, cost: Column, budget: int) -> DataFrame:
+def within_budget(df: DataFrame, group: str, order: str, cost: Column, budget: int, most: int | None = None) -> DataFrame:
     """Per group, how many rows fit the budget in order, how many don't, and what is used."""
-    run = F.sum(cost).over(W.partitionBy(group).orderBy(order).rowsBetween(W.unboundedPreceding, 0))
+    if ordered.fits(df, most):
+        run = df.select(group, F.sum(cost).over(W.partitionBy(group).orderBy(order).rowsBetween(W.unboundedPreceding, 0)).alias("run"))
+    else:
+        priced = df.select(group, order, cost.alias("cost"))
+        run = ordered.running_total(priced, [group], [order], "cost").select(group, (F.col("before") + F.col("cost")).alias("run"))
     fits = F.col("run") <= budget
-    out = df.select(group, run.alias("run")).groupBy(group)
-    return out.agg(F.count_if(fits).alias("kept"), F.count_if(~fits).alias("dropped"), F.coalesce(F.max(F.when(fits, F.col("run"))), F.lit(0)).cast("long").alias("used"))
+    return run.groupBy(group).agg(F.count_if(fits).alias("kept"), F.count_if(~fits).alias("dropped"), F.coalesce(F.max(F.when(fits, F.col("run"))), F.lit(0)).cast("long").alias("used"))
 
 
 def unmatched(left: DataFrame, right: DataFrame, keys: dict[str, str]) -> DataFrame:
@@ -61,17 +65,30 @@ def mean_and_std(df: DataFrame, by: Sequence[str], columns: Sequence[str]) -> Da
     return df.groupBy(*by).agg(*[f(c).alias(f"{c}_{n}") for c in columns for n, f in (("mean", lambda c: F.round(F.avg(c), 6)), ("std", lambda c: F.round(F.stddev_samp(c), 6)))])
 
 
-def nearest_rank(df: DataFrame, by: Sequence[str], value: str, places: int = 2) -> DataFrame:
+PERCENTILES = {"p50": 50, "p95": 95, "p99": 99}
+
+
+def nearest_rank(df: DataFrame, by: Sequence[str], value: str, places: int = 2, most: int | None = None) -> DataFrame:
     """p50, p95, p99 as the value at rank ceil(n p)."""
-    return df.groupBy(*by).agg(*[F.round(F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {value})"), places).alias(n) for n, p in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))])
+    if ordered.fits(df, most):
+        return df.groupBy(*by).agg(*[F.round(F.expr(f"percentile_disc({p / 100}) WITHIN GROUP (ORDER BY {value})"), places).alias(n) for n, p in PERCENTILES.items()])
+    found = ordered.at_ranks(df, by, value, {name: lambda n, p=p: F.ceil(n * p / 100) for name, p in PERCENTILES.items()})
+    return found.select(*by, *[F.round(n, places).alias(n) for n in PERCENTILES])
 
 
-def floor_rank(df: DataFrame, by: Sequence[str], value: str, places: int = 2) -> DataFrame:
+def floor_rank(df: DataFrame, by: Sequence[str], value: str, places: int = 2, most: int | None = None) -> DataFrame:
     """p50, p95, p99 as the value at rank max(1, floor(n p))."""
-    own = W.partitionBy(*by)
-    ranked = df.select(*by, F.col(value).alias("_v"), F.row_number().over(own.orderBy(value)).alias("_r"), F.count("*").over(own).alias("_n"))
-    at = lambda p: F.greatest(F.lit(1), F.floor(F.col("_n") * F.lit(p)))
-    return ranked.groupBy(*by).agg(*[F.round(F.max(F.when(F.col("_r") == at(p), F.col("_v"))), places).alias(n) for n, p in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))])
+    at = lambda n, p: F.greatest(F.lit(1), F.floor(n * F.lit(p / 100)))
+    if ordered.fits(df, most):
+        own = W.partitionBy(*by)
+        ranked = df.select(*by, F.col(value).alias("_v"), F.row_number().over(own.orderBy(value)).alias("_r"), F.count("*").over(own).alias("_n"))
+        return ranked.groupBy(*by).agg(*[F.round(F.max(F.when(F.col("_r") == at(F.col("_n"), p), F.col("_v"))), places).alias(n) for n, p in PERCENTILES.items()])
+    found = ordered.at_ranks(df, by, value, {name: lambda n, p=p: at(n, p) for name, p in PERCENTILES.items()})
+    return found.select(*by, *[F.round(n, places).alias(n) for n in PERCENTILES])
+
+
+def medians(df: DataFrame, by: Sequence[str], value: str, places: int = 6, most: int | None = None) -> DataFrame:
+    return ordered.quantiles(df, by, value, {"median": 0.5}, most).withColumn("median", F.round("median", places))
 
 
 def histogram_le(df: DataFrame, value: str) -> DataFrame:
@@ -105,9 +122,15 @@ def null_counts(df: DataFrame) -> DataFrame:
     return counts.unpivot([], df.columns, "column_name", "nulls").where("nulls > 0")
 
 
-def describe(df: DataFrame, column: str) -> DataFrame:
-    q = lambda p: F.round(F.percentile(column, p), 4)
-    return df.agg(F.count(column).alias("n"), F.round(F.avg(column), 4).alias("mean"), F.round(F.stddev_samp(column), 4).alias("std"), F.min(column).alias("min"), q(0.25).alias("q1"), q(0.5).alias("q2"), q(0.75).alias("q3"), F.max(column).alias("max"))
+def describe(df: DataFrame, column: str, most: int | None = None) -> DataFrame:
+    """Count, mean, sample deviation, extremes and quartiles of a column, in one row."""
+    quarters = {"q1": 0.25, "q2": 0.5, "q3": 0.75}
+    plain = [F.count(column).alias("n"), F.round(F.avg(column), 4).alias("mean"), F.round(F.stddev_samp(column), 4).alias("std"), F.min(column).alias("min"), F.max(column).alias("max")]
+    if ordered.fits(df, most):
+        out = df.agg(*plain, *[F.percentile(column, p).alias(q) for q, p in quarters.items()])
+    else:
+        out = df.agg(*plain).join(ordered.quantiles(df, [], column, quarters, most), how="left")
+    return out.select("n", "mean", "std", "min", *[F.round(q, 4).alias(q) for q in quarters], "max")
 
 
 def top_per_group(df: DataFrame, by: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:
@@ -129,16 +152,16 @@ def concatenate(first: DataFrame, *rest: DataFrame) -> DataFrame:
     return first
 
 
-def as_of_position(references: DataFrame, producers: DataFrame, variable: str = "variable") -> DataFrame:
+def as_of_position(references: DataFrame, producers: DataFrame, variable: str = "variable", most: int | None = None) -> DataFrame:
     """For each reference (variable, pos), the last producer strictly before it; references without one are left out.
 
-    One window over the union of both sides: the join on the variable alone would make all pairs of a variable.
+    One order over the union of both sides: the join on the variable alone would make all pairs of a variable.
     """
-    both = producers.select(variable, "pos", F.lit(0).alias("is_ref"), F.col("pos").alias("made_by")).unionByName(references.select(variable, "pos", F.lit(1).alias("is_ref"), F.lit(None).cast("long").alias("made_by")))
     # at one position the reference comes first, so its own definition isn't seen
-    before = W.partitionBy(variable).orderBy("pos", F.desc("is_ref")).rowsBetween(W.unboundedPreceding, -1)
-    found = both.withColumn("producer", F.last("made_by", ignorenulls=True).over(before))
-    return found.where("is_ref = 1 AND producer IS NOT NULL").select("pos", variable, "producer")
+    both = producers.select(variable, "pos", F.lit(1).alias("side")).unionByName(references.select(variable, "pos", F.lit(0).alias("side")))
+    made_by = F.when(F.col("side") == 1, F.col("pos"))
+    found = ordered.last_before(both, variable, ["pos", "side"], made_by, most)
+    return found.where("side = 0 AND earlier IS NOT NULL").select("pos", variable, F.col("earlier").alias("producer"))
 
 
 # ---------------------------------------------------------------- portfolio formulas

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tidewell.operators import graph as G
+from tidewell.operators import ordered
 from tidewell.operators import registry as R
 from tidewell.operators import relational as REL
 from tidewell.plans import fixtures as X
@@ -46,11 +47,10 @@ def v6(spark, d):
     return X.runs(spark, d).groupBy("cell").agg(F.max_by(F.when(~F.col("hit"), F.col("ms")), F.when(~F.col("hit"), F.col("seq"))).alias("ms"))
 
 
-def savings(runs):
+def savings(runs, most: int | None = None):
     """Each hit earns the duration of the last miss before it."""
-    own = W.partitionBy("cell").orderBy("seq").rowsBetween(W.unboundedPreceding, -1)
-    earned = F.when(F.col("hit"), F.coalesce(F.last(F.when(~F.col("hit"), F.col("ms")), ignorenulls=True).over(own), F.lit(0))).otherwise(0)
-    return runs.withColumn("earned", earned)
+    out = ordered.last_before(runs, "cell", ["seq"], F.when(~F.col("hit"), F.col("ms")), most)
+    return out.withColumn("earned", F.when(F.col("hit"), F.coalesce("earlier", F.lit(0))).otherwise(0)).drop("earlier")
 
 
 _SAVED = "s AS (SELECT *, CASE WHEN hit THEN coalesce(last_value(CASE WHEN NOT hit THEN ms END IGNORE NULLS) OVER (PARTITION BY cell ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) ELSE 0 END AS earned FROM reg_runs)"

@@ -231,7 +231,7 @@ def a8(spark, d):
 
 @query("a9_median", "SELECT event_type, round(quantile_cont(value, 0.5), 6) AS median FROM events GROUP BY event_type")
 def a9(spark, d):
-    return t(spark, d, "events").groupBy("event_type").agg(F.round(F.percentile("value", 0.5), 6).alias("median"))
+    return R.medians(t(spark, d, "events"), ["event_type"], "value")
 
 
 @query("a10_nearest_rank", "SELECT event_type, round(quantile_disc(value, 0.5), 2) AS p50, round(quantile_disc(value, 0.95), 2) AS p95, round(quantile_disc(value, 0.99), 2) AS p99 FROM events GROUP BY event_type")

@@ -48,7 +48,7 @@ def w5(spark, d):
 def w6(spark, d):
     target = new_path(spark, "ingested")
     for _ in range(2):  # the same files are delivered twice
-        jobs.ingest_once(jobs.file_stream(spark, f"{d}/events.parquet").select("event_id", "ts", "user_id"), ["event_id"], target)
+        jobs.ingest_once(jobs.file_stream(spark, f"{d}/events.parquet").select("event_id", "ts", "user_id"), ["event_id"], target, F.to_date("ts"))
     return spark.read.parquet(target).agg(F.count("*").alias("rows"), F.count_distinct("event_id").alias("ids"))
 
 

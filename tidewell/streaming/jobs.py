@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.session import new_path
@@ -35,19 +35,27 @@ def run_available(stream: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(path)
 
 
-def ingest_once(stream: DataFrame, key: list[str], target: str) -> None:
+def ingest_once(stream: DataFrame, key: list[str], target: str, day: Column | None = None) -> None:
     """Appends each micro-batch to the Parquet folder target without rows whose key is there already.
 
-    A batch that is delivered again adds nothing, since its rows are there.
+    A batch that is delivered again adds nothing, since its rows are there. day: a date that follows from the key's row;
+    the target is partitioned by it, and a batch reads only the days that it holds itself.
     """
     spark = stream.sparkSession
 
     def append(batch: DataFrame, _: int) -> None:
         folder = spark._jvm.org.apache.hadoop.fs.Path(target)
         fresh = batch.dropDuplicates(key)
+        if day is not None:
+            fresh = fresh.withColumn("ingest_day", day.cast("string"))
         if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
-            fresh = fresh.join(spark.read.schema(batch.schema).parquet(target).select(*key), key, "left_anti")
-        fresh.write.mode("append").parquet(target)
+            there = spark.read.schema(fresh.schema).parquet(target)
+            if day is not None:
+                days = [r[0] for r in fresh.select("ingest_day").distinct().collect()]  # as many as a batch has days
+                there = there.where(F.col("ingest_day").isin(days) | F.col("ingest_day").isNull())
+            fresh = fresh.join(there.select(*key), key, "left_anti")
+        out = fresh.write.mode("append")
+        (out if day is None else out.partitionBy("ingest_day")).parquet(target)
 
     q = stream.writeStream.foreachBatch(append).option("checkpointLocation", new_path(spark, "ingest-state")).trigger(availableNow=True).start()
     q.awaitTermination()
