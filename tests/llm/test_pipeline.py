@@ -90,6 +90,78 @@ def test_language_held_out(spark, sf):
     assert all(0 <= r["score"] <= 1 for r in got)
 
 
+def test_language_against_brute_force(spark, sf):
+    """Document frequencies, weights, cosines, the nearest centroid and the rejection, with a dict of grams for each text."""
+    from collections import Counter
+    from math import log, sqrt
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang").limit(120)
+    odd = spark.createDataFrame([(10**6, "12 34", "en"), (10**6 + 1, None, "de"), (10**6 + 2, "ぁあ日本語", None)], docs.schema)
+    docs = docs.unionByName(odd)
+    rows = docs.collect()
+    learn = [r for r in rows if zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2 and r["lang"] is not None]
+
+    def bucket(gram):
+        m = (1 << 32) - 1
+        a, b, d = (*map(ord, gram), 0, 0)[:3]
+        if len(gram) == 1:
+            h = a * 0x165667B1 & m
+        else:
+            h = (a * 0x9E3779B1 & m) ^ (b * 0x85EBCA77 & m)
+        if len(gram) == 3:
+            h = (h * 0xC2B2AE3D & m) ^ (d * 0x27D4EB2F & m)
+        h ^= h >> 15
+        return ((h * 0x2C1B3C6D & m) >> 8) % op7_language.DIMS
+
+    def grams(text):
+        if not any(c.isalpha() for c in text or ""):
+            return None
+        words = "".join(c if c.isalpha() else " " for c in text.lower())
+        padded = " " + words
+        while "  " in padded[1:]:
+            padded = padded[0] + padded[1:].replace("  ", " ")
+        padded += "  "
+        out = Counter()
+        for i in range(len(padded) - 2):
+            out.update(bucket(padded[i : i + k]) for k in (1, 2, 3))
+        return out
+
+    counts = [g for g in (grams(r["text"]) for r in learn) if g is not None]
+    df = Counter(x for c in counts for x in c)
+    idf = [log((1 + len(counts)) / (1 + df[d])) + 1 for d in range(op7_language.DIMS)]
+    model = op7_language.train(op7_language.learning_rows(docs))
+    assert np.allclose(model["idf"], idf, rtol=1e-5)
+    got = {r["doc_id"]: r for r in op7_language.identify(docs, model, {"doc_id": F.col("doc_id")}).collect()}
+    for r in rows:
+        c, told = grams(r["text"]), got[r["doc_id"]]
+        if c is None:
+            assert (told["lang_pred"], told["score"], told["rejected"]) == ("und", 0.0, True)
+            continue
+        v = {d: (1 + log(n)) * idf[d] for d, n in c.items()}
+        norm = sqrt(sum(x * x for x in v.values()))
+        cosines = [sum(x * float(centre[d]) for d, x in v.items()) / norm for centre in model["centroids"]]
+        best = max(range(len(cosines)), key=cosines.__getitem__)
+        assert told["score"] == pytest.approx(min(1.0, max(0.0, cosines[best])), abs=1e-4)
+        if sorted(cosines)[-1] - sorted(cosines)[-2] > 1e-4:
+            assert told["lang_pred"] == model["langs"][best]
+        if abs(cosines[best] - 0.5 * model["floor"][told["lang_pred"]]) > 1e-4:
+            assert told["rejected"] == (cosines[best] < 0.5 * model["floor"][told["lang_pred"]])
+
+
+def test_centroids_are_means_of_the_nearest(spark):
+    """k-means on separated clouds: each centroid is the normalised mean of its own vectors."""
+    rng = np.random.default_rng(1)
+    axes = np.eye(6, dtype=np.float32)[:3]
+    v = np.vstack([a + 0.05 * rng.normal(size=(30, 6)) for a in axes]).astype(np.float32)
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    centres = op7_language.k_means(v, 3)
+    nearest = (v @ centres.T).argmax(1)
+    assert sorted(np.bincount(nearest).tolist()) == [30, 30, 30]
+    for j, c in enumerate(centres):
+        mean = v[nearest == j].sum(0)
+        assert np.allclose(c, mean / np.linalg.norm(mean), atol=1e-5)
+
+
 def test_language_odd_rows(spark):
     rows = [(1, "the cat sat on the mat with the hat", "en"), (3, "der hund und die katze sind nicht hier", "de"), (4, None, "en"), (5, "123 !?", None), (None, "the dog and the cat", "en"), (6, "x" * 300_000, None), (6, "x" * 300_000, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("score", F.lit("clash"))
@@ -222,6 +294,49 @@ def test_banded_alignment_is_edit_distance():
         assert edits[0] == min(row) and row[min(stop[0], len(t))] == edits[0]
 
 
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """run() on a small folder with planted cases, against plain Python for every stage, and on empty tables."""
+    from test_minhash import brute
+    from test_quality_secrets import base_of
+
+    rng = random.Random(12)
+    words = {"en": "the and of to in that is was for with on as are this be".split(), "de": "der die und das ist nicht mit auf ein den von zu im sich".split()}
+    prose = lambda lang, n: " ".join(rng.choice(words[lang]) + (rng.choice(words[lang]) if rng.random() < 0.3 else "") for _ in range(n))
+    items = [(i, prose("en", 40)) for i in range(3)]
+    rows = [(i, prose(lang, rng.randint(40, 120)), lang) for i, lang in enumerate(["en", "de"] * 60)]
+    copied = rows[4][1].split()
+    rows += [(200, rows[4][1], "en"), (201, " ".join(copied[:-1]), "en"), (202, prose("en", 20) + " " + items[1][1] + " " + prose("en", 20), "en")]
+    rows += [(203, prose("en", 50) + " password = hunter2222 end", "en"), (204, None, "en"), (205, "12 34", "en"), (206, "long " + prose("de", 4000), "de"), (200, rows[4][1], "en")]
+    tables = {"documents": [(d, t, lang, "s", len(t or "")) for d, t, lang in rows], "benchmark": items}
+    schemas = {"documents": "doc_id long, text string, lang string, source string, n_chars long", "benchmark": "item_id long, text string"}
+    for empty in (False, True):
+        folder = f"file://{tmp_path}/{'empty' if empty else 'full'}"
+        for name, data in tables.items():
+            spark.createDataFrame([] if empty and name == "documents" else data, schemas[name]).write.parquet(f"{folder}/{name}.parquet")
+        got = corpus_pipeline.run(spark, folder).collect()
+        if empty:
+            assert got == []
+            continue
+        texts = {d: t for d, t, _ in rows if d not in (204, 205)}
+        kept = {c for _, _, c, k in brute(list(texts.items())) if k}
+        assert kept == set(texts) - {200, 201}
+        norm = op9_decontamination.normalise
+        kept -= {d for d in kept if any(norm(t) in norm(texts[d]) for _, t in items)}
+        assert 202 not in kept
+        texts[203] = texts[203].replace("password = hunter2222", "[secret]")
+        assert not any(base_of(texts[d]) for d in kept)
+        encoder, want = IdEncoder(public_path("word_bpe_49k.json")).tokenizer, {}
+        for d in kept:
+            ids = np.array([*encoder.encode(texts[d], add_special_tokens=False).ids, 0], "<u4")
+            want |= {(d, k // 2048): (k, len(ids[k : k + 2048]), zlib.crc32(ids[k : k + 2048].tobytes())) for k in range(0, len(ids), 2048)}
+        assert {(r["doc_id"], r["piece"]): (r["start"], r["length"], r["ids_crc32"]) for r in got} == want and len(got) == len(want)
+        bins = {}
+        for r in sorted(got, key=lambda r: r["offset"]):
+            assert r["offset"] == bins.get(r["sequence_id"], 0)
+            bins[r["sequence_id"]] = r["offset"] + r["length"]
+        assert max(bins.values()) <= 2048 and len(bins) <= -(-sum(bins.values()) // 2048) + 1
+
+
 def test_one_of_each_keeps_null_ids(spark):
     df = spark.createDataFrame([(1, "a b c d e f g"), (1, "a b c d e f g"), (2, "A b c d e f g"), (None, "a b c d e f g"), (3, None)], "doc_id long, text string")
     assert sorted(map(str, (r["doc_id"] for r in op5_minhash.one_of_each(df).collect()))) == ["1", "3", "None"]

@@ -8,7 +8,9 @@ the language of the centroid with the largest cosine, which is also its score. I
 below `reject_share` times the low percentile of the language's own training cosines.
 
 Cases: a null text, or one without a letter, is `und` with score 0 and rejected. Without training documents all are.
-Rows with a null doc_id aren't learned from and aren't held out. Repeated rows give a row each; empty tables none.
+Rows with a null doc_id aren't learned from and aren't held out. Repeated rows give a row each; empty tables none. Of
+centroids with equal cosine the first one counts (languages in the order of their names). Texts of any length are read
+whole. Other columns are ignored by identify() and kept as they are by accepted(), whatever their names.
 """
 
 from __future__ import annotations
