@@ -16,7 +16,7 @@ def reach(edges: DataFrame, roots: DataFrame, max_depth: int | None = None) -> D
     """node, depth of all nodes that roots (node) lead to along edges (src, dst), each at its least depth."""
     frontier = stored(roots.select("node").distinct().withColumn("depth", F.lit(0)), "frontier")
     visited, depth = frontier, 0
-    steps = edges.select("src", "dst")
+    steps = stored(edges.select("src", "dst").distinct(), "steps")  # once, not in each round
     while max_depth is None or depth < max_depth:
         depth += 1
         found = frontier.join(steps, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
@@ -29,7 +29,7 @@ def reach(edges: DataFrame, roots: DataFrame, max_depth: int | None = None) -> D
 
 def levels(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(node, level) by longest path from the nodes without a predecessor, and the nodes that stand on or behind a cycle."""
-    left, between = stored(nodes.select("node").distinct(), "left"), edges.select("src", "dst").distinct()
+    left, between = stored(nodes.select("node").distinct(), "left"), stored(edges.select("src", "dst").distinct(), "steps")
     done, level = None, 0
     while not left.isEmpty():
         free = stored(left.join(between.select(F.col("dst").alias("node")), "node", "left_anti").withColumn("level", F.lit(level)), "level")
