@@ -52,6 +52,8 @@ def test_small(spark):
     want = brute(rows)
     assert got(op4_substrings.remove_repeats(df.repartition(3))) == want
     assert got(op4_substrings.remove_repeats(df.coalesce(1), bucket_bytes=2000)) == want
+    # many batches, in groups that are settled first
+    assert got(op4_substrings.remove_repeats(df.repartition(3), bucket_bytes=4000, batch_bytes=1500, group_batches=4)) == want
 
 
 def test_table(spark, sf):
@@ -85,3 +87,4 @@ def test_more_surroundings_than_a_batch_sends(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
     for per_batch in (1, 4):
         assert got(op4_substrings.remove_repeats(df, batch_bytes=3000, per_batch=per_batch)) == want
+        assert got(op4_substrings.remove_repeats(df, batch_bytes=1500, per_batch=per_batch, group_batches=3)) == want

@@ -15,7 +15,9 @@ another method with the same result: content-defined anchors, resolved by shuffl
 Within a batch of documents an occurrence that a smaller document of the batch settles isn't sent, nor are more than
 `PER_BATCH` surroundings of a string: a mark takes their place, and all that is left of a marked string is open. So a
 string of any frequency gives a bounded number of entries a batch in round 1. Entries travel as arrays, a row for each
-batch and bucket that has any; the number of buckets follows the bytes of the input.
+batch and bucket that has any; the number of buckets follows the bytes of the input. A string that stands in very many
+batches would still fill its bucket, so beyond `GROUP_BATCHES` batches the entries of a bucket are settled in two steps:
+among the batches of a group first, each group sending on what a batch would, and then among the groups.
 
 Hashes stand for the strings: of 88 bits in round 1 and 96 bits in round 2, within the entries of one bucket. Among
 n entries of a round a false match has a probability of at most n^2 / 2^89 (2^97); for 100 TB, with 7e12 anchors and
@@ -38,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import tidied, whole_text
+from tidewell.llm.common import spread, tidied, whole_text
 from tidewell.llm.op9_decontamination import gram_hashes
 from tidewell.llm.shingles import mix64
 from tidewell.session import stored, table
@@ -55,6 +57,8 @@ BATCH_BYTES = 8_000_000
 #: Surroundings of one string that a batch sends; the others are open at once, and a mark tells the bucket of the string
 #: that there are more, so that what other batches sent of it is open too.
 PER_BATCH = 64
+#: Batches whose entries of a bucket are settled at once.
+GROUP_BATCHES = 2000
 STAY, REMOVE, ASK = 0, 1, 3
 #: OPEN plus a bit for each group of windows that is open.
 OPEN, ALL_GROUPS = 16, 15
@@ -292,6 +296,75 @@ def _answer(kind: str):
     return run
 
 
+def _reduce(kind: str, groups: int, per_batch: int):
+    """First step of a bucket: a group of batches settles what it can, and asks the bucket about the rest like a batch.
+
+    Rows that tell what a batch is made of pass through. A group's row "group" tells, for the entries of each of its
+    batches, the state or the place of the entry that it has sent on for them.
+    """
+    dtype = ENTRY if kind == "surroundings" else WINDOW
+
+    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        bucket, group = int(key[0]), int(key[1])
+        rows = list(frame.loc[frame["kind"] == "own", ["bucket", "batch", "kind", "data"]].itertuples(index=False, name=None))
+        asked = frame[frame["kind"] == "ask"]
+        cuts = np.frombuffer(b"".join(frame.loc[frame["kind"] == "cut", "data"]), "<u8")
+        if len(asked):
+            parts = [unpack(d, dtype) for d in asked["data"]]
+            e = np.concatenate(parts)
+            keys = (e["a"], e["c"]) if kind == "surroundings" else (e["h"], e["check"])
+            order = np.lexsort((e["doc"], keys[1], keys[0]))
+            k0, k1, doc = keys[0][order], keys[1][order], e["doc"][order]
+            first = _first_of_runs(k0, k1)
+            owner = np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))
+            state = np.where(doc == doc[owner], ASK, REMOVE).astype(np.uint8)
+            sent = np.flatnonzero(first)
+            if kind == "surroundings":
+                begins = _first_of_runs(k0[sent])
+                rank = np.arange(len(sent)) - np.maximum.accumulate(np.where(begins, np.arange(len(sent)), 0))
+                over = sent[rank >= per_batch]
+                state[np.isin(owner, over) & (state == ASK)] = OPEN + ALL_GROUPS
+                cuts = np.union1d(cuts, k0[over])
+                sent = sent[rank < per_batch]
+            place = np.full(len(order), -1, "<i4")
+            place[sent] = np.arange(len(sent))
+            place = np.where(state == ASK, place[owner], -1)
+            back = np.empty(len(order), np.int64)
+            back[order] = np.arange(len(order))
+            forward = e[order[sent]].copy()
+            forward["e"] = np.arange(len(forward))
+            batches, counts = asked["batch"].to_numpy("<i8"), np.array([len(x) for x in parts], "<i8")
+            told = [np.array([len(batches), len(e), len(forward)], "<i8"), batches, counts, place[back].astype("<i4"), e["e"].astype("<u4"), state[back]]
+            name = bucket * groups + group
+            rows.append((bucket, name, "group", b"".join(x.tobytes() for x in told)))
+            rows.append((bucket, name, "ask", pack(forward)))
+        if len(cuts):
+            rows.append((bucket, bucket * groups + group, "cut", cuts.astype("<u8").tobytes()))
+        return _frame(rows)
+
+    return run
+
+
+def _spread_answers(frame: pd.DataFrame) -> pd.DataFrame:
+    """Last step: the answers to a group become answers to its batches."""
+    data = frame.loc[frame["kind"] == "group", "data"].iloc[0]
+    n, m, f = (int(x) for x in np.frombuffer(data, "<i8", 3))
+    batches, counts = np.frombuffer(data, "<i8", n, 24), np.frombuffer(data, "<i8", n, 24 + 8 * n)
+    at = 24 + 16 * n
+    place, e, state = np.frombuffer(data, "<i4", m, at), np.frombuffer(data, "<u4", m, at + 4 * m), np.frombuffer(data, np.uint8, m, at + 8 * m).copy()
+    answers = np.full(f, STAY, np.uint8)
+    for d in frame.loc[frame["kind"] == "told", "data"]:
+        k = len(d) // 5
+        answers[np.frombuffer(d, "<u4", k)] = np.frombuffer(d, np.uint8, k, 4 * k)
+    asked = place >= 0
+    state[asked] = answers[place[asked]]
+    ends, rows = np.cumsum(counts), []
+    for b, lo, hi in zip(batches.tolist(), (ends - counts).tolist(), ends.tolist()):
+        told = np.flatnonzero(state[lo:hi] != STAY)
+        rows.append((b, b, "told", e[lo:hi][told].tobytes() + state[lo:hi][told].tobytes()))
+    return _frame(rows)
+
+
 def _settle_surroundings(e: np.ndarray, cuts: np.ndarray) -> np.ndarray:
     """cuts: strings of which some batch has more surroundings than it sent."""
     order = np.lexsort((e["doc"], e["c"], e["a"]))
@@ -409,17 +482,26 @@ def _result(batches):
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def remove_repeats(docs: DataFrame, bucket_bytes: int = 12_000_000, batch_bytes: int = BATCH_BYTES, per_batch: int = PER_BATCH) -> DataFrame:
+def remove_repeats(docs: DataFrame, bucket_bytes: int = 12_000_000, batch_bytes: int = BATCH_BYTES, per_batch: int = PER_BATCH, group_batches: int = GROUP_BATCHES) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row of docs."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
     # rows that share a doc_id: told apart by their texts; equal rows have equal results
     own = own.withColumn("copy", F.xxhash64("text"))
     total = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(4, -(-int(total * 2) // bucket_bytes))
+    groups = spread(total, batch_bytes * group_batches)
+
+    def answered(asked: DataFrame, kind: str) -> DataFrame:
+        if groups == 1:
+            return asked.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(_answer(kind), ROWS)
+        group = F.pmod(F.xxhash64("batch"), F.lit(groups)).alias("group")
+        step = stored(asked.select("*", group).groupBy("bucket", "group").applyInPandas(_reduce(kind, groups, per_batch), ROWS), "groups")
+        told = step.where("kind IN ('ask', 'cut')").groupBy("bucket").applyInPandas(_answer(kind), ROWS)
+        told = told.unionByName(step.where("kind = 'group'")).groupBy("batch").applyInPandas(_spread_answers, ROWS)
+        return told.unionByName(step.where("kind = 'own'"))
 
     def resolved(source: DataFrame, round_, kind: str) -> DataFrame:
-        asked = source.mapInPandas(tidied(round_), ROWS)
-        told = asked.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(_answer(kind), ROWS)
+        told = answered(source.mapInPandas(tidied(round_), ROWS), kind)
         return stored(told.groupBy("batch").applyInPandas(_gather, "doc_id long, copy long, states binary, open boolean"), "states").dropDuplicates(["doc_id", "copy"])
 
     states = resolved(own.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= LENGTH)), _round_1(buckets, batch_bytes, per_batch), "surroundings")
