@@ -335,3 +335,11 @@ def main_text(pages: DataFrame, block_rows: int = 250, max_blocks: int = 10_000,
 
 def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+#: What the pages of the tables have as their article, where lines that all neighbours share don't occur.
+ORACLE_SQL = r"""
+WITH a AS (SELECT page_id, url, regexp_replace(regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)(?:</article>|$)', 1), '<[^>]*(>|$)', ' ', 'g') AS t FROM pages),
+d AS (SELECT page_id, url, trim(regexp_replace(replace(replace(replace(replace(t, '&quot;', '"'), '&copy;', chr(169)), '&middot;', chr(183)), '&amp;', '&'), '\s+', ' ', 'g')) AS text FROM a)
+SELECT page_id, url, text, length(text) AS n_chars FROM d
+"""

@@ -513,3 +513,18 @@ def remove_repeats(docs: DataFrame, bucket_bytes: int = 12_000_000, batch_bytes:
 
 def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"))
+
+
+#: All 50-byte strings, by digest; runs of removed starts become spans, and what is between them is joined.
+ORACLE_SQL = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS (SELECT doc_id, i, md5(substr(h, 2 * i + 1, 100)) AS k FROM (SELECT doc_id, h, unnest(range(n - 49)) AS i FROM d WHERE n >= 50)),
+g AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY k) < doc_id AS gone FROM w) WHERE gone),
+o AS (SELECT doc_id, i, coalesce(i > max(i) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 50, true) AS opens FROM g),
+s AS (SELECT doc_id, i, sum(CAST(opens AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM o),
+r AS (SELECT doc_id, span, min(i) AS lo, max(i) + 50 AS hi FROM s GROUP BY doc_id, span),
+e AS (SELECT doc_id, sum(hi - lo) AS n_removed, count(*) AS n_spans FROM r GROUP BY doc_id),
+q AS (SELECT doc_id, hi AS lo, lead(lo) OVER (PARTITION BY doc_id ORDER BY lo) AS hi FROM r UNION ALL SELECT doc_id, 0, min(lo) FROM r GROUP BY doc_id),
+k AS (SELECT q.doc_id, string_agg(substr(h, 2 * q.lo + 1, 2 * (coalesce(q.hi, n) - q.lo)), '' ORDER BY q.lo) AS h FROM q JOIN d USING (doc_id) GROUP BY q.doc_id)
+SELECT d.doc_id, n AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(k.h, d.h))) AS kept_sha256 FROM d LEFT JOIN e USING (doc_id) LEFT JOIN k USING (doc_id)
+"""
