@@ -58,7 +58,7 @@ BATCH_BYTES = 8_000_000
 #: that there are more, so that what other batches sent of it is open too.
 PER_BATCH = 64
 #: Batches whose entries of a bucket are settled at once.
-GROUP_BATCHES = 2000
+GROUP_BATCHES = 1000
 STAY, REMOVE, ASK = 0, 1, 3
 #: OPEN plus a bit for each group of windows that is open.
 OPEN, ALL_GROUPS = 16, 15
