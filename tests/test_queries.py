@@ -33,5 +33,5 @@ def test_query(name, spark, sf, con):
 
 def test_inventory():
     """Most queries have a counterpart in SQL; the others are listed, with why."""
-    without = {"s17_prefix_fingerprint", "m23_iterate", "x4_embed", "x7_compare_models", "x10_feature_importance"}
+    without = {"s17_prefix_fingerprint", "x4_embed", "x7_compare_models", "x10_feature_importance"}
     assert set(QUERIES) - set(SQL) == without

@@ -213,7 +213,19 @@ def m22(spark, d):
     return X.versions(spark, d).select("id", "version", F.sha2(F.concat(own, F.lit(":x")), 256).alias("hash"))
 
 
-@query("m23_iterate")
+def _rank_sql(rounds: int = 30) -> str:
+    """The rounds one by one, and the first of them that moves by less than 1e-4."""
+    parts = ["n AS (SELECT count(*) AS n FROM nodes)", "o AS (SELECT src, count(*) AS o FROM links GROUP BY src)", "r0 AS MATERIALIZED (SELECT node, 1.0::DOUBLE / n AS rank FROM nodes, n)"]
+    for k in range(1, rounds + 1):
+        parts.append(f"g{k} AS (SELECT dst AS node, sum(rank / o) AS got FROM r{k - 1} JOIN links ON node = links.src JOIN o ON o.src = links.src GROUP BY dst)")
+        parts.append(f"r{k} AS MATERIALIZED (SELECT nodes.node, 0.15::DOUBLE / n + 0.85::DOUBLE * coalesce(got, 0) AS rank FROM nodes LEFT JOIN g{k} USING (node), n)")
+    moved = " UNION ALL ".join(f"SELECT {k} AS k, sum(abs(a.rank - b.rank)) AS moved FROM r{k - 1} a JOIN r{k} b USING (node)" for k in range(1, rounds + 1))
+    ranks = " UNION ALL ".join(f"SELECT {k} AS k, * FROM r{k}" for k in range(1, rounds + 1))
+    parts.append(f"stop AS MATERIALIZED (SELECT coalesce(min(k) FILTER (moved < 1e-4), {rounds}) AS k FROM ({moved}))")
+    return w(GRAPH, *parts) + f"SELECT node, round(rank, 8) AS rank, k AS iterations FROM ({ranks}) JOIN stop USING (k)"
+
+
+@query("m23_iterate", _rank_sql())
 def m23(spark, d):
     """Rank of the steps of the graph, iterated until it moves by less than 1e-4 in sum."""
     nodes, links = stored(X.nodes(spark, d).select("node"), "nodes"), stored(X.links(spark, d), "links")
