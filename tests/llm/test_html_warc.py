@@ -58,6 +58,7 @@ def test_halves_share_as_much_as_whole_rows():
         ('<article class="post comments-open">a<article class="comment">no</article></article>', "a"),
         ('<article><p class="share-price">up</p><p>x<span class="ad">BUY</span>y <em>z</em></p><div class="share">s</div></article>', "up xy z"),
         ('<article><p>x<span class="ad">BUY<p>y</article>', "x y"),
+        ('<div class="header">site</div><article><div class="header">T</div>x</article>', "T x"),
         ('<article>a<textarea>t</textarea><math><mi>x</mi></math></article>', "a x"),
     ],
 )

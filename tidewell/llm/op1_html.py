@@ -58,9 +58,9 @@ TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^<>\"']
 NAMES = re.compile(r"(?<![\w-])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
 
-def _named(attributes: str) -> bool:
-    """Whether a class, id or role is, as a whole, a name of furniture."""
-    return bool(attributes) and any(not NAMED.isdisjoint((m[1] or m[2] or m[3] or "").lower().split()) for m in NAMES.finditer(attributes))
+def _named(attributes: str, names: set = NAMED) -> bool:
+    """Whether a class, id or role is, as a whole, one of the names."""
+    return bool(attributes) and any(not names.isdisjoint((m[1] or m[2] or m[3] or "").lower().split()) for m in NAMES.finditer(attributes))
 
 
 def page_lines(page: str) -> tuple[bool, list[tuple[str, bool, bool]]]:
@@ -118,7 +118,7 @@ def page_lines(page: str) -> tuple[bool, list[tuple[str, bool, bool]]]:
         elif tag == "header" and in_main:
             furniture = False  # the head of an article belongs to it
         else:
-            furniture = tag in FURNITURE or (tag not in ("body", "html") and _named(m[3]))
+            furniture = tag in FURNITURE or (tag not in ("body", "html") and _named(m[3], NAMED - {"header"} if in_main else NAMED))
         if furniture:
             within.append((tag, "furniture"))
         elif tag in MAIN or 'role="main"' in m[3]:
