@@ -58,8 +58,9 @@ def test_shingles_and_signatures():
     assert len(set(marks[0].tolist())) > 100
 
 
-@pytest.mark.parametrize("chunk", [512, 5])
-def test_small(spark, chunk):
+@pytest.mark.parametrize(("chunk", "in_one_task"), [(512, 50_000), (5, 0)])
+def test_small(spark, monkeypatch, chunk, in_one_task):
+    monkeypatch.setattr(op5_minhash, "connected_components", lambda links: connected_components(links, in_one_task=in_one_task))
     rng = random.Random(3)
     words = [f"w{i}" for i in range(4000)]
     rows = [(1, None), (2, ""), (3, "one two"), (4, "ONE two"), (5, "one two three"), (6, " \n")]
@@ -111,5 +112,8 @@ def test_components(spark):
     for a, b in chain:
         a, b = sorted((root(a), root(b)))
         parent[b] = a
-    got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(chain, "a long, b long")).collect()}
-    assert got == {x: root(x) for x in parent if any(x in e and e[0] != e[1] for e in chain)}
+    for most in (0, 50_000):
+        rows = connected_components(spark.createDataFrame(chain, "a long, b long"), in_one_task=most).collect()
+        assert len(rows) == len({r["node"] for r in rows})
+        assert {r["node"]: r["component"] for r in rows} == {x: root(x) for x in parent if any(x in e and e[0] != e[1] for e in chain)}
+    assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
