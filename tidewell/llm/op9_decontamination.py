@@ -381,13 +381,13 @@ def _without(blocks: Blocks, text_at: int, text_chars: int):
     return run
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, q: int = 10, rate: float = 0.08, size: int = 80, stride: int = 40, block_chars: int = 8_000_000, text_chars: int = 16_000_000) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, q: int = 10, rate: float = 0.08, size: int = 80, stride: int = 40, block_chars: int = 8_000_000, text_chars: int = 6_000_000) -> DataFrame:
     """A row for each region of a document that holds a segment of a benchmark item within the edit budget."""
     own = docs.where("text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return own.mapInArrow(tidied(_search(Blocks(benchmark, q, rate, size, stride, block_chars), text_chars)), REGIONS)
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, q: int = 10, rate: float = 0.08, size: int = 80, stride: int = 40, block_chars: int = 8_000_000, text_chars: int = 16_000_000) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, q: int = 10, rate: float = 0.08, size: int = 80, stride: int = 40, block_chars: int = 8_000_000, text_chars: int = 6_000_000) -> DataFrame:
     """The rows of docs, all columns as they are, that hold no region; null texts hold none. No document is shuffled."""
     blocks = Blocks(benchmark, q, rate, size, stride, block_chars)
     return docs.mapInArrow(tidied(_without(blocks, docs.columns.index("text"), text_chars)), docs.schema)

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-MAX_WORDS = 300_000
+MAX_WORDS = 200_000
 
 
 class _Words(dict):
