@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tidewell.llm import op1_html, op2_packing, op3_token_counts, op4_substrings, op5_minhash, op6_quality, op7_language, op8_secrets, op9_decontamination, op10_warc
+from tidewell.llm import op1_html, op2_packing, op3_token_counts, op4_substrings, op5_minhash, op6_quality, op7_language
+from tidewell.llm import op8_secrets, op9_decontamination, op10_warc, op13_fill_in_middle
 
-MODULES = {m.__name__.rpartition(".")[2]: m for m in (op1_html, op2_packing, op3_token_counts, op4_substrings, op5_minhash, op6_quality, op7_language, op8_secrets, op9_decontamination, op10_warc)}
+MODULES = {m.__name__.rpartition(".")[2]: m for m in (op1_html, op2_packing, op3_token_counts, op4_substrings, op5_minhash, op6_quality, op7_language, op8_secrets, op9_decontamination, op10_warc, op13_fill_in_middle)}
 
 
 def queries() -> dict:
