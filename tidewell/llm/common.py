@@ -5,7 +5,7 @@ from __future__ import annotations
 import sys
 from collections.abc import Callable
 
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -79,3 +79,17 @@ def partition_keys(spark: SparkSession, n: int) -> list[int]:
 def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value computed once: a lambda variable, so that the optimizer can't repeat its expression."""
     return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, hot_rows: int = 1000, hot_share: int = 20_000) -> DataFrame:
+    """Each row with the columns of its group; groups has one row for each key, and in `size` how many rows have it.
+
+    Keys of very many rows are few by definition, at most hot_share of them have over a hot_share-th of all rows: they are
+    joined by broadcast, so their rows aren't shuffled. All others have bounded numbers of rows. hot_rows: rows from which
+    a key may count as hot. Both tables are read twice, so they should be stored ones.
+    """
+    total = groups.agg(F.sum(size)).first()[0] or 0
+    most = max(hot_rows, total // hot_share)
+    hot = F.broadcast(groups.where(F.col(size) > most))
+    rest = rows.join(hot.select(key), key, "left_anti").join(groups.where(F.col(size) <= most), key)
+    return rows.join(hot, key).unionByName(rest)
