@@ -230,9 +230,11 @@ def ingest(docs: DataFrame, keyed: DataFrame, folder: str, keep: bool = True, ke
     """
     spark, groups = docs.sparkSession, stored(grouped(keyed), "groups")
     texts, equal = texts_of(docs, groups, hot_rows, key_bits=key_bits), []
-    for path in snapshots(spark, folder):
-        maybe = stored(screen(groups, path), "screened")
-        equal.append(equal_texts(texts.join(maybe.select("digest"), "digest", "left_semi"), path))
+    if paths := snapshots(spark, folder):
+        maybe = stored(reduce(DataFrame.unionByName, [screen(groups, path) for path in paths]).select("digest").distinct(), "screened")
+        # texts are shuffled once, for any number of snapshots; at every size, as deliveries of a large index need it
+        candidates = stored(texts.join(maybe.hint("shuffle_hash"), "digest", "left_semi"), "candidates")
+        equal = [equal_texts(candidates, path) for path in paths]
     known = reduce(DataFrame.unionByName, equal) if equal else spark.createDataFrame([], "digest binary, stored_digest binary")
     out = stored(groups.join(known, "digest", "left").select("digest", "key", F.coalesce("stored_digest", "digest").alias("root"), F.col("stored_digest").isNotNull().alias("known"), "size", "best"), "ingested")
     if keep:
