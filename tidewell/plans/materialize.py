@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewell.plans import fixtures as X
 from tidewell.plans.base import query
 from tidewell.session import new_path, stored, table
 from tidewell.sources import artifacts as A
@@ -264,6 +265,94 @@ def m16b(spark, d):
     return s.names().join(s.versions().select("id", "version", "row_count"), ["id", "version"]).select("name", "id", "version", "row_count")
 
 
+def seconds(ts):
+    return F.unix_micros(ts.cast("timestamp")) / 1e6
+
+
+def loaded(spark, d) -> A.ArtifactStore:
+    """A store with the versions and names made from orders, taken in as one commit."""
+    s, v = store(spark), X.versions(spark, d)
+    rows = v.select("id", "version", "state", "provenance_hash", "row_count", seconds(F.col("created_at")).alias("at"), F.col("executor").alias("transform"), "tenant")
+    s.load(rows, X.names(spark, d).select("tenant", "name", F.col("artifact_id").alias("id"), "version"))
+    return s
+
+
+_TEN = "ten AS (SELECT id, version, orderkey, provenance_hash, tenant FROM (SELECT *, row_number() OVER (PARTITION BY provenance_hash ORDER BY orderkey) AS k FROM reg_versions WHERE state = 'building') WHERE k = 1 ORDER BY orderkey LIMIT 10)"
+
+
+@query("m7_two_writers", f"WITH {X.VERSIONS}, {_TEN} SELECT CASE WHEN ten.id IS NULL THEN v.state WHEN EXISTS (SELECT 1 FROM reg_versions r WHERE r.state = 'ready' AND r.provenance_hash = v.provenance_hash AND r.tenant IS NOT DISTINCT FROM v.tenant) THEN 'failed' ELSE 'ready' END AS state, v.tenant, ten.id IS NOT NULL AS settled, count(*) AS n, CAST(sum(v.version) AS BIGINT) AS versions FROM reg_versions v LEFT JOIN ten ON ten.id = v.id AND ten.version = v.version GROUP BY 1, 2, 3")
+def m7c(spark, d):
+    """Two writers finalize, by turns, ten versions that are being built; where another version of the same hash and tenant
+    is ready, theirs fails. The states of all versions afterwards."""
+    s = loaded(spark, d)
+    writers = [s, A.ArtifactStore(spark, s.root)]
+    first = X.versions(spark, d).where("state = 'building'").groupBy("provenance_hash").agg(F.min_by(F.struct("orderkey", "id", "version"), "orderkey").alias("v"))
+    ten = [(r["id"], r["version"]) for r in first.select("v.*").orderBy("orderkey").limit(10).collect()]
+    for i, at in enumerate(ten):
+        writers[i % 2].finalize(*at, 1)
+    mine = spark.createDataFrame(ten, "id string, version long").withColumn("settled", F.lit(True))
+    states = s.versions().join(mine, ["id", "version"], "left").withColumn("settled", F.coalesce("settled", F.lit(False)))
+    return states.groupBy("state", "tenant", "settled").agg(F.count("*").alias("n"), F.sum("version").alias("versions"))
+
+
+@query("m15_collect", f"WITH {X.VERSIONS}, {X.NAMES}, o AS (SELECT max(created_at) - INTERVAL 365 DAY AS t FROM reg_versions) SELECT state, count(*) AS n, CAST(sum(row_count) AS BIGINT) AS rows, count(*) FILTER (EXISTS (SELECT 1 FROM reg_names n WHERE n.artifact_id = v.id AND n.version = v.version)) AS named FROM reg_versions v, o WHERE NOT (state IN ('ready', 'failed') AND created_at < o.t AND NOT EXISTS (SELECT 1 FROM reg_names n WHERE n.artifact_id = v.id AND n.version = v.version)) GROUP BY state")
+def m15b(spark, d):
+    """What is left when versions without a name, ready or failed, that are over a year older than the newest are deleted."""
+    s = loaded(spark, d)
+    newest = s.versions().agg(F.max("at")).first()[0] or 0.0
+    s.collect_garbage(newest - 365 * 86400)
+    named = s.names().select("id", "version").distinct().withColumn("named", F.lit(1))
+    left = s.versions().join(named, ["id", "version"], "left")
+    return left.groupBy("state").agg(F.count("*").alias("n"), F.sum("row_count").alias("rows"), F.count("named").alias("named"))
+
+
+@query("m15_sweep", "WITH g AS (SELECT c_mktsegment AS id, row_number() OVER (ORDER BY c_mktsegment) AS k, count(*) AS n FROM customer GROUP BY 1) SELECT id, n AS row_count, k <= 2 AS there, CASE WHEN k > 2 THEN 'deleted' END AS reason, true AS freed FROM g UNION ALL SELECT 'orphan', NULL, false, 'orphan', true UNION ALL SELECT 'unfinished', NULL, true, NULL, true")
+def m15c(spark, d):
+    """Payloads by market segment: the first two have a name, the others are garbage. Beside them one that no commit tells of,
+    and one that is being written. What is there after sweeping; freed: whether the bytes that are gone are those reported."""
+    s, c = store(spark), t(spark, d, "customer")
+    segments = [r[0] for r in c.select("c_mktsegment").distinct().orderBy("c_mktsegment").collect()]  # a constant few
+    for k, g in enumerate(segments):
+        s.put(c.where(F.col("c_mktsegment") == g), A.provenance_hash([("customer", g)], "put@v1", {}), name=g if k < 2 else None, id_=g)
+    unfinished = s.begin("u", id_="unfinished")
+    for at in (unfinished, ("orphan", 1)):
+        c.limit(5).write.parquet(s.payload(*at))
+    rows = stored(s.versions().select("id", "row_count"), "versions")
+    before = stored(s.payloads(), "payloads")
+    s.collect_garbage(float("inf"))
+    swept = s.sweep(0, float("inf"))
+    after = stored(s.payloads(), "payloads")
+    total = lambda p: p.agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("b"))
+    freed = total(before).withColumnRenamed("b", "b0").crossJoin(total(after)).crossJoin(total(swept).withColumnRenamed("b", "b1")).select((F.col("b0") - F.col("b") == F.col("b1")).alias("freed"))
+    out = before.select("id").join(rows, "id", "left").join(after.select("id", F.lit(True).alias("there")), "id", "left").join(swept.select("id", "reason"), "id", "left")
+    return out.crossJoin(freed).select("id", "row_count", F.coalesce("there", F.lit(False)).alias("there"), "reason", "freed")
+
+
+@query("m17_cell_versions", "SELECT 'v' || (o_custkey % 3) AS variable, CASE WHEN o_orderkey % 4 = 0 THEN o_orderkey % 5 END AS iteration, count(*) AS versions, CAST(max(o_orderkey) AS BIGINT) AS newest, CAST(sum(CAST(floor(o_totalprice) AS BIGINT)) AS BIGINT) AS rows FROM orders WHERE o_custkey % 10 = 1 AND o_orderstatus = 'F' GROUP BY 1, 2")
+def m17d(spark, d):
+    """The ready versions of the variables of one of ten cells, with loop iterations; all orders are versions of a variable."""
+    s, k, c = store(spark), F.col("o_orderkey"), F.col("o_custkey")
+    id_ = F.concat(F.format_string("c%d:v%d", c % 10, c % 3), F.when(k % 4 == 0, F.format_string("@iter=%d", k % 5)).otherwise(""))
+    state = F.when(F.col("o_orderstatus") == "F", "ready").otherwise("building")
+    s.load(t(spark, d, "orders").select(id_.alias("id"), k.alias("version"), state.alias("state"), F.floor("o_totalprice").alias("row_count")))
+    return s.of_cell("c1").groupBy("variable", "iteration").agg(F.count("*").alias("versions"), F.max("version").alias("newest"), F.sum("row_count").alias("rows"))
+
+
+@query("k4_resolve", f"WITH {X.VERSIONS} SELECT id, version, CASE WHEN state <> 'ready' THEN 'missing' WHEN tenant IS NULL OR tenant = 't1' THEN 'read' ELSE 'denied' END AS outcome FROM reg_versions ORDER BY orderkey LIMIT 12")
+def k4c(spark, d):
+    """What tenant t1 may read of the versions of the first twelve orders."""
+    s, out = loaded(spark, d), []
+    for r in X.versions(spark, d).orderBy("orderkey").limit(12).select("id", "version").collect():
+        try:
+            s.resolve(f"artifact://{r['id']}@v={r['version']}", "t1")
+            out.append((r["id"], r["version"], "read"))
+        except PermissionError:
+            out.append((r["id"], r["version"], "denied"))
+        except KeyError:
+            out.append((r["id"], r["version"], "missing"))
+    return spark.createDataFrame(out, "id string, version long, outcome string")
+
+
 @query("m17_preview", "SELECT 'regions' AS id, CAST(1 AS BIGINT) AS version, count(*) AS row_count, 'struct<r_regionkey:bigint,r_name:string>' AS schema, string_agg('{\"r_regionkey\":' || r_regionkey || ',\"r_name\":\"' || r_name || '\"}', ';' ORDER BY r_regionkey) AS preview FROM region")
 def m17b(spark, d):
     s = store(spark)
@@ -330,9 +419,9 @@ def above(inputs: list[DataFrame], params: dict) -> DataFrame:
     return inputs[0].where(F.col(params["column"]) > params["least"])
 
 
-@query("x1_registered_transform", "SELECT p_partkey, p_retailprice FROM part WHERE p_retailprice > 1200")
+@query("x1_registered_transform", "SELECT p_partkey, p_retailprice FROM part WHERE p_retailprice > 900")
 def x1(spark, d):
-    return A.run_transform("above@v1", [t(spark, d, "part").select("p_partkey", "p_retailprice")], {"column": "p_retailprice", "least": 1200.0})
+    return A.run_transform("above@v1", [t(spark, d, "part").select("p_partkey", "p_retailprice")], {"column": "p_retailprice", "least": 900.0})
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:

@@ -1,10 +1,12 @@
 """Materialization: results identified by what made them, stored once, as immutable versions.
 
-An artifact store is a folder. Versions and names are rows of one append-only table of events: the state of a version is
-its newest event, and a name points where its newest event says. One append is one commit, so what belongs together
-(a version that is ready, and its name) is in one event. A payload is a Parquet folder that is written before its version
-is declared ready, and never changed. There is one writer per store; readers see a version when its event is there.
-Small files of events are merged by compact(), which writes a new generation beside the old one.
+An artifact store is a folder with a log of numbered commits (`sources/commit_log.py`). The events of a commit tell states
+of versions and targets of names; what belongs together (a version that is ready, and its name) is one event. The state of
+a version, and the target of a name, is what the commit with the largest number says; times are kept, but decide nothing.
+Several writers may share a store. A payload is a Parquet folder that is written before its version is declared ready, and
+never changed. Looking something up reads the newest checkpoint with a filter on it, and the few commits after it, so a
+call's work doesn't grow with the number of artifacts. Deleted payloads, and those that no version tells of, are swept away
+in two phases.
 """
 
 from __future__ import annotations
@@ -16,12 +18,23 @@ import time
 import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from urllib.parse import quote, unquote
 
-from pyspark.sql import DataFrame, Row, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-#: state is null for an event that only names; name is null for one that only tells a state; a name without an id is gone.
-EVENTS = "id string, version long, state string, provenance_hash string, row_count long, at double, transform string, inputs map<string,string>, tenant string, name string"
+from tidewell.session import stored
+from tidewell.sources.commit_log import CommitLog
+
+#: A version at its newest event; n is the number of the commit.
+VERSIONS = "id string, version long, state string, provenance_hash string, row_count long, at double, transform string, inputs map<string,string>, tenant string, n long"
+TARGETS = "tenant string, name string, id string, version long, n long"
+#: The tables of a checkpoint; a bulk commit names a table of one or both kinds instead of telling events one by one.
+TABLES = {"versions": VERSIONS, "targets": TARGETS}
+#: Payloads lie in so many folders, which tasks list side by side.
+SHARDS = 256
+SWEPT = "id string, version long, files long, bytes long, reason string"
 
 TRANSFORMS: dict[str, tuple[Callable, dict[str, type]]] = {}
 
@@ -103,72 +116,192 @@ class Artifact:
         return f"artifact://{self.id}", f"{self.id}@v={self.version}", self.df
 
 
+def payload_path(id_: str, version: int) -> str:
+    """Where a payload lies below the store."""
+    return f"payload/{int(hashlib.sha256(id_.encode()).hexdigest()[:8], 16) % SHARDS:02x}/{quote(id_, safe='')}/v={version}"
+
+
+def _filesystem(uri: str):
+    """A file system of pyarrow for tasks, and the path within it."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(re.sub("^s3a:", "s3:", uri))
+
+
+def _selector(path: str):
+    from pyarrow import fs
+
+    return fs.FileSelector(path, recursive=True, allow_not_found=True)
+
+
+class State:
+    """The store at a commit. What was looked up is remembered, so that later commits can be held against it.
+
+    Its parts: the checkpoint, the events of the commits after it, and the tables that bulk commits among them name.
+    """
+
+    def __init__(self, store: ArtifactStore, number: int):
+        self.store, self.number, self.seen = store, number, set()
+        self.base, folder = max(((n, c) for n, c in store.log.checkpoints() if n <= number), default=(0, None))
+        self.latest, self.named = {}, {}
+        self.tables = {k: [(f"{store.root}/{folder}/{k}", None, ())] if folder else [] for k in TABLES}
+        for e in store.log.between(self.base, number):
+            if e.get("state"):
+                self.latest[e["id"], e["version"]] = e
+            if e.get("name"):
+                self.named[e.get("tenant") or "", e["name"]] = e
+            for k in TABLES:
+                if e.get(k):
+                    self.tables[k].append((f"{store.root}/{e[k]}", e["n"], e.get("but") or ()))
+
+    def touched(self, events: list[dict]) -> bool:
+        keys = {k for e in events for k in (("id", e.get("id")), ("hash", e.get("provenance_hash"), e.get("tenant") or ""))}
+        return bool(keys & self.seen) or "all" in self.seen or any(e.get(k) for e in events for k in TABLES)
+
+    # ---- as tables
+    def _rows(self, rows: list[dict], schema: str) -> DataFrame:
+        names = [c.split()[0] for c in schema.split(", ")]
+        return self.store.spark.createDataFrame([tuple(r.get(c) for c in names) for r in rows], schema)
+
+    def _stored(self, kind: str) -> DataFrame | None:
+        """The rows of the checkpoint and of bulk commits; of one key there may be several, the one with the largest n counts."""
+        out = None
+        for path, n, but in self.tables[kind]:
+            own = self.store.spark.read.schema(TABLES[kind]).parquet(path)
+            own = own if n is None else own.withColumn("n", F.lit(n).cast("long"))
+            own = own.join(self._rows([{"id": i, "version": v} for i, v in but], "id string, version long"), ["id", "version"], "left_anti") if but else own
+            out = own if out is None else out.unionByName(own)
+        return out
+
+    def _newest(self, kind: str, fresh: list[dict], keys: list[str]) -> DataFrame:
+        names = [c.split()[0] for c in TABLES[kind].split(", ")]
+        rows, old = self._rows(fresh, TABLES[kind]), self._stored(kind)
+        if old is None:
+            return rows
+        if len(self.tables[kind]) == 1 and self.tables[kind][0][1] is None:  # a checkpoint alone: what is newer replaces it
+            return old.join(rows.select(*keys), keys, "left_anti").unionByName(rows)
+        newest = old.unionByName(rows).groupBy(*keys).agg(F.max_by(F.struct(*[c for c in names if c not in keys]), "n").alias("e"))
+        return newest.select(*keys, "e.*").select(*names)
+
+    def all_versions(self) -> DataFrame:
+        """The newest state of each version, deleted ones among them."""
+        return self._newest("versions", list(self.latest.values()), ["id", "version"])
+
+    def targets(self) -> DataFrame:
+        """tenant, name, id, version, n: where each name points; without an id it is gone."""
+        return self._newest("targets", [e | {"tenant": e.get("tenant") or ""} for e in self.named.values()], ["tenant", "name"])
+
+    # ---- lookups: the events of commits, and a filter that the stored tables' files get
+    def _found(self, kind: str, condition: Column, fresh: dict | None) -> dict | None:
+        """The newest row of one key. After a checkpoint alone, an event is newer than what is stored."""
+        bulk = any(n for _, n, _ in self.tables[kind])
+        if self.tables[kind] and (fresh is None or bulk):
+            old = [r.asDict() for r in self._stored(kind).where(condition).collect()]  # at most one for each table
+            return max([*old, *([fresh] if fresh else [])], key=lambda r: r["n"], default=None)
+        return fresh
+
+    def version(self, id_: str, version: int) -> dict | None:
+        """The newest state of a version that isn't deleted."""
+        self.seen.add(("id", id_))
+        found = self._found("versions", (F.col("id") == id_) & (F.col("version") == version), self.latest.get((id_, version)))
+        return found if found and found["state"] != "deleted" else None
+
+    def top(self, id_: str) -> int:
+        """The largest version number that an id ever had."""
+        self.seen.add(("id", id_))
+        old = self._stored("versions")
+        stored = old.where(F.col("id") == id_).agg(F.max("version")).first()[0] if old is not None else None
+        return max([stored or 0, *(v for i, v in self.latest if i == id_)])
+
+    def find(self, digest: str, tenant: str | None) -> tuple[str, int] | None:
+        """The ready version with this hash that was declared last."""
+        self.seen.add(("hash", digest, tenant or ""))
+        mine = lambda e: e["provenance_hash"] == digest and (e.get("tenant") or "") == (tenant or "")
+        own = [e for e in self.latest.values() if e["state"] == "ready" and mine(e)]
+        if own and not any(n for _, n, _ in self.tables["versions"]):
+            e = max(own, key=lambda e: e["n"])
+            return e["id"], e["version"]
+        old = self._stored("versions")
+        if old is None:
+            return None
+        same = old.where((F.col("provenance_hash") == digest) & (F.coalesce("tenant", F.lit("")) == (tenant or ""))).select("id", "version", "state", "n")
+        both = same.unionByName(self._rows([e for e in self.latest.values() if mine(e)], "id string, version long, state string, n long"))
+        newest = both.groupBy("id", "version").agg(F.max_by("state", "n").alias("state"), F.max("n").alias("n")).where("state = 'ready'")
+        row = newest.orderBy(F.desc("n"), "id", "version").first()
+        return (row["id"], row["version"]) if row else None
+
+    def target(self, name: str, tenant: str | None) -> tuple[str, int] | None:
+        found = self._found("targets", (F.col("name") == name) & (F.col("tenant") == (tenant or "")), self.named.get((tenant or "", name)))
+        return (found["id"], found["version"]) if found and found.get("id") else None
+
+
 class ArtifactStore:
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
-
-    # ---- the table of events
-    def _path(self, name: str):
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-
-    def _generation(self) -> int:
-        """The newest complete generation of the events."""
-        path, fs = self._path("events")
-        done = [s.getPath().getParent().getName() for s in fs.globStatus(self.spark._jvm.org.apache.hadoop.fs.Path(path, "g=*/_SUCCESS")) or []]
-        return max((int(n[2:]) for n in done), default=0)
-
-    def events(self) -> DataFrame:
-        path, fs = self._path(f"events/g={self._generation()}")
-        return self.spark.read.schema(EVENTS).parquet(path.toString()) if fs.exists(path) else self.spark.createDataFrame([], EVENTS)
-
-    def _append(self, *rows: dict) -> None:
-        """One commit of some events."""
-        names = [c.split()[0] for c in EVENTS.split(", ")]
-        at = time.time()
-        full = [tuple((r | {"at": at}).get(n) for n in names) for r in rows]
-        self.spark.createDataFrame(full, EVENTS).coalesce(1).write.mode("append").parquet(f"{self.root}/events/g={self._generation()}")
-
-    def compact(self, files: int = 1) -> None:
-        """Writes all events anew in few files; readers go over to them when they are complete."""
-        now = self._generation()
-        self.events().repartition(files).write.parquet(f"{self.root}/events/g={now + 1}")
-        old, fs = self._path(f"events/g={now}")
-        fs.delete(old, True)
+    """every: commits between two checkpoints."""
+
+    def __init__(self, spark: SparkSession, root: str, every: int = 100):
+        self.spark, self.root, self.every = spark, root.rstrip("/"), every
+        self.log = CommitLog(spark, self.root)
+
+    # ---- the log
+    def state(self) -> State:
+        return State(self, self.log.last())
+
+    def _commit(self, decide: Callable):
+        """decide(state) -> (events, result), as one commit; returns result. It is asked again if its state has changed."""
+
+        def timed(state: State):
+            events, result = decide(state)
+            return [e | {"at": time.time()} for e in events], result
+
+        number, result = self.log.commit(timed, self.state)
+        if number and number % self.every == 0:
+            self.compact(number)
+        return result
+
+    def compact(self, number: int | None = None) -> None:
+        """Writes a checkpoint (of a commit; the newest one without). Readers of older ones aren't disturbed."""
+        state = State(self, self.log.last() if number is None else number)
+
+        def write(folder: str) -> None:
+            # sorted by id, with a Bloom filter of the hashes: a lookup of either reads little
+            out = state.all_versions().repartitionByRange("id").sortWithinPartitions("id", "version")
+            out.write.option("parquet.bloom.filter.enabled#provenance_hash", "true").parquet(f"{folder}/versions")
+            state.targets().repartitionByRange("name").sortWithinPartitions("name").write.parquet(f"{folder}/targets")
+
+        if state.number > state.base:
+            self.log.checkpoint(state.number, write)
 
     def versions(self) -> DataFrame:
-        """The newest state of each version; deleted ones are left out."""
-        e = self.events().where("state IS NOT NULL")
-        fields = [f.name for f in e.schema.fields if f.name not in ("id", "version", "name")]
-        return e.groupBy("id", "version").agg(F.max_by(F.struct(*fields), "at").alias("e")).select("id", "version", "e.*").where("state <> 'deleted'")
+        """The newest state of each version, and in n the commit that told it; deleted ones are left out."""
+        return self.state().all_versions().where("state <> 'deleted'")
 
     def names(self) -> DataFrame:
         """Names of versions that are ready."""
-        n = self.events().where("name IS NOT NULL").withColumn("tenant", F.coalesce("tenant", F.lit("")))
-        newest = n.groupBy("tenant", "name").agg(F.max_by(F.struct("id", "version", "at"), "at").alias("n")).select("name", "tenant", "n.*").where("id IS NOT NULL")
-        return newest.join(self.versions().where("state = 'ready'").select("id", "version"), ["id", "version"], "left_semi")
+        state = self.state()
+        ready = state.all_versions().where("state = 'ready'").select("id", "version")
+        return state.targets().where("id IS NOT NULL").join(ready, ["id", "version"], "left_semi")
 
     def version(self, id_: str, version: int) -> Row | None:
-        return self.versions().where((F.col("id") == id_) & (F.col("version") == version)).first()
+        found = self.state().version(id_, version)
+        return Row(**{c.split()[0]: found.get(c.split()[0]) for c in VERSIONS.split(", ")}) if found else None
 
     # ---- writing
     def find(self, digest: str, tenant: str | None = None) -> tuple[str, int] | None:
-        """The newest ready version with this hash; the hash is filtered in the files."""
-        hit = self.events().where("state IS NOT NULL").where((F.col("provenance_hash") == digest) & (F.coalesce("tenant", F.lit("")) == (tenant or "")))
-        newest = hit.groupBy("id", "version").agg(F.max_by("state", "at").alias("state"), F.max("at").alias("at")).where("state = 'ready'")
-        row = newest.orderBy(F.desc("at")).select("id", "version").first()
-        return (row["id"], row["version"]) if row else None
+        """The newest ready version with this hash."""
+        return self.state().find(digest, tenant)
 
     def payload(self, id_: str, version: int) -> str:
-        return f"{self.root}/payload/{id_}/v={version}"
+        return f"{self.root}/{payload_path(id_, version)}"
 
     def begin(self, digest: str, transform: str = "put@v1", inputs: Sequence[tuple[str, str]] = (), tenant: str | None = None, id_: str | None = None) -> tuple[str, int]:
         """Declares the next version of id_ (a new id without one) as building."""
         id_ = id_ or digest[:16]
-        top = self.events().where(F.col("id") == id_).agg(F.max("version").alias("v")).first()["v"]
-        version = (top or 0) + 1
-        self._append({"id": id_, "version": version, "state": "building", "provenance_hash": digest, "transform": transform, "inputs": dict(inputs), "tenant": tenant})
-        return id_, version
+
+        def decide(state: State):
+            version = state.top(id_) + 1
+            return [{"id": id_, "version": version, "state": "building", "provenance_hash": digest, "transform": transform, "inputs": dict(inputs), "tenant": tenant}], (id_, version)
+
+        return self._commit(decide)
 
     def finalize(self, id_: str, version: int, row_count: int | None = None, name: str | None = None) -> tuple[str, int]:
         """Declares a version ready, and names it, in one commit; returns the version that holds the result.
@@ -176,37 +309,51 @@ class ArtifactStore:
         A version that is ready already stays as it is. If another version of the same hash and tenant got ready meanwhile,
         this one is marked as failed and the other one is returned (and named).
         """
-        v = self.version(id_, version)
-        if v is None or v["state"] == "failed":
-            raise ValueError(f"{id_}@v={version} isn't being built")
-        own = {k: v[k] for k in ("id", "version", "provenance_hash", "transform", "inputs", "tenant")}
-        other = None if v["state"] == "ready" else self.find(v["provenance_hash"], v["tenant"])
-        if v["state"] == "ready" or other:
+
+        def decide(state: State):
+            v = state.version(id_, version)
+            if v is None or v["state"] == "failed":
+                raise ValueError(f"{id_}@v={version} isn't being built")
+            own = {k: v.get(k) for k in ("id", "version", "provenance_hash", "transform", "inputs", "tenant")}
+            other = None if v["state"] == "ready" else state.find(v["provenance_hash"], v.get("tenant"))
+            if v["state"] == "building" and not other:
+                return [own | {"state": "ready", "row_count": row_count, "name": name}], (id_, version)
             kept = other or (id_, version)
             events = [own | {"state": "failed"}] if other else []
             if name:
-                events.append({"id": kept[0], "version": kept[1], "tenant": v["tenant"], "name": name})
-            if events:
-                self._append(*events)
-            return kept
-        self._append(own | {"state": "ready", "row_count": row_count, "name": name})
-        return id_, version
+                events.append({"id": kept[0], "version": kept[1], "tenant": v.get("tenant"), "name": name})
+            return events, kept
+
+        return self._commit(decide)
 
     def fail(self, id_: str, version: int) -> None:
         """Marks a version as failed; one that is ready stays ready."""
-        v = self.version(id_, version)
-        if v is not None and v["state"] == "building":
-            self._append({k: v[k] for k in ("id", "version", "provenance_hash", "transform", "inputs", "tenant")} | {"state": "failed"})
+
+        def decide(state: State):
+            v = state.version(id_, version)
+            if v is None or v["state"] != "building":
+                return [], None
+            return [{k: v.get(k) for k in ("id", "version", "provenance_hash", "transform", "inputs", "tenant")} | {"state": "failed"}], None
+
+        self._commit(decide)
 
     def delete(self, id_: str, version: int, tenant: str | None = None) -> bool:
-        """Deletes a version and with it its names, in one commit, and then the payload; False if there is none."""
-        v = self.version(id_, version)
-        if v is None or not _may_read(v["tenant"], tenant):
-            return False
-        self._append({k: v[k] for k in ("id", "version", "provenance_hash", "tenant")} | {"state": "deleted"})
-        path, fs = self._path(f"payload/{id_}/v={version}")
-        fs.delete(path, True)
-        return True
+        """Deletes a version and with it its names, in one commit, and then the payload; False if there is none.
+
+        Only its tenant may, or a caller without one: a version without a tenant is read by all, but not deleted by them.
+        """
+
+        def decide(state: State):
+            v = state.version(id_, version)
+            if v is None or not (tenant is None or v.get("tenant") == tenant):
+                return [], False
+            return [{k: v.get(k) for k in ("id", "version", "provenance_hash", "tenant")} | {"state": "deleted"}], True
+
+        gone = self._commit(decide)
+        if gone:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.payload(id_, version))
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        return gone
 
     def put(self, df: DataFrame, digest: str, transform: str = "put@v1", inputs: Sequence[tuple[str, str]] = (), name: str | None = None, tenant: str | None = None, id_: str | None = None) -> Artifact:
         """Stores df as the next version of id_ (a new id without one): the payload, then ready and the name in one commit.
@@ -236,29 +383,123 @@ class ArtifactStore:
         return self.put(run_transform(transform, [df for *_, df in inputs], params), digest, transform, pairs, name, tenant)
 
     def set_name(self, name: str, id_: str, version: int, tenant: str | None = None) -> None:
-        v = self.version(id_, version)
-        if v is None or v["state"] != "ready" or (v["tenant"] or "") != (tenant or ""):
-            raise ValueError(f"{id_}@v={version} is not a ready version of this tenant")
-        self._append({"id": id_, "version": version, "tenant": tenant, "name": name})
+        def decide(state: State):
+            v = state.version(id_, version)
+            if v is None or v["state"] != "ready" or (v.get("tenant") or "") != (tenant or ""):
+                raise ValueError(f"{id_}@v={version} is not a ready version of this tenant")
+            return [{"id": id_, "version": version, "tenant": tenant, "name": name}], None
+
+        self._commit(decide)
 
     def delete_name(self, name: str, tenant: str | None = None) -> None:
-        self._append({"tenant": tenant, "name": name})
+        self._commit(lambda state: ([{"tenant": tenant, "name": name}], None))
+
+    # ---- in bulk
+    def load(self, versions: DataFrame, targets: DataFrame | None = None) -> int:
+        """Takes rows of VERSIONS (and TARGETS) into the store as one commit, whatever their number; columns that they lack
+        are null. The payloads are the caller's. Returns the commit's number."""
+        event = {}
+        for kind, df in (("versions", versions), ("targets", targets)):
+            if df is not None:
+                event[kind] = f"bulk/{uuid.uuid4().hex}"
+                names = [c.split()[0] for c in TABLES[kind].split(", ") if c != "n long"]
+                missing = {c.split()[0]: F.lit(None).cast(c.split()[1]) for c in TABLES[kind].split(", ") if c.split()[0] not in df.columns}
+                df.withColumns(missing).select(*names).write.parquet(f"{self.root}/{event[kind]}")
+        return self._commit_all(lambda state: ([event], None))
+
+    def _commit_all(self, decide: Callable) -> int:
+        """A bulk commit, and a checkpoint after it, so that lookups needn't fold its table."""
+        number, _ = self.log.commit(decide, self.state)
+        if number:
+            self.compact(number)
+        return number or self.log.last()
+
+    def collect_garbage(self, before: float, tenant: str | None = None, states: Sequence[str] = ("ready", "failed")) -> DataFrame:
+        """Marks as deleted, in one commit, the versions in these states that no name points to and whose time is before a
+        time in seconds; of a tenant those without a tenant too. Returns them; sweep() deletes their payloads.
+
+        Versions that get a name, or another state, while the garbage is looked for stay.
+        """
+        began, path = None, f"bulk/{uuid.uuid4().hex}"
+
+        def decide(state: State):
+            nonlocal began
+            if began is None:
+                began = state.number
+                old = state.all_versions().where(F.col("state").isin(*states) & (F.col("at") < before))
+                old = old if tenant is None else old.where(F.col("tenant").isNull() | (F.col("tenant") == tenant))
+                named = state.targets().where("id IS NOT NULL").select("id", "version")
+                old.join(named, ["id", "version"], "left_anti").withColumn("state", F.lit("deleted")).drop("n").write.parquet(f"{self.root}/{path}")
+            state.seen.add("all")
+            since = self.log.between(began, state.number)
+            if any(e.get(k) for e in since for k in TABLES):
+                raise RuntimeError("a bulk commit came between; call again")
+            return [{"versions": path, "but": sorted({(e["id"], e["version"]) for e in since if e.get("id")})}], None
+
+        self._commit_all(decide)
+        own = self.spark.read.schema(VERSIONS).parquet(f"{self.root}/{path}").drop("n")
+        return own.join(self.state().all_versions().where("state <> 'deleted'").select("id", "version"), ["id", "version"], "left_anti")
+
+    def payloads(self) -> DataFrame:
+        """id, version, files, bytes and newest (the time of the last change, in seconds) of the payloads that are there, listed
+        by tasks, a shard each; whatever the log says of them."""
+        root = self.log.files.fs.makeQualified(self.log.files.path("payload")).toUri().toString()
+
+        def listed(frames):
+            fs, top = _filesystem(root)
+            for frame in frames:
+                for shard in frame["id"]:
+                    found: dict = {}
+                    for f in fs.get_file_info(_selector(f"{top}/{shard:02x}")):
+                        m = re.fullmatch(rf"{re.escape(top)}/[0-9a-f]+/([^/]+)/v=(\d+)(/.*)?", f.path)
+                        if m:
+                            row = found.setdefault((unquote(m[1]), int(m[2])), [0, 0, 0.0])
+                            row[0] += f.is_file
+                            row[1] += f.size or 0
+                            row[2] = max(row[2], f.mtime.timestamp() if f.mtime else 0.0)
+                    if found:
+                        yield pd.DataFrame([(*k, *v) for k, v in found.items()], columns=["id", "version", "files", "bytes", "newest"])
+
+        tasks = min(SHARDS, 2 * self.spark.sparkContext.defaultParallelism)
+        return self.spark.range(0, SHARDS, 1, tasks).mapInPandas(listed, "id string, version long, files long, bytes long, newest double")
+
+    def sweep(self, grace_seconds: float, now: float | None = None) -> DataFrame:
+        """Deletes the payloads that belong to no version that is ready or being built and haven't changed for a grace time:
+        those of deleted and failed versions, and orphans, of which no commit tells. A row for each, with the reason.
+
+        Payloads are listed before the state is read, and a version is declared before its payload is written, so one that
+        is being written is known to the state, or younger than the grace time. Tasks that run again find nothing to do.
+        """
+        there = stored(self.payloads(), "payloads")
+        known = self.state().all_versions().select("id", "version", "state")
+        old = F.col("newest") <= (time.time() if now is None else now) - grace_seconds
+        doomed = there.where(old).join(known, ["id", "version"], "left").where(F.coalesce("state", F.lit("orphan")).isin("deleted", "failed", "orphan"))
+        rows = stored(doomed.select("id", "version", "files", "bytes", F.coalesce("state", F.lit("orphan")).alias("reason")), "doomed")
+        root = self.log.files.fs.makeQualified(self.log.files.path("")).toUri().toString()
+
+        def deleted(frames):
+            fs, top = _filesystem(root)
+            for frame in frames:
+                for id_, version in zip(frame["id"], frame["version"]):
+                    folder = f"{top}/{payload_path(id_, version)}"
+                    if fs.get_file_info(folder).type.name == "Directory":
+                        fs.delete_dir(folder)
+                yield frame
+
+        return stored(rows.repartition("id").mapInPandas(deleted, SWEPT), "swept")
 
     # ---- reading
     def resolve(self, ref: str, tenant: str | None = None) -> Row:
         """The version that artifact://id@v=N or a name stands for. It must be ready, and of this tenant or of none;
         without a tenant every version may be read."""
-        m = re.fullmatch(r"artifact://(.+)@v=(\d+)", ref)
-        if m:
-            v = self.version(m[1], int(m[2]))
-        else:
-            row = self.names().where((F.col("name") == ref) & (F.col("tenant") == (tenant or ""))).first()
-            v = row and self.version(row["id"], row["version"])
+        m, state = re.fullmatch(r"artifact://(.+)@v=(\d+)", ref), self.state()
+        at = (m[1], int(m[2])) if m else state.target(ref, tenant)
+        v = at and state.version(*at)
         if v is None or v["state"] != "ready":
             raise KeyError(f"no artifact that is ready: {ref}")
-        if not _may_read(v["tenant"], tenant):
+        if not _may_read(v.get("tenant"), tenant):
             raise PermissionError(f"{ref} belongs to another tenant")
-        return v
+        return Row(**{c.split()[0]: v.get(c.split()[0]) for c in VERSIONS.split(", ")})
 
     def fetch(self, ref: str, tenant: str | None = None) -> DataFrame:
         """By artifact://id@v=N or by name."""
@@ -269,8 +510,8 @@ class ArtifactStore:
         """One row: id, version, row_count, n_bytes of the payload, its schema, and its first n rows as JSON."""
         v = self.resolve(ref, tenant)
         df = self.spark.read.parquet(self.payload(v["id"], v["version"]))
-        path, fs = self._path(f"payload/{v['id']}/v={v['version']}")
-        size = fs.getContentSummary(path).getLength()
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.payload(v["id"], v["version"]))
+        size = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
         head = df.limit(n).agg(F.array_sort(F.collect_list(F.to_json(F.struct("*")))).alias("preview"))
         fixed = [F.lit(x).alias(k) for k, x in (("id", v["id"]), ("version", v["version"]), ("row_count", v["row_count"]), ("n_bytes", size), ("schema", df.schema.simpleString()))]
         return head.select(*fixed, "preview")
