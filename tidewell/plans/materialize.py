@@ -10,6 +10,7 @@ from tidewell.plans.base import query
 from tidewell.session import new_path, stored, table
 from tidewell.sources import artifacts as A
 from tidewell.sources import scan as S
+from tidewell.sources.skipping import SkippingIndex
 
 
 def t(spark, d, name):
@@ -65,6 +66,37 @@ def s6(spark, d):
     return S.prune(zones(spark, d), [("l_orderkey", ">=", 2500), ("l_orderkey", "<", 7000)]).select("zone", "num_rows")
 
 
+def clustered(spark, d) -> str:
+    """A copy of lineitem with a file for each thousand of order keys."""
+    path = new_path(spark, "clustered")
+    t(spark, d, "lineitem").withColumn("zone", F.floor(F.col("l_orderkey") / 1000)).repartition("zone").write.partitionBy("zone").parquet(path)
+    return path
+
+
+_HIT = "max_l_orderkey >= 2500 AND min_l_orderkey < 7000"
+
+
+@query("s1_skipping_scan", f"WITH {_ZONES} SELECT l_orderkey, l_linenumber, l_quantity, (SELECT count(*) FROM z WHERE {_HIT}) AS opened, (SELECT count(*) FROM z) AS files FROM lineitem WHERE l_orderkey >= 2500 AND l_orderkey < 7000 AND l_discount < 0.03")
+def s1b(spark, d):
+    """A scan that opens the files which an index leaves, and how many those are."""
+    index = SkippingIndex(spark, new_path(spark, "index")).build(clustered(spark, d), ["l_orderkey", "l_shipdate"])
+    out = index.scan(["l_orderkey", "l_linenumber", "l_quantity"], [("l_orderkey", ">=", 2500), ("l_orderkey", "<", 7000), ("l_discount", "<", 0.03)])
+    files = index.zones().count()
+    return out.withColumns({"opened": F.lit(len(out.inputFiles())).cast("long"), "files": F.lit(files).cast("long")})
+
+
+@query("s6_bloom_scan", "SELECT l_orderkey, l_linenumber, l_partkey, true AS fewer FROM lineitem WHERE l_partkey = (SELECT min(l_partkey) FROM lineitem WHERE l_orderkey >= 3000)")
+def s6b(spark, d):
+    """The rows of one part, which each file may have: a bloom tells those that don't. fewer: whether it left at most a tenth
+    more files than hold such a row, and two."""
+    path = clustered(spark, d)
+    index = SkippingIndex(spark, new_path(spark, "index")).build(path, ["l_orderkey"], ["l_partkey"])
+    part = t(spark, d, "lineitem").where("l_orderkey >= 3000").agg(F.min("l_partkey")).first()[0]
+    out = index.scan(["l_orderkey", "l_linenumber", "l_partkey"], [("l_partkey", "=", part)])
+    least = spark.read.parquet(path).where(F.col("l_partkey") == part).agg(F.count_distinct("zone")).first()[0]
+    return out.withColumn("fewer", F.lit(least <= len(out.inputFiles()) <= 1.1 * least + 2))
+
+
 @query("s7_plan_summary", f"WITH {_ZONES}, k AS (SELECT *, max_l_orderkey >= 2500 AND min_l_orderkey < 7000 AS keep FROM z) SELECT count(*) AS total, count(*) FILTER (keep) AS surviving, count(*) FILTER (NOT keep) AS pruned, CAST(coalesce(sum(num_rows) FILTER (keep), 0) * 100 AS BIGINT) AS bytes, count(*) FILTER (keep) <= 3 AS zones_ok, coalesce(sum(num_rows) FILTER (keep), 0) * 100 <= 1000000 AS bytes_ok, CASE WHEN sum(num_rows) FILTER (keep) * 100 > 500000 THEN 'bulk' ELSE 'interactive' END AS kind FROM k")
 def s7(spark, d):
     return S.plan_summary(zones(spark, d), [("l_orderkey", ">=", 2500), ("l_orderkey", "<", 7000)], 100, 3, 1_000_000, 500_000)
