@@ -12,7 +12,7 @@ from tidewell.operators import rollups as O
 from tidewell.plans import fixtures as X
 from tidewell.plans.base import query
 from tidewell.session import new_path, table
-from tidewell.streaming import jobs
+from tidewell.streaming import jobs, leases
 
 A, B, V = "WITH " + X.ACCESSES, "WITH " + X.BUILDS, "WITH " + X.VERSIONS
 
@@ -29,6 +29,34 @@ def w2(spark, d):
     return jobs.run_available(jobs.windowed_access(stream, "1 hour", None, "10 minutes"), "windows")
 
 
+#: Events as they arrive: every 89th one is three days late. A batch is five days of arrival.
+_ARRIVED = A + """, r AS (SELECT *, CAST(floor(date_diff('day', DATE '1970-01-01', CAST(ts + CASE WHEN event_id % 89 = 0 THEN INTERVAL 3 DAY ELSE INTERVAL 0 DAY END AS DATE)) / 5) AS BIGINT) AS batch FROM accesses),
+ b AS (SELECT batch, max(max(ts)) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - INTERVAL 1 DAY AS mark, max(max(ts)) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 2 PRECEDING) - INTERVAL 1 DAY AS closed FROM r GROUP BY batch)"""
+
+
+def arriving(spark, d):
+    """The accesses as a stream of micro-batches in the order of arrival."""
+    late = F.when(F.col("event_id") % 89 == 0, F.col("ts") + F.make_dt_interval(F.lit(3))).otherwise(F.col("ts"))
+    path = jobs.staged(X.accesses(spark, d), F.floor(F.date_diff(late, F.lit("1970-01-01").cast("date")) / 5), "accesses")
+    return jobs.file_stream(spark, path, 1)
+
+
+@query("w2_sliding_windows", _ARRIVED + """, w AS (SELECT *, unnest([0, 1, 2, 3]) AS k FROM r JOIN b USING (batch)), s AS (SELECT time_bucket(INTERVAL 6 HOUR, ts) - k * INTERVAL 6 HOUR AS start, * FROM w)
+ SELECT start, start + INTERVAL 24 HOUR AS stop, count(*) FILTER (is_hit) AS hits, count(*) FILTER (NOT is_hit) AS misses, CAST(sum(bytes) AS BIGINT) AS bytes FROM s
+ WHERE (closed IS NULL OR start + INTERVAL 24 HOUR > closed) AND start + INTERVAL 24 HOUR <= (SELECT max(ts) - INTERVAL 1 DAY FROM accesses) GROUP BY 1""")
+def w2b(spark, d):
+    """Windows of a day every six hours, over a replay in micro-batches. A row is left out of a window that was closed when it
+    came: by the watermark of the batch before its own, which is the newest time of all batches before that one less a day."""
+    return jobs.run_available(jobs.windowed_access(arriving(spark, d), "24 hours", "6 hours", "1 day"), "windows")
+
+
+@query("w2_late_rows", _ARRIVED + " SELECT table_id, count(*) AS late, CAST(sum(bytes) AS BIGINT) AS bytes, min(event_id) AS first_event FROM r JOIN b USING (batch) WHERE ts < mark GROUP BY table_id")
+def w2c(spark, d):
+    """The side output of the same replay: the rows that came behind the watermark, by table."""
+    late = jobs.late_rows(arriving(spark, d), "ts", "1 day", new_path(spark, "late"), new_path(spark, "late-state"))
+    return late.groupBy("table_id").agg(F.count("*").alias("late"), F.sum("bytes").alias("bytes"), F.min("event_id").alias("first_event"))
+
+
 @query("w3_table_hit_rates", A + " SELECT table_id, count(*) FILTER (is_hit) AS hits, count(*) FILTER (NOT is_hit) AS misses, count(*) AS total, round(count(*) FILTER (is_hit) / count(*), 4) AS hit_rate FROM accesses GROUP BY table_id ORDER BY total DESC, table_id LIMIT 10")
 def w3(spark, d):
     return O.hit_rates(X.accesses(spark, d), "table_id", 10)
@@ -52,6 +80,23 @@ def w6(spark, d):
     return spark.read.parquet(target).agg(F.count("*").alias("rows"), F.count_distinct("event_id").alias("ids"))
 
 
+@query("w6_bounded_ingest", "SELECT count(*) AS rows, count(DISTINCT event_id) AS ids, true AS bounded FROM events")
+def w6b(spark, d):
+    """Events in micro-batches of three days, each of which delivers the last day of the one before again: every event is
+    ingested once, and no batch remembers more than the rows of some days. bounded: whether that held (at most two batches'
+    rows and the state of the batch before)."""
+    e = table(spark, d, "events").select("event_id", "ts", "user_id")
+    day = F.date_diff("ts", F.lit("1970-01-01").cast("date"))
+    batch = F.floor(day / 3)
+    twice = e.select("*", F.explode(F.array_distinct(F.array(batch, F.floor((day + 1) / 3)))).alias("delivery"))
+    stream = jobs.file_stream(spark, jobs.staged(twice, F.col("delivery"), "deliveries"), 1)
+    target = new_path(spark, "ingested")
+    told = jobs.ingest_bounded(stream.select("event_id", "ts", "user_id"), ["event_id"], "ts", "2 days", target, new_path(spark, "ingest-state"))
+    largest = max((p["read"] for p in told), default=0)
+    bounded = all(p["state_rows"] <= 3 * largest for p in told)
+    return spark.read.parquet(f"{target}/batch=*").agg(F.count("*").alias("rows"), F.count_distinct("event_id").alias("ids")).withColumn("bounded", F.lit(bounded))
+
+
 @query("w7_eviction_pressure", A + ", x AS (SELECT epoch(max(ts) OVER ()) - epoch(ts) AS age, * FROM accesses), s AS (SELECT count(*) AS total, count(*) FILTER (age <= 60) AS last_minute, count(*) FILTER (age <= 3600) AS last_hour, CAST(coalesce(sum(bytes) FILTER (age <= 3600), 0) AS BIGINT) AS bytes_last_hour, max(ts) AS last_ts FROM x WHERE NOT is_hit) SELECT *, round(last_hour / 60.0, 4) AS rate, CASE WHEN last_hour / 60.0 >= 10 THEN 'critical' WHEN last_hour / 60.0 >= 5 THEN 'high' WHEN last_hour / 60.0 >= 1 THEN 'medium' ELSE 'low' END AS level FROM s")
 def w7(spark, d):
     return O.eviction_pressure(X.accesses(spark, d))
@@ -99,6 +144,24 @@ def w12(spark, d):
     return lease.select(F.col("orderkey").alias("build_id"), "created_at").orderBy("created_at", "build_id")
 
 
+_LEASES = """WITH e AS (SELECT user_id AS build_id, ts, event_type = 'purchase' AS done, lag(ts) OVER o AS ts0, lag(event_type = 'purchase') OVER o AS done0, lead(ts) OVER o AS ts1
+ FROM events WINDOW o AS (PARTITION BY user_id ORDER BY ts, event_id)), w AS (SELECT max(ts) - INTERVAL 10 MINUTE AS final FROM events)
+SELECT build_id, 'expired' AS kind, ts + INTERVAL 24 HOUR AS at FROM e, w WHERE NOT done AND (ts1 > ts + INTERVAL 24 HOUR OR (ts1 IS NULL AND ts + INTERVAL 24 HOUR < final))
+UNION ALL SELECT build_id, 'reclaimed', ts FROM e WHERE NOT done0 AND ts0 + INTERVAL 24 HOUR < ts"""
+
+
+@query("w12_lease_stream", _LEASES)
+def w12b(spark, d):
+    """Builds whose lease of a day ran out, and those that went on after it: a stream of the events, a micro-batch for every
+    four days, with timers. A purchase ends a build."""
+    e = table(spark, d, "events").select("user_id", "ts", "event_type")
+    path = jobs.staged(e, F.floor(F.date_diff("ts", F.lit("1970-01-01").cast("date")) / 4), "lease-events")
+    stream = jobs.file_stream(spark, path, 1)
+    told = leases.lease_events(stream, "user_id", "ts", F.col("event_type") == "purchase", 86_400, "10 minutes")
+    out = leases.with_timers(spark, lambda: jobs.run_available(told, "leases"))
+    return out.withColumn("at", F.col("at").cast("timestamp_ntz"))
+
+
 @query("w13_tenant_builds", B + " SELECT build_id, created_at FROM reg_builds WHERE tenant = 't2' AND event = 'failed' ORDER BY created_at DESC, build_id LIMIT 25")
 def w13(spark, d):
     return X.builds(spark, d).where("tenant = 't2' AND event = 'failed'").orderBy(F.desc("created_at"), "build_id").limit(25).select("build_id", "created_at")

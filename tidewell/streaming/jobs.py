@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from tidewell.session import new_path
+from tidewell.session import new_path, stored
 
 
 def file_stream(spark: SparkSession, path: str, files_per_trigger: int | None = 1000) -> DataFrame:
@@ -15,7 +16,37 @@ def file_stream(spark: SparkSession, path: str, files_per_trigger: int | None =
     """
     schema = spark.read.parquet(path).schema
     reader = spark.readStream.schema(schema)
-    return (reader.option("maxFilesPerTrigger", files_per_trigger) if files_per_trigger else reader).parquet(path + "*")
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place).isDirectory():
+        path = f"{path[:-1]}[{path[-1]}]"  # a stream takes a folder or a pattern; this one matches the file alone
+    return (reader.option("maxFilesPerTrigger", files_per_trigger) if files_per_trigger else reader).parquet(path)
+
+
+def staged(df: DataFrame, batch: Column, label: str) -> str:
+    """Writes df below a new folder, a file for each batch number, for a replay in their order, one file in each micro-batch
+    (files_per_trigger=1): a file source goes by the time of change, which is set one second apart. Returns the folder.
+
+    A batch is as much as one task writes; number them so that they are (by the hour, say).
+    """
+    spark, path = df.sparkSession, new_path(df.sparkSession, label)
+    rows = df.withColumn("_batch", batch.cast("long"))
+    rows.repartition("_batch").sortWithinPartitions("_batch").write.partitionBy("_batch").option("maxRecordsPerFile", 0).parquet(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    numbers = sorted((int(s.getPath().getName().split("=")[1]), s.getPath()) for s in fs.listStatus(folder) if "=" in s.getPath().getName())
+    for i, (_, at) in enumerate(numbers):
+        for f in fs.listStatus(at):
+            if f.getPath().getName().endswith(".parquet"):
+                fs.setTimes(f.getPath(), 1_000_000_000_000 + 1000 * i, -1)
+    return path
+
+
+def file_order(df: DataFrame, ts: str) -> DataFrame:
+    """path, least, newest, and late: by how much rows of the file are behind the newest row of the files before it, the files
+    taken in the order of their least time. The largest late is the delay with which a replay in this order drops nothing."""
+    files = df.groupBy(F.col("_metadata.file_path").alias("path")).agg(F.min(ts).alias("least"), F.max(ts).alias("newest"))
+    before = F.max("newest").over(W.orderBy("least", "path").rowsBetween(W.unboundedPreceding, -1))  # a row for each file
+    return files.withColumn("late", F.greatest(before - F.col("least"), F.expr("INTERVAL '0' SECOND")))
 
 
 def windowed_access(stream: DataFrame, window: str, slide: str | None, delay: str) -> DataFrame:
@@ -26,15 +57,56 @@ def windowed_access(stream: DataFrame, window: str, slide: str | None, delay: st
     return out.select(F.col("w.start").cast("timestamp_ntz").alias("start"), F.col("w.end").cast("timestamp_ntz").alias("stop"), "hits", "misses", "bytes")
 
 
-def run_available(stream: DataFrame, label: str) -> DataFrame:
-    """Runs a stream over what is there into a Parquet folder, with its own checkpoint, and reads the result."""
+def run_available(stream: DataFrame, label: str, path: str | None = None, state: str | None = None) -> DataFrame:
+    """Runs a stream over what is there into a Parquet folder and reads the result. path, state: those of an earlier run that
+    this one goes on with; without them the folder and the checkpoint are new."""
     spark = stream.sparkSession
-    path, state = new_path(spark, label), new_path(spark, f"{label}-state")
+    path, state = path or new_path(spark, label), state or new_path(spark, f"{label}-state")
     q = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", state).trigger(availableNow=True).start(path)
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(path)
 
 
+def late_rows(stream: DataFrame, ts: str, delay: str, target: str, state: str) -> DataFrame:
+    """Runs a stream over what is there and keeps the rows that a watermark of this delay finds late, that is those behind
+    the newest time of all batches before theirs by more than delay; returns them.
+
+    A batch writes folders of its own below target: its late rows, and its newest time. One that runs again writes them anew,
+    and reads the times of the batches before it, so it finds the same.
+    """
+    spark, schema = stream.sparkSession, stream.schema
+
+    def split(batch: DataFrame, number: int) -> None:
+        own = stored(batch, "batch")  # read twice
+        own.agg(F.max(ts).alias("newest")).write.mode("overwrite").parquet(f"{target}/newest/batch={number}")
+        marks = spark.read.schema(f"newest {schema[ts].dataType.simpleString()}, batch long").parquet(f"{target}/newest")
+        newest = marks.where(F.col("batch") < number).agg(F.max("newest").alias("newest"))
+        late = own.crossJoin(newest).where(F.col(ts) < F.col("newest") - F.expr(f"INTERVAL {delay}")).drop("newest")
+        late.write.mode("overwrite").parquet(f"{target}/late/batch={number}")
+
+    q = stream.writeStream.foreachBatch(split).option("checkpointLocation", state).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema(schema).parquet(f"{target}/late/batch=*")
+
+
+def ingest_bounded(stream: DataFrame, key: list[str], ts: str, delay: str, target: str, state: str) -> list[dict]:
+    """Appends the rows of a stream to the Parquet folder target, each key once, without reading target; returns the state
+    rows and the rows written of each micro-batch.
+
+    Keys are remembered for the delay: a row that is delivered again within it adds nothing, and one that comes later than
+    that is behind the watermark and dropped. A batch writes a folder of its own, so one that runs again after a failure
+    replaces what it wrote. What is remembered is as much as comes within the delay, however large target is.
+    """
+    once = stream.withColumn("_at", F.col(ts).cast("timestamp")).withWatermark("_at", delay).dropDuplicatesWithinWatermark(key).drop("_at")
+
+    def append(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{target}/batch={number}")
+
+    q = once.writeStream.foreachBatch(append).option("checkpointLocation", state).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return [{"batch": p["batchId"], "state_rows": p["stateOperators"][0]["numRowsTotal"], "read": p["numInputRows"]} for p in q.recentProgress if p["stateOperators"]]
+
+
 def ingest_once(stream: DataFrame, key: list[str], target: str, day: Column | None = None) -> None:
     """Appends each micro-batch to the Parquet folder target without rows whose key is there already.
 
