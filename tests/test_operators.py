@@ -123,6 +123,69 @@ def test_graph(spark):
     assert G.reach(e.limit(0), n.limit(0)).count() == 0
 
 
+def test_strong_components_and_cycles(spark):
+    rng = __import__("random").Random(5)
+    for n, m in ((1, 0), (40, 55)):
+        edges = {(rng.randrange(n), rng.randrange(n)) for _ in range(m)}
+        e = spark.createDataFrame(sorted(edges), "src long, dst long")
+        reach = {a: {b for a2, b in edges if a2 == a} for a in range(n)}
+        for _ in range(n):
+            reach = {a: r | {c for b in r for c in reach[b]} for a, r in reach.items()}
+        want = {a: min(b for b in range(n) if b in reach[a] and a in reach[b]) for a in range(n) if a in reach[a]}
+        parts = G.strong_components(e)
+        assert {r["node"]: r["component"] for r in parts.collect()} == want
+        for r in G.shortest_cycles(e, parts).collect():
+            walk = r["cycle"]
+            assert walk[0] == r["component"] and all(x in edges for x in zip(walk, walk[1:] + walk[:1])) and len(walk) == r["length"]
+            assert r["length"] == shortest(edges, walk[0])
+
+
+def shortest(edges, start):
+    length, at = 0, {start}
+    while True:
+        length, at = length + 1, {b for a, b in edges if a in at}
+        if start in at:
+            return length
+
+
+def test_strong_components_of_a_long_chain(spark):
+    """A chain that no trimming takes away at once: colours in a random order cut it into pieces."""
+    e = spark.range(30).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst")).unionByName(spark.createDataFrame([(30, 28), (0, 0)], "src long, dst long"))
+    assert {(r["node"], r["component"]) for r in G.strong_components(e).collect()} == {(0, 0), (28, 28), (29, 28), (30, 28)}
+
+
+def test_ancestors_by_doubling(spark, monkeypatch):
+    """A chain of 10,000 versions in 14 rounds, and a branch beside it."""
+    p = spark.range(10_000).select(F.col("id").alias("node"), F.when(F.col("id") > 0, F.col("id") - 1).alias("parent")).unionByName(spark.createDataFrame([(20_000, 7)], "node long, parent long"))
+    rounds = []
+    keep = G.stored
+    monkeypatch.setattr(G, "stored", lambda df, label: (rounds.append(label), keep(df, label))[1])
+    got = G.ancestors(p, spark.createDataFrame([(9_999,)], "node long"))
+    assert got.count() == 10_000 and len([r for r in rounds if r == "reached"]) <= 16
+    assert {r["node"] for r in G.ancestors(p, spark.createDataFrame([(20_000,)], "node long")).collect()} == {20_000, *range(8)}
+
+
+def test_manifest_difference_reads_what_differs(spark, tmp_path):
+    df = spark.range(100).select("id", (F.col("id") % 3).alias("x"))
+    log = S.commit_batches(df, F.floor(F.col("id") / 25).cast("int"), [0, 1, 2, 3], "snapshots")
+    again = spark.range(50, 80).select("id", (F.col("id") % 3).alias("x"))
+    again.coalesce(1).write.parquet(f"file://{tmp_path}/rewritten")
+    log = log.unionByName(spark.createDataFrame([(7, 1, 9, f"file://{tmp_path}/rewritten")], "snapshot_id long, parent_id long, committed_at long, path string"))
+    files = S.snapshot_files(log, 3)
+    assert files.count() >= 4 and S.snapshot_files(log).count() < files.count()
+    both = S.snapshot_files(log, 0)
+    for r in both.collect():  # files that both have aren't opened: they needn't even be there
+        os.unlink(r["path"].removeprefix("file:"))
+    got = S.manifest_difference(log, 3, 7, df.schema)
+    want = {(i, "removed") for i in range(80, 100)}
+    assert {(r["id"], r["change"]) for r in got.collect()} == want
+    got = S.manifest_difference(log, 7, 3, df.schema, ["id"])
+    assert {(r["id"], r["change"]) for r in got.collect()} == {(i, "added") for i in range(80, 100)}
+    assert S.manifest_difference(log, 3, 3, df.schema).count() == 0
+    with pytest.raises(ValueError):
+        S.snapshot_files(log, 99)
+
+
 def test_running_total(spark):
     df = spark.range(500).select((F.col("id") * 7919 % 1000).alias("k"), F.col("id").alias("i"), (F.col("id") % 13).alias("v"))
     rows = sorted(df.collect())
@@ -331,7 +394,7 @@ def test_both_ways_of_ranks_and_running_values(spark):
     rng = random.Random(1)
     rows = [(rng.choice(["a", "a", "a", "b", None]), i, rng.choice([None, 1.5, 2.5, rng.random() * 10]), rng.randint(0, 9)) for i in range(3000)] + [("one", 9000, 4.0, 1)]
     df = spark.createDataFrame(rows, "g string, k int, v double, c int").repartition(7)
-    same = lambda f: sorted(map(str, f(None).collect())) == sorted(map(str, f(0).collect()))
+    same = lambda f: sorted(map(str, f(1 << 100).collect())) == sorted(map(str, f(0).collect()))
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
         full = df.where("v IS NOT NULL")
@@ -347,6 +410,19 @@ def test_both_ways_of_ranks_and_running_values(spark):
         spark.conf.set("spark.sql.adaptive.enabled", "true")
 
 
+def test_the_size_of_an_input_is_estimated(spark, sf):
+    """No job runs; what isn't known is large."""
+    from tidewell.operators import ordered
+
+    tracker = spark.sparkContext.statusTracker()
+    e = spark.read.parquet(f"{sf}/events.parquet")  # reads the schema
+    spark.sparkContext.setJobGroup("estimate", "")
+    assert ordered.fits(e.where("value > 3").select("ts", "value")) and not ordered.fits(e, 100)
+    assert not ordered.fits(spark.createDataFrame(spark.sparkContext.parallelize([(1,)], 1), "x int"))
+    assert not list(tracker.getJobIdsForGroup("estimate"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
 def test_jdbc_options():
     with pytest.raises(ValueError):
         S.jdbc_options("jdbc:x", "SELECT 1", "k")

@@ -42,6 +42,80 @@ def levels(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     return (done if done is not None else nodes.select("node", F.lit(0).alias("level")).limit(0)), left
 
 
+def ancestors(parents: DataFrame, start: DataFrame) -> DataFrame:
+    """node: start and all that it comes from, where each node has one parent or none (null).
+
+    Jumps are doubled: the k-th round goes 2^k steps at once, so a chain of n takes log n rounds.
+    """
+    jump = stored(parents.where("parent IS NOT NULL").select("node", "parent"), "jump")
+    reached = stored(start.select("node").distinct(), "reached")
+    while True:
+        more = reached.join(jump, "node").select(F.col("parent").alias("node"))
+        reached, before = stored(reached.unionByName(more).distinct(), "reached"), reached
+        if reached.count() == before.count():
+            return reached
+        far = jump.select(F.col("node").alias("parent"), F.col("parent").alias("farther"))
+        jump = stored(jump.join(far, "parent").select("node", F.col("farther").alias("parent")), "jump")
+
+
+def strong_components(edges: DataFrame, trims: int = 3) -> DataFrame:
+    """node, component (its smallest node) of the nodes that stand on a cycle; a link to itself is one.
+
+    Each round trims nodes without a way in or out, gives every node the first colour, in a random order of the nodes, that
+    leads to it, and takes from each colour what leads back to the node that it comes from: that is a component. What is
+    left has fewer nodes, however the links run: of a chain a random colour cuts off a part.
+    """
+    left = stored(edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct(), "edges")
+    found = left.where("src = dst").select(F.col("src").alias("node"), F.col("src").alias("component"))
+    left, turn = stored(left.where("src <> dst"), "edges"), 0
+    while not left.isEmpty():
+        for _ in range(trims):
+            ins, outs = (left.select(F.col(c).alias("node")).distinct() for c in ("dst", "src"))
+            inner = ins.join(outs, "node", "left_semi")
+            size = left.count()
+            left = stored(left.join(inner.withColumnRenamed("node", "src"), "src", "left_semi").join(inner.withColumnRenamed("node", "dst"), "dst", "left_semi"), "edges")
+            if left.count() == size:
+                break
+        nodes = left.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+        own = F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), F.col("node").alias("root"))
+        colours = stored(nodes.withColumn("colour", own), "colours")
+        moved = colours
+        while not moved.isEmpty():  # on from the nodes whose colour has changed
+            offers = moved.join(left, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("at")).agg(F.min("colour").alias("offer"))
+            after = stored(colours.join(offers, F.col("node") == F.col("at"), "left").select("node", F.least("colour", "offer").alias("colour"), (F.col("offer") < F.col("colour")).alias("new")), "colours")
+            colours, moved = after.select("node", "colour"), after.where("new").select("node", "colour")
+        root = colours.select("node", F.col("colour.root").alias("root"))
+        of = lambda c: root.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+        inside = left.join(of("src"), "src").join(of("dst"), "dst").where("root_src = root_dst")
+        back = inside.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+        hit = stored(reach(back, root.where("node = root")).select("node").join(root, "node"), "component")
+        sizes = hit.groupBy("root").agg(F.min("node").alias("component"), F.count("*").alias("n")).where("n > 1")
+        found = found.unionByName(hit.join(sizes, "root").select("node", "component"))
+        left = stored(left.join(hit.select(F.col("node").alias("src")), "src", "left_anti").join(hit.select(F.col("node").alias("dst")), "dst", "left_anti"), "edges")
+        turn += 1
+    return stored(found.groupBy("node").agg(F.min("component").alias("component")), "components")
+
+
+def shortest_cycles(edges: DataFrame, components: DataFrame) -> DataFrame:
+    """component, length, cycle: a shortest cycle through the smallest node of each component, as its nodes from there on; of
+    several the one that is first in order."""
+    of = lambda c: components.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}"))
+    inside = edges.select("src", "dst").distinct().join(of("src"), "src").join(of("dst"), "dst").where("of_src = of_dst")
+    steps = stored(inside.select("src", "dst", F.col("of_src").alias("component")), "steps")
+    front = stored(components.where("node = component").select("component", "node", F.array("node").alias("cycle")), "front")
+    seen, done = front.select("component", "node"), None
+    while not front.isEmpty():
+        on = stored(front.join(steps.withColumnRenamed("src", "node"), ["component", "node"]), "on")
+        closed = on.where("dst = component").groupBy("component").agg(F.min("cycle").alias("cycle"))
+        done = stored(closed if done is None else done.unionByName(closed), "cycles")
+        further = on.join(done.select("component"), "component", "left_anti").join(seen.withColumnRenamed("node", "dst"), ["component", "dst"], "left_anti")
+        front = stored(further.groupBy("component", "dst").agg(F.min("cycle").alias("before")).select("component", F.col("dst").alias("node"), F.concat("before", F.array("dst")).alias("cycle")), "front")
+        seen = seen.unionByName(front.select("component", "node"))
+    if done is None:
+        return front.select("component", F.lit(0).alias("length"), "cycle")
+    return done.select("component", F.size("cycle").alias("length"), "cycle")
+
+
 def lineage(edges: DataFrame, roots: DataFrame, max_depth: int) -> tuple[DataFrame, DataFrame]:
     """Upstream nodes with their depth, and the edges seen: those of a node on the last level are left out, those that
     lead there stay. edges: src (input), dst (result)."""

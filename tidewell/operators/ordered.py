@@ -1,8 +1,9 @@
 """Running values and exact ranks over groups of any size.
 
-A window or an exact percentile holds a whole group in one task. That is the fast way for tables of up to `IN_ONE_TASK`
-rows; beyond it the rows are dealt to ranges of the order, a task works on its range, and a row for each range and group
-carries what the ranges before it hold. Both ways give the same rows.
+A window or an exact percentile holds a whole group in one task. That is the fast way for inputs that the planner estimates
+at no more than `IN_ONE_TASK` bytes (its estimate comes from file sizes and takes no job; what it doesn't know counts as
+large). Beyond that the rows are dealt to ranges of the order, a task works on its range, and a row for each range and
+group carries what the ranges before it hold. Both ways give the same rows.
 """
 
 from __future__ import annotations
@@ -15,12 +16,13 @@ from pyspark.sql import Window as W
 
 from tidewell.session import stored
 
-#: Rows of a table that may stand in one task.
-IN_ONE_TASK = 5_000_000
+#: Bytes of an input that may stand in one task.
+IN_ONE_TASK = 256 << 20
 
 
 def fits(df: DataFrame, most: int | None = None) -> bool:
-    return df.count() <= (IN_ONE_TASK if most is None else most)
+    """Whether the planner's estimate of df is at most so many bytes. df isn't run."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= (IN_ONE_TASK if most is None else most)
 
 
 def _ranges(df: DataFrame, order: Sequence[str]) -> DataFrame:

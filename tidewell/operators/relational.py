@@ -69,7 +69,7 @@ PERCENTILES = {"p50": 50, "p95": 95, "p99": 99}
 
 
 def nearest_rank(df: DataFrame, by: Sequence[str], value: str, places: int = 2, most: int | None = None) -> DataFrame:
-    """p50, p95, p99 as the value at rank ceil(n p)."""
+    """p50, p95, p99 as the value at rank ceil(n p). most: bytes of the input up to which a group may stand in one task."""
     if ordered.fits(df, most):
         return df.groupBy(*by).agg(*[F.round(F.expr(f"percentile_disc({p / 100}) WITHIN GROUP (ORDER BY {value})"), places).alias(n) for n, p in PERCENTILES.items()])
     found = ordered.at_ranks(df, by, value, {name: lambda n, p=p: F.ceil(n * p / 100) for name, p in PERCENTILES.items()})

@@ -32,6 +32,25 @@ GRAPH = """nodes AS (SELECT c_custkey AS node, CASE c_custkey % 5 WHEN 0 THEN 's
  links AS (SELECT DISTINCT p AS src, node AS dst FROM (SELECT node, node // 2 AS p FROM nodes UNION ALL SELECT node, node // 3 FROM nodes) WHERE p IN (SELECT node FROM nodes))"""
 
 
+#: Rings of seven customers with a shorter way in some, chains, and pairs; each block of three is one way only.
+RINGS = """rings AS (SELECT src, dst FROM (SELECT c_custkey AS src, c_custkey // 7 AS g, c_custkey % 7 AS i FROM customer) c, LATERAL (SELECT unnest([
+ CASE WHEN g % 3 = 0 THEN g * 7 + (i + 1) % 7 WHEN g % 3 = 1 AND i < 6 THEN src + 1 WHEN g % 3 = 2 AND i IN (0, 3) THEN src + 1 END,
+ CASE WHEN g % 3 = 2 AND i IN (1, 4) THEN src - 1 WHEN g % 3 = 2 AND i = 6 THEN src WHEN g % 6 = 0 AND i = 0 THEN src + 4 END,
+ CASE WHEN i = 6 AND g % 3 < 2 THEN src + 1 END]) AS dst) x WHERE dst IN (SELECT c_custkey FROM customer))"""
+
+
+def rings(spark: SparkSession, d: str) -> DataFrame:
+    keys = table(spark, d, "customer").select(F.col("c_custkey").alias("src"))
+    s, g, i = F.col("src"), F.floor(F.col("src") / 7), F.col("src") % 7
+    ways = [
+        F.when(g % 3 == 0, g * 7 + (i + 1) % 7).when((g % 3 == 1) & (i < 6), s + 1).when((g % 3 == 2) & i.isin(0, 3), s + 1),
+        F.when((g % 3 == 2) & i.isin(1, 4), s - 1).when((g % 3 == 2) & (i == 6), s).when((g % 6 == 0) & (i == 0), s + 4),
+        F.when((i == 6) & (g % 3 < 2), s + 1),
+    ]
+    pairs = keys.select("src", F.explode(F.filter(F.array(*ways), lambda x: x.isNotNull())).alias("dst"))
+    return pairs.join(keys.withColumnRenamed("src", "dst"), "dst", "left_semi").select("src", "dst")
+
+
 def versions(spark: SparkSession, d: str) -> DataFrame:
     o, c = table(spark, d, "orders"), F.col
     return o.select(

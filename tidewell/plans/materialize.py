@@ -119,6 +119,21 @@ def s9(spark, d):
     return S.difference(S.read_snapshot(log, 1).select("o_orderkey"), S.read_snapshot(log).select("o_orderkey"))
 
 
+_BRANCH = "a AS (SELECT o_orderkey, o_totalprice FROM orders), b AS (SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 3 AND year(o_orderdate) >= 1999 THEN -1 ELSE o_totalprice END AS o_totalprice FROM orders WHERE NOT (o_orderkey % 10 = 5 AND year(o_orderdate) >= 1999))"
+
+
+@query("s9_manifest_difference", f"WITH {_BRANCH} SELECT *, 'added' AS change FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a) UNION ALL SELECT *, 'removed' FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b)")
+def s9b(spark, d):
+    """Two snapshots that share the files of the first two batches; the one writes the third batch as it is, the other without
+    some orders and with another price for others. Only the files of the third batches are read."""
+    log = snapshots(spark, d)
+    o = t(spark, d, "orders").where(F.year("o_orderdate") >= 1999).select("o_orderkey", "o_totalprice", "o_orderdate")
+    path = new_path(spark, "branch")
+    o.where("o_orderkey % 10 <> 5").withColumn("o_totalprice", F.when(F.col("o_orderkey") % 10 == 3, -1.0).otherwise(F.col("o_totalprice"))).write.parquet(path)
+    log = log.unionByName(spark.createDataFrame([(3, 1, 3, path)], log.schema))
+    return S.manifest_difference(log, 2, 3, o.schema, ["o_orderkey", "o_totalprice"])
+
+
 @query("s10_sql_over_scans", "SELECT event_type, count(*) AS n, count(DISTINCT c_mktsegment) AS segments FROM events JOIN customer ON user_id = c_custkey WHERE value > 5 GROUP BY event_type")
 def s10(spark, d):
     e = S.scan(t(spark, d, "events"), ["event_type", "user_id"], [("value", ">", 5.0)])

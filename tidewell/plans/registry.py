@@ -323,9 +323,9 @@ def g6(spark, d):
     return out.select("node", F.col("i").isNull().alias("is_root"), F.col("o").isNull().alias("is_leaf"), F.coalesce("o", F.lit(0)).cast("long").alias("consumers"))
 
 
-@query("g7_levels", w(GRAPH, "walk(node, level) AS (SELECT node, 0 FROM nodes WHERE node NOT IN (SELECT dst FROM links) UNION SELECT dst, level + 1 FROM walk JOIN links ON src = node)") + "SELECT node, CAST(max(level) AS INTEGER) AS level FROM walk GROUP BY node")
+@query("g7_levels", w(GRAPH, "ways AS (SELECT * FROM links WHERE src <> dst)", "walk(node, level) AS (SELECT node, 0 FROM nodes WHERE node NOT IN (SELECT dst FROM ways) UNION SELECT dst, level + 1 FROM walk JOIN ways ON src = node)") + "SELECT node, CAST(max(level) AS INTEGER) AS level FROM walk GROUP BY node")
 def g7(spark, d):
-    return G.levels(X.nodes(spark, d), X.links(spark, d))[0]
+    return G.levels(X.nodes(spark, d), X.links(spark, d).where("src <> dst"))[0]
 
 
 # the links go from smaller or equal nodes, so the graph as it is has no other cycles than links from a node to itself
@@ -340,6 +340,27 @@ def g8(spark, d):
     return whole.unionByName(turned)
 
 
+_REACHED = "reached(a, b) AS (SELECT src, dst FROM rings UNION SELECT a, dst FROM reached JOIN rings ON src = b)"
+_PARTS = "parts AS (SELECT r.a AS node, min(r.b) AS component FROM reached r JOIN reached s ON s.a = r.b AND s.b = r.a GROUP BY 1)"
+
+
+@query("g8_components", w(X.RINGS, _REACHED, _PARTS) + "SELECT node, component, count(*) OVER (PARTITION BY component) AS size FROM parts")
+def g8b(spark, d):
+    """The nodes that stand on cycles, by strongly connected component."""
+    parts = G.strong_components(X.rings(spark, d))
+    return parts.join(parts.groupBy("component").agg(F.count("*").alias("size")), "component").select("node", "component", "size")
+
+
+@query("g8_shortest_cycles", w(X.RINGS, _REACHED, _PARTS, "inside AS (SELECT src, dst, p.component FROM rings JOIN parts p ON p.node = src JOIN parts q ON q.node = dst AND q.component = p.component)",
+       "walk(component, node, path) AS (SELECT component, component, [component] FROM (SELECT DISTINCT component FROM parts) UNION ALL SELECT walk.component, dst, list_append(path, dst) FROM walk JOIN inside ON src = node AND inside.component = walk.component WHERE NOT list_contains(path, dst))",
+       "closed AS (SELECT walk.component, path, len(path) AS n FROM walk JOIN inside ON src = node AND dst = walk.component)")
+       + "SELECT component, CAST(min(n) AS INTEGER) AS length, arg_min(array_to_string(path, '>'), (n, path)) AS cycle FROM closed GROUP BY component")
+def g8c(spark, d):
+    """A shortest cycle through the smallest node of each component."""
+    e = X.rings(spark, d)
+    return G.shortest_cycles(e, G.strong_components(e)).select("component", "length", F.array_join(F.transform("cycle", lambda x: x.cast("string")), ">").alias("cycle"))
+
+
 _UP = "up(node, depth) AS (SELECT max(node), 0 FROM nodes UNION SELECT src, 1 FROM up JOIN links ON dst = node)"
 
 

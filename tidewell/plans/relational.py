@@ -157,14 +157,15 @@ def j5(spark, d):
     return out.select("r_name", "n_name", F.coalesce("customers", F.lit(0)).cast("long").alias("customers"))
 
 
-@query("j6_anti_join", "SELECT c_custkey, c_name FROM customer LEFT JOIN orders ON c_custkey = o_custkey WHERE o_custkey IS NULL")
+@query("j6_anti_join", "SELECT c_custkey, c_name FROM customer LEFT JOIN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000) ON c_custkey = o_custkey WHERE o_custkey IS NULL")
 def j6(spark, d):
-    return R.unmatched(t(spark, d, "customer"), t(spark, d, "orders"), {"c_custkey": "o_custkey"}).select("c_custkey", "c_name")
+    """Customers without an order of over 400,000."""
+    return R.unmatched(t(spark, d, "customer"), t(spark, d, "orders").where("o_totalprice > 400000"), {"c_custkey": "o_custkey"}).select("c_custkey", "c_name")
 
 
-@query("j7_null_safe_not_in", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT coalesce(CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_custkey END, -1) FROM orders)")
+@query("j7_null_safe_not_in", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT coalesce(CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_custkey END, -1) FROM orders WHERE o_totalprice > 400000)")
 def j7(spark, d):
-    o = t(spark, d, "orders").select(F.when(F.col("o_orderkey") % 3 != 0, F.col("o_custkey")).alias("k"))
+    o = t(spark, d, "orders").where("o_totalprice > 400000").select(F.when(F.col("o_orderkey") % 3 != 0, F.col("o_custkey")).alias("k"))
     return R.unmatched(t(spark, d, "customer"), o, {"c_custkey": "k"}).select("c_custkey")
 
 

@@ -6,11 +6,14 @@ import re
 from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tidewell.functions.columns import conjunction
-from tidewell.session import new_path
+from tidewell.operators.graph import ancestors
+from tidewell.session import new_path, stored
 
 Filter = tuple[str, str, object]
 
@@ -177,6 +180,61 @@ def commit_batches(df: DataFrame, batch: Column, batches: Sequence[int], label:
     return spark.createDataFrame(log, "snapshot_id long, parent_id long, committed_at long, path string")
 
 
+def snapshot_files(log: DataFrame, snapshot: int | None = None) -> DataFrame:
+    """path of each file of a snapshot: those of it and its ancestors, as a table. None is the latest snapshot.
+
+    A path of the log may be a folder. The log isn't brought to the driver: ancestors are found by doubling, in as many
+    rounds as the logarithm of their number.
+    """
+    commits = log.select(F.col("snapshot_id").alias("node"), F.col("parent_id").alias("parent"), "committed_at").distinct()
+    own = commits.where(F.col("node") == snapshot) if snapshot is not None else commits.orderBy(F.desc("committed_at"), F.desc("node")).limit(1)
+    if own.isEmpty():
+        raise ValueError("no snapshot" if snapshot is None else f"unknown snapshot {snapshot}")
+    chain = ancestors(commits.select("node", "parent").distinct(), own)
+    places = log.join(chain.withColumnRenamed("node", "snapshot_id"), "snapshot_id", "left_semi").select("path").distinct()
+
+    def listed(frames):
+        from pyarrow import fs
+
+        for frame in frames:
+            out = []
+            for p in frame["path"]:
+                files, inner = fs.FileSystem.from_uri(re.sub("^s3a:", "s3:", p))
+                head = p[: len(p) - len(inner)] if p.endswith(inner) else p.split(":")[0] + ":"
+                info = files.get_file_info(inner)
+                found = [info] if info.is_file else files.get_file_info(fs.FileSelector(inner, recursive=True))
+                out += [head + f.path for f in found if f.is_file and f.path.endswith(".parquet")]
+            yield pd.DataFrame({"path": out})
+
+    return stored(places.mapInPandas(listed, "path string").distinct(), "files")
+
+
+def read_files(files: DataFrame, schema: StructType, columns: Sequence[str] | None = None) -> DataFrame:
+    """The rows of the Parquet files that a table names in path, read where the rows of that table are."""
+    wanted = StructType([f for f in schema.fields if columns is None or f.name in columns])
+    names = wanted.names
+
+    def read(batches):
+        import pyarrow.parquet as pq
+        from pyarrow import fs
+
+        for b in batches:
+            for p in b.column("path").to_pylist():
+                own, inner = fs.FileSystem.from_uri(re.sub("^s3a:", "s3:", p))
+                with own.open_input_file(inner) as f:
+                    yield from (x.select(names) for x in pq.ParquetFile(f).iter_batches(columns=names))
+
+    return files.select("path").repartition("path").mapInArrow(read, wanted)
+
+
+def manifest_difference(log: DataFrame, before: int, after: int, schema: StructType, columns: Sequence[str] | None = None) -> DataFrame:
+    """Rows that only one of two snapshots has, labelled; repeated rows count. Files that both have are left out first, as
+    they add the same to both, so only files that differ are read."""
+    old, new = snapshot_files(log, before), snapshot_files(log, after)
+    only = lambda a, b: read_files(a.join(b, "path", "left_anti"), schema, columns)
+    return difference(only(old, new), only(new, old))
+
+
 def difference(before: DataFrame, after: DataFrame) -> DataFrame:
     """Rows that only one of two tables has, labelled; repeated rows count."""
     return after.exceptAll(before).withColumn("change", F.lit("added")).unionByName(before.exceptAll(after).withColumn("change", F.lit("removed")))
