@@ -240,7 +240,7 @@ def test_regions_against_edit_distances(monkeypatch, frequent, tile):
     text = lambda n, a="abcdefg": "".join(rng.choice(a) for _ in range(n))
     phrase = "question: which of these is "
     items = [(0, "short"), (1, "ab"), (2, "x"), (3, text(10)), (4, text(15)), (5, phrase + text(30)), (6, phrase + text(90)), (7, phrase + text(60)), (8, "a" * 90), (9, "a" * 50 + text(40)), (10, text(300)), (11, phrase), (12, phrase), (13, "日本")]
-    items += [(20 + i, phrase + text(40)) for i in range(12)]
+    items += [(20 + i, phrase + text(40)) for i in range(12)] + [(40 + n, text(n)) for n in (11, 12, 13, 16, 19, 20, 24, 25, 27, 29, 30, 38, 39)]
     docs = ["", "this is short ok", "shorter", "a short", "ab cd ab", "x", "日本語", "a" * 400, "b" + "a" * 85 + "c" + "a" * 30, phrase * 3]
     for _ in range(40):
         parts = []
@@ -259,7 +259,7 @@ def test_regions_against_edit_distances(monkeypatch, frequent, tile):
     found = op9_decontamination.regions_of(index, docs)
     pairs = set()
     for item, seg in segs:
-        budget = max(0, min(int(0.08 * len(seg)), (len(seg) - 10) // 10))
+        budget = int(0.08 * len(seg)) if len(seg) >= 10 else 0
         for d, t in enumerate(docs):
             ends = np.flatnonzero(distances(seg, t) <= budget)
             if len(seg) < 10:  # whole words only
@@ -273,6 +273,22 @@ def test_regions_against_edit_distances(monkeypatch, frequent, tile):
     assert {(1, 0), (3, 0), (4, 1), (5, 2), (6, 13), (7, 8), (9, 11), (9, 12)} <= pairs and (2, 0) not in pairs
 
 
+def test_short_segments_have_all_their_edits():
+    """Where an edit in the middle leaves no q-gram of full length."""
+    found = lambda item, doc: op9_decontamination.regions_of(op9_decontamination.Index([(1, item)], 10, 0.08), [doc])[0]
+    assert [r[3] for r in found("abcdefghijklmnopq", "so abcdefghijklmnopz it")] == [1] and [r[3] for r in found("abcdefghijklmnopq", "so abcdefghzjklmnopq it")] == [1]
+    assert not found("abcdefghijklmnopq", "so abcdefghzjklmnopz it") and not found("abcdefghijkl", "so abcdefzhijkl it")
+    assert [op9_decontamination.gram_length(n, 10, 0.08) for n in (5, 10, 13, 19, 20, 25, 29, 30, 38, 39, 40, 80)] == [10, 10, 6, 9, 10, 8, 9, 10, 9, 9, 10, 10]
+
+
+def test_letters_of_all_planes_and_many_languages(spark):
+    letters = "\U00030000\U00030001\U00031350 \U0002ebf0"
+    assert op7_language.gram_counts(letters) is not None and op7_language.gram_counts("\U0001f600 12 \U000e0001") is None
+    rows = [(i, f"word{i % 7} text of some letters {chr(97 + i % 26)}", f"dirty{i}") for i in range(3000)] + [(5000 + i, "der die das und nicht", "de") for i in range(60)] + [(6000 + i, "the and of to a", "en") for i in range(60)]
+    model = op7_language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), languages=5, most_rows=100)
+    assert {"de", "en"} <= set(model["langs"]) and len(set(model["langs"])) <= 5
+
+
 def test_long_runs_and_texts_stay_bounded(monkeypatch):
     monkeypatch.setattr(op9_decontamination, "TILE_HITS", 200_000)
     index = op9_decontamination.Index([(1, "a" * 80), (2, "ab" * 40)], 10, 0.08)

@@ -3,7 +3,8 @@
 A text is lower-cased, other code points than letters become a space, and its 1- to 3-grams are hashed to a fixed
 number of dimensions; the vector is (1 + ln tf) idf, normalised. Document frequencies are counted over all training
 documents. Per language a few centroids come from spherical k-means over a sample of the training documents
-(`sample` per language on average, a bound of what the driver holds: languages x sample x dims x 4 bytes). A text gets
+(`sample` per language on average, but no more than `most_rows` in all, which at 16 KB a row bounds what the driver holds).
+Of a column with very many values, as dirty ones have, the `languages` most frequent ones are learned. A text gets
 the language of the centroid with the largest cosine, which is also its score. It is rejected when that cosine is
 below `reject_share` times the low percentile of the language's own training cosines.
 
@@ -27,7 +28,7 @@ DIMS = 4096
 
 
 def _letters() -> np.ndarray:
-    return np.array([chr(c).isalpha() if not 0xD800 <= c < 0xE000 else False for c in range(0x30000)])
+    return np.array([chr(c).isalpha() if not 0xD800 <= c < 0xE000 else False for c in range(0x110000)])
 
 
 def gram_counts(text: str | None, dims: int = DIMS) -> np.ndarray | None:
@@ -101,13 +102,15 @@ def k_means(v: np.ndarray, k: int, rounds: int = 12, seed: int = 0) -> np.ndarra
     return centres.astype(np.float32)
 
 
-def train(docs: DataFrame, k: int = 4, sample: int = 600, dims: int = DIMS, low: float = 0.01) -> dict:
+def train(docs: DataFrame, k: int = 4, sample: int = 600, dims: int = DIMS, low: float = 0.01, languages: int = 1000, most_rows: int = 24_000) -> dict:
     """The model: idf, centroids, the language of each, and the low percentile of each language's cosines.
 
     docs: doc_id, text, lang; rows without a language are left out.
     """
     known = docs.where("lang IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), "lang")
-    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    counted = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages)
+    sizes = {r["lang"]: r["n"] for r in counted.collect()}
+    sample = min(sample, most_rows // max(1, len(sizes)))
     rows = known.select("text").mapInArrow(tidied(_frequencies(dims)), "dim long, n long").groupBy("dim").agg(F.sum("n").alias("n")).toPandas()
     df = np.zeros(dims)
     df[rows.dim[rows.dim >= 0]] = rows.n[rows.dim >= 0]

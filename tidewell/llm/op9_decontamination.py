@@ -8,6 +8,9 @@ the bound are kept, and a banded alignment decides.
 
 Both sides are lower-cased and runs of white space become one space; positions refer to that form of the text.
 
+* A segment too short for its edits to leave a q-gram of q characters whole (13 to 19 characters with one edit, say) is
+  looked up by shorter ones, of n // (k + 1) characters, of which one stays whole whatever the edits. Segments are indexed
+  by the length of their q-grams.
 * q-grams that very many segments hold are left out for segments whose bound stays above 0 without them (the bound goes
   down by as many), and hits are counted tile by tile along the text, so frequent q-grams cost neither links nor memory.
 * An item of fewer than q characters is looked up whole, without edits; it counts where it doesn't begin or end within
@@ -86,8 +89,24 @@ def segments(items: list[tuple], size: int, stride: int) -> list[tuple]:
     return out
 
 
+def gram_length(n: int, q: int, rate: float) -> int:
+    """The q-grams that a segment of n characters is looked up by."""
+    edits = int(rate * n)
+    return q if n < q or n >= q * (edits + 1) else max(1, n // (edits + 1))
+
+
 class Index:
-    """The q-grams of a block of segments, given as (item_id, text)."""
+    """A block of segments, given as (item_id, text), by the length of their q-grams."""
+
+    def __init__(self, segs: list[tuple], q: int, rate: float):
+        by: dict[int, list[tuple]] = {}
+        for item, text in segs:
+            by.setdefault(gram_length(len(text), q, rate), []).append((item, text))
+        self.q, self.parts = q, [GramIndex(own, g, rate) for g, own in sorted(by.items())]
+
+
+class GramIndex:
+    """The q-grams of segments; those of fewer than q characters are kept whole."""
 
     def __init__(self, segs: list[tuple], q: int, rate: float):
         self.q = q
@@ -99,8 +118,8 @@ class Index:
         self.texts = [code_points(t) for t in strings]
         self.bytes = [t.tobytes() for t in self.texts]
         self.length = np.array([len(t) for t in self.texts], np.int64)
-        # at least one shared q-gram must be left by the bound
-        self.budget = np.maximum(0, np.minimum((rate * self.length).astype(np.int64), (self.length - q) // q))
+        # whole items have no edits; for all others at least one shared q-gram is left by the bound
+        self.budget = np.where(self.length < q, 0, (rate * self.length).astype(np.int64))
         bound = np.maximum(1, self.length - q + 1 - self.budget * q)
         grams = [gram_hashes(t, q) for t in self.texts]
         h = np.concatenate([*grams, np.zeros(0, np.uint64)])
@@ -173,7 +192,7 @@ def banded_alignment(patterns: np.ndarray, lengths: np.ndarray, text: np.ndarray
     return best, end
 
 
-def _exact(index: Index, text: bytes, s: int, band: int) -> int:
+def _exact(index: GramIndex, text: bytes, s: int, band: int) -> int:
     """Where segment s stands unchanged with its diagonal in the band, or -1; text: code points of 4 bytes."""
     step = int(index.budget[s]) + 1
     low, high = max(0, band * step), band * step + 2 * step - 1 + int(index.length[s])
@@ -181,7 +200,7 @@ def _exact(index: Index, text: bytes, s: int, band: int) -> int:
     return -1 if at < 0 else at // 4 if at % 4 == 0 else -2
 
 
-def _verify(index: Index, text: np.ndarray, seg: np.ndarray, band: np.ndarray) -> list[tuple]:
+def _verify(index: GramIndex, text: np.ndarray, seg: np.ndarray, band: np.ndarray) -> list[tuple]:
     """(segment, start, stop, edits) of the bands that hold an occurrence; text: one document's code points.
 
     Most are unchanged copies, which a search of the band finds; the alignment decides about the others.
@@ -201,7 +220,7 @@ def _verify(index: Index, text: np.ndarray, seg: np.ndarray, band: np.ndarray) -
     return out
 
 
-def _aligned(index: Index, text: np.ndarray, seg: np.ndarray, band: np.ndarray, budget: int) -> list[tuple]:
+def _aligned(index: GramIndex, text: np.ndarray, seg: np.ndarray, band: np.ndarray, budget: int) -> list[tuple]:
     step, lengths = budget + 1, index.length[seg]
     pad = np.zeros((len(seg), int(lengths.max())), np.uint32)
     for row, x in enumerate(seg):
@@ -225,7 +244,7 @@ def _in_word(a: str, b: str) -> bool:
     return all(x.isdigit() or x.lower() != x.upper() for x in (a, b))
 
 
-def _short_items(index: Index, joined: np.ndarray, begin: np.ndarray, texts: list[str]):
+def _short_items(index: GramIndex, joined: np.ndarray, begin: np.ndarray, texts: list[str]):
     """(document, segment, start) of the items of fewer than q characters."""
     for n, known in index.short.items():
         own = np.array(sorted(gram_hashes(np.frombuffer(t, np.uint32), n)[0] for t in known), np.uint64)
@@ -257,6 +276,15 @@ def regions_of(index: Index, texts: list[str]) -> list[list[tuple]]:
     gap = np.full(index.q, 0x110000, np.uint32)  # no q-gram of a text reaches into the next
     joined = np.concatenate([x for t in own for x in (t, gap)]) if own else np.zeros(0, np.uint32)
     begin = np.cumsum([0] + [len(t) + index.q for t in own])[:-1]
+    regions: list[list[tuple]] = [[] for _ in texts]
+    for part in index.parts:
+        for d, found in _found(part, strings, own, joined, begin).items():
+            regions[d] += [(i, start, stop, edits, int(part.length[s])) for s, start, stop, edits in found for i in part.owners[s]]
+    return [joined_regions(r) for r in regions]
+
+
+def _found(index: GramIndex, strings: list[str], own: list[np.ndarray], joined: np.ndarray, begin: np.ndarray) -> dict[int, list[tuple]]:
+    """(segment, start, stop, edits) of what each text, by its number, holds of an index."""
     found: dict[int, list[tuple]] = {}
     for d, s, start in _short_items(index, joined, begin, strings):
         found.setdefault(d, []).append((s, start, start + int(index.length[s]), 0))
@@ -279,8 +307,7 @@ def regions_of(index: Index, texts: list[str]) -> list[list[tuple]]:
         doc, seg, band = doc[keep], seg[keep], band[keep]
         for d in np.unique(doc).tolist():
             found.setdefault(d, []).extend(_verify(index, own[d], seg[doc == d], band[doc == d]))
-    regions = lambda d: [(i, start, stop, edits, int(index.length[s])) for s, start, stop, edits in found.get(d, ()) for i in index.owners[s]]
-    return [joined_regions(regions(d)) for d in range(len(texts))]
+    return found
 
 
 def pieces_of(texts: list[str], size: int = 4_000_000):
