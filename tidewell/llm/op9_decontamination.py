@@ -310,7 +310,7 @@ def _found(index: GramIndex, strings: list[str], own: list[np.ndarray], joined:
     return found
 
 
-def pieces_of(texts: list[str], size: int = 4_000_000):
+def pieces_of(texts: list[str], size: int = 1_500_000):
     """Runs of texts of about size characters."""
     own, held = [], 0
     for t in texts:

@@ -186,7 +186,7 @@ class IdEncoder:
 
     def columns(self, texts: pa.Array, end_id: int | None = None):
         """For slices of the texts: their ids, one text after the other, and how many each has; end_id ends each text."""
-        for _, part in slices(texts, 12_000_000):
+        for _, part in slices(texts, 5_000_000):
             lists = pc.split_pattern(part, " ")
             coded = lists.flatten().dictionary_encode()
             index, at = coded.indices.to_numpy(), np.asarray(lists.offsets)
