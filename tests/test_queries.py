@@ -21,14 +21,17 @@ def con(sf):
 def test_query(name, spark, sf, con):
     df = QUERIES[name](spark, sf)
     rows = [tuple(canonical(r[c]) for c in sorted(df.columns)) for r in df.collect()]
+    assert rows or name in EMPTY
     if name in SQL:
         rel = con.sql(SQL[name])
         index = [rel.columns.index(c) for c in sorted(rel.columns)]
         want = [tuple(canonical(r[i]) for i in index) for r in rel.fetchall()]
         assert sorted(df.columns) == sorted(rel.columns)
         assert sorted(rows, key=str) == sorted(want, key=str)
-    else:
-        assert rows
+
+
+#: Queries whose answer on the smallest tables is rightly empty: order keys end at 1,500 there. At sf0.01 none is empty.
+EMPTY = {"s6_prune", "s1_skipping_scan", "s6_bloom_scan"}
 
 
 def test_inventory():
