@@ -178,3 +178,15 @@ def test_half_a_checkpoint_doesnt_count(spark, root):
     assert s.versions().count() == 1 and s.log.checkpoints() == []
     s.compact()
     assert len(s.log.checkpoints()) == 1 and s.versions().count() == 1
+
+
+def test_a_folder_that_isnt_mounted(spark, root):
+    """The way through Hadoop's file systems, as other stores take it, here over the same folder."""
+    s = A.ArtifactStore(spark, root)
+    s.log.files.local = None
+    a = s.put(spark.range(3), "a" * 64, name="n")
+    assert s.log.last() == 2 and s.fetch("n").count() == 3 and s.log.read(2)[0]["state"] == "ready"
+    assert s.log.files.create("commits/00000000000000000007.json", b'{"x": 1}') and not s.log.files.create("commits/00000000000000000007.json", b"{}")
+    assert s.log.files.read("commits/00000000000000000007.json") == b'{"x": 1}' and not [f for f in s.log.files.names("commits") if f.startswith(".0") and not f.endswith(".crc")]
+    s.compact()
+    assert s.versions().count() == 1 and s.delete(a.id, a.version)
