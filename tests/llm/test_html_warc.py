@@ -227,3 +227,12 @@ def test_warc_task_that_dies_after_its_first_shard(tmp_path):
     after = {p.name: p.read_bytes() for p in tmp_path.iterdir()}
     assert set(after) == set(manifest.file) and before.items() <= after.items() and len(after) > len(before)
     assert all(hashlib.sha256(after[f]).hexdigest() == sha for f, sha in zip(manifest.file, manifest.sha256))
+
+
+def test_tasks_follow_the_pages(spark, sf):
+    """Where blocks grow, as their number is bounded, a task has fewer of them; the texts are the same."""
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    want = sorted((r["page_id"], r["text"]) for r in op1_html.main_text(pages).collect())
+    for block_rows, max_blocks, tasks in ((2, 1000, 2), (2, 12, 2), (4, 5, 1)):
+        got = op1_html.main_text(pages, block_rows=block_rows, max_blocks=max_blocks, blocks_per_task=16)
+        assert got.rdd.getNumPartitions() >= tasks and sorted((r["page_id"], r["text"]) for r in got.collect()) == want

@@ -307,7 +307,8 @@ def block_edges(keys: DataFrame, block_keys: int) -> tuple[list[tuple], dict[tup
 def main_text(pages: DataFrame, block_rows: int = 250, max_blocks: int = 10_000, blocks_per_task: int = 16) -> DataFrame:
     """page_id, url, text, n_chars; then the number of lines, of lines shared with the partner, and the partner's page_id.
 
-    block_rows: pages of a block; more where there would be over max_blocks, as the driver holds 2 * REACH keys of each.
+    block_rows: pages of a block; more where there would be over max_blocks, as the driver holds 2 * REACH keys of each. A task
+    has blocks_per_task blocks, fewer as they grow, so tasks go on with the number of pages up to one for each block.
     """
     url = F.coalesce(F.col("url").cast("string"), F.lit(""))
     own = pages.select(
@@ -316,7 +317,9 @@ def main_text(pages: DataFrame, block_rows: int = 250, max_blocks: int = 10_000,
     )
     own = own.withColumns({"id": F.coalesce("page_id", F.lit(-(1 << 63))), "no_id": F.col("page_id").isNull(), "tie": F.xxhash64("url", "html")})
     n = pages.count()
+    task_rows = block_rows * blocks_per_task
     block_rows = max(block_rows, spread(n, max_blocks))
+    blocks_per_task = max(1, task_rows // block_rows)
     first, extra = block_edges(own.select(*KEY), block_rows) if n > block_rows else ([], {})
 
     tasks = partition_keys(pages.sparkSession, spread(max(1, len(first)), blocks_per_task))
