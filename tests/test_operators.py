@@ -165,6 +165,35 @@ def test_ancestors_by_doubling(spark, monkeypatch):
     assert {r["node"] for r in G.ancestors(p, spark.createDataFrame([(20_000,)], "node long")).collect()} == {20_000, *range(8)}
 
 
+def test_reachable_folds_chains(spark, monkeypatch):
+    """10,000 versions in a chain, and 300 ways that part and meet again, take some tens of stored steps; the rows are those of
+    the frontier rounds."""
+    steps, keep = [], G.stored
+    monkeypatch.setattr(G, "stored", lambda df, label: (steps.append(label), keep(df, label))[1])
+    e = spark.range(10_000).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    assert {r["node"] for r in G.reachable(e, spark.createDataFrame([(9_000,)], "node long")).collect()} == set(range(9_000, 10_001))
+    assert steps.count("jump") <= 17 and "frontier" not in steps
+    steps.clear()
+    k = F.col("id") * 3
+    part = spark.range(300).select(F.explode(F.array(*[F.struct((k + a).alias("src"), (k + b).alias("dst")) for a, b in ((0, 1), (0, 2), (1, 3), (2, 3))])).alias("e")).select("e.src", "e.dst")
+    assert {r["node"] for r in G.reachable(part, spark.createDataFrame([(300,)], "node long")).collect()} == set(range(300, 901))
+    assert len(steps) < 30 and "frontier" not in steps
+
+
+def test_reachable_against_python(spark):
+    """Rings, rings with a root, seeds within chains and without a link, links to oneself, nulls, repeated roots."""
+    rng = __import__("random").Random(11)
+    for n, m, share in ((30, 34, 0.25), (30, 34, 0.0), (9, 0, 0.25)):
+        edges = [(rng.randrange(n), rng.randrange(n)) for _ in range(m)] + [(None, 1), (2, None)]
+        edges += [(100, 101), (101, 102), (102, 100), (102, 103), (200, 201), (201, 200), (201, 202)]
+        roots = [rng.randrange(n), rng.randrange(n), 201, 500]
+        want = set(roots)
+        while more := {b for a, b in edges if a in want and b is not None} - want:
+            want |= more
+        got = G.reachable(spark.createDataFrame(edges, "src long, dst long"), spark.createDataFrame([(r,) for r in roots + roots], "node long"), share).collect()
+        assert sorted(r["node"] for r in got) == sorted(want)
+
+
 def test_manifest_difference_reads_what_differs(spark, tmp_path):
     df = spark.range(100).select("id", (F.col("id") % 3).alias("x"))
     log = S.commit_batches(df, F.floor(F.col("id") / 25).cast("int"), [0, 1, 2, 3], "snapshots")

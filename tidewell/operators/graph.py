@@ -1,7 +1,8 @@
-"""Reachability, levels and cycles by frontier rounds.
+"""Reachability, levels and cycles by rounds.
 
-Each round is a join of the frontier with the edges and an anti-join with what was visited; it is written to the shared
-folder, and only its count comes to the driver. The number of rounds is the depth of the graph.
+A frontier round is a join of the frontier with the edges and an anti-join with what was visited; it is written to the shared
+folder, and only its count comes to the driver. The number of such rounds is the depth of the graph. Where depths aren't
+asked for, chains are folded first, by doubled jumps, so that rounds don't follow the length of chains.
 """
 
 from __future__ import annotations
@@ -42,6 +43,53 @@ def levels(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     return (done if done is not None else nodes.select("node", F.lit(0).alias("level")).limit(0)), left
 
 
+def _fold(steps: DataFrame, seeds: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """jump (node, to, hit, open) of the nodes with one link in, and the links and seeds among the other nodes.
+
+    hit: a seed stands on the way back from the node, itself included. Otherwise the node is reached if to is, the first node
+    on that way that doesn't have one link in; open marks nodes without such a node, on or behind a ring without a seed.
+    The k-th round doubles the way that is seen.
+    """
+    sole = steps.groupBy("dst").agg(F.count("*").alias("n"), F.min("src").alias("to")).where("n = 1").select(F.col("dst").alias("node"), "to")
+    marked = stored(sole.join(seeds.select("node", F.lit(True).alias("hit")), "node", "left").select("node", "to", F.coalesce("hit", F.lit(False)).alias("hit")), "jump")
+    on = marked.select(F.col("node").alias("to"), F.lit(True).alias("open"))
+    jump = stored(marked.join(on, "to", "left").select("node", "to", "hit", (~F.col("hit") & F.coalesce("open", F.lit(False))).alias("open")), "jump")
+    seen, most = 1, jump.count()
+    while seen < most and not jump.where("open").isEmpty():
+        far = jump.select(F.col("node").alias("to"), F.col("to").alias("farther"), F.col("hit").alias("far_hit"), F.col("open").alias("far_open"))
+        on = jump.where("open").join(far, "to").select("node", F.col("farther").alias("to"), F.col("far_hit").alias("hit"), F.col("far_open").alias("open"))
+        jump, seen = stored(on.unionByName(jump.where("NOT open")), "jump"), seen * 2
+    heads = jump.select(F.col("node").alias("src"), "to", "hit", "open")
+    others = steps.join(jump.select(F.col("node").alias("dst")), "dst", "left_anti").join(heads, "src", "left")
+    others = stored(others.select(F.coalesce("to", "src").alias("src"), "dst", F.coalesce("hit", F.lit(False)).alias("hit"), F.coalesce("open", F.lit(False)).alias("open")), "others")
+    left = stored(others.where("NOT hit AND NOT open AND src <> dst").select("src", "dst").distinct(), "steps")
+    sown = seeds.join(jump.select("node"), "node", "left_anti").unionByName(others.where("hit").select(F.col("dst").alias("node")))
+    return jump, left, stored(sown.distinct(), "seeds")
+
+
+def reachable(edges: DataFrame, roots: DataFrame, least_share: float = 0.25) -> DataFrame:
+    """node: roots (node) and all that they lead to along edges (src, dst), without depths.
+
+    Nodes with one link in are folded into the node that their chain comes from, again and again as long as they take at
+    least this share of the links (two ways that part and meet again are one link after a fold); what is left goes by
+    frontier rounds. So a chain of n takes log n rounds, and links are never more than at the start. Links with a null, and
+    those of a node to itself, lead nowhere.
+    """
+    seeds = stored(roots.select("node").where("node IS NOT NULL").distinct(), "seeds")
+    steps, folds = stored(edges.select("src", "dst").where("src <> dst").distinct(), "steps"), []
+    while True:
+        sizes = steps.groupBy("dst").agg(F.count("*").alias("n")).agg(F.count_if(F.col("n") == 1).alias("sole"), F.sum("n").alias("links")).first()
+        if not sizes["sole"] or sizes["sole"] < least_share * sizes["links"]:
+            break
+        jump, steps, seeds = _fold(steps, seeds)
+        folds.append(jump)
+    found = reach(steps, seeds).select("node") if sizes["links"] else seeds
+    for jump in reversed(folds):
+        behind = jump.where("NOT hit AND NOT open").join(found.select(F.col("node").alias("to")), "to", "left_semi")
+        found = stored(found.unionByName(jump.where("hit").select("node")).unionByName(behind.select("node")), "found")
+    return found
+
+
 def ancestors(parents: DataFrame, start: DataFrame) -> DataFrame:
     """node: start and all that it comes from, where each node has one parent or none (null).
 
@@ -128,14 +176,15 @@ def lineage(edges: DataFrame, roots: DataFrame, max_depth: int) -> tuple[DataFra
 def cascade(nodes: DataFrame, edges: DataFrame, target: DataFrame) -> DataFrame:
     """The steps that a target needs: node, reason (target, stale, missing), skip, ms; nodes: node, status, ms."""
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    found = reach(back, target)
-    reason = F.when(F.col("depth") == 0, "target").when(F.col("status") == "stale", "stale").otherwise("missing")
+    aims = target.select("node", F.lit(True).alias("aim")).distinct()
+    found = reachable(back, target).join(aims, "node", "left")
+    reason = F.when(F.col("aim"), "target").when(F.col("status") == "stale", "stale").otherwise("missing")
     return found.join(nodes, "node").select("node", reason.alias("reason"), (F.col("status") == "ready").alias("skip"), "ms")
 
 
 def stale_closure(nodes: DataFrame, edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """node, is_stale: a node is stale if it or any node upstream of it is a seed."""
-    hit = reach(edges, seeds).select("node").withColumn("is_stale", F.lit(True))
+    hit = reachable(edges, seeds).withColumn("is_stale", F.lit(True))
     return nodes.join(hit, "node", "left").withColumn("is_stale", F.coalesce("is_stale", F.lit(False)))
 
 

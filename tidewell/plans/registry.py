@@ -373,7 +373,7 @@ def g9(spark, d):
 @query("g10_downstream", w(GRAPH, "down(node) AS (SELECT CAST(3 AS BIGINT) UNION SELECT dst FROM down JOIN links ON src = node)") + "SELECT n.node FROM nodes n WHERE node IN (SELECT node FROM down) AND node <> 3 AND status = 'ready'")
 def g10(spark, d):
     nodes = X.nodes(spark, d)
-    return G.reach(X.links(spark, d), nodes.where("node = 3")).where("depth > 0").join(nodes.where("status = 'ready'"), "node").select("node")
+    return G.reachable(X.links(spark, d), nodes.where("node = 3")).where("node <> 3").join(nodes.where("status = 'ready'"), "node").select("node")
 
 
 _STALE = "down(node) AS (SELECT node FROM nodes WHERE node % 97 = 0 UNION SELECT dst FROM down JOIN links ON src = node)"
@@ -385,6 +385,15 @@ def g11(spark, d):
     return G.stale_closure(nodes.select("node"), X.links(spark, d), nodes.where("node % 97 = 0"))
 
 
+# each event follows the one before it of the same user, so the links are long chains
+@query("g11_chains", "SELECT event_id AS node, bool_or(event_type = 'error' AND value > 25) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS is_stale FROM events")
+def g11b(spark, d):
+    """Staleness along the chain of each user's events, from errors of a large value."""
+    e = table(spark, d, "events").select(F.col("event_id").alias("node"), "user_id", "ts", "event_type", "value")
+    before = F.lag("node").over(W.partitionBy("user_id").orderBy("ts", "node"))
+    return G.stale_closure(e.select("node"), e.select(before.alias("src"), F.col("node").alias("dst")), e.where("event_type = 'error' AND value > 25"))
+
+
 @query("g12_cause", w(GRAPH, _STALE) + "SELECT node, CASE WHEN EXISTS (SELECT 1 FROM links WHERE dst = n.node AND src IN (SELECT node FROM down)) THEN 'input_changed' WHEN node % 2 = 0 THEN 'env_changed' ELSE 'source_changed' END AS cause FROM nodes n WHERE node IN (SELECT node FROM down)")
 def g12(spark, d):
     nodes, links = X.nodes(spark, d), X.links(spark, d)
