@@ -426,9 +426,6 @@ def test_both_ways_of_ranks_and_running_values(spark):
     same = lambda f: sorted(map(str, f(1 << 100).collect())) == sorted(map(str, f(0).collect()))
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        full = df.where("v IS NOT NULL")
-        assert same(lambda most: R.nearest_rank(full, ["g"], "v", 6, most)) and same(lambda most: R.floor_rank(full, ["g"], "v", 6, most))
-        assert same(lambda most: R.medians(df, ["g"], "v", 6, most)) and same(lambda most: R.describe(df, "v", most))
         assert same(lambda most: R.within_budget(df, "g", "k", F.col("c"), 800, most))
         assert same(lambda most: ordered.last_before(df, "g", ["k"], F.col("v"), most))
         cells = df.select(F.col("g").alias("variable"), F.col("k").alias("pos")).where("g IS NOT NULL")
@@ -439,6 +436,31 @@ def test_both_ways_of_ranks_and_running_values(spark):
         spark.conf.set("spark.sql.adaptive.enabled", "true")
 
 
+@pytest.mark.parametrize("at", [{}, {"accuracy": 4, "range_rows": 20}])
+def test_ranks_by_selection(spark, at):
+    """Against a task that holds each group: skewed groups, ties, nulls, a null group, a group of nulls, one value, no rows;
+    pivots so rough that ranges are split again and again."""
+    import random
+
+    from tidewell.operators import ordered
+    from tidewell.operators import relational as R
+
+    rng = random.Random(2)
+    rows = [(rng.choice(["a", "a", "a", "b", None]), rng.choice([None, 1.5, 2.5, rng.random() * 10])) for _ in range(2000)]
+    df = spark.createDataFrame(rows + [("one", 4.0), ("none", None), ("none", None)] + [("same", 7.0)] * 90, "g string, n double").repartition(5)
+    rows_of = lambda x: sorted(map(str, x.collect()))
+    assert rows_of(R.nearest_rank(df, ["g"], "n", 6, **at)) == rows_of(R.nearest_rank_of_few(df, ["g"], "n", 6))
+    assert rows_of(R.floor_rank(df, ["g"], "n", 6, **at)) == rows_of(R.floor_rank_of_few(df, ["g"], "n", 6))
+    assert rows_of(R.medians(df, ["g"], "n", **at)) == rows_of(df.groupBy("g").agg(F.round(F.percentile("n", 0.5), 6).alias("median")))
+    whole = df.agg(*[F.round(F.percentile("n", p), 4).alias(q) for q, p in (("q1", 0.25), ("q2", 0.5), ("q3", 0.75))])
+    assert rows_of(R.describe(df, "n", **at).select("q1", "q2", "q3")) == rows_of(whole)
+    assert R.nearest_rank(df.limit(0), ["g"], "n", **at).count() == 0 and R.describe(df.limit(0), "n", **at).first()["q2"] is None
+    big = spark.range(5000).select((F.col("id") + (1 << 53)).alias("x"))  # a double can't tell these values apart
+    assert ordered.at_ranks(big, [], "x", {"r": lambda n: F.ceil(n * 0.3)}, [0.3], **at).first()["r"] == (1 << 53) + 1499
+    pair = spark.range(900).select((F.col("id") % 2 + (1 << 62) + 7).alias("x"))  # no pivot falls between or on them
+    assert ordered.at_ranks(pair, [], "x", {"r": lambda n: F.ceil(n * 0.6)}, [0.6], **at).first()["r"] == (1 << 62) + 8
+
+
 def test_the_size_of_an_input_is_estimated(spark, sf):
     """No job runs; what isn't known is large."""
     from tidewell.operators import ordered

@@ -66,29 +66,39 @@ def mean_and_std(df: DataFrame, by: Sequence[str], columns: Sequence[str]) -> Da
 
 
 PERCENTILES = {"p50": 50, "p95": 95, "p99": 99}
+_SHARES = [p / 100 for p in PERCENTILES.values()]
 
 
-def nearest_rank(df: DataFrame, by: Sequence[str], value: str, places: int = 2, most: int | None = None) -> DataFrame:
-    """p50, p95, p99 as the value at rank ceil(n p). most: bytes of the input up to which a group may stand in one task."""
-    if ordered.fits(df, most):
-        return df.groupBy(*by).agg(*[F.round(F.expr(f"percentile_disc({p / 100}) WITHIN GROUP (ORDER BY {value})"), places).alias(n) for n, p in PERCENTILES.items()])
-    found = ordered.at_ranks(df, by, value, {name: lambda n, p=p: F.ceil(n * p / 100) for name, p in PERCENTILES.items()})
+def nearest_rank(df: DataFrame, by: Sequence[str], value: str, places: int = 2, **at) -> DataFrame:
+    """p50, p95, p99 as the value at rank ceil(n p), nulls left out. at: settings of `ordered.at_ranks`."""
+    found = ordered.at_ranks(df, by, value, {name: lambda n, p=p: F.ceil(n * p / 100) for name, p in PERCENTILES.items()}, _SHARES, **at)
     return found.select(*by, *[F.round(n, places).alias(n) for n in PERCENTILES])
 
 
-def floor_rank(df: DataFrame, by: Sequence[str], value: str, places: int = 2, most: int | None = None) -> DataFrame:
-    """p50, p95, p99 as the value at rank max(1, floor(n p))."""
-    at = lambda n, p: F.greatest(F.lit(1), F.floor(n * F.lit(p / 100)))
-    if ordered.fits(df, most):
-        own = W.partitionBy(*by)
-        ranked = df.select(*by, F.col(value).alias("_v"), F.row_number().over(own.orderBy(value)).alias("_r"), F.count("*").over(own).alias("_n"))
-        return ranked.groupBy(*by).agg(*[F.round(F.max(F.when(F.col("_r") == at(F.col("_n"), p), F.col("_v"))), places).alias(n) for n, p in PERCENTILES.items()])
-    found = ordered.at_ranks(df, by, value, {name: lambda n, p=p: at(n, p) for name, p in PERCENTILES.items()})
+def nearest_rank_of_few(df: DataFrame, by: Sequence[str], value: str, places: int = 2) -> DataFrame:
+    """The same for groups that hold a bounded number of rows each: a task holds a group."""
+    return df.groupBy(*by).agg(*[F.round(F.expr(f"percentile_disc({p / 100}) WITHIN GROUP (ORDER BY {value})"), places).alias(n) for n, p in PERCENTILES.items()])
+
+
+def _floor_place(n: Column, p: int) -> Column:
+    return F.greatest(F.lit(1), F.floor(n * F.lit(p / 100)))
+
+
+def floor_rank(df: DataFrame, by: Sequence[str], value: str, places: int = 2, **at) -> DataFrame:
+    """p50, p95, p99 as the value at rank max(1, floor(n p)), nulls left out."""
+    found = ordered.at_ranks(df, by, value, {name: lambda n, p=p: _floor_place(n, p) for name, p in PERCENTILES.items()}, _SHARES, **at)
     return found.select(*by, *[F.round(n, places).alias(n) for n in PERCENTILES])
 
 
-def medians(df: DataFrame, by: Sequence[str], value: str, places: int = 6, most: int | None = None) -> DataFrame:
-    return ordered.quantiles(df, by, value, {"median": 0.5}, most).withColumn("median", F.round("median", places))
+def floor_rank_of_few(df: DataFrame, by: Sequence[str], value: str, places: int = 2) -> DataFrame:
+    """The same for groups that hold a bounded number of rows each: a task holds a group."""
+    own = W.partitionBy(*by)
+    ranked = df.select(*by, F.col(value).alias("_v"), F.row_number().over(own.orderBy(F.col(value).asc_nulls_last())).alias("_r"), F.count(value).over(own).alias("_n"))
+    return ranked.groupBy(*by).agg(*[F.round(F.max(F.when(F.col("_r") == _floor_place(F.col("_n"), p), F.col("_v"))), places).alias(n) for n, p in PERCENTILES.items()])
+
+
+def medians(df: DataFrame, by: Sequence[str], value: str, places: int = 6, **at) -> DataFrame:
+    return ordered.quantiles(df, by, value, {"median": 0.5}, **at).withColumn("median", F.round("median", places))
 
 
 def histogram_le(df: DataFrame, value: str) -> DataFrame:
@@ -122,14 +132,11 @@ def null_counts(df: DataFrame) -> DataFrame:
     return counts.unpivot([], df.columns, "column_name", "nulls").where("nulls > 0")
 
 
-def describe(df: DataFrame, column: str, most: int | None = None) -> DataFrame:
+def describe(df: DataFrame, column: str, **at) -> DataFrame:
     """Count, mean, sample deviation, extremes and quartiles of a column, in one row."""
     quarters = {"q1": 0.25, "q2": 0.5, "q3": 0.75}
     plain = [F.count(column).alias("n"), F.round(F.avg(column), 4).alias("mean"), F.round(F.stddev_samp(column), 4).alias("std"), F.min(column).alias("min"), F.max(column).alias("max")]
-    if ordered.fits(df, most):
-        out = df.agg(*plain, *[F.percentile(column, p).alias(q) for q, p in quarters.items()])
-    else:
-        out = df.agg(*plain).join(ordered.quantiles(df, [], column, quarters, most), how="left")
+    out = df.agg(*plain).join(ordered.quantiles(df, [], column, quarters, **at), how="left")
     return out.select("n", "mean", "std", "min", *[F.round(q, 4).alias(q) for q in quarters], "max")
 
 

@@ -41,15 +41,11 @@ def hit_rates(accesses: DataFrame, by: str, n: int | None) -> DataFrame:
     return out.orderBy(F.desc("total"), by).limit(n) if n else out
 
 
-#: For ranks over groups that hold a bounded number of rows each.
-ANY = 1 << 100
-
-
 def scan_rollup(accesses: DataFrame, by: str, last: int = 1000) -> DataFrame:
     """Totals per table over all scans, and percentiles over the last ones."""
     totals = accesses.groupBy(by).agg(F.count("*").alias("scans"), F.round(F.avg("value"), 4).alias("avg_latency"), C.safe_ratio(F.count_if("is_hit"), F.count("*"), 3).alias("hit_rate"), F.sum("bytes").alias("bytes"))
     recent = R.top_per_group(accesses, [by], [F.desc("ts"), F.desc("event_id")], last)
-    return totals.join(R.nearest_rank(recent, [by], "value", most=ANY), by)
+    return totals.join(R.nearest_rank_of_few(recent, [by], "value"), by)
 
 
 def eviction_pressure(evictions: DataFrame) -> DataFrame:
@@ -85,7 +81,7 @@ def build_rollup_by(builds: DataFrame, by: str, last: int = 100) -> DataFrame:
     totals = builds.groupBy(by).agg(F.count("*").alias("started"), e("succeeded"), e("failed"), e("cancelled"))
     ended = builds.where(F.col("event").isin("succeeded", "failed")).select(by, "duration_ms", "created_at", "build_id")
     recent = R.top_per_group(ended, [by], [F.desc("created_at"), F.desc("build_id")], last)
-    ranks = R.floor_rank(recent, [by], "duration_ms", most=ANY).withColumnRenamed(by, "_k")
+    ranks = R.floor_rank_of_few(recent, [by], "duration_ms").withColumnRenamed(by, "_k")
     return totals.join(ranks, F.col(by).eqNullSafe(F.col("_k")), "left").drop("_k")
 
 
