@@ -58,6 +58,8 @@ def test_halves_share_as_much_as_whole_rows():
         ('<article class="post comments-open">a<article class="comment">no</article></article>', "a"),
         ('<article><p class="share-price">up</p><p>x<span class="ad">BUY</span>y <em>z</em></p><div class="share">s</div></article>', "up xy z"),
         ('<article><p>x<span class="ad">BUY<p>y</article>', "x y"),
+        ('<article>a<div class="ad-slot">1</div><div id="cookie_bar">2</div><div class="x sidebar-right">3</div><div class="reader-comments">4</div><section class="comments__section">5</section>b</article>', "a b"),
+        ('<article>a<p class="cookie-recipe">b</p><p class="site-plan">c</p><div class="page-header">d</div><p class="area">e</p></article>', "a b c d e"),
         ('<div class="header">site</div><article><div class="header">T</div>x</article>', "T x"),
         ('<article>a<textarea>t</textarea><math><mi>x</mi></math></article>', "a x"),
     ],

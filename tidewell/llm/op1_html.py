@@ -53,14 +53,27 @@ MAIN = {"article", "main"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
 NAMED = {"ad", "ads", "advert", "adverts", "advertisement", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "comment-list", "comments-area", "complementary", "consent", "contentinfo", "cookie", "cookies", "cookie-banner", "cookie-notice", "disclaimer", "footer", "header", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "popup", "promo", "related", "related-posts", "respond", "share", "share-buttons", "sharing", "sidebar", "site-footer", "site-header", "site-nav", "social", "social-share", "sponsor", "sponsored", "subscribe", "toolbar", "widget"}
+# Words beside a furniture word in a compound name, as in ad-slot, cookie_bar or sidebar-right.
+BESIDE = {"area", "bar", "block", "bottom", "box", "container", "form", "inner", "item", "items", "left", "link", "links", "list", "main", "outer", "page", "panel", "reader", "right", "row", "section", "signup", "site", "slot", "sticky", "strip", "top", "unit", "user", "wrap", "wrapper"}
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z|(?=<))|<[!?][^>]*(?:>|\Z)|[^<]+|<", re.S)
 NAMES = re.compile(r"(?<![\w-])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
 
+PARTS = re.compile("[-_]+")
+
+
 def _named(attributes: str, names: set = NAMED) -> bool:
-    """Whether a class, id or role is, as a whole, one of the names."""
-    return bool(attributes) and any(not names.isdisjoint((m[1] or m[2] or m[3] or "").lower().split()) for m in NAMES.finditer(attributes))
+    """Whether a class, id or role is one of the names, or a compound of them and of words for a place or a box alone.
+
+    So comments-section counts; share-price, comments-open and with-sidebar, which have another word, don't.
+    """
+    return bool(attributes) and any(_is_name(name, names) for m in NAMES.finditer(attributes) for name in (m[1] or m[2] or m[3] or "").lower().split())
+
+
+def _is_name(name: str, names: set) -> bool:
+    parts = {x for x in PARTS.split(name) if x}
+    return name in names or (not parts.isdisjoint(names) and parts <= names | BESIDE)
 
 
 def page_lines(page: str) -> tuple[bool, list[tuple[str, bool, bool]]]:
