@@ -1,5 +1,7 @@
 """The pipeline's stages against brute force, and ops 7 and 9 by themselves."""
 
+import os
+import pickle
 import random
 import zlib
 
@@ -207,6 +209,24 @@ def test_regions(spark):
     assert op9_decontamination.contaminated(df, bench.limit(0)).count() == 0 and op9_decontamination.contaminated(df.limit(0), bench).count() == 0
 
 
+def test_each_block_is_built_once(spark, monkeypatch):
+    """By one Spark job; whoever searches loads blocks, however many pieces of text there are, and builds none."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9)))
+    items = [(i, " ".join(word() for _ in range(40))) for i in range(30)] + [(30, "tiny"), (31, items_text := "same words in two items"), (32, items_text)]
+    bench = spark.createDataFrame([*items, items[0]], "item_id long, text string")
+    blocks = op9_decontamination.Blocks(bench, 10, 0.08, 80, 40, 2000)
+    files = os.listdir(blocks.path.removeprefix("file:"))
+    assert 5 < len(files) == blocks.built <= blocks.n and {int(f) for f in files} < set(range(blocks.n + 1))
+    loaded = []
+    monkeypatch.setattr(op9_decontamination.pickle, "load", lambda f, load=pickle.load: loaded.append(f) or load(f))
+    monkeypatch.setattr(op9_decontamination.GramIndex, "__init__", lambda *_: pytest.fail("a task builds an index"))
+    texts = [f"{word()} {t} {word()}" for _, t in items] * 3
+    got = blocks.regions(texts)
+    assert [sorted({r[0] for r in x}) for x in got] == [[31, 32] if i > 30 else [i] for i, _ in items] * 3
+    assert len(loaded) == len(files)
+
+
 def test_unchanged_and_edited_copy_in_a_document(spark):
     rng = random.Random(4)
     text = lambda n: " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9))) for _ in range(n))

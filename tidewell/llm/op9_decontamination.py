@@ -15,8 +15,9 @@ Both sides are lower-cased and runs of white space become one space; positions r
   down by as many), and hits are counted tile by tile along the text, so frequent q-grams cost neither links nor memory.
 * An item of fewer than q characters is looked up whole, without edits; it counts where it doesn't begin or end within
   a word (of letters with case, or digits).
-* The segments are stored in blocks of about `block_chars` characters in the shared folder. A task reads its documents
-  once, about `text_chars` characters at a time, and takes the blocks in turn; the driver knows their number alone.
+* The segments are dealt to blocks of about `block_chars` characters, and a Spark job indexes each block once, into a file
+  of sorted arrays in the shared folder. A task reads its documents once, about `text_chars` characters at a time, and loads
+  the blocks in turn (it never builds one); the driver knows their number alone.
 
 Cases: null or empty texts have no regions; items without text have no segments, items with a null id are left out.
 Repeated rows give a row each; items with equal texts are all reported. Regions of an item that touch are one, with the
@@ -26,7 +27,11 @@ kept as they are by clean(), whatever their names.
 
 from __future__ import annotations
 
+import pickle
+import uuid
+
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -104,6 +109,17 @@ class Index:
             by.setdefault(gram_length(len(text), q, rate), []).append((item, text))
         self.q, self.parts = q, [GramIndex(own, g, rate) for g, own in sorted(by.items())]
 
+    def save(self, f) -> None:
+        """Arrays and dicts, without classes of this module."""
+        pickle.dump((self.q, [vars(p) for p in self.parts]), f, protocol=5)
+
+    @classmethod
+    def load(cls, f) -> Index:
+        index = cls.__new__(cls)
+        index.q, index.parts = pickle.load(f)
+        index.parts = [GramIndex.of(p) for p in index.parts]
+        return index
+
 
 class GramIndex:
     """The q-grams of segments; those of fewer than q characters are kept whole."""
@@ -114,14 +130,17 @@ class GramIndex:
         for item, text in segs:
             owners.setdefault(text, set()).add(item)
         strings = sorted(owners)
-        self.owners = [sorted(owners[t]) for t in strings]
-        self.texts = [code_points(t) for t in strings]
-        self.bytes = [t.tobytes() for t in self.texts]
-        self.length = np.array([len(t) for t in self.texts], np.int64)
+        known = [sorted(owners[t]) for t in strings]
+        self.owner = np.array([i for own in known for i in own], np.int64)
+        self.owner_end = np.cumsum([len(own) for own in known], dtype=np.int64)
+        texts = [code_points(t) for t in strings]
+        self.codes = np.concatenate([*texts, np.zeros(0, np.uint32)])
+        self.length = np.array([len(t) for t in texts], np.int64)
+        self.ends = np.cumsum(self.length)
         # whole items have no edits; for all others at least one shared q-gram is left by the bound
         self.budget = np.where(self.length < q, 0, (rate * self.length).astype(np.int64))
         bound = np.maximum(1, self.length - q + 1 - self.budget * q)
-        grams = [gram_hashes(t, q) for t in self.texts]
+        grams = [gram_hashes(t, q) for t in texts]
         h = np.concatenate([*grams, np.zeros(0, np.uint64)])
         seg = np.repeat(np.arange(len(strings)), [len(g) for g in grams])
         pos = np.concatenate([*[np.arange(len(g)) for g in grams], np.zeros(0, np.int64)]).astype(np.int64)
@@ -139,7 +158,22 @@ class GramIndex:
         self.table[self.hashes >> np.uint64(64 - BITS)] = True
         self.reach = int((self.length + 2 * self.budget).max(initial=0)) + 2  # no band's hits lie farther apart
         # items of fewer than q characters, by length
-        self.short = {int(n): {self.bytes[s]: int(s) for s in np.flatnonzero(self.length == n)} for n in np.unique(self.length[self.length < q])}
+        self.short = {int(n): {self.text(s).tobytes(): int(s) for s in np.flatnonzero(self.length == n)} for n in np.unique(self.length[self.length < q])}
+
+    @classmethod
+    def of(cls, values: dict) -> GramIndex:
+        part = cls.__new__(cls)
+        vars(part).update(values)
+        return part
+
+    def __len__(self) -> int:
+        return len(self.length)
+
+    def text(self, s: int) -> np.ndarray:
+        return self.codes[self.ends[s] - self.length[s] : self.ends[s]]
+
+    def owners(self, s: int) -> list[int]:
+        return self.owner[self.owner_end[s - 1] if s else 0 : self.owner_end[s]].tolist()
 
     def tiles(self, h: np.ndarray):
         """(first position, end, positions, segments, positions in the segments) of shared q-grams, a tile at a time.
@@ -196,7 +230,7 @@ def _exact(index: GramIndex, text: bytes, s: int, band: int) -> int:
     """Where segment s stands unchanged with its diagonal in the band, or -1; text: code points of 4 bytes."""
     step = int(index.budget[s]) + 1
     low, high = max(0, band * step), band * step + 2 * step - 1 + int(index.length[s])
-    at = text.find(index.bytes[s], 4 * low, 4 * max(0, high))
+    at = text.find(index.text(s).tobytes(), 4 * low, 4 * max(0, high))
     return -1 if at < 0 else at // 4 if at % 4 == 0 else -2
 
 
@@ -224,7 +258,7 @@ def _aligned(index: GramIndex, text: np.ndarray, seg: np.ndarray, band: np.ndarr
     step, lengths = budget + 1, index.length[seg]
     pad = np.zeros((len(seg), int(lengths.max())), np.uint32)
     for row, x in enumerate(seg):
-        pad[row, : lengths[row]] = index.texts[x]
+        pad[row, : lengths[row]] = index.text(x)
     edits, stop = banded_alignment(pad, lengths, text, band * step - budget, 2 * step + 2 * budget)
     good = edits <= budget
     if not good.any():
@@ -279,7 +313,7 @@ def regions_of(index: Index, texts: list[str]) -> list[list[tuple]]:
     regions: list[list[tuple]] = [[] for _ in texts]
     for part in index.parts:
         for d, found in _found(part, strings, own, joined, begin).items():
-            regions[d] += [(i, start, stop, edits, int(part.length[s])) for s, start, stop, edits in found for i in part.owners[s]]
+            regions[d] += [(i, start, stop, edits, int(part.length[s])) for s, start, stop, edits in found for i in part.owners(s)]
     return [joined_regions(r) for r in regions]
 
 
@@ -301,8 +335,8 @@ def _found(index: GramIndex, strings: list[str], own: list[np.ndarray], joined:
             continue
         low = int(band.min())
         span = int(band.max()) - low + 1
-        key, n = np.unique((doc * len(index.texts) + seg) * span + (band - low), return_counts=True)
-        doc, seg, band = key // span // len(index.texts), key // span % len(index.texts), key % span + low
+        key, n = np.unique((doc * len(index) + seg) * span + (band - low), return_counts=True)
+        doc, seg, band = key // span // len(index), key // span % len(index), key % span + low
         keep = n >= index.bound[seg]
         doc, seg, band = doc[keep], seg[keep], band[keep]
         for d in np.unique(doc).tolist():
@@ -333,7 +367,11 @@ def _cut(size: int, stride: int):
 
 
 class Blocks:
-    """The segments of a benchmark in the shared folder, in blocks of about block_chars characters."""
+    """The index of a benchmark in the shared folder, in blocks of about block_chars characters of segments.
+
+    A task of one Spark job builds each block; a lost task builds it again, to the same bytes, under a name of its own
+    that takes the block's name when it is complete.
+    """
 
     def __init__(self, benchmark: DataFrame, q: int, rate: float, size: int, stride: int, block_chars: int):
         known = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
@@ -343,22 +381,32 @@ class Blocks:
         self.path = new_path(benchmark.sparkSession, "benchmark")
         segs = known.mapInArrow(_cut(size, stride), "item_id long, text string").distinct()
         block = F.pmod(F.xxhash64("text"), F.lit(self.n)).cast("int")
-        segs.withColumn("block", block).repartition(self.n, "block").write.partitionBy("block").parquet(self.path)
+        dealt = segs.withColumn("block", block).repartition(self.n, "block")
+        self.built = dealt.groupBy("block").applyInPandas(lambda frame: self._build(frame), "block int, segments long").agg(F.count("*")).first()[0]
+
+    def _build(self, frame: pd.DataFrame) -> pd.DataFrame:
+        block = int(frame["block"].iloc[0])
+        files, root = filesystem(self.path)
+        files.create_dir(root, recursive=True)
+        own = f"{root}/{uuid.uuid4().hex}"
+        with files.open_output_stream(own) as f:
+            Index(list(zip(frame["item_id"].tolist(), frame["text"].tolist())), self.q, self.rate).save(f)
+        files.move(own, f"{root}/{block}")
+        return pd.DataFrame({"block": [block], "segments": [len(frame)]})
 
     def index(self, block: int) -> Index:
         """In a task: the q-grams of a block; the last one is kept by the worker."""
 
-        def make():
-            import pyarrow.dataset as ds
+        def load():
             from pyarrow import fs
 
-            files, root = filesystem(f"{self.path}/block={block}")
-            if files.get_file_info(root).type == fs.FileType.NotFound:
+            files, path = filesystem(f"{self.path}/{block}")
+            if files.get_file_info(path).type == fs.FileType.NotFound:  # a block without segments
                 return Index([], self.q, self.rate)
-            got = ds.dataset(root, filesystem=files, format="parquet").to_table(columns=["item_id", "text"])
-            return Index(list(zip(got["item_id"].to_pylist(), got["text"].to_pylist())), self.q, self.rate)
+            with files.open_input_stream(path) as f:
+                return Index.load(f)
 
-        return worker_cache(("benchmark", self.path, block), make, alone=True)
+        return worker_cache(("benchmark", self.path, block), load, alone=True)
 
     def regions(self, texts: list[str]) -> list[list[tuple]]:
         out: list[list[tuple]] = [[] for _ in texts]
