@@ -78,6 +78,37 @@ def test_small(spark, monkeypatch, chunk, in_one_task):
     assert got == brute(rows)
 
 
+def test_leftovers_meet_members_of_their_buckets_only(spark):
+    """The component grows, and so do the strangers that share small buckets with it: work grows in proportion."""
+    work = []
+    for n in (50, 100, 200):
+        # a component of 10 n nodes in buckets of 10; each of its buckets of number i holds stranger i, too
+        rows = [(0, i, 100_000 + 10 * i + k, 100_000 + 10 * i) for i in range(n) for k in range(10)] + [(0, i, i + 1, i + 1) for i in range(n)]
+        # a bucket of strangers of three components, and one shared as a whole by the same nodes
+        rows += [(1, 0, 1_000 + k, 1_000) for k in range(3)] + [(b, 7, 2_000 + k, 2_000) for b in (2, 3) for k in range(20)]
+        members = spark.createDataFrame(rows, "band int, bucket long, doc long, leader long")
+        docs = sorted({r[2] for r in rows})
+        labels = spark.createDataFrame([(d, 100_000) for d in docs if d >= 100_000] + [(d, 2_000) for d in range(2_000, 2_019)], "node long, component long")
+        sets = spark.createDataFrame([(d, b"") for d in docs], "doc long, items binary")
+        top, place, others = (x.collect() for x in op5_minhash._sides(members, labels, sets, 4))
+        pairs = lambda rows, group: {(a["doc"], b["doc"]) for cell in cells(rows, group) for a in cell for b in cell if a["left"] and b["right"] and a["component"] != b["component"]}
+        got = pairs(top, "top") | pairs(place, "place") | pairs(others, "place")
+        want = {(r[2], s[2]) for r in rows for s in rows if r[:2] == s[:2]}
+        of = {r["node"]: r["component"] for r in labels.collect()}
+        want = {(a, b) for a, b in want if of.get(a, a) != of.get(b, b)}
+        assert got <= want and {tuple(sorted(p)) for p in got} == {tuple(sorted(p)) for p in want}
+        assert {r["top"] for r in top} >= {2_000} and 100_000 not in {r["top"] for r in top}
+        work.append(len(place))
+    assert work[1] == 2 * work[0] and work[2] == 2 * work[1]
+
+
+def cells(rows, group):
+    out = {}
+    for r in rows:
+        out.setdefault((r[group], r["ci"], r["cj"]), []).append(r)
+    return list(out.values())
+
+
 def test_doc_id_with_several_texts(spark):
     text = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
     rows = [(1, text(1)), (1, text(2)), (5, text(2) + " end"), (6, text(1) + " end"), (7, text(3)), (8, text(3) + " end"), (8, text(4)), (9, text(4)), (None, text(4))]

@@ -7,8 +7,10 @@
 3. Every node is verified against the smallest of its leaders, and components follow; then against those of its other
    leaders that are still in another component. Both are linear in the members of the buckets.
 4. In a bucket whose members are still in several components, the nodes outside the component with most of them are
-   verified against all nodes of that component, and against each other. Both sides are dealt to chunks, so a task holds
-   two chunks of sets at a time, counts intersections there, and gives links, never pairs.
+   verified against those inside, and against each other. Those inside are only the members of such buckets, never the
+   rest of the component. For each such component the cheaper of two ways is taken, by exact counts of the sets moved and
+   of the comparisons: bucket by bucket, or once for all of its buckets together. All sides are dealt to chunks, so a
+   task holds two chunks of sets at a time, counts intersections there, and gives links, never pairs.
 5. Components of all links.
 
 With 40 bands of 4 rows a pair at the threshold shares a bucket with probability 1 - 2.5e-7; links themselves are exact.
@@ -24,7 +26,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.llm.common import tidied, whole_text
@@ -152,27 +154,44 @@ def _dealt(side: DataFrame, group: str, left: bool, chunk: int) -> DataFrame:
     return rows.select(group, F.col(first).alias("ci"), F.col(second).alias("cj"), "doc", "component", F.lit(left).alias("left"), F.lit(not left).alias("right"))
 
 
+def _work(n: str, m: str, chunk: int) -> Column:
+    """What it costs to compare n sets with m: a set that moves to a chunk costs about as much as half a chunk of comparisons."""
+    rows, others = F.col(n).cast("double"), F.col(m).cast("double")
+    return rows * others + chunk / 2 * (rows * F.ceil(others / chunk) + others * F.ceil(rows / chunk))
+
+
 def _left_over(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int, chunk: int) -> DataFrame:
     """Step 4: the links between components that share a bucket."""
-    nodes = stored(sets.select("doc").distinct().join(labels.withColumnRenamed("node", "doc"), "doc", "left").select("doc", F.coalesce("component", "doc").alias("component")), "nodes")
-    known = members.select("band", "bucket", "doc").join(nodes, "doc")
+    by_top, by_place, others = _sides(members, labels, sets, chunk)
+    compared = lambda rows, group: rows.join(sets, "doc").groupBy(group, "ci", "cj").applyInPandas(_across(percent), "a long, b long")
+    return stored(compared(by_top, "top").unionByName(compared(by_place, "place")).unionByName(compared(others, "place")), "across")
+
+
+def _sides(members: DataFrame, labels: DataFrame, sets: DataFrame, chunk: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What step 4 compares: the members of shared buckets outside and inside the component with most of them, by component
+    (top) or by bucket (place), whichever is cheaper; and those outside against each other."""
+    nodes = sets.select("doc").distinct().join(labels.withColumnRenamed("node", "doc"), "doc", "left").select("doc", F.coalesce("component", "doc").alias("component"))
+    known = stored(members.select("band", "bucket", "doc").join(nodes, "doc"), "known")
     share = known.groupBy("band", "bucket", "component").agg(F.count("*").alias("n"))
     tops = share.groupBy("band", "bucket").agg(F.max(F.struct("n", F.col("component").alias("c"))).alias("top"), F.count("*").alias("parts"), F.sum("n").alias("all")).where("parts > 1")
-    tops = tops.select("band", "bucket", F.col("top.c").alias("top"), "parts", (F.col("all") - F.col("top.n")).alias("n"))
-    outside = stored(known.join(tops, ["band", "bucket"]).where("component <> top").select(F.struct("band", "bucket").alias("place"), "doc", "component", "top", "parts", "n"), "outside")
-
-    # against the component with most members: a node stands once for all buckets that it shares with it
-    asks = outside.select("top", "doc", "component").distinct()
-    n_asks = asks.groupBy("top").agg(F.count("*").alias("asks"))
-    answers = nodes.join(n_asks.select(F.col("top").alias("component")), "component", "left_semi").select(F.col("component").alias("top"), "doc", "component")
-    sizes = n_asks.join(answers.groupBy("top").agg(F.count("*").alias("answers")), "top")
-    counted = lambda side, n, m: side.join(sizes, "top").withColumns({"n": F.col(n), "m": F.col(m)})
+    tops = stored(tops.select("band", "bucket", F.col("top.c").alias("top"), "parts", (F.col("all") - F.col("top.n")).alias("outer"), F.col("top.n").alias("inner")), "tops")
+    rows = stored(known.join(tops, ["band", "bucket"]).select(F.struct("band", "bucket").alias("place"), "doc", "component", "top", "parts", "outer", "inner"), "shared")
+    outside, inside = rows.where("component <> top"), rows.where("component = top")
+
+    # a node stands once for all buckets that it shares with a component
+    asks, answers = (stored(x.select("top", "doc", "component").distinct(), "once") for x in (outside, inside))
+    sizes = asks.groupBy("top").agg(F.count("*").alias("asks")).join(answers.groupBy("top").agg(F.count("*").alias("answers")), "top")
+    apart = tops.groupBy("top").agg(F.sum(_work("outer", "inner", chunk)).alias("apart"))
+    sizes = stored(sizes.join(apart, "top").withColumn("together", F.col("apart") >= _work("asks", "answers", chunk)), "sizes")
+    counted = lambda side, n, m: side.join(sizes.where("together"), "top").withColumns({"n": F.col(n), "m": F.col(m)})
     by_top = _dealt(counted(asks, "asks", "answers"), "top", True, chunk).unionByName(_dealt(counted(answers, "answers", "asks"), "top", False, chunk))
+    # bucket by bucket, where that is less
+    placed = lambda side, n, m: side.join(sizes.where("NOT together").select("top"), "top", "left_semi").withColumns({"n": F.col(n), "m": F.col(m)})
+    by_place = _dealt(placed(outside, "outer", "inner"), "place", True, chunk).unionByName(_dealt(placed(inside, "inner", "outer"), "place", False, chunk))
     # against each other, where the others are of several components
-    others = outside.where("parts > 2").withColumn("m", F.col("n"))
-    by_place = _dealt(others, "place", True, chunk).unionByName(_dealt(others, "place", False, chunk))
-    compared = lambda rows, group: rows.join(sets, "doc").groupBy(group, "ci", "cj").applyInPandas(_across(percent), "a long, b long")
-    return stored(compared(by_top, "top").unionByName(compared(by_place, "place")), "across")
+    rest = outside.where("parts > 2").withColumns({"n": F.col("outer"), "m": F.col("outer")})
+    others = _dealt(rest, "place", True, chunk).unionByName(_dealt(rest, "place", False, chunk))
+    return by_top, by_place, others
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, chunk: int = 512) -> DataFrame:
