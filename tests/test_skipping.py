@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewell.sources import scan as S
-from tidewell.sources.skipping import SkippingIndex
+from tidewell.sources.skipping import SkippingIndex, bits_per_value
 
 
 @pytest.fixture
@@ -61,3 +61,24 @@ def test_refresh(spark, tmp_path, data):
         SkippingIndex(spark, f"file://{tmp_path}/none").zones()
     with pytest.raises(ValueError):
         index.scan(None, [("nope", "=", 1)])
+
+
+def test_needless_files_do_not_grow_with_the_files(spark, tmp_path):
+    """Looking up values that one of many full files holds: hardly another one is left."""
+    path = f"file://{tmp_path}/many"
+    df = spark.range(120 * 3200).select("id", (F.col("id") * 7919 % (120 * 3200)).alias("code"), F.floor(F.col("id") / 3200).alias("zone"))
+    df.repartition("zone").write.partitionBy("zone").parquet(path)
+    index = SkippingIndex(spark, f"file://{tmp_path}/index").build(path, ["id"], ["code"])
+    assert sum(index.surviving([("code", "=", v)]).count() for v in range(0, 12000, 1000)) <= 12 + 3
+    assert bits_per_value(9000, 0.1, 5) > bits_per_value(90, 0.1, 5) > 10
+
+
+def test_bits_follow_the_files_when_they_double(spark, tmp_path):
+    path = f"file://{tmp_path}/grows"
+    put = lambda zones: [spark.range(z * 10, z * 10 + 10).select("id", (F.col("id") * 3).alias("code")).coalesce(1).write.parquet(f"{path}/zone={z}") for z in zones]
+    put(range(2))
+    index = SkippingIndex(spark, f"file://{tmp_path}/index").build(path, ["id"], ["code"])
+    put(range(2, 5))
+    assert index.refresh() == 5 and index.refresh() == 0  # more than twice as many files: all are read again
+    put([5])
+    assert index.refresh() == 1 and index.scan(["id"], [("code", "=", 156)]).count() == 1 == len(index.scan(["id"], [("code", "=", 12)]).inputFiles())
