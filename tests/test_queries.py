@@ -2,6 +2,7 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from tidewell.plans import catalog
 from verify import TABLES, canonical
@@ -38,3 +39,12 @@ def test_inventory():
     """Most queries have a counterpart in SQL; the others are listed, with why."""
     without = {"s17_prefix_fingerprint", "x4_embed", "x7_compare_models", "x10_feature_importance"}
     assert set(QUERIES) - set(SQL) == without
+
+
+def test_not_in_takes_every_order(spark, tmp_path):
+    """An order of any price rules its customer out, unless its key is null."""
+    d = f"file://{tmp_path}"
+    spark.range(4).select(F.col("id").alias("c_custkey")).write.parquet(f"{d}/customer.parquet")
+    orders = [(1, 0, 5.0), (2, 1, 500_000.0), (3, 2, 5.0)]  # the last one's customer is read as null
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_totalprice double").write.parquet(f"{d}/orders.parquet")
+    assert sorted(r[0] for r in QUERIES["j7_null_safe_not_in"](spark, d).collect()) == [2, 3]
