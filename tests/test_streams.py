@@ -61,6 +61,27 @@ def test_leases_go_on_from_the_checkpoint(spark, tmp_path):
     assert got == want
 
 
+def test_many_builds_are_gone_through_by_buckets(spark, tmp_path):
+    """The same as event by event, events without a build or a time among them; calls and states are as many as buckets."""
+    rows = [(b if b else None, at(k * 2 + b % 5 * 0.3 + more), (b + k) % 7 == 0, k) for b in range(3000) for k in range(3) if (b * 7 + k) % 4 for more in (0, 0.5)]
+    stream = replay(spark, rows + [(5, None, False, 1)], EVENTS)
+    want, end = [], max(r[1] for r in rows)
+    for b in range(3000):
+        own = sorted((r[1], r[2]) for r in rows if r[0] == (b or None)) if b < 40 else []
+        for (t, done), (after, _) in zip(own, own[1:] + [(None, None)]):
+            over = t + dt.timedelta(hours=1)
+            if not done and (over < after if after else over < end):
+                want.append((b, "expired", over))
+                want += [(b, "reclaimed", after)] if after else []
+    out, state = places(tmp_path, "out", "state")
+    told = leases.lease_events(stream, "build", "ts", F.col("done"), 3600, "0 seconds")
+    q = leases.with_timers(spark, lambda: told.writeStream.format("parquet").option("checkpointLocation", state).trigger(availableNow=True).start(out))
+    q.awaitTermination()
+    got = [(r[0] or 0, r[1], r[2]) for r in spark.read.schema(leases.TOLD).parquet(out).collect() if (r[0] or 0) < 40]
+    assert sorted(got) == sorted(want) and len(want) > 40
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]) <= 4 * 257
+
+
 def test_file_order_and_its_bound(spark, tmp_path):
     (path,) = places(tmp_path, "files")
     for name, hours in (("b", (0, 4)), ("a", (3, 9)), ("c", (7, 8))):
