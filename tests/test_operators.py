@@ -6,6 +6,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from tidewell import session
 from tidewell.functions import columns as C
 from tidewell.functions.documents import json_errors
 from tidewell.operators import graph as G
@@ -148,6 +149,19 @@ def shortest(edges, start):
             return length
 
 
+def test_rounds_of_graphs_send_no_table_through_the_driver(spark, monkeypatch):
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    plans, write = [], DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, *a, **b: (plans.append(self._df._jdf.queryExecution().executedPlan().toString()), write(self, *a, **b))[1])
+    before = [spark.conf.get(k, None) for k in session.BROADCAST]
+    e = spark.createDataFrame([(0, 1), (1, 2), (2, 0), (2, 3), (3, 4)], "src long, dst long")
+    assert {r["node"] for r in G.levels(spark.range(6).withColumnRenamed("id", "node"), e)[1].collect()} == {0, 1, 2, 3, 4}
+    assert [tuple(r) for r in G.shortest_cycles(e, G.strong_components(e)).collect()] == [(0, 3, [0, 1, 2])]
+    assert sum("Join" in p for p in plans) > 5 and not any("Broadcast" in p for p in plans)
+    assert [spark.conf.get(k, None) for k in session.BROADCAST] == before
+
+
 def test_strong_components_of_a_long_chain(spark):
     """A chain that no trimming takes away at once: colours in a random order cut it into pieces."""
     e = spark.range(30).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst")).unionByName(spark.createDataFrame([(30, 28), (0, 0)], "src long, dst long"))

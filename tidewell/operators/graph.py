@@ -1,16 +1,21 @@
 """Reachability, levels and cycles by rounds.
 
 A frontier round is a join of the frontier with the edges and an anti-join with what was visited; it is written to the shared
-folder, and only its count comes to the driver. The number of such rounds is the depth of the graph. Where depths aren't
-asked for, chains are folded first, by doubled jumps, so that rounds don't follow the length of chains.
+folder, and only its count comes to the driver: the joins of rounds are shuffled, as broadcasts would go through it. The
+number of such rounds is the depth of the graph. Where depths aren't asked for, chains are folded first, by doubled jumps, so
+that rounds don't follow the length of chains.
 """
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.session import stored
+from tidewell import session
+
+stored = partial(session.stored, broadcast=False)
 
 
 def reach(edges: DataFrame, roots: DataFrame, max_depth: int | None = None) -> DataFrame:

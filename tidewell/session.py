@@ -52,19 +52,26 @@ def new_path(spark: SparkSession, label: str) -> str:
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def stored(df: DataFrame, label: str = "stage") -> DataFrame:
+#: Up to which size the planner, or a running query, sends a side of a join whole through the driver.
+BROADCAST = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+
+
+def stored(df: DataFrame, label: str = "stage", broadcast: bool = True) -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it back: cuts the lineage, survives lost executors.
 
     The shuffle files of the write are deleted when it ends (where this version of Spark has a setting for that): nothing
-    else reads them, and a job of many steps would pile them up.
+    else reads them, and a job of many steps would pile them up. broadcast: False keeps the planner from broadcasts, which
+    go through the driver: a job of many rounds would send it as much in each.
     """
     spark, path = df.sparkSession, new_path(df.sparkSession, label)
-    before = spark.conf.get(CLEANUP) if spark.conf.isModifiable(CLEANUP) else None
+    settings = {CLEANUP: "true"} if spark.conf.isModifiable(CLEANUP) else {}
+    settings |= {} if broadcast else dict.fromkeys(BROADCAST, "-1")
+    before = {k: spark.conf.get(k, None) for k in settings}
     try:
-        if before is not None:
-            spark.conf.set(CLEANUP, "true")
+        for k, v in settings.items():
+            spark.conf.set(k, v)
         df.write.parquet(path)
     finally:
-        if before is not None:
-            spark.conf.set(CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
