@@ -348,7 +348,7 @@ _PARTS = "parts AS (SELECT r.a AS node, min(r.b) AS component FROM reached r JOI
 def g8b(spark, d):
     """The nodes that stand on cycles, by strongly connected component."""
     parts = G.strong_components(X.rings(spark, d))
-    return parts.join(parts.groupBy("component").agg(F.count("*").alias("size")), "component").select("node", "component", "size")
+    return parts.join(parts.groupBy("component").agg(F.count("*").alias("size")).hint("merge"), "component").select("node", "component", "size")
 
 
 @query("g8_shortest_cycles", w(X.RINGS, _REACHED, _PARTS, "inside AS (SELECT src, dst, p.component FROM rings JOIN parts p ON p.node = src JOIN parts q ON q.node = dst AND q.component = p.component)",
