@@ -3,6 +3,7 @@
 import datetime as dt
 import os
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -494,3 +495,19 @@ def test_jdbc_options():
     o = S.jdbc_options("jdbc:postgresql://h/d", "SELECT * FROM t", "k", (0, 100), 4)
     assert o["numPartitions"] == "4" and o["dbtable"] == "(SELECT * FROM t) q" and "READ ONLY" in o["sessionInitStatement"]
     assert S.jdbc_options("jdbc:sqlite:x", "SELECT 1") == {"url": "jdbc:sqlite:x", "fetchsize": "10000", "query": "SELECT 1"}
+
+
+def test_embed_holds_one_call_at_a_time():
+    """The batches that a task gives back are those of single calls, and every row has its vector."""
+
+    class Rows:
+        dtypes = [("id", "bigint"), ("text", "string")]
+        select = lambda self, *_: self
+        mapInArrow = lambda self, run, _: run
+
+    texts = [f"a b {k}" if k % 7 else None for k in range(1000)]
+    run = M.embed(Rows(), "id", "text", batch=64)
+    out = list(run(iter([pa.RecordBatch.from_pydict({"id": list(range(1000)), "text": texts})])))
+    assert [b.num_rows for b in out] == [64] * 15 + [40]
+    assert [v for b in out for v in b.column("vector").to_pylist()] == M.hashing_vectors(texts, 32)
+    assert [k for b in out for k in b.column("id").to_pylist()] == list(range(1000))

@@ -53,10 +53,10 @@ def embed(df: DataFrame, key: str, text: str, model: Callable[[Sequence[str | No
         import pyarrow as pa
 
         for b in batches:
-            texts, out = b.column(text).to_pylist(), []
-            for at in range(0, len(texts), batch):
-                out += model(texts[at : at + batch], dims)
-            yield pa.RecordBatch.from_arrays([b.column(key), pa.array(out, pa.list_(pa.float64()))], [key, "vector"])
+            for at in range(0, b.num_rows, batch):  # no more than one call's texts and vectors at a time
+                part = b.slice(at, batch)
+                out = model(part.column(text).to_pylist(), dims)
+                yield pa.RecordBatch.from_arrays([part.column(key), pa.array(out, pa.list_(pa.float64()))], [key, "vector"])
 
     return df.select(key, text).mapInArrow(run, f"{key} {dict(df.dtypes)[key]}, vector array<double>")
 
