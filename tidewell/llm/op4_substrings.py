@@ -16,8 +16,9 @@ Within a batch of documents an occurrence that a smaller document of the batch s
 `PER_BATCH` surroundings of a string: a mark takes their place, and all that is left of a marked string is open. So a
 string of any frequency gives a bounded number of entries a batch in round 1. Entries travel as arrays, a row for each
 batch and bucket that has any; the number of buckets follows the bytes of the input. A string that stands in very many
-batches would still fill its bucket, so beyond `GROUP_BATCHES` batches the entries of a bucket are settled in two steps:
-among the batches of a group first, each group sending on what a batch would, and then among the groups.
+batches would still fill its bucket, so a bucket takes its rows as a stream: it settles them in pieces of bounded size,
+keeps the distinct entries only, and of no string more than `GROUP_BATCHES` batches may send; if there are more, all are
+open. Entries are shuffled once and stored nowhere else, however many batches there are.
 
 Hashes stand for the strings: of 88 bits in round 1 and 96 bits in round 2, within the entries of one bucket. Among
 n entries of a round a false match has a probability of at most n^2 / 2^89 (2^97); for 100 TB, with 7e12 anchors and
@@ -32,6 +33,8 @@ its task. Other columns are ignored, whatever their names.
 from __future__ import annotations
 
 import hashlib
+import tempfile
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -40,7 +43,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import spread, tidied, whole_text
+from tidewell.llm.common import tidied, whole_text
 from tidewell.llm.op9_decontamination import gram_hashes
 from tidewell.llm.shingles import mix64
 from tidewell.session import stored, table
@@ -57,8 +60,12 @@ BATCH_BYTES = 8_000_000
 #: Surroundings of one string that a batch sends; the others are open at once, and a mark tells the bucket of the string
 #: that there are more, so that what other batches sent of it is open too.
 PER_BATCH = 64
-#: Batches whose entries of a bucket are settled at once.
+#: A bucket keeps as many surroundings of a string as so many batches may send; a string that has more is open.
 GROUP_BATCHES = 1000
+#: A bucket settles so many times that number of entries at once, over twice its share; only fuller ones take pieces.
+PIECE = 16
+#: Bytes of rows that wait for their answers in memory; beyond, they wait in a temporary file of the task.
+WAITING_BYTES = 32_000_000
 STAY, REMOVE, ASK = 0, 1, 3
 #: OPEN plus a bit for each group of windows that is open.
 OPEN, ALL_GROUPS = 16, 15
@@ -276,93 +283,100 @@ def _round_1(buckets: int, batch_bytes: int, per_batch: int):
     return lambda frames: _batch_rows(frames, settle, batch_bytes)
 
 
-def _answer(kind: str):
-    """The answers of a bucket: a row for each batch that asked, with the indexes of entries by state."""
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        asked = frame[frame["kind"] == "ask"]
-        rows = [(b, b, "own", d) for b, d in frame.loc[frame["kind"] == "own", ["batch", "data"]].itertuples(index=False)]
-        if len(asked):
-            dtype = ENTRY if kind == "surroundings" else WINDOW
-            parts = [unpack(d, dtype) for d in asked["data"]]
-            entries, at = np.concatenate(parts), np.cumsum([0] + [len(x) for x in parts])
-            cuts = np.frombuffer(b"".join(frame.loc[frame["kind"] == "cut", "data"]), "<u8")
-            state = _settle_surroundings(entries, cuts) if kind == "surroundings" else _settle_windows(entries)
-            for b, lo, hi in zip(asked["batch"], at[:-1], at[1:]):
-                told = np.flatnonzero(state[lo:hi] != STAY)
-                rows.append((b, b, "told", entries["e"][lo:hi][told].astype("<u4").tobytes() + state[lo:hi][told].tobytes()))
-        return _frame(rows)
-
-    return run
-
+class Bucket:
+    """Settles the entries of a bucket, piece by piece if they are many.
 
-def _reduce(kind: str, groups: int, per_batch: int):
-    """First step of a bucket: a group of batches settles what it can, and asks the bucket about the rest like a batch.
-
-    Rows that tell what a batch is made of pass through. A group's row "group" tells, for the entries of each of its
-    batches, the state or the place of the entry that it has sent on for them.
+    In memory are a piece and the distinct entries of all pieces so far, each with its smallest document. The rows of
+    pieces wait for their answers until all have been seen. A string of more than `most` surroundings isn't kept.
     """
-    dtype = ENTRY if kind == "surroundings" else WINDOW
-
-    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        bucket, group = int(key[0]), int(key[1])
-        rows = list(frame.loc[frame["kind"] == "own", ["bucket", "batch", "kind", "data"]].itertuples(index=False, name=None))
-        asked = frame[frame["kind"] == "ask"]
-        cuts = np.frombuffer(b"".join(frame.loc[frame["kind"] == "cut", "data"]), "<u8")
-        if len(asked):
-            parts = [unpack(d, dtype) for d in asked["data"]]
-            e = np.concatenate(parts)
-            keys = (e["a"], e["c"]) if kind == "surroundings" else (e["h"], e["check"])
-            order = np.lexsort((e["doc"], keys[1], keys[0]))
-            k0, k1, doc = keys[0][order], keys[1][order], e["doc"][order]
-            first = _first_of_runs(k0, k1)
-            owner = np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))
-            state = np.where(doc == doc[owner], ASK, REMOVE).astype(np.uint8)
-            sent = np.flatnonzero(first)
-            if kind == "surroundings":
-                begins = _first_of_runs(k0[sent])
-                rank = np.arange(len(sent)) - np.maximum.accumulate(np.where(begins, np.arange(len(sent)), 0))
-                over = sent[rank >= per_batch]
-                state[np.isin(owner, over) & (state == ASK)] = OPEN + ALL_GROUPS
-                cuts = np.union1d(cuts, k0[over])
-                sent = sent[rank < per_batch]
-            place = np.full(len(order), -1, "<i4")
-            place[sent] = np.arange(len(sent))
-            place = np.where(state == ASK, place[owner], -1)
-            back = np.empty(len(order), np.int64)
-            back[order] = np.arange(len(order))
-            forward = e[order[sent]].copy()
-            forward["e"] = np.arange(len(forward))
-            batches, counts = asked["batch"].to_numpy("<i8"), np.array([len(x) for x in parts], "<i8")
-            told = [np.array([len(batches), len(e), len(forward)], "<i8"), batches, counts, place[back].astype("<i4"), e["e"].astype("<u4"), state[back]]
-            name = bucket * groups + group
-            rows.append((bucket, name, "group", b"".join(x.tobytes() for x in told)))
-            rows.append((bucket, name, "ask", pack(forward)))
-        if len(cuts):
-            rows.append((bucket, bucket * groups + group, "cut", cuts.astype("<u8").tobytes()))
-        return _frame(rows)
 
-    return run
+    def __init__(self, kind: str, most: int, piece: int):
+        self.dtype, self.keys, self.settle = (ENTRY, ("a", "c"), _settle_surroundings) if kind == "surroundings" else (WINDOW, ("h", "check"), _settle_windows)
+        self.most, self.piece = most, piece
+        self.rows, self.held = [], 0
+        self.known, self.over, self.cuts = np.zeros(0, self.dtype), np.zeros(0, "<u8"), np.zeros(0, "<u8")
+        self.waiting = None
+
+    def add(self, batch: int, data: bytes) -> None:
+        self.rows.append((batch, data))
+        self.held += int(np.frombuffer(data, "<i8", 1)[0])
+        if self.held >= self.piece:
+            self._take()
+
+    def _take(self) -> None:
+        """Takes the distinct entries of the piece into the known ones, and lets its rows wait."""
+        e = np.concatenate([self.known, *(unpack(d, self.dtype) for _, d in self.rows)])
+        k0, k1 = self.keys
+        e = e[~np.isin(e[k0], self.over)]
+        e = e[np.lexsort((e["doc"], e[k1], e[k0]))]
+        self.known = e[_first_of_runs(e[k0], e[k1])]
+        if self.dtype == ENTRY:
+            strings, counts = np.unique(self.known["a"], return_counts=True)
+            self.over = np.union1d(self.over, strings[counts > self.most])
+            self.known = self.known[~np.isin(self.known["a"], self.over)]
+        self.waiting = self.waiting or tempfile.SpooledTemporaryFile(max_size=WAITING_BYTES)
+        for batch, data in self.rows:
+            self.waiting.write(np.array([batch, len(data)], "<i8").tobytes() + data)
+        self.rows, self.held = [], 0
+
+    def _waited(self):
+        """The rows that waited, in runs of about a piece."""
+        self.waiting.seek(0)
+        rows, held = [], 0
+        while head := self.waiting.read(16):
+            batch, size = np.frombuffer(head, "<i8").tolist()
+            rows.append((batch, self.waiting.read(size)))
+            held += int(np.frombuffer(rows[-1][1], "<i8", 1)[0])
+            if held >= self.piece:
+                yield rows
+                rows, held = [], 0
+        yield rows
+        self.waiting.close()
+
+    def _looked_up(self, e: np.ndarray, known_state: np.ndarray) -> np.ndarray:
+        """The state of each entry, by the known ones; entries of strings that weren't kept are open."""
+        n, both = len(self.known), np.concatenate([self.known, e])
+        order = np.lexsort((np.arange(len(both)) >= n, both[self.keys[1]], both[self.keys[0]]))
+        first = _first_of_runs(*(both[k][order] for k in self.keys))
+        owner = np.empty(len(both), np.int64)
+        owner[order] = order[np.maximum.accumulate(np.where(first, np.arange(len(both)), 0))]
+        owner = owner[n:]
+        state = np.full(len(e), OPEN + ALL_GROUPS, np.uint8)
+        kept = np.flatnonzero(owner < n)
+        owner = owner[kept]
+        state[kept] = np.where(e["doc"][kept] > self.known["doc"][owner], REMOVE, known_state[owner])
+        return state
+
+    def answers(self):
+        """Runs of rows (batch, entries, their states)."""
+        if self.waiting is not None:
+            self._take()
+            known_state = self.settle(self.known, self.cuts)
+        for rows in [self.rows] if self.waiting is None else self._waited():
+            parts = [unpack(d, self.dtype) for _, d in rows]
+            e, at = np.concatenate([np.zeros(0, self.dtype), *parts]), np.cumsum([0] + [len(x) for x in parts])
+            state = self.settle(e, self.cuts) if self.waiting is None else self._looked_up(e, known_state)
+            yield [(b, e[lo:hi], state[lo:hi]) for (b, _), lo, hi in zip(rows, at[:-1], at[1:])]
+
+
+def _answer(kind: str, most: int, piece: int):
+    """The answers of a bucket: a row for each batch that asked, with the indexes of entries by state."""
 
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bucket = Bucket(kind, most, piece)
+        for frame in frames:
+            yield _frame([(b, b, "own", d) for b, d in frame.loc[frame["kind"] == "own", ["batch", "data"]].itertuples(index=False)])
+            bucket.cuts = np.union1d(bucket.cuts, np.frombuffer(b"".join(frame.loc[frame["kind"] == "cut", "data"]), "<u8"))
+            for b, d in frame.loc[frame["kind"] == "ask", ["batch", "data"]].itertuples(index=False):
+                bucket.add(b, d)
+        for answers in bucket.answers():
+            rows = []
+            for b, e, state in answers:
+                told = np.flatnonzero(state != STAY)
+                rows.append((b, b, "told", e["e"][told].astype("<u4").tobytes() + state[told].tobytes()))
+            yield _frame(rows)
 
-def _spread_answers(frame: pd.DataFrame) -> pd.DataFrame:
-    """Last step: the answers to a group become answers to its batches."""
-    data = frame.loc[frame["kind"] == "group", "data"].iloc[0]
-    n, m, f = (int(x) for x in np.frombuffer(data, "<i8", 3))
-    batches, counts = np.frombuffer(data, "<i8", n, 24), np.frombuffer(data, "<i8", n, 24 + 8 * n)
-    at = 24 + 16 * n
-    place, e, state = np.frombuffer(data, "<i4", m, at), np.frombuffer(data, "<u4", m, at + 4 * m), np.frombuffer(data, np.uint8, m, at + 8 * m).copy()
-    answers = np.full(f, STAY, np.uint8)
-    for d in frame.loc[frame["kind"] == "told", "data"]:
-        k = len(d) // 5
-        answers[np.frombuffer(d, "<u4", k)] = np.frombuffer(d, np.uint8, k, 4 * k)
-    asked = place >= 0
-    state[asked] = answers[place[asked]]
-    ends, rows = np.cumsum(counts), []
-    for b, lo, hi in zip(batches.tolist(), (ends - counts).tolist(), ends.tolist()):
-        told = np.flatnonzero(state[lo:hi] != STAY)
-        rows.append((b, b, "told", e[lo:hi][told].tobytes() + state[lo:hi][told].tobytes()))
-    return _frame(rows)
+    return run
 
 
 def _settle_surroundings(e: np.ndarray, cuts: np.ndarray) -> np.ndarray:
@@ -394,7 +408,8 @@ def _settle_surroundings(e: np.ndarray, cuts: np.ndarray) -> np.ndarray:
     return out
 
 
-def _settle_windows(e: np.ndarray) -> np.ndarray:
+def _settle_windows(e: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """cuts: none, as a batch sends each window once."""
     order = np.lexsort((e["doc"], e["check"], e["h"]))
     s = e[order]
     first = _first_of_runs(s["h"], s["check"])
@@ -489,16 +504,10 @@ def remove_repeats(docs: DataFrame, bucket_bytes: int = 12_000_000, batch_bytes:
     own = own.withColumn("copy", F.xxhash64("text"))
     total = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(4, -(-int(total * 2) // bucket_bytes))
-    groups = spread(total, batch_bytes * group_batches)
+    most = per_batch * group_batches
 
     def answered(asked: DataFrame, kind: str) -> DataFrame:
-        if groups == 1:
-            return asked.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(_answer(kind), ROWS)
-        group = F.pmod(F.xxhash64("batch"), F.lit(groups)).alias("group")
-        step = stored(asked.select("*", group).groupBy("bucket", "group").applyInPandas(_reduce(kind, groups, per_batch), ROWS), "groups")
-        told = step.where("kind IN ('ask', 'cut')").groupBy("bucket").applyInPandas(_answer(kind), ROWS)
-        told = told.unionByName(step.where("kind = 'group'")).groupBy("batch").applyInPandas(_spread_answers, ROWS)
-        return told.unionByName(step.where("kind = 'own'"))
+        return asked.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(_answer(kind, most, PIECE * most), ROWS)
 
     def resolved(source: DataFrame, round_, kind: str) -> DataFrame:
         told = answered(source.mapInPandas(tidied(round_), ROWS), kind)
